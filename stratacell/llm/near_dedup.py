@@ -3,13 +3,11 @@
 One hash of each shingle serves all bins: the bin is the hash's range, its value
 the smallest hash there, and an empty bin borrows from the bin that its own hash
 sequence names first. Bands of bins make buckets. Texts with equal shingle sets
-are one class from the start. In a bucket only edges to a hub are tried, in
-rounds: each round takes the next few classes of each unsettled bucket as hubs
-and tries them against the bucket's other classes that lie in other components;
-a bucket is settled when it lies in one component or each pair across components
-was tried. So pairs stay near-linear where copies are many, and no link that
-would join two components of a bucket is left out. Links are confirmed on the
-full sets.
+are one class from the start. Each bucket gives a star: its members are compared
+with one hub, on the full sets. Pairs of members that no hub has joined are found
+by where they differ from their common hub, and are confirmed on the full sets
+too. So no pairs of a group of copies are spelt out, and yet no link between two
+components of a bucket is left out.
 
 Defined results: a null, empty or blank text has no shingles and links with
 nothing, and so is its own component. Rows that repeat an id all stay and get one
@@ -36,10 +34,6 @@ SIMILAR = 85
 #: At a similarity of 0.85 a pair shares no bucket with probability 3e-7.
 BANDS, ROWS = 26, 5
 BINS = BANDS * ROWS
-#: Pairs tried in a round for each document, before hubs are taken in blocks.
-PAIRS_PER_DOC = 8
-
-
 def _donors(tries: int = 64) -> np.ndarray:
     return (table(BINS * tries, 9001).reshape(BINS, tries) % U(BINS)).astype(np.int64)
 
@@ -124,65 +118,83 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
     return both.where(100 * F.col("both") >= similar * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v")
 
 
-def links(docs: DataFrame, sig: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (u, v) between classes of equal sets, enough to connect each component; and (node, root)."""
-    spark = docs.sparkSession
+def _share(similar: int) -> float:
+    """Sets of n and m elements are similar if they differ in at most this times n + m elements."""
+    return (100 - similar) / (100 + similar)
+
+
+def residual_pairs(around: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Pairs (u, v) across components that may be similar, of classes around the same hub.
+
+    ``around``: (hub, hub_root, hub_n, set_key, n, root). Two sets differ exactly where their differences to the hub
+    differ, so similar ones that the hub does not join share most of those differences: both have one of the rarest
+    few (a prefix filter), at places that leave enough to share (a positional filter). What all copies of one text have
+    in common cancels out, so copies that are not similar to each other do not meet.
+    """
+    c = _share(similar)
+    h, m = sets.select(F.col("set_key").alias("hub"), F.col("shingles").alias("hs")), sets.select("set_key", F.col("shingles").alias("ms"))
+    differs = F.concat(F.array_except("ms", "hs"), F.array_except("hs", "ms"))
+    d = around.join(m, "set_key").join(h, "hub").select("hub", "set_key", "n", "root", (F.col("root") == F.col("hub_root")).alias("joined"), "hub_n", differs.alias("d"))
+    rows = stored(d.where(F.size("d") > 0).select("*", F.size("d").alias("nd"), F.explode("d").alias("x")).drop("d"), "differences")
+    count = rows.groupBy("hub", "x").agg(F.count("*").alias("df"))
+    ranked = rows.join(count, ["hub", "x"]).withColumn("at", F.row_number().over(Window.partitionBy("hub", "set_key").orderBy("df", "x")))
+    most = F.floor(c * F.col("n") * (1 + 100 / similar)) + 1
+    # a class that the hub joins only looks for classes that the hub does not join
+    joined = F.col("nd") - F.ceil((F.col("nd") + c * (F.col("hub_n") - F.col("n"))) / 2 - 1e-6) + 1
+    prefix = stored(
+        ranked.where((F.col("df") > 1) & (F.col("at") <= F.when(F.col("joined"), F.least(most, joined)).otherwise(most)))
+        .select("hub", "x", "set_key", "n", "root", "nd", "at"), "prefix",
+    )
+    v = prefix.select("hub", "x", *[F.col(k).alias(f"{k}2") for k in ("set_key", "n", "root", "nd", "at")])
+    room = 1 + F.least(F.col("nd") - F.col("at"), F.col("nd2") - F.col("at2"))
+    met = (
+        (prefix["hub"] == v["hub"]) & (prefix["x"] == v["x"]) & (F.col("set_key") < F.col("set_key2")) & (F.col("root") != F.col("root2"))
+        & (2 * room + c * (F.col("n") + F.col("n2")) + 1e-6 >= F.col("nd") + F.col("nd2"))
+    )
+    return prefix.join(v, met).select(F.col("set_key").alias("u"), F.col("set_key2").alias("v")).distinct()
+
+
+def links(docs: DataFrame, sig: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(node, root) of the classes of equal sets that are linked with others."""
     classes = stored(
         sig.where("set_key is not null").groupBy("set_key").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")),
         "classes",
     )
     in_buckets = classes.select("set_key", "n", F.explode("bands").alias("bucket"))
-    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(in_buckets.join(shared, "bucket"), "members")
-    # Only classes in a shared bucket need their sets
-    wanted = stored(members.select("set_key").distinct(), "wanted")
-    ids = classes.join(wanted, "set_key", "left_semi").select("doc_id")
+    # only classes in a shared bucket need their sets
+    degree = stored(members.groupBy("set_key").agg(F.sum("size").alias("degree")), "degree")
+    ids = classes.join(degree, "set_key", "left_semi").select("doc_id")
     sets = stored(
-        shingle_sets(docs.join(ids, "doc_id", "left_semi")).join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets"
+        shingle_sets(docs.join(ids, "doc_id", "left_semi")).join(degree, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets"
+    )
+    # the hub of a bucket is the member that meets most others: in a group of copies, the text that they vary
+    hubs = members.join(degree, "set_key").groupBy("bucket").agg(F.max(F.struct("degree", "set_key", "n")).alias("h"))
+    around = stored(
+        members.join(hubs.select("bucket", F.col("h.set_key").alias("hub"), F.col("h.n").alias("hub_n")), "bucket")
+        .where("set_key <> hub").select("hub", "hub_n", "set_key", "n").distinct(), "around",
+    )
+    star = around.where(100 * F.least("n", "hub_n") >= similar * F.greatest("n", "hub_n")).select(F.col("set_key").alias("u"), F.col("hub").alias("v"))
+    roots = stored(components(stored(confirmed(star, sets, similar), "links")), "roots")
+    own, hub = roots.select(F.col("node").alias("set_key"), "root"), roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    around = around.join(own, "set_key", "left").join(hub, "hub", "left").select(
+        "hub", F.coalesce("hub_root", "hub").alias("hub_root"), "hub_n", "set_key", "n", F.coalesce("root", "set_key").alias("root")
     )
-    budget = PAIRS_PER_DOC * max(1, classes.count())
-    found = spark.createDataFrame([], "u binary, v binary")
-    roots = spark.createDataFrame([], "node binary, root binary")
-    tried, first = None, True
-    while True:
-        own = members.join(roots, F.col("set_key") == F.col("node"), "left").select("bucket", "set_key", "n", F.coalesce("root", "set_key").alias("root"))
-        if first:
-            hubs = own.groupBy("bucket").agg(F.min(F.struct("set_key", "n", "root")).alias("h")).select("bucket", "h.*")
-        else:
-            unsettled = own.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).where("a <> b")
-            own = stored(own.join(unsettled.select("bucket", "size"), "bucket"), "unsettled")
-            total = own.count()
-            if not total:
-                break
-            ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("set_key")))
-            block = max(1, budget // total)
-            hubs = ranked.where(F.col("rank") <= block).drop("size", "rank")
-            members = own.join(hubs.select("bucket", "set_key"), ["bucket", "set_key"], "left_anti").select("bucket", "set_key", "n")
-        h = hubs.select("bucket", F.col("set_key").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-        pairs = (
-            own.join(h, "bucket").where("set_key <> hub and root <> hub_root")
-            .where(100 * F.least("n", "hub_n") >= similar * F.greatest("n", "hub_n"))
-            .select(F.least("set_key", "hub").alias("u"), F.greatest("set_key", "hub").alias("v")).distinct()
-        )
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = stored(confirmed(pairs, sets, similar), "links")
-        if not new.isEmpty():
-            found = found.union(new)
-            roots = stored(components(found), "roots")
-        if first:
-            first = False
-        else:
-            members = stored(members, "members")
-    return found, roots
+    # around a hub that joined all its classes nothing is left to try
+    open_hubs = around.groupBy("hub").agg(F.count_if(F.col("root") != F.col("hub_root")).alias("apart"), F.count("*").alias("all")).where("apart > 0 and all > 1")
+    around = stored(around.join(open_hubs.select("hub"), "hub"), "apart")
+    pairs = stored(residual_pairs(around, sets, similar), "pairs")
+    more = stored(confirmed(pairs, sets, similar), "links")
+    if more.isEmpty():
+        return roots
+    return stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "roots")
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``."""
     sig = stored(signatures(docs), "signatures")
-    _, roots = links(docs, sig, similar)
+    roots = links(docs, sig, similar)
     rows = sig.select("doc_id", "n_shingles", "set_key").join(roots, F.col("set_key") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "set_key").alias("root")
     )
