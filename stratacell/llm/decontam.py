@@ -47,33 +47,42 @@ def seeds(h: Column, masks=MASKS) -> Column:
     return F.concat(*[by_mask(k, m) for k, m in enumerate(masks)])
 
 
-def seed_rows(table: DataFrame, key: str, masks=MASKS) -> DataFrame:
-    """(key, at, seed) of each mask at each token of ``table``'s ``text``."""
-    rows = table.select(key, let(token_hashes(F.col("text")), lambda h: F.struct(F.size(h).alias("n"), seeds(h, masks).alias("s"))).alias("t"))
+def key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def seed_rows(table: DataFrame, by: str, masks=MASKS) -> DataFrame:
+    """(by, h, at, seed) of each mask at each token of ``table``'s ``text``; ``h`` holds all token hashes."""
+    rows = table.select(by, let(token_hashes(F.col("text")), lambda h: F.struct(h.alias("h"), seeds(h, masks).alias("s"))).alias("t"))
     return (
-        rows.select(key, F.col("t.n").alias("n"), F.posexplode("t.s").alias("p", "seed"))
-        .where("seed is not null").select(key, (F.col("p") % F.col("n")).alias("at"), "seed")
+        rows.select(by, F.col("t.h").alias("h"), F.posexplode("t.s").alias("p", "seed"))
+        .where("seed is not null").select(by, "h", (F.col("p") % F.size("h")).alias("at"), "seed")
     )
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, agree: int = AGREE) -> DataFrame:
     """Verified overlaps: (md5 of the text, item_id, shift, matched): the item's token j lies on the document's
     token j + shift, and ``matched`` of the item's tokens agree."""
-    texts = docs.where("text is not null").select(F.md5("text").alias("md5"), "text")
+    texts = docs.where("text is not null").select(key(F.col("text")).alias("md5"), "text")
     items = benchmark.where("text is not null and item_id is not null").groupBy(F.lower("text").alias("text")).agg(F.min("item_id").alias("item_id"))
-    items = stored(items, "items")
-    item_seeds = stored(seed_rows(items, "item_id", masks).withColumnRenamed("at", "item_at"), "item-seeds")
+    items = stored(items.select("item_id", "text", F.size(token_hashes(F.col("text"))).alias("item_n")), "items")
+    item_seeds = seed_rows(items, "item_id", masks).select("item_id", F.col("at").alias("item_at"), "seed").join(items.select("item_id", "item_n"), "item_id")
+    item_seeds = stored(item_seeds, "item-seeds")
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
     if item_seeds.count() <= BROADCAST_SEEDS:
-        item_seeds = F.broadcast(item_seeds)
-    hits = stored(
-        seed_rows(texts, "md5", masks).join(item_seeds, "seed").select("md5", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(),
-        "hits",
-    )
-    found = texts.join(hits.select("md5").distinct(), "md5", "left_semi").dropDuplicates(["md5"])
+        # the hit takes along the document's tokens that the item would lie on, so texts are read once and not shuffled
+        laid_on = F.expr("transform(sequence(0, item_n - 1), j -> get(h, j + shift))").alias("d")
+        hits = seed_rows(texts, "md5", masks).join(F.broadcast(item_seeds), "seed")
+        hits = hits.select("md5", "item_id", "item_n", shift, "h").select("md5", "item_id", "shift", laid_on).dropDuplicates(["md5", "item_id", "shift"])
+    else:
+        hits = stored(seed_rows(texts, "md5", masks).drop("h").join(item_seeds, "seed").select("md5", "item_id", "item_n", shift).distinct(), "hits")
+        found = texts.join(hits.select("md5").distinct(), "md5", "left_semi").dropDuplicates(["md5"])
+        hits = hits.join(found.select("md5", token_hashes(F.col("text")).alias("h")), "md5").select(
+            "md5", "item_id", "shift", F.expr("transform(sequence(0, item_n - 1), j -> get(h, j + shift))").alias("d")
+        )
     laid = (
-        hits.join(found.select("md5", token_hashes(F.col("text")).alias("d")), "md5")
-        .join(items.select("item_id", token_hashes(F.col("text")).alias("b")), "item_id")
-        .select("md5", "item_id", "shift", F.expr("transform(b, (x, j) -> int(coalesce(x = get(d, j + shift), false)))").alias("m"))
+        hits.join(items.select("item_id", token_hashes(F.col("text")).alias("b")), "item_id")
+        .select("md5", "item_id", "shift", F.zip_with("b", "d", lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int")).alias("m"))
         .select("*", F.least(F.lit(window), F.size("m")).alias("w"))
     )
     best = F.expr("array_max(transform(sequence(0, size(m) - w), s -> aggregate(slice(m, s + 1, w), 0, (a, x) -> a + x)))")
@@ -93,14 +102,14 @@ def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose text overlaps no item of ``benchmark``, with their columns unchanged."""
     bad = flagged(docs, benchmark, **options).select("md5")
-    rows = docs.select(F.struct("*").alias("row"), F.md5("text").alias("md5"))
+    rows = docs.select(F.struct("*").alias("row"), key(F.col("text")).alias("md5"))
     return rows.join(bad, "md5", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bad = flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select("doc_id", F.md5("text").alias("md5")).join(bad, "md5", "left").select(
+    return docs.select("doc_id", key(F.col("text")).alias("md5")).join(bad, "md5", "left").select(
         "doc_id", F.col("item_id").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"),
     )
