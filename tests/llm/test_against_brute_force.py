@@ -159,3 +159,10 @@ def test_isotonic_and_viterbi():
 def test_pipeline_rows(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and rows.select("doc_id", "piece").distinct().count() == rows.count()
+
+
+def test_long_stretches_are_read():
+    read = lambda s: toxicity.decode(s, {"": -12.0})
+    assert toxicity.restore("so " + "h 4 t e ".replace("4", "a") * 30 + "end", read) == "so " + "hate" * 30 + " end"
+    for odd in ("ab" * 50_000, "@$" * 50_000 + "x", "s p a m " * 10_000 + "x", "a" * 200_000):
+        assert toxicity.restore(odd, read)
