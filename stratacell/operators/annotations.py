@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.store import Store
-from .stats import MOST, clamp
+from .stats import MOST, clamp, panel_above_min
 
 #: Gene label columns, the first present is used.
 LABEL_COLUMNS = ("gene_symbol", "gene_symbols", "symbol", "feature_name", "gene_name", "gene_names", "name", "gene", "var_name", "gene_id")
@@ -116,15 +116,7 @@ def bar_gene_mean(store: Store, column: str, groups: Sequence[str], genes: Seque
     """Mean and fraction expressing, of 1 to 10 genes in the named groups; a value counts above the gene's least one there."""
     if not 0 < len(genes) <= 10:
         raise ValueError("1 to 10 genes")
-    v = F.col("value").cast("double")
-    cells = store.column(column).where(F.col(column).isin(list(groups))).withColumnRenamed(column, "group")
-    n = cells.groupBy("group").agg(F.count("*").alias("n_cells"))
-    n_all = cells.count()
-    x = store.x.where(F.col("gene_id").isin(list(genes))).join(cells, "cell_id").select("group", "gene_id", v.alias("v"))
-    low = x.groupBy("gene_id").agg(F.when(F.count("*") < n_all, F.least(F.min("v"), F.lit(0.0))).otherwise(F.min("v")).alias("floor"))
-    s = x.join(low, "gene_id").groupBy("group", "gene_id").agg(F.sum("v").alias("s"), F.count_if(F.col("v") > F.col("floor")).alias("above"), F.count("*").alias("stored"), F.first("floor").alias("floor"))
-    zeros = F.when(F.col("floor") < 0, F.col("n_cells") - F.col("stored")).otherwise(0)
-    return s.join(n, "group").select("group", "gene_id", (F.col("s") / F.col("n_cells")).alias("mean"), ((F.col("above") + zeros) / F.col("n_cells")).alias("fraction"), "n_cells")
+    return panel_above_min(store, store.column(column).where(F.col(column).isin(list(groups))), genes)
 
 
 def color_by_gene(store: Store, gene_id: int, key: str) -> DataFrame:
@@ -157,18 +149,32 @@ def selection_summary(store: Store, column: str, cells: DataFrame | None = None)
     return cluster_stats(obs, column)
 
 
-def schema_summary(table: DataFrame, cap: int = 100) -> DataFrame:
-    """(column, dtype, cardinality, values) of each column: values of categorical ones up to ``cap`` labels, except ontology ids."""
+def schema_summary(table: DataFrame, cap: int = 100, ontology: bool = False) -> DataFrame:
+    """(column, dtype, cardinality, values) of each column: values of categorical ones up to ``cap`` labels, those of
+    ontology ids only if asked for. Labels are gathered only where there are so few."""
     dtype = {"string": "categorical"}
     kinds = {c: dtype.get(t, "numeric" if t not in ("boolean",) and not t.startswith(("array", "map", "struct")) else "string") for c, t in table.dtypes}
     text = [c for c in table.columns if kinds[c] == "categorical"]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("label")) for c in text])
-    labels = table.select(F.inline(pairs)).where("label is not null").distinct()
-    ranked = labels.withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy("label")))
-    found = ranked.groupBy("column").agg(F.count("*").alias("cardinality"), F.sort_array(F.collect_list(F.when(F.col("k") <= cap, F.col("label")))).alias("labels"))
     names = table.sparkSession.createDataFrame(list(kinds.items()), "column string, dtype string")
-    keep = (F.col("cardinality") <= cap) & ~F.col("column").endswith("_ontology_term_id")
-    return names.join(found, "column", "left").select("column", "dtype", "cardinality", F.when(keep, F.col("labels")).alias("values"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("label")) for c in text]).cast("array<struct<column:string,label:string>>")
+    labels = table.select(F.inline(pairs)).where("label is not null").distinct()
+    n = labels.groupBy("column").agg(F.count("*").alias("cardinality"))  # one row for each column
+    few = n.where((F.col("cardinality") <= cap) & (F.lit(ontology) | ~F.col("column").endswith("_ontology_term_id")))
+    found = labels.join(F.broadcast(few), "column", "left_semi").groupBy("column").agg(F.sort_array(F.collect_list("label")).alias("values"))
+    return names.join(n, "column", "left").join(found, "column", "left").select("column", "dtype", "cardinality", "values")
+
+
+def dataset_context(table: DataFrame, cap: int = 50) -> DataFrame:
+    """What an assistant is told of each column: its labels where there are at most ``cap``."""
+    return schema_summary(table, cap, ontology=True)
+
+
+def relabel(genes: DataFrame, var: DataFrame, label: str) -> DataFrame:
+    """``genes`` (gene_id, ..) with the label that the column ``label`` of ``var`` gives; unlabelled ones keep their number."""
+    if label not in var.columns:
+        raise KeyError(f"no var column {label}; there are {var.columns}")
+    names = var.select("gene_id", F.col(label).cast("string").alias("label"))
+    return genes.join(names, "gene_id", "left").withColumn("label", F.coalesce("label", F.col("gene_id").cast("string")))
 
 
 def store_facts(store: Store) -> DataFrame:

@@ -27,6 +27,13 @@ def collection_counts(datasets: DataFrame, collections: DataFrame, roles: Sequen
     return collections.join(n, "collection_id").orderBy("collection_name")
 
 
+def collection_detail(datasets: DataFrame, collections: DataFrame, name: str, roles: Sequence[str] = ()) -> DataFrame:
+    """The datasets of one collection that the roles may see, oldest first, a row each; none if it is unknown."""
+    r = F.array(*[F.lit(x) for x in roles]).cast("array<string>")
+    own = datasets.where(visible(F.col("is_public"), F.col("required_roles"), r))
+    return own.join(collections.where(F.col("collection_name") == name), "collection_id").orderBy("created_at", "dataset_id")
+
+
 def resolve_facets(columns: DataFrame, aliases: DataFrame) -> DataFrame:
     """``columns`` (column, ..) with the canonical key of each name; exact, case counts. ``aliases`` (key, names)."""
     return columns.join(aliases.select("key", F.explode("names").alias("column")), "column", "left")
@@ -49,6 +56,27 @@ def merge_harvests(attempts: DataFrame) -> DataFrame:
     )
 
 
+#: What a harvest must have found before it is served.
+VALUES = ("n_obs", "n_vars", "obs_columns", "obs_facets")
+
+
+def served(state: DataFrame, values: Sequence[str] = VALUES) -> DataFrame:
+    """The rows of ``state`` (dataset_id, ``values``) with all values: half a harvest is not served."""
+    return state.where(F.forall(F.array(*[F.col(v).isNotNull() for v in values]), lambda x: x))
+
+
+def described_columns(state: DataFrame) -> DataFrame:
+    """(dataset_id, column, dtype, cardinality): from the facets (column -> dtype, cardinality), or the bare names as text where there are none."""
+    bare = F.transform("obs_columns", lambda c: F.struct(c.alias("column"), F.lit("string").alias("dtype"), F.lit(None).cast("long").alias("cardinality")))
+    full = F.transform(F.map_entries("obs_facets"), lambda e: F.struct(e["key"].alias("column"), e["value"]["dtype"].alias("dtype"), e["value"]["cardinality"].cast("long").alias("cardinality")))
+    return served(state).select("dataset_id", F.inline(F.when(F.size("obs_facets") == 0, bare).otherwise(full)))
+
+
+def log_harvests(attempts: DataFrame, path: str, checkpoint: str):
+    """A stream of attempts appended to a log; :func:`merge_harvests` of the log is the state, whichever batch a row came with."""
+    return attempts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def stale(rows: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return rows.where(F.col("fetched_at").isNull() | (F.col("fetched_at") <= now - F.make_interval(hours=F.lit(hours))))
 

@@ -88,6 +88,11 @@ def merge_runs(runs: DataFrame, updates: DataFrame) -> DataFrame:
     return j.drop("u")
 
 
+def append_run(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """``runs`` and one more, with the next number."""
+    return runs.unionByName(new.withColumn("run", F.lit(next_run(runs))), allowMissingColumns=True)
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     done = F.col("status") == "completed"
     return runs.agg(F.count("*").alias("total"), F.count_if(done).alias("completed"), F.min(F.when(done, F.col("seconds"))).alias("fastest"), F.max(F.when(done, F.col("ratio"))).alias("best_ratio"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +67,20 @@ def dispersion_genes(store: Store, n: int, bins: int = 20) -> DataFrame:
     )
 
 
+def categories(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, code, label): the labels of each column in order, numbered from 0. Labels are few beside rows."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("label")) for c in columns])
+    labels = table.select(F.inline(pairs)).where("label is not null").distinct()
+    return labels.select("column", (F.row_number().over(Window.partitionBy("column").orderBy("label")) - 1).alias("code"), "label")
+
+
+def encode_categorical(table: DataFrame, columns: Sequence[str], labels: DataFrame | None = None) -> DataFrame:
+    """(cell_id, column, code) with code -1 for missing labels and for those that ``labels`` lacks."""
+    labels = categories(table, columns) if labels is None else labels
+    rows = table.select("cell_id", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("label")) for c in columns])))
+    return rows.join(labels, ["column", "label"], "left").select("cell_id", "column", F.coalesce("code", F.lit(-1)).alias("code"))
+
+
 def decode_categorical(codes: DataFrame, categories: DataFrame) -> DataFrame:
     """(cell_id, column, label): code -1 and unknown codes give null. ``categories`` (column, code, label)."""
     return codes.join(categories, ["column", "code"], "left").select("cell_id", "column", "label")
@@ -96,6 +110,32 @@ def prepare_obs(obs: DataFrame, dataset: str, aliases: dict[str, Sequence[str]]
     return obs.withColumn("cell_name", F.col("cell_id").cast("string")).withColumn("cell_key", F.concat_ws("_", F.lit(dataset), F.col("cell_id").cast("string")))
 
 
+#: Gene columns that preparation keeps, and those that may give the symbol, in order.
+KNOWN_VAR = ("gene_id", "gene_symbol", "feature_name", "feature_id", "feature_type", "biotype", "genome")
+SYMBOLS = ("gene_symbol", "feature_name", "gene_name", "symbol", "var_name", "gene_id")
+
+
+def prepare_var(var: DataFrame, known: Sequence[str] = KNOWN_VAR, symbols: Sequence[str] = SYMBOLS) -> DataFrame:
+    """The known gene columns, and ``gene_symbol`` from the first column that can give it."""
+    found = next((c for c in symbols if c in var.columns), None)
+    if found is None:
+        raise ValueError("no column gives a gene symbol")
+    return var.select(*[c for c in known if c in var.columns and c != "gene_symbol"], F.col(found).cast("string").alias("gene_symbol"))
+
+
+#: Cells of a gene that one call of a user's function sees, at most about.
+GENE_BLOCK = 100_000
+
+
+def reduce_genes(x: DataFrame, part: Callable, merge: Callable, schema: str, block: int = GENE_BLOCK) -> DataFrame:
+    """A user's reduction of each gene, in two steps so that no call sees all cells of a gene: ``part`` takes the entries
+    (cell_id, gene_id, value) of one gene in ``block`` consecutive cell ids, ``merge`` the rows that ``part`` returned for a
+    gene. Both are pandas functions that return rows of ``schema``, which has gene_id."""
+    blocks = x.withColumn("block", F.floor(F.col("cell_id") / block))
+    own = lambda f: lambda rows: f(rows.drop(columns="block"))
+    return blocks.groupBy("gene_id", "block").applyInPandas(own(part), schema).groupBy("gene_id").applyInPandas(merge, schema)
+
+
 def concatenate(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,14 +109,37 @@ def top_expressed(store: Store, column: str, group: str, n: int = 10, rule: str
     return s.select("gene_id", (F.col("s") / n_cells).alias("mean"), (F.col("pos") / n_cells).alias("fraction")).orderBy(F.desc("mean"), "gene_id").limit(clamp(n))
 
 
-def gene_panel(store: Store, column: str, genes: list[int]) -> DataFrame:
-    """Mean, fraction expressing and cells of each gene in each category; categories without entries give 0."""
+def _grid(cells: DataFrame, var: DataFrame, genes: Sequence[int]) -> DataFrame:
+    """Every group with every named gene."""
+    return cells.crossJoin(F.broadcast(var.where(F.col("gene_id").isin(list(genes))).select("gene_id")))  # the named genes, 50 at most
+
+
+def panel_above_min(store: Store, labels: DataFrame, genes: Sequence[int]) -> DataFrame:
+    """(group, gene_id, mean, fraction, n_cells) over the cells of ``labels`` (cell_id, label): a value counts if it is above
+    the gene's least one among all these cells, zeros that are not stored included."""
+    cells = labels.toDF("cell_id", "group")
+    n = cells.groupBy("group").agg(F.count("*").alias("n_cells"))
+    n_all = n.agg(F.coalesce(F.sum("n_cells"), F.lit(0))).first()[0]
+    x = store.x.where(F.col("gene_id").isin(list(genes))).join(cells, "cell_id").select("group", "gene_id", F.col("value").cast("double").alias("v"))
+    low = x.groupBy("gene_id").agg(F.when(F.count("*") < n_all, F.least(F.min("v"), F.lit(0.0))).otherwise(F.min("v")).alias("floor"))
+    s = x.join(low, "gene_id").groupBy("group", "gene_id").agg(F.sum("v").alias("s"), F.count_if(F.col("v") > F.col("floor")).alias("above"), F.count("*").alias("stored"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    zeros = F.when(F.col("floor") < 0, F.col("n_cells") - zero("stored")).otherwise(0)
+    return _grid(n, store.var, genes).join(s.withColumnRenamed("group", "g").withColumnRenamed("gene_id", "k"), F.col("group").eqNullSafe(F.col("g")) & (F.col("gene_id") == F.col("k")), "left").join(
+        low, "gene_id", "left"
+    ).select("group", "gene_id", (zero("s") / F.col("n_cells")).alias("mean"), ((zero("above") + zeros) / F.col("n_cells")).alias("fraction"), "n_cells")
+
+
+def gene_panel(store: Store, column: str, genes: Sequence[int], rule: str = "positive") -> DataFrame:
+    """Mean, fraction expressing and cells of each gene in each category; categories without entries give 0. ``rule``:
+    values count above 0 (``positive``) or above the gene's least value (``above_min``)."""
     if not 0 < len(genes) <= MOST:
         raise ValueError(f"1 to {MOST} genes")
+    if rule == "above_min":
+        return panel_above_min(store, store.column(column), genes)
     sums, cells = group_sums(store, column)
-    grid = cells.crossJoin(F.broadcast(store.var.where(F.col("gene_id").isin(genes)).select("gene_id")))  # the named genes, 50 at most
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return grid.join(sums.where(F.col("gene_id").isin(genes)), ["group", "gene_id"], "left").select(
+    return _grid(cells, store.var, genes).join(sums.where(F.col("gene_id").isin(list(genes))), ["group", "gene_id"], "left").select(
         "group", "gene_id", (zero("sum_x") / F.col("n_cells")).alias("mean"), (zero("nnz") / F.col("n_cells")).alias("fraction"), "n_cells"
     )
 

@@ -69,6 +69,16 @@ def statistics(strata: DataFrame, cells: DataFrame, axes: Sequence[str], gene: s
     )
 
 
+def dotplot(strata: DataFrame, cells: DataFrame, axis: str, genes: Sequence[int], groups: Sequence[str] | None = None) -> DataFrame:
+    """(group, gene_id, n_cells, mean, fraction) of the named genes in each group of ``axis``, those without entries as 0."""
+    sums, n = as_groups(strata.where(F.col("gene_id").isin(list(genes))), cells, axis)
+    if groups is not None:
+        n = n.where(F.col("group").isin(list(groups)))
+    grid = n.select("group", "n_cells", F.explode(F.array(*[F.lit(g) for g in genes])).alias("gene_id"))
+    ratio = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n_cells")), F.lit(0.0))
+    return grid.join(sums, ["group", "gene_id"], "left").select("group", "gene_id", "n_cells", ratio("sum_x").alias("mean"), ratio("nnz").alias("fraction"))
+
+
 def as_groups(strata: DataFrame, cells: DataFrame, axis: str) -> tuple[DataFrame, DataFrame]:
     """Strata in the shape that the comparisons take: any table that has the axis serves, summed over its others."""
     sums = derive_coarse(strata, [axis]).withColumnRenamed(axis, "group")

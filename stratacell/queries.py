@@ -119,6 +119,19 @@ def gene_panel_by_obs(spark, d):
     return rounded(stats.gene_panel(st.dense_store(spark, d), "label", [0, 5, 9]))
 
 
+@query(f"""WITH {DENSE}, c AS (SELECT CAST(label AS VARCHAR) AS label, count(*) AS n FROM embeddings GROUP BY 1), f AS (SELECT gene_id, min(v) AS floor FROM dx GROUP BY 1)
+SELECT label AS "group", CAST(gene_id AS INTEGER) AS gene_id, {R("sum(v) / any_value(n)")} AS mean, {R("count(*) FILTER (WHERE v > floor) / any_value(n)")} AS fraction, any_value(n) AS n_cells FROM dx JOIN c USING (label) JOIN f USING (gene_id) WHERE gene_id IN (1, 2, 63) GROUP BY ALL""")
+def gene_panel_above_min(spark, d):
+    return rounded(stats.gene_panel(st.dense_store(spark, d), "label", [1, 2, 63], "above_min"))
+
+
+@query(f"""WITH {SPARSE}, c AS (SELECT priority, count(*) AS n FROM so GROUP BY 1), a AS (SELECT priority, gene_id, sum(v) AS s, count(*) FILTER (WHERE v > 0) AS z FROM sx JOIN so USING (cell_id) GROUP BY ALL)
+SELECT c.priority AS "group", CAST(g AS BIGINT) AS gene_id, n AS n_cells, {R("coalesce(s, 0) / n")} AS mean, {R("coalesce(z, 0) / n")} AS fraction FROM c CROSS JOIN (VALUES (3), (4), (11)) v(g) LEFT JOIN a ON a.priority = c.priority AND a.gene_id = g""")
+def strata_dotplot(spark, d):
+    _, a, c = _atomic(spark, d)
+    return rounded(strata.dotplot(a, c, "priority", [3, 4, 11]).withColumn("gene_id", F.col("gene_id").cast("long")))
+
+
 @query(f"""WITH {SPARSE}, z AS (SELECT priority AS g, coalesce(v, 0) AS v FROM so LEFT JOIN (SELECT * FROM sx WHERE gene_id = 7) USING (cell_id))
 SELECT g AS "group", {R("avg(v)")} AS mean, {R("avg(CASE WHEN v > 0 THEN 1.0 ELSE 0 END)")} AS fraction, count(*) AS n_cells FROM z GROUP BY GROUPING SETS ((), (g))""")
 def gene_expression_summary(spark, d):
@@ -308,6 +321,28 @@ def index_bounds(spark, d):
     return st.index_bounds(st.sparse_store(spark, d).x)
 
 
+@query(f"WITH {DENSE} SELECT cell_id, CAST(gene_id AS INTEGER) AS gene_id, {R('v')} AS value FROM dx")
+def coo_from_triple(spark, d):
+    e = st.table(spark, d, "embeddings")
+    n, width = e.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    entries = e.select("vec_id", F.posexplode("embedding").alias("index", "value")).select((F.col("vec_id") * width + F.col("index")).alias("pos"), "index", "value")
+    return rounded(st.coo_from_triple(entries, spark.range(n + 1).select(F.col("id").alias("row"), (F.col("id") * width).alias("start"))))
+
+
+@query(f"""WITH {SPARSE} SELECT gene_id, sum(v * v * v)::BIGINT AS cubes FROM sx GROUP BY 1""")
+def reduce_genes(spark, d):
+    part = lambda rows: rows.groupby("gene_id", as_index=False)["value"].agg(lambda v: int((v**3).sum())).rename(columns={"value": "cubes"})
+    return matrix.reduce_genes(st.sparse_store(spark, d).x, part, lambda rows: rows.groupby("gene_id", as_index=False)["cubes"].sum(), "gene_id long, cubes long")
+
+
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS p, o_orderstatus AS s FROM orders)
+SELECT o_orderkey AS cell_id, 'priority' AS "column", CASE WHEN p IS NULL THEN -1 ELSE k END AS code FROM (SELECT *, dense_rank() OVER (ORDER BY p NULLS LAST) - 1 AS k FROM r)
+UNION ALL SELECT o_orderkey, 'status', dense_rank() OVER (ORDER BY s) - 1 FROM r""")
+def encode_categorical(spark, d):
+    o = st.table(spark, d, "orders").select(F.col("o_orderkey").alias("cell_id"), F.expr("if(o_orderkey % 7 = 0, null, o_orderpriority)").alias("priority"), F.col("o_orderstatus").alias("status"))
+    return matrix.encode_categorical(o, ["priority", "status"])
+
+
 @query("""WITH k AS (SELECT o_orderpriority AS label, row_number() OVER (ORDER BY o_orderpriority) - 1 AS code FROM (SELECT DISTINCT o_orderpriority FROM orders))
 SELECT o_orderkey AS cell_id, 'priority' AS "column", CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS label FROM orders""")
 def decode_categorical(spark, d):
@@ -323,6 +358,12 @@ def decode_nullable(spark, d):
     return matrix.decode_nullable(o.select(F.col("o_orderkey").alias("cell_id"), F.col("o_orderstatus").alias("value"), (F.col("o_orderkey") % 5 == 0).alias("mask")))
 
 
+@query("SELECT p_partkey AS gene_id, p_type AS feature_type, p_name AS gene_symbol FROM part")
+def prepare_var(spark, d):
+    p = st.table(spark, d, "part")
+    return matrix.prepare_var(p.select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("feature_name"), F.col("p_type").alias("feature_type"), "p_size"), known=("gene_id", "feature_type"))
+
+
 @query("""SELECT o_orderkey::VARCHAR AS cell_name, 'sf_' || o_orderkey AS cell_key, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END, 'unknown') AS cell_type, o_orderpriority AS disease, 'UMI' AS expression_unit FROM orders WHERE o_orderkey % 3 <> 0""")
 def preprocess_counts(spark, d):
     o = st.table(spark, d, "orders")
@@ -338,6 +379,19 @@ def facet_discovery(spark, d):
     return an.schema_summary(st.sparse_store(spark, d).obs).withColumn("values", F.array_join("values", ","))
 
 
+@query("""WITH l AS (SELECT 'var_name' AS "column", p_name AS label FROM part UNION SELECT 'brand', p_brand FROM part UNION SELECT 'type', p_type FROM part)
+SELECT 'gene_id' AS "column", 'numeric' AS dtype, NULL::BIGINT AS cardinality, NULL::VARCHAR AS "values" UNION ALL SELECT 'price', 'numeric', NULL, NULL
+UNION ALL SELECT "column", 'categorical', count(*), CASE WHEN count(*) <= 50 THEN string_agg(label, ',' ORDER BY label) END FROM l GROUP BY 1""")
+def dataset_context(spark, d):
+    return an.dataset_context(st.sparse_store(spark, d).var).withColumn("values", F.array_join("values", ","))
+
+
+@query(f"""WITH {SPARSE} SELECT gene_id, p_brand AS label, {R("sum(v)")} AS total FROM sx JOIN part ON gene_id = p_partkey GROUP BY ALL""")
+def gene_labels(spark, d):
+    s = st.sparse_store(spark, d)
+    return rounded(an.relabel(s.x.groupBy("gene_id").agg(F.sum("value").alias("total")), s.var, "brand"))
+
+
 @query(f"""WITH {SPARSE} SELECT (SELECT count(*) FROM so) AS n_obs, (SELECT count(*) FROM part) AS n_var, (SELECT count(*) FROM sx) AS entries, 'status,priority,segment,nation,total_price' AS obs_columns,
 {R("(SELECT count(*) FROM sx) / ((SELECT count(*) FROM so) * (SELECT count(*) FROM part))")} AS density""")
 def store_schema(spark, d):
@@ -372,6 +426,25 @@ def collections_count(spark, d):
     return catalog.collection_counts(data, coll, ["BUILDING"])
 
 
+@query("SELECT c_custkey AS dataset_id, c_name AS slug FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7' AND (c_acctbal >= 0 OR c_mktsegment = 'BUILDING')")
+def collection_detail(spark, d):
+    data, _, coll, _ = _catalog(spark, d)
+    return catalog.collection_detail(data, coll, "NATION_7", ["BUILDING"]).select("dataset_id", "slug")
+
+
+def _harvested(spark, d):
+    """Customers as datasets and their order priorities as columns; those in debt have names alone, those without orders nothing."""
+    o = st.table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
+    h = o.groupBy("o_custkey").agg(F.sum("n").alias("n_obs"), F.collect_list("o_orderpriority").alias("obs_columns"), F.map_from_entries(F.collect_list(F.struct("o_orderpriority", F.struct(F.lit("categorical").alias("dtype"), F.col("n").alias("cardinality"))))).alias("f"))
+    c = st.table(spark, d, "customer").join(h, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return c.select(F.col("c_custkey").alias("dataset_id"), "n_obs", F.col("n_obs").alias("n_vars"), "obs_columns", F.when(F.col("c_acctbal") < 0, F.map_filter("f", lambda k, v: F.lit(False))).otherwise(F.col("f")).alias("obs_facets"))
+
+
+@query("""SELECT c_custkey AS dataset_id, o_orderpriority AS "column", CASE WHEN c_acctbal < 0 THEN 'string' ELSE 'categorical' END AS dtype, CASE WHEN c_acctbal >= 0 THEN count(*) END AS cardinality FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, o_orderpriority, c_acctbal""")
+def described_columns(spark, d):
+    return catalog.described_columns(_harvested(spark, d))
+
+
 def _columns(spark, d):
     """Event types as the columns of datasets (users)."""
     e = st.table(spark, d, "events").select(F.col("user_id").alias("dataset_id"), F.col("event_type").alias("column")).distinct()
@@ -501,6 +574,18 @@ def run_summary(spark, d):
     return rounded(chat.run_summary(e.select(F.expr("if(event_type = 'purchase', 'completed', event_type)").alias("status"), F.col("value").alias("seconds"), F.col("value").alias("ratio"))))
 
 
+@query("""SELECT event_id::INTEGER AS run, CASE WHEN event_id % 2 = 0 THEN 'completed' ELSE event_type END AS status, event_id AS n_obs, CASE WHEN event_id % 2 = 0 THEN event_id % 5 END AS n_vars FROM events
+UNION ALL SELECT max(event_id)::INTEGER + 1, 'new', 9, NULL FROM events""")
+def run_log_merge(spark, d):
+    """A run for each event; every second one gets an update of its status and of one nested field; one run is appended."""
+    e = st.table(spark, d, "events").withColumn("run", F.col("event_id").cast("int"))
+    nested = lambda a, b: F.struct(a.cast("long").alias("n_obs"), b.cast("long").alias("n_vars")).alias("dataset")
+    runs = e.select("run", F.col("event_type").alias("status"), nested(F.col("event_id"), F.lit(None)))
+    updates = e.where("run % 2 = 0").select("run", F.lit("completed").alias("status"), nested(F.lit(None), F.col("run") % 5))
+    new = spark.range(1).select(F.lit("new").alias("status"), nested(F.lit(9), F.lit(None)))
+    return chat.append_run(chat.merge_runs(runs, updates), new).select("run", "status", "dataset.n_obs", "dataset.n_vars")
+
+
 def _questions(spark, d):
     return st.table(spark, d, "events").select(F.col("event_id").alias("question_id"), F.col("user_id").alias("visitor"), F.col("ts").cast("timestamp").alias("at"))
 
@@ -515,11 +600,30 @@ def admit_visitor(spark, d):
     return usage.admit_visitors(_questions(spark, d), 1)
 
 
-@query()
+@query("""WITH q AS (SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) <= 1 AS ok FROM events),
+r AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q)
+SELECT event_id AS question_id, user_id AS visitor, CASE WHEN before >= 50 THEN 'day' WHEN ok THEN 'admitted' ELSE 'visitor' END AS verdict FROM r""")
 def admit_coupled(spark, d):
     return usage.admit_coupled(_questions(spark, d), 1, 50)
 
 
+def _with_address(spark, d):
+    """Every seventh question comes without an address; the others share forty."""
+    return _questions(spark, d).withColumn("ip", F.expr("if(question_id % 7 = 0, null, concat('10.0.0.', pmod(hash(visitor), 40)))"))
+
+
+@query()
+def admit_with_addresses(spark, d):
+    return usage.admit_coupled(_with_address(spark, d), 2, 80, 2)
+
+
+@query("""SELECT 'visitor' AS kind, user_id::VARCHAR AS key, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS window_start, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'ip', sha256('10.0.' || (user_id % 50)), strftime(date_trunc('hour', ts), '%Y-%m-%d %H'), count(*) FROM events WHERE event_id % 7 <> 0 GROUP BY ALL
+UNION ALL SELECT 'day', 'all', strftime(date_trunc('day', ts), '%Y-%m-%d %H'), count(*) FROM events GROUP BY ALL""")
+def usage_windows_addresses(spark, d):
+    q = _questions(spark, d).withColumn("ip", F.expr("if(question_id % 7 = 0, null, concat('10.0.', visitor % 50))"))
+    return usage.usage_windows(q).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))
+
+
 @query(f"SELECT count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, CAST(coalesce(sum(event_id) FILTER (WHERE event_type <> 'error'), 0) AS BIGINT) AS bytes, {R('sum(value)')} AS elapsed_ms FROM events")
 def trace_summary(spark, d):
     e = st.table(spark, d, "events")

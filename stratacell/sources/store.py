@@ -58,6 +58,16 @@ def coo_from_csr(rows: DataFrame) -> DataFrame:
     )
 
 
+def coo_from_triple(entries: DataFrame, pointers: DataFrame, by_cell: bool = True) -> DataFrame:
+    """Coordinates from one compressed matrix: ``entries`` (pos, index, value) and ``pointers`` (row, start), which has one
+    row more than the matrix. Each row's range of positions is spelt out and meets the entries in an equi-join, so work
+    is linear in the entries. ``by_cell`` says whether rows are cells (CSR) or genes (CSC)."""
+    ends = pointers.select((F.col("row") - 1).alias("row"), F.col("start").alias("end"))
+    places = pointers.join(ends, "row").where("end > start").select("row", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
+    cell, gene = ("row", "index") if by_cell else ("index", "row")
+    return entries.join(places, "pos").select(F.col(cell).alias("cell_id"), F.col(gene).alias("gene_id"), F.col("value").cast("double").alias("value"))
+
+
 def csr_from_coo(x: DataFrame) -> DataFrame:
     """Compressed rows: each cell's genes in order. A row is as wide as the genes, which is bounded by the panel."""
     entry = F.sort_array(F.collect_list(F.struct("gene_id", "value")))

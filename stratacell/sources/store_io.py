@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -17,6 +20,14 @@ class PartExists(ValueError):
     """The part is there already; ``overwrite`` replaces it."""
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, in the folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """The finished parts, the last entry of each."""
     try:
@@ -55,14 +66,20 @@ def read_part(spark: SparkSession, root: str, part: str, key: str = "") -> DataF
     return spark.read.parquet(f"{root}/{part}/{key}" if key else f"{root}/{part}")
 
 
-def write_store(root: str, store: Store, overwrite: bool = False) -> None:
-    for part in ("obs", "var", "x"):
-        add_part(root, part, getattr(store, part), overwrite=overwrite)
-    for name, layer in store.layers.items():
-        add_part(root, "layers", layer, name, overwrite)
-    if store.obsm is not None:
-        for (key,) in store.obsm.select("key").distinct().collect():  # a handful of embedding names
-            add_part(root, "obsm", store.embedding(key), key, overwrite)
+def write_store(root: str, store: Store, overwrite: bool = False, hook: Callable[[str, str], None] = lambda event, part: None) -> None:
+    """Write all parts. ``hook`` hears (event, part): ``done`` after each part, ``error`` before what went wrong is raised, ``complete``."""
+    parts = [(p, "", getattr(store, p)) for p in ("obs", "var", "x")] + [("layers", name, layer) for name, layer in store.layers.items()]
+    if store.obsm is not None:  # a handful of embedding names
+        parts += [("obsm", key, store.embedding(key)) for (key,) in store.obsm.select("key").distinct().collect()]
+    for part, key, df in parts:
+        name = f"{part}/{key}" if key else part
+        try:
+            add_part(root, part, df, key, overwrite)
+        except Exception:
+            hook("error", name)
+            raise
+        hook("done", name)
+    hook("complete", "")
 
 
 def open_store(spark: SparkSession, root: str) -> Store:

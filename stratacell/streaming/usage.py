@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store_io import checkpointed
+
 TRACE = "ts double, method string, url string, path string, status int, bytes bigint, elapsed_ms double, error string"
 
 
-def usage_windows(questions: DataFrame, late: str | None = None) -> DataFrame:
-    """(kind, key, window_start, n): visitors by the hour, the deployment by the day. With ``late`` a stream is watermarked."""
+def _counters(questions: DataFrame) -> list:
+    """(kind, key) of the counters by the hour: visitors, and hashed addresses where there are any."""
+    kinds = [F.struct(F.lit("visitor").alias("kind"), F.col("visitor").cast("string").alias("key"))]
+    if "ip" in questions.columns:
+        kinds.append(F.struct(F.lit("ip").alias("kind"), F.sha2(F.col("ip"), 256).alias("key")))
+    return kinds
+
+
+def usage_windows(questions: DataFrame) -> DataFrame:
+    """(kind, key, window_start, n): visitors and hashed addresses by the hour, the deployment by the day.
+
+    For tables, and for streams in complete mode. Questions without an address count for no address."""
     q = questions.withColumn("at", F.col("at").cast("timestamp"))
-    if late:
-        q = q.withWatermark("at", late)
-    kinds = F.array(
-        F.struct(F.lit("visitor").alias("kind"), F.col("visitor").cast("string").alias("key"), F.date_trunc("hour", "at").alias("window_start")),
-        F.struct(F.lit("day").alias("kind"), F.lit("all").alias("key"), F.date_trunc("day", "at").alias("window_start")),
-    )
-    return q.select(F.inline(kinds)).groupBy("kind", "key", "window_start").agg(F.count("*").alias("n"))
+    hour, day = F.date_trunc("hour", "at").alias("window_start"), F.date_trunc("day", "at").alias("window_start")
+    kinds = F.array(*[F.struct(k["kind"].alias("kind"), k["key"].alias("key"), hour) for k in _counters(q)], F.struct(F.lit("day").alias("kind"), F.lit("all").alias("key"), day))
+    return q.select(F.inline(kinds)).where("key is not null").groupBy("kind", "key", "window_start").agg(F.count("*").alias("n"))
+
+
+def usage_stream(questions: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """:func:`usage_windows` of a stream in append mode: a window comes out once the watermark has passed its end, and
+    its state goes then; questions later than ``late`` are left out."""
+    q = questions.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    count = F.count("*").alias("n")
+    hours = q.select("at", F.inline(F.array(*_counters(q)))).where("key is not null").groupBy("kind", "key", F.window("at", "1 hour").alias("w")).agg(count)
+    days = q.groupBy(F.window("at", "1 day").alias("w")).agg(count).select(F.lit("day").alias("kind"), F.lit("all").alias("key"), "w", "n")
+    return hours.union(days).select("kind", "key", F.col("w.start").alias("window_start"), "n")
 
 
 def admit_visitors(questions: DataFrame, per_hour: int) -> DataFrame:
@@ -28,25 +45,42 @@ def admit_visitors(questions: DataFrame, per_hour: int) -> DataFrame:
     return questions.select("question_id", "visitor", (F.row_number().over(w) <= per_hour).alias("admitted"))
 
 
-def admit_coupled(questions: DataFrame, per_visitor_hour: int, per_day: int) -> DataFrame:
-    """Whether each question is admitted under the visitor's hour and the deployment's day together. A refused question
-    uses up neither, so a day is read in order of arrival; its counters end with it, and it holds ids and times alone."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        day, hours, said = 0, {}, []
-        part = part.sort_values(["at", "question_id"])
-        for visitor, hour in zip(part["visitor"], part["hour"], strict=True):
-            if day >= per_day:
-                said.append("day")
-            elif hours.get((visitor, hour), 0) >= per_visitor_hour:
-                said.append("visitor")
-            else:
-                said.append("admitted")
-                day, hours[visitor, hour] = day + 1, hours.get((visitor, hour), 0) + 1
-        return part[["question_id", "visitor"]].assign(verdict=said)
-
-    rows = questions.select("question_id", "visitor", F.hour("at").alias("hour"), F.to_date("at").alias("day"), "at")
-    return rows.groupBy("day").applyInPandas(run, "question_id long, visitor long, verdict string")
+def _within_hours(q: DataFrame, per_visitor: int, per_ip: int) -> DataFrame:
+    """``q`` with ``ok``: whether the visitor's hour and the address's hour both have room, in order of arrival.
+
+    Each limit counts what both admitted, so neither is a rank. A question is in if all earlier ones that may still be
+    in leave room, and out if those surely in leave none; rounds go on until each is one or the other. The earliest open
+    question of an hour is settled in every round, and most are in the first."""
+    before = lambda *by: Window.partitionBy(*by, "hour").orderBy("at", "question_id").rowsBetween(Window.unboundedPreceding, -1)
+    n = lambda c, w: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(w), F.lit(0))
+    # a question without an address is bound by its visitor alone
+    q = q.withColumn("own", F.struct(F.col("ip"), F.when(F.col("ip").isNull(), F.col("question_id")).alias("alone"))).withColumn("ok", F.lit(None).cast("boolean"))
+    v, i = before("visitor"), before("own")
+    sure, may = F.coalesce("ok", F.lit(False)), F.coalesce("ok", F.lit(True))
+    bound = lambda c: [n(c, v) >= per_visitor, F.col("ip").isNotNull() & (n(c, i) >= per_ip)]
+    while True:
+        (out_v, out_i), (may_v, may_i) = bound(sure), bound(may)
+        q = checkpointed(q.withColumn("ok", F.coalesce("ok", F.when(out_v | out_i, False).when(~may_v & ~may_i, True))))
+        if q.where("ok is null").isEmpty():
+            return q.withColumn("full", n(F.col("ok"), v) >= per_visitor).withColumn("reason", F.when(F.col("full"), "visitor").otherwise("ip"))
+
+
+def admit_coupled(questions: DataFrame, per_visitor_hour: int, per_day: int, per_ip_hour: int | None = None) -> DataFrame:
+    """(question_id, visitor, verdict): whether each question is admitted under the deployment's day, the visitor's hour
+    and, with ``per_ip_hour``, the address's hour; else the first of these that refuses it. Refused questions count nowhere.
+
+    Until the day is full the other limits decide alone, so the day is full at its ``per_day``-th question that they
+    admit, and all later ones are refused: a rank that Spark cuts off before it shuffles, and one row for each day."""
+    q = questions.withColumn("hour", F.date_trunc("hour", "at")).withColumn("day", F.to_date("at"))
+    if per_ip_hour is None:
+        rank = F.row_number().over(Window.partitionBy("visitor", "hour").orderBy("at", "question_id"))
+        q = q.withColumn("ok", rank <= per_visitor_hour).withColumn("reason", F.lit("visitor"))
+    else:
+        q = _within_hours(q.select("question_id", "visitor", "ip", "at", "hour", "day"), per_visitor_hour, per_ip_hour)
+    place = F.row_number().over(Window.partitionBy("day").orderBy("at", "question_id"))
+    last = q.where("ok").withColumn("place", place).where(F.col("place") <= per_day).groupBy("day").agg(F.max("place").alias("n"), F.max(F.struct("at", "question_id")).alias("last"))
+    late = F.lit(per_day <= 0) | F.coalesce((F.col("n") >= per_day) & (F.struct("at", "question_id") > F.col("last")), F.lit(False))
+    return q.join(last, "day", "left").select("question_id", "visitor", F.when(late, "day").when(F.col("ok"), "admitted").otherwise(F.col("reason")).alias("verdict"))
 
 
 def trace_summary(trace: DataFrame) -> DataFrame:

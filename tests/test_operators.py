@@ -1,4 +1,7 @@
+import datetime
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +108,115 @@ def test_coupled_admission(spark):
     assert got == {1: "admitted", 2: "visitor", 3: "admitted", 4: "day", 5: "admitted"}
 
 
+def _admit_one_by_one(rows, per_visitor, per_day, per_ip):
+    days, visitors, ips, out = {}, {}, {}, {}
+    for q, visitor, ip, at in sorted(rows, key=lambda r: (r[3], r[0])):
+        day, v, i = at.date(), (visitor, at.replace(minute=0, second=0)), (ip, at.replace(minute=0, second=0))
+        if days.get(day, 0) >= per_day:
+            out[q] = "day"
+        elif visitors.get(v, 0) >= per_visitor:
+            out[q] = "visitor"
+        elif ip is not None and ips.get(i, 0) >= per_ip:
+            out[q] = "ip"
+        else:
+            out[q] = "admitted"
+            for counts, k in ((days, day), (visitors, v), (ips, i)):
+                counts[k] = counts.get(k, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("limits", [(1, 9, 2), (2, 60, 3), (3, 0, 1), (1, 10_000, 1)])
+def test_admission_with_addresses(spark, limits):
+    r = random.Random(str(limits))
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, r.randrange(12), r.choice([None, *"abcde"]), start + datetime.timedelta(minutes=r.randrange(2880))) for k in range(600)]
+    q = spark.createDataFrame(rows, "question_id long, visitor long, ip string, at timestamp")
+    per_visitor, per_day, per_ip = limits
+    got = {x["question_id"]: x["verdict"] for x in usage.admit_coupled(q, per_visitor, per_day, per_ip).collect()}
+    local = [(k, v, ip, at) for k, v, ip, at in ((x["question_id"], x["visitor"], x["ip"], x["at"]) for x in q.collect())]
+    assert got == _admit_one_by_one(local, *limits)
+
+
+def test_usage_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    times = ["00:10:00", "00:50:00", "01:05:00", "02:30:00"]
+    for k, t in enumerate([f"2024-01-01 {t}" for t in times] + ["2024-01-03 00:00:00", "2024-01-03 00:00:01"]):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"visitor": k % 2, "ip": "a" if k else None, "at": t}))
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k,) * 2)  # files are read in this order
+    schema = "visitor long, ip string, at timestamp"
+    q = usage.usage_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
+    s = q.writeStream.outputMode("append").format("memory").queryName("counters").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    s.awaitTermination(240)
+    batch = usage.usage_windows(spark.read.schema(schema).json(str(tmp_path / "in"))).where("window_start < '2024-01-03'")
+    rows = lambda d: sorted(map(tuple, d.select("kind", "key", "window_start", "n").collect()))
+    assert rows(spark.table("counters")) == rows(batch) and batch.where("kind = 'day'").first()["n"] == 4
+
+
+def test_harvest_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, (status, value) in enumerate([("ok", "a"), ("failed", None), ("ok", "b"), ("failed", "x")]):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"dataset_id": 1, "at": k, "status": status, "value": value, "error": None if status == "ok" else "e"}))
+    stream = spark.readStream.schema("dataset_id long, at long, status string, value string, error string").option("maxFilesPerTrigger", 2).json(str(tmp_path / "in"))
+    catalog.log_harvests(stream, str(tmp_path / "log"), str(tmp_path / "c")).awaitTermination(120)
+    got = catalog.merge_harvests(spark.read.parquet(str(tmp_path / "log"))).first()
+    assert (got["value"], got["fetched_at"], got["attempted_at"], got["status"], got["error"]) == ("b", 2, 3, "failed", "e")
+
+
+def test_panels_show_empty_groups(spark, tiny):
+    only = Store(tiny.obs, tiny.var, tiny.x.where("cell_id <> 4"))
+    got = {(r["group"], r["gene_id"]): (r["mean"], r["fraction"]) for r in annotations.bar_gene_mean(only, "cell_type", ["A", "C"], [0, 1]).collect()}
+    assert got == {("A", 0): (2.0, 1.0), ("A", 1): (3.0, 1.0), ("C", 0): (0.0, 0.0), ("C", 1): (0.0, 0.0)}
+    axes = ["cell_type", "donor"]
+    dots = strata.dotplot(strata.build_atomic(only, axes), strata.strata_cells(only, axes), "cell_type", [1, 2], ["A", "C"])
+    assert sorted((r["group"], r["gene_id"], r["mean"], r["fraction"]) for r in dots.collect()) == [("A", 1, 3.0, 1.0), ("A", 2, 0.0, 0.0), ("C", 1, 0.0, 0.0), ("C", 2, 0.0, 0.0)]
+
+
+def test_floor_with_negative_values(spark):
+    obs = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "b")], "cell_id long, t string")
+    var = spark.createDataFrame([(0, "g")], "gene_id int, var_name string")
+    x = spark.createDataFrame([(0, 0, -1.0), (1, 0, 2.0)], "cell_id long, gene_id int, value double")
+    got = {r["group"]: r["fraction"] for r in stats.gene_panel(Store(obs, var, x), "t", [0], "above_min").collect()}
+    assert got == {"a": 0.5, "b": 1.0}
+
+
+def test_triples(spark):
+    entries = spark.createDataFrame([(0, 2, 5.0), (1, 0, 6.0), (2, 1, 7.0)], "pos long, index int, value double")
+    pointers = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 3)], "row long, start long")
+    assert sorted(map(tuple, st.coo_from_triple(entries, pointers).collect())) == [(0, 2, 5.0), (2, 0, 6.0), (2, 1, 7.0)]
+    assert sorted(map(tuple, st.coo_from_triple(entries, pointers, by_cell=False).collect())) == [(0, 2, 6.0), (1, 2, 7.0), (2, 0, 5.0)]
+
+
+def test_reduction_in_blocks(spark, tiny):
+    part = lambda rows: rows.groupby("gene_id", as_index=False)["value"].max()
+    got = matrix.reduce_genes(tiny.x, part, part, "gene_id int, value double", block=2)
+    assert sorted(map(tuple, got.collect())) == [(0, 5.0), (1, 4.0), (2, 2.0)]
+
+
+def test_categories_round_trip(spark, tiny):
+    obs = tiny.obs.withColumn("donor", F.when(F.col("cell_id") > 0, F.col("donor")))
+    labels = matrix.categories(obs, ["cell_type", "donor"])
+    back = matrix.decode_categorical(matrix.encode_categorical(obs, ["cell_type", "donor"]), labels)
+    want = [(r["cell_id"], c, r[c]) for r in obs.collect() for c in ("cell_type", "donor")]
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(want, key=str)
+
+
+def test_hooks(spark, tiny, tmp_path):
+    heard = []
+    store_io.write_store(str(tmp_path / "s"), tiny, hook=lambda *e: heard.append(e))
+    assert heard == [("done", "obs"), ("done", "var"), ("done", "x"), ("complete", "")]
+    with pytest.raises(store_io.PartExists):
+        store_io.write_store(str(tmp_path / "s"), tiny, hook=lambda *e: heard.append(e))
+    assert heard[-1] == ("error", "obs")
+
+
+def test_gene_columns(spark, tiny):
+    assert matrix.prepare_var(tiny.var).columns == ["gene_id", "gene_symbol"]
+    with pytest.raises(ValueError):
+        matrix.prepare_var(tiny.var.select(F.lit(1).alias("other")))
+    named = annotations.relabel(tiny.x.select("gene_id").distinct(), tiny.var.where("gene_id < 2"), "var_name")
+    assert sorted(r["label"] for r in named.collect()) == ["2", "gene1", "gene2"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     for k in range(2):
         (tmp_path / "in").mkdir(exist_ok=True)
