@@ -55,7 +55,7 @@ def links(pages: DataFrame) -> DataFrame:
     canonical = F.regexp_extract(flat, r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>""", 0)
     refresh = F.regexp_extract(flat, r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*>""", 0)
     targets = F.array(F.regexp_extract(canonical, r"""(?i)\bhref=["']?([^"'\s>]+)""", 1), F.regexp_extract(refresh, r"""(?i)\burl=["']?([^"'\s>]+)""", 1))
-    to = F.col("to")
+    to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))  # as attributes spell it
     rows = pages.where("url is not null and html is not null").select("url", F.explode(targets).alias("to")).where("to <> ''")
     full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(
         to.startswith("/"), F.concat(F.lit("http://"), host(F.col("url")), to)
@@ -98,7 +98,8 @@ p AS (SELECT *, CASE WHEN host <> '' THEN host || path || coalesce(q, '') END AS
 t AS (SELECT place, host, unnest([
   regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel=["'']?canonical["'']?[^>]*>'), '(?i)\bhref=["'']?([^"''\s>]+)', 1),
   regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv=["'']?refresh["'']?[^>]*>'), '(?i)\burl=["'']?([^"''\s>]+)', 1)]) AS to_ FROM p),
-f AS (SELECT place, CASE WHEN contains(to_, '://') THEN to_ WHEN starts_with(to_, '//') THEN 'http:' || to_ WHEN starts_with(to_, '/') THEN 'http://' || host || to_ END AS u FROM t WHERE to_ <> ''),
+g AS (SELECT place, host, replace(to_, '&amp;', '&') AS to_ FROM t WHERE to_ <> ''),
+f AS (SELECT place, CASE WHEN contains(to_, '://') THEN to_ WHEN starts_with(to_, '//') THEN 'http:' || to_ WHEN starts_with(to_, '/') THEN 'http://' || host || to_ END AS u FROM g),
 e AS (SELECT place AS a, translate(regexp_extract(u, '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') || regexp_extract(u, '^[\s\S]*?://([^/?#]*)([^?#]*)', 2)
   || regexp_extract(u, '^[\s\S]*?://[^?#]*(\?[^#]*)?', 1) AS b FROM f WHERE u IS NOT NULL),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

@@ -29,6 +29,33 @@ def test_same_as_sql(spark, name):
     same_as_duckdb(queries.QUERIES[name](spark, SF), queries.ORACLE_SQL[name], SF)
 
 
+def test_redirects_same_as_sql(spark, tmp_path):
+    """Chains, rings and stars of canonical links and redirects, which the given pages do not have."""
+    rng = random.Random(9)
+    hosts = ["a.com", "B.com", "x.example.org", "c.net", "d.net:80", "e.info"]
+    url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(['/de/', '/fr/', '/es/', '/p/'])}{rng.randrange(9)}{rng.choice(['', '?q=1&r=2', '#top'])}"
+    rows = []
+    for i in range(240):
+        to = rng.choice([None, None, url(), url().split(":", 1)[1], f"/p/{rng.randrange(9)}", "relative"])
+        to = to and to.replace("&", "&amp;")
+        html = to and rng.choice([f'<head><link href="{to}" rel="canonical"></head>', f"<LINK rel=canonical href='{to}'>", f'<meta http-equiv="refresh" content="0; url={to}">'])
+        rows.append((i, rng.choice([None, "no scheme", *[url()] * 8]), html))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    got = queries.QUERIES["op10_url_filters"]
+    df = got(spark, _as_files(tmp_path))
+    same_as_duckdb(df, queries.ORACLE_SQL["op10_url_filters"], str(tmp_path))
+    said = Counter((r["rule"] is None, r["verdict"]) for r in df.collect())
+    assert said[True, "block"] and said[True, "allow"]
+
+
+def _as_files(path):
+    """One Parquet file named like the table, as the given ones are."""
+    import pyarrow.parquet as pq
+
+    pq.write_table(pq.read_table(path / "pages"), path / "pages.parquet")
+    return str(path)
+
+
 def components(docs):
     sets = {}
     for i, t in docs.items():
