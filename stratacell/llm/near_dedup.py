@@ -31,7 +31,9 @@ from .textnum import GOLD, U, hashes, mix, slices, spans, table, utf8, windows
 
 SHINGLE = 5
 SIMILAR = 85
-#: At a similarity of 0.85 a pair shares no bucket with probability 3e-7.
+#: The similarity, in percent, from which the pipeline takes documents for copies of each other.
+STAGE_SIMILAR = 80
+#: A pair shares no bucket with probability 3e-7 at a similarity of 0.85, and 3e-5 at 0.8.
 BANDS, ROWS = 26, 5
 BINS = BANDS * ROWS
 def _donors(tries: int = 64) -> np.ndarray:
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def deduplicate(docs: DataFrame, similar: int = STAGE_SIMILAR) -> DataFrame:
     """One document of each component, with the columns of ``docs`` unchanged."""
     gone = stored(near_duplicates(docs, similar).where("not kept").select("doc_id"), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

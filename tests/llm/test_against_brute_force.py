@@ -56,7 +56,7 @@ def _as_files(path):
     return str(path)
 
 
-def components(docs):
+def components(docs, similar=85):
     sets = {}
     for i, t in docs.items():
         w = WORD.findall(t.translate(FOLD))
@@ -74,7 +74,7 @@ def components(docs):
             where[g].append(i)
     both = Counter(p for ids in where.values() for p in itertools.combinations(sorted(ids), 2))
     for (a, b), n in both.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= similar * (len(sets[a]) + len(sets[b]) - n):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in docs}
@@ -96,8 +96,9 @@ def test_copies_of_copies(spark):
             w[p] = f"n{i}.{p}"
         rows[i] = " ".join(w)
     d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(d).collect()}
-    assert got == components(rows)
+    for similar in (85, 80):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(d, similar).collect()}
+        assert got == components(rows, similar)
 
 
 def test_packing(spark, docs):

@@ -63,7 +63,7 @@ def test_each_stage(spark, tmp_path):
         elif name == "quality_classifier":
             want = _good(docs, labels)
         elif name == "near_dedup":
-            want = {i for i, (_, root) in components(docs).items() if i == root}
+            want = {i for i, (_, root) in components(docs, 80).items() if i == root}
         elif name == "decontamination":
             want = {r["doc_id"] for r in _sql(decontam.SQL, path) if not r["contaminated"]}
         else:
