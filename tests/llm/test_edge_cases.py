@@ -1,10 +1,13 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing extra columns, for every operator."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratacell.llm import decontam, lm, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
+from stratacell.llm import decontam, lm, near_dedup, packing, quality_model, quality_rules, sharding, textnum, toxicity, url_filter, warc
 
 WORDS = [f"w{i % 977}x{i % 13}" for i in range(60_000)]
 ROWS = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "a text without an id " * 5), (5, " ".join(WORDS)), (6, " ".join(WORDS[:200])), (7, " ".join(WORDS[:200])), (8, "naïve é ü 日本 " * 30)]
@@ -126,6 +129,24 @@ def test_toxicity(spark, docs, empty, labels):
     assert min(got[1], got[3], got[4]) > got[2] and got[2] < 0.5
 
 
+def test_no_disguise_is_passed_over():
+    """Every text that restore() would change is a suspect, wherever it stands in a batch."""
+    rng = random.Random(4)
+    parts = [*"aabiéèж日²𝒜01@$!|(*+. -_\t\n", "\u00a0", "\u2003", "\u3000", "  ", "ж", "word ", "1d", "e\u0301"]
+    texts = ["$tupid", "i d i o t", "i. d. i. o. t", "i--d--i--o--t", "trèèèès", "", "plain words", "日日日", "𝒜𝒜𝒜", "é è", "x\u00a0a b\u00a0y", "a b", "aaa", "$t"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(60_000)]
+    changed = lambda t: toxicity.restore(t, lambda s: s + "?") != t
+    assert all(map(changed, texts[:5]))
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        found = set(toxicity._suspects(*textnum.utf8(pa.array(some))).tolist())
+        assert not [t for k, t in enumerate(some) if k not in found and changed(t)]
+    for t in texts[:3000]:
+        alone = len(toxicity._suspects(*textnum.utf8(pa.array([t])))) == 1
+        assert alone or not changed(t)
+    assert len(toxicity._suspects(*textnum.utf8(pa.array(["plain words, été à la mer", "", None, "a boat. It is so", "x"])))) == 0
+
+
 def test_url_filters(spark):
     rows = [(1, "http://A.Example.org/es/x", None), (2, "https://example.org/other", ""), (3, None, "x"), (4, "no scheme", None), (5, "http://x.com/de/1", '<link rel="canonical" href="http://alias.net/p">'), (6, "http://alias.net/p#f", None), (7, "http://x.com/fr/1", '<meta http-equiv="refresh" content="0; url=http://both.net/q">'), (8, "http://y.com/de/1", '<link rel=canonical href=http://both.net/q>'), (9, "http://both.net/q", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("u", F.lit(2))
