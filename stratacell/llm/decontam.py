@@ -7,11 +7,12 @@ item is laid along the document, and the overlap counts if some window of it
 agrees in enough tokens.
 
 A document is keyed by the MD5 of its text: copies are verified once, and ids
-may repeat or be null. Defined results: null, empty and blank texts, and an
-empty benchmark, give ``contaminated`` false with zero counts; benchmark items
-of fewer tokens than the longest mask give no seed and match nothing; repeated
-items count once, under their smallest id. Only ``doc_id``, ``text``,
-``item_id`` are read.
+may repeat or be null. The masks leave no accepted overlap without a seed; items
+shorter than a window have masks of their own. Defined results: null, empty and
+blank texts, and an empty benchmark, give ``contaminated`` false with zero
+counts; repeated items count once, under their smallest id. An item without an
+id counts too, by its text; ``item_id`` is the smallest id found, -1 if none of
+the items found has one. Only ``doc_id``, ``text``, ``item_id`` are read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import stored
 from .quality_rules import let, words
 
-#: Token positions that each mask looks at.
+#: Token positions that each mask looks at, as in the SQL.
 MASKS = ((0, 1, 3, 6, 8, 9), (0, 2, 3, 4, 7, 9))
+#: With a third one, some mask fits wherever any 11 of 13 tokens agree.
+ALL_MASKS = (*MASKS, (0, 1, 4, 5, 6, 9))
 #: An overlap is a window of so many tokens (a shorter item: all of it) ...
 WINDOW = 13
 #: ... of which so many percent agree.
@@ -47,53 +50,74 @@ def seeds(h: Column, masks=MASKS) -> Column:
     return F.concat(*[by_mask(k, m) for k, m in enumerate(masks)])
 
 
+def short_masks(n: int, agree: int = AGREE) -> tuple[tuple[int, ...], ...]:
+    """Masks that meet every overlap of an item of ``n`` tokens, fewer than a window: of ``miss`` + 2 equal blocks two
+    hold no miss, wherever the misses are; of one token a block, or without a miss, the longest run is sure."""
+    miss = n - -(-agree * n // 100)
+    size = n // (miss + 2)
+    if not miss or not size:
+        return (tuple(range(n // (miss + 1))),)
+    return tuple((*range(size), *range(d * size, (d + 1) * size)) for d in range(1, miss + 2))
+
+
 def key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
 def seed_rows(table: DataFrame, by: str, masks=MASKS) -> DataFrame:
-    """(by, h, at, seed) of each mask at each token of ``table``'s ``text``; ``h`` holds all token hashes."""
+    """(by, h, at, mask, seed) of each mask at each token of ``table``'s ``text``; ``h`` holds all token hashes."""
     rows = table.select(by, let(token_hashes(F.col("text")), lambda h: F.struct(h.alias("h"), seeds(h, masks).alias("s"))).alias("t"))
     return (
         rows.select(by, F.col("t.h").alias("h"), F.posexplode("t.s").alias("p", "seed"))
-        .where("seed is not null").select(by, "h", (F.col("p") % F.size("h")).alias("at"), "seed")
+        .where("seed is not null").select(by, "h", (F.col("p") % F.size("h")).alias("at"), F.floor(F.col("p") / F.size("h")).cast("int").alias("mask"), "seed")
     )
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, agree: int = AGREE) -> DataFrame:
-    """Verified overlaps: (md5 of the text, item_id, shift, matched): the item's token j lies on the document's
-    token j + shift, and ``matched`` of the item's tokens agree."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks=ALL_MASKS, window: int = WINDOW, agree: int = AGREE) -> DataFrame:
+    """Verified overlaps: (md5 of the text, item, item_id, shift, matched): the item's token j lies on the document's
+    token j + shift, and ``matched`` of the item's tokens agree. ``item`` numbers the items' texts."""
     texts = docs.where("text is not null").select(key(F.col("text")).alias("md5"), "text")
-    items = benchmark.where("text is not null and item_id is not null").groupBy(F.lower("text").alias("text")).agg(F.min("item_id").alias("item_id"))
-    items = stored(items.select("item_id", "text", F.size(token_hashes(F.col("text"))).alias("item_n")), "items")
-    item_seeds = seed_rows(items, "item_id", masks).select("item_id", F.col("at").alias("item_at"), "seed").join(items.select("item_id", "item_n"), "item_id")
-    item_seeds = stored(item_seeds, "item-seeds")
+    items = benchmark.where("text is not null").groupBy(F.lower("text").alias("text")).agg(F.min("item_id").alias("item_id"))
+    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text", F.size(token_hashes(F.col("text"))).alias("item_n"))
+    items = stored(items.where("item_n > 0"), "items")
+    # an item shorter than a window has the masks of its length, which documents are only searched by if it is there
+    short = {r["item_n"]: short_masks(r["item_n"], agree) for r in items.where(F.col("item_n") < window).select("item_n").distinct().collect()}
+    own = sorted({m for ms in short.values() for m in ms} - set(masks))
+    numbers = {m: k for k, m in enumerate([*masks, *own])}
+    fits = (F.col("item_n") >= window) & (F.col("mask") < len(masks))
+    for n, ms in short.items():
+        fits = fits | ((F.col("item_n") == n) & F.col("mask").isin([numbers[m] for m in ms]))
+    masks = tuple(numbers)
+    item_seeds = seed_rows(items, "item", masks).select("item", "mask", F.col("at").alias("item_at"), "seed").join(items.select("item", "item_n"), "item")
+    item_seeds = stored(item_seeds.where(fits).drop("mask"), "item-seeds")
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     if item_seeds.count() <= BROADCAST_SEEDS:
         # the hit takes along the document's tokens that the item would lie on, so texts are read once and not shuffled
         laid_on = F.expr("transform(sequence(0, item_n - 1), j -> get(h, j + shift))").alias("d")
         hits = seed_rows(texts, "md5", masks).join(F.broadcast(item_seeds), "seed")
-        hits = hits.select("md5", "item_id", "item_n", shift, "h").select("md5", "item_id", "shift", laid_on).dropDuplicates(["md5", "item_id", "shift"])
+        hits = hits.select("md5", "item", "item_n", shift, "h").select("md5", "item", "shift", laid_on).dropDuplicates(["md5", "item", "shift"])
     else:
-        hits = stored(seed_rows(texts, "md5", masks).drop("h").join(item_seeds, "seed").select("md5", "item_id", "item_n", shift).distinct(), "hits")
+        hits = stored(seed_rows(texts, "md5", masks).drop("h", "mask").join(item_seeds, "seed").select("md5", "item", "item_n", shift).distinct(), "hits")
         found = texts.join(hits.select("md5").distinct(), "md5", "left_semi").dropDuplicates(["md5"])
         hits = hits.join(found.select("md5", token_hashes(F.col("text")).alias("h")), "md5").select(
-            "md5", "item_id", "shift", F.expr("transform(sequence(0, item_n - 1), j -> get(h, j + shift))").alias("d")
+            "md5", "item", "shift", F.expr("transform(sequence(0, item_n - 1), j -> get(h, j + shift))").alias("d")
         )
     laid = (
-        hits.join(items.select("item_id", token_hashes(F.col("text")).alias("b")), "item_id")
-        .select("md5", "item_id", "shift", F.zip_with("b", "d", lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int")).alias("m"))
+        hits.join(items.select("item", "item_id", token_hashes(F.col("text")).alias("b")), "item")
+        .select("md5", "item", "item_id", "shift", F.zip_with("b", "d", lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int")).alias("m"))
         .select("*", F.least(F.lit(window), F.size("m")).alias("w"))
     )
     best = F.expr("array_max(transform(sequence(0, size(m) - w), s -> aggregate(slice(m, s + 1, w), 0, (a, x) -> a + x)))")
     return laid.where(100 * best >= agree * F.col("w")).select(
-        "md5", "item_id", "shift", F.expr("aggregate(m, 0, (a, x) -> a + x)").cast("long").alias("matched")
+        "md5", "item", "item_id", "shift", F.expr("aggregate(m, 0, (a, x) -> a + x)").cast("long").alias("matched")
     )
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(md5, n_items, item_id, matched) of each contaminated text: its items, the smallest of them, the most tokens matched."""
-    found = overlaps(docs, benchmark, **options).groupBy("md5", "item_id").agg(F.max("matched").alias("matched"))
+    """(md5, n_items, item_id, matched) of each contaminated text: its items, the smallest id of them (null if none has
+    one), the most tokens matched."""
+    by_id = F.when(F.col("item_id").isNull(), F.col("item")).alias("item")  # texts of one id are one item
+    found = overlaps(docs, benchmark, **options).groupBy("md5", "item_id", by_id).agg(F.max("matched").alias("matched"))
     return stored(
         found.groupBy("md5").agg(F.count("*").alias("n_items"), F.min("item_id").alias("item_id"), F.max("matched").alias("matched")), "flagged"
     )
@@ -110,7 +134,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bad = flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.select("doc_id", key(F.col("text")).alias("md5")).join(bad, "md5", "left").select(
-        "doc_id", F.col("item_id").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"),
     )
 

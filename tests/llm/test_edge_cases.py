@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing extra columns, for every operator."""
 
+import itertools
 import random
 
 import pyarrow as pa
@@ -77,6 +78,41 @@ def test_substitutions_are_tolerated(spark, benchmark):
     assert [r["doc_id"] for r in decontam.decontaminate(d, benchmark).collect()] == [2]
 
 
+def _accepted(doc: list[str], item: list[str]) -> bool:
+    """The acceptance rule at every shift, without seeds."""
+    n = len(item)
+    w = min(decontam.WINDOW, n)
+    for shift in range(1 - n, len(doc)):
+        m = [0 <= j + shift < len(doc) and doc[j + shift] == item[j] for j in range(n)]
+        if any(100 * sum(m[s : s + w]) >= decontam.AGREE * w for s in range(n - w + 1)):
+            return True
+    return False
+
+
+def test_no_overlap_is_without_a_seed(spark):
+    """Every placing of the substitutions that the rule allows, for items of each length, and one too many."""
+    items = {n: [f"i{n}.{k}" for k in range(n)] for n in (*range(1, 14), 15, 20)}
+    docs = []
+    for n, item in items.items():
+        most = min(n, 13) - -(-min(n, 13) * decontam.AGREE // 100)
+        for count in range(most + 2):
+            for bad in list(itertools.combinations(range(min(n, 13)), count))[:400]:
+                docs.append(["before", *[f"other{k}" if k in bad else x for k, x in enumerate(item)][: max(n, 13)], "after"])
+    d = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(None if n == 7 else n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    kept = {r["doc_id"] for r in decontam.decontaminate(d, b).collect()}
+    want = {k for k, x in enumerate(docs) if not any(_accepted(x, i) for i in items.values())}
+    assert kept == want and 0 < len(want) < len(docs)
+
+
+def test_items_without_id(spark, tmp_path):
+    text = " ".join(WORDS[:30])
+    spark.createDataFrame([(1, text), (2, "x y")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, text), (None, " ".join(WORDS[5:20]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontam.query(spark, str(tmp_path)).collect()}
+    assert got == {1: (True, 2, -1, 30), 2: (False, 0, -1, 0)}
+
+
 def test_near_duplicates(docs, empty):
     got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()}
     assert got[(7, 196)] == (6, False) and got[(6, 196)] == (6, True) and got[(1, 0)] == (1, True) and got[(2, 0)] == (2, True) and got[(4, 1)] == (4, True)
