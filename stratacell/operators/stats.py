@@ -139,7 +139,8 @@ def gene_panel(store: Store, column: str, genes: Sequence[int], rule: str = "pos
         return panel_above_min(store, store.column(column), genes)
     sums, cells = group_sums(store, column)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return _grid(cells, store.var, genes).join(sums.where(F.col("gene_id").isin(list(genes))), ["group", "gene_id"], "left").select(
+    sums = sums.where(F.col("gene_id").isin(list(genes))).withColumnRenamed("group", "g").withColumnRenamed("gene_id", "k")
+    return _grid(cells, store.var, genes).join(sums, F.col("group").eqNullSafe(F.col("g")) & (F.col("gene_id") == F.col("k")), "left").select(
         "group", "gene_id", (zero("sum_x") / F.col("n_cells")).alias("mean"), (zero("nnz") / F.col("n_cells")).alias("fraction"), "n_cells"
     )
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import chain
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +63,12 @@ def preflight(store: Store, axes: Sequence[str], most: int = MOST_TUPLES) -> Dat
 
 
 def statistics(strata: DataFrame, cells: DataFrame, axes: Sequence[str], gene: str = "gene_id") -> DataFrame:
-    """Mean, fraction expressing and sample variance of each stratum and gene."""
+    """Mean, fraction expressing and sample variance of each stratum and gene; a missing category is one of its own."""
     n = F.col("n_cells")
     ratio = lambda c: F.coalesce(F.try_divide(F.col(c), n), F.lit(0.0))
-    return strata.join(cells, list(axes)).select(
+    own = cells.select("n_cells", *[F.col(a).alias(f"own_{a}") for a in axes])
+    same = reduce(and_, [F.col(a).eqNullSafe(F.col(f"own_{a}")) for a in axes], F.lit(True))
+    return strata.join(own, same).select(
         *axes, gene, n, ratio("sum_x").alias("mean"), ratio("nnz").alias("fraction"), sample_variance(F.col("sum_x"), F.col("sum_xx"), n).alias("variance")
     )
 
@@ -76,7 +80,8 @@ def dotplot(strata: DataFrame, cells: DataFrame, axis: str, genes: Sequence[int]
         n = n.where(F.col("group").isin(list(groups)))
     grid = n.select("group", "n_cells", F.explode(F.array(*[F.lit(g) for g in genes])).alias("gene_id"))
     ratio = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n_cells")), F.lit(0.0))
-    return grid.join(sums, ["group", "gene_id"], "left").select("group", "gene_id", "n_cells", ratio("sum_x").alias("mean"), ratio("nnz").alias("fraction"))
+    sums = sums.withColumnRenamed("group", "g").withColumnRenamed("gene_id", "k")
+    return grid.join(sums, F.col("group").eqNullSafe(F.col("g")) & (F.col("gene_id") == F.col("k")), "left").select("group", "gene_id", "n_cells", ratio("sum_x").alias("mean"), ratio("nnz").alias("fraction"))
 
 
 def as_groups(strata: DataFrame, cells: DataFrame, axis: str) -> tuple[DataFrame, DataFrame]:

@@ -171,6 +171,17 @@ def test_panels_show_empty_groups(spark, tiny):
     assert sorted((r["group"], r["gene_id"], r["mean"], r["fraction"]) for r in dots.collect()) == [("A", 1, 3.0, 1.0), ("A", 2, 0.0, 0.0), ("C", 1, 0.0, 0.0), ("C", 2, 0.0, 0.0)]
 
 
+def test_missing_categories_are_a_group(tiny):
+    some = Store(tiny.obs.withColumn("cell_type", F.when(F.col("cell_type") != "B", F.col("cell_type"))), tiny.var, tiny.x)
+    axes = ["cell_type", "donor"]
+    atomic, cells = strata.build_atomic(some, axes), strata.strata_cells(some, axes)
+    got = {(r["cell_type"], r["donor"]): (r["n_cells"], r["mean"]) for r in strata.statistics(atomic, cells, axes).where("gene_id = 2").collect()}
+    assert got[(None, "d1")] == (1, 1.0) and got[(None, "d2")] == (1, 2.0)
+    for rows in (strata.dotplot(atomic, cells, "cell_type", [0, 2]), stats.gene_panel(some, "cell_type", [0, 2])):
+        got = {(r["group"], r["gene_id"]): (r["mean"], r["fraction"], r["n_cells"]) for r in rows.collect()}
+        assert got[(None, 0)] == (2.5, 0.5, 2) and got[(None, 2)] == (1.5, 1.0, 2) and len(got) == 6
+
+
 def test_floor_with_negative_values(spark):
     obs = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "b")], "cell_id long, t string")
     var = spark.createDataFrame([(0, "g")], "gene_id int, var_name string")
