@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,6 +125,11 @@ def _share(similar: int) -> float:
     return (100 - similar) / (100 + similar)
 
 
+def prefix_length(n: Column, similar: int) -> Column:
+    """Differences of which two similar sets share one: more than the ``_share`` of n and the largest similar set, by whole numbers."""
+    return F.floor((100 - similar) * n / similar) + 1
+
+
 def residual_pairs(around: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Pairs (u, v) across components that may be similar, of classes around the same hub.
 
@@ -140,7 +145,7 @@ def residual_pairs(around: DataFrame, sets: DataFrame, similar: int = SIMILAR) -
     rows = stored(d.where(F.size("d") > 0).select("*", F.size("d").alias("nd"), F.explode("d").alias("x")).drop("d"), "differences")
     count = rows.groupBy("hub", "x").agg(F.count("*").alias("df"))
     ranked = rows.join(count, ["hub", "x"]).withColumn("at", F.row_number().over(Window.partitionBy("hub", "set_key").orderBy("df", "x")))
-    most = F.floor(c * F.col("n") * (1 + 100 / similar)) + 1
+    most = prefix_length(F.col("n"), similar)
     # a class that the hub joins only looks for classes that the hub does not join
     joined = F.col("nd") - F.ceil((F.col("nd") + c * (F.col("hub_n") - F.col("n"))) / 2 - 1e-6) + 1
     prefix = stored(

@@ -121,6 +121,13 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 1
 
 
+def test_prefixes_are_not_cut_by_rounding(spark):
+    n = spark.range(1, 2001)
+    for similar in (80, 85, 90):
+        got = n.select("id", near_dedup.prefix_length(F.col("id"), similar).alias("m")).collect()
+        assert all(r["m"] == r["id"] * (100 - similar) // similar + 1 for r in got)
+
+
 def test_sharding(docs, empty):
     got = sharding.place(docs, "doc_id").collect()
     assert len(got) == len(ROWS) and len({r["shard"] for r in got if r["doc_id"] == 4}) == 1 and sharding.place(empty, "doc_id").count() == 0
