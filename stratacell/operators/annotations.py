@@ -106,10 +106,10 @@ def bar_composition(obs: DataFrame, column: str, groups: Sequence[str], of: str,
     own = obs.where(F.col(column).isin(list(groups)))
     n = own.groupBy(F.col(column).alias("group")).agg(F.count("*").alias("n_cells"))
     share = own.where(F.col(of).isNotNull()).groupBy(F.col(column).alias("group"), F.col(of).alias("label")).agg(F.count("*").alias("n")).join(n, "group").withColumn("share", F.col("n") / F.col("n_cells"))
-    # labels of one column in at most eight groups
-    rank = share.groupBy("label").agg(F.round(F.sum("share"), 12).alias("weight")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), "label")))
-    label = F.when(F.col("rank") > most, "All other").otherwise(F.col("label"))
-    return share.join(rank.select("label", "rank"), "label").groupBy("group", label.alias("label")).agg(F.sum("share").alias("share"))
+    top = share.groupBy("label").agg(F.round(F.sum("share"), 12).alias("weight")).orderBy(F.desc("weight"), "label").limit(most)
+    top = F.broadcast(top.select("label", F.lit(True).alias("named")))  # ten labels
+    label = F.when(F.col("named"), F.col("label")).otherwise("All other")
+    return share.join(top, "label", "left").groupBy("group", label.alias("label")).agg(F.sum("share").alias("share"))
 
 
 def bar_gene_mean(store: Store, column: str, groups: Sequence[str], genes: Sequence[int]) -> DataFrame:

@@ -101,6 +101,14 @@ def test_composition(spark):
     assert got[("Adnexa", "T")] == 0.5 and got[("Omentum", "B")] == 0.5 and len(got) == 6
 
 
+def test_composition_ranks_labels_in_many_tasks(spark):
+    obs = spark.range(300).select(F.lit("s").alias("site"), F.concat(F.lit("t"), F.floor(F.sqrt("id")).cast("string")).alias("cell_type"))
+    rows = annotations.bar_composition(obs, "site", ["s"], "cell_type")
+    got = {r["label"]: r["share"] for r in rows.collect()}
+    assert set(got) == {"All other", *[f"t{k}" for k in range(7, 17)]} and got["t16"] == pytest.approx(33 / 300) and sum(got.values()) == pytest.approx(1)
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_coupled_admission(spark):
     rows = [(1, 1, "2024-01-01 00:01:00"), (2, 1, "2024-01-01 00:02:00"), (3, 2, "2024-01-01 00:03:00"), (4, 3, "2024-01-01 00:04:00"), (5, 1, "2024-01-02 00:00:00")]
     q = spark.createDataFrame(rows, "question_id long, visitor long, at string").withColumn("at", F.col("at").cast("timestamp"))
