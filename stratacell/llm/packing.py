@@ -1,20 +1,22 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
-Documents become token pieces of at most ``limit`` tokens. Groups of pieces are
-packed best-fit (longest first, each into the fullest bin that takes it); bins
-within ``slack`` tokens of full are finished, and the others rise as items to
-the next level, where a few groups meet in one and are packed again. A level's
-map from bin to bin is small, and the maps are composed from the top, so one
-join gives each piece its sequence and its place.
+Documents become token pieces of at most ``limit`` tokens. Each task packs what
+it tokenises best-fit, in lots of bounded size (longest piece first, each into
+the fullest bin that takes it). Bins within ``slack`` tokens of full are
+finished where they are; the others rise as items to the next level, where lots
+meet and are packed again. A level's map from bin to bin is small, and the maps
+are composed from the top. Only bins that rose take part in the last join, so
+the pieces of finished ones are never shuffled.
 
 Defined results: a null or empty text is one piece that holds the end token
-alone. Repeated rows are separate documents: each gives its own pieces. Only
-``doc_id`` and ``text`` are read.
+alone. Repeated rows are separate documents: each gives its own pieces. Texts of
+any length and content are taken whole. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,12 +31,11 @@ from .textnum import slices
 
 LIMIT = 2048
 END = 0
-#: Pieces that one task packs at most on the first level, and bins on later ones.
-PER_TASK = 20_000
-#: Groups of a level that meet in one group of the next.
-FAN_IN = 8
+#: Pieces, and tokens, that are packed at once on the first level; bins at once on later ones.
+PER_LOT, LOT_TOKENS = 20_000, 16 << 20
 SLACK = 2
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, bin long, place long, fill long"
+TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
 
 @lru_cache(2)
@@ -51,24 +52,48 @@ def encoder(tokenizer: str):
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids) with ``ids`` as little-endian unsigned 32-bit numbers."""
+@lru_cache(2)
+def slow_encoder(tokenizer: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer)
+
+
+def token_ids(text: str, tokenizer: str) -> np.ndarray:
+    """The ids that tokenizers gives."""
+    try:
+        return encoder(tokenizer).encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # its pattern gives up on a million white-space characters in a row
+        return np.array(slow_encoder(tokenizer).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def local_bins(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, per_lot: int = PER_LOT, with_ids: bool = False) -> DataFrame:
+    """The pieces of ``docs``, each with its bin of the first level, its place there and the bin's fill. ``ids`` holds
+    little-endian unsigned 32-bit numbers, null unless ``with_ids``."""
+
+    def lot_rows(rows: list[tuple], base: int) -> pa.RecordBatch:
+        bins, place, fill = best_fit(np.array([r[3] for r in rows], np.int64), limit)
+        cols = [*zip(*rows, strict=True), base + bins, place, fill[bins]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_to_numpy
+        from pyspark import TaskContext
+
+        base, rows, tokens = TaskContext.get().partitionId() << 36, [], 0
         for batch in slices(batches, "text", 1 << 20):
-            rows: list[tuple] = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.append(encode(text or "", allowed_special="all").astype("<u4"), np.uint32(end))
+                ids = np.append(token_ids(text or "", tokenizer).astype("<u4"), np.uint32(end))
                 first = len(ids) % limit or limit
                 for piece, to in enumerate(range(first, len(ids) + 1, limit)):
                     start = max(0, to - limit)
-                    rows.append((doc, piece, start, to - start, ids[start:to].tobytes()))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
-                ["doc_id", "piece", "start", "length", "ids"],
-            )
+                    part = ids[start:to].tobytes()
+                    rows.append((doc, piece, start, to - start, zlib.crc32(part), part if with_ids else None))
+                    tokens += to - start
+                    if len(rows) >= per_lot or tokens >= LOT_TOKENS:
+                        yield lot_rows(rows, base)
+                        base, rows, tokens = base + len(rows), [], 0
+        if rows:
+            yield lot_rows(rows, base)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
@@ -97,43 +122,30 @@ def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, n
     return bins, offsets, np.array(fill, np.int64)
 
 
-def pack(pieces: DataFrame, limit: int = LIMIT, slack: int = SLACK, per_task: int = PER_TASK) -> DataFrame:
-    """``pieces`` (any columns; ``length`` from 1 to ``limit``) with ``sequence_id`` and ``offset``.
+def risen(open_bins: DataFrame, limit: int = LIMIT, slack: int = SLACK, per_lot: int = PER_LOT) -> DataFrame | None:
+    """(child, top, shift): the bin in which each open bin ends and its place there. ``open_bins``: (child, length), stored."""
+    maps, lots, count = [], 0, open_bins.count()
 
-    ``pieces`` should be a stored table, as it is read for its size first.
-    """
-    kept = [c for c in pieces.columns if c not in ("group", "bin", "place", "fill")]
-    groups = max(1, -(-pieces.count() // per_task))
-
-    def packer(level: int, out: list[str]):
+    def pack(level: int):
         def run(part: pd.DataFrame) -> pd.DataFrame:
             b, place, fill = best_fit(part["length"].to_numpy(np.int64), limit)
-            base = (level << 56) + (int(part["group"].iloc[0]) << 24)
-            return part[out].assign(bin=base + b, place=place, fill=fill[b])
+            return part[["child", "length"]].assign(bin=(level << 58) + (int(part["lot"].iloc[0]) << 24) + b, place=place, fill=fill[b])
 
         return run
 
-    schema = lambda cols, df: ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols), "bin long", "place long", "fill long"])
-    # dealt by content, so that a retried task finds the same groups
-    dealt = pieces.select(*kept, F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)).alias("group"))
-    level = stored(dealt.groupBy("group").applyInPandas(packer(0, kept), schema(kept, pieces)), "level")
-    base, maps, k = level, [], 0
-    while groups > 1:
-        open_bins = level.where((F.col("place") == 0) & (F.col("fill") < limit - slack)).select(
-            F.col("bin").alias("child"), F.col("fill").alias("length")
-        )
-        k += 1
-        count = open_bins.count()
-        fewer = max(-(-groups // FAN_IN), -(-count // per_task))
-        if not count or fewer >= groups:
-            break
-        groups = fewer
-        dealt = open_bins.withColumn("group", F.pmod(F.xxhash64("child"), F.lit(groups)))
-        level = stored(
-            dealt.groupBy("group").applyInPandas(packer(k, ["child", "length"]), "child long, length long, bin long, place long, fill long"),
-            "level",
-        )
+    while count:
+        before, lots = lots, -(-count // per_lot)
+        if before and lots >= before:
+            break  # what is left does not fit together any better
+        # dealt by content, so that a retried task finds the same lots
+        dealt = open_bins.withColumn("lot", F.pmod(F.xxhash64("child"), F.lit(lots)))
+        level = dealt.groupBy("lot").applyInPandas(pack(len(maps) + 1), "child long, length long, bin long, place long, fill long")
+        level = stored(level, "level")
         maps.append(level.select("child", F.col("bin").alias("top"), F.col("place").alias("shift")))
+        if lots == 1:
+            break
+        open_bins = level.where((F.col("place") == 0) & (F.col("fill") < limit - slack)).select(F.col("bin").alias("child"), F.col("fill").alias("length"))
+        count = open_bins.count()
     whole = None
     for m in reversed(maps):
         if whole is not None:
@@ -142,29 +154,32 @@ def pack(pieces: DataFrame, limit: int = LIMIT, slack: int = SLACK, per_task: in
                 "child", F.coalesce("top2", "top").alias("top"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift")
             )
         whole = m
-    if whole is None:
-        return base.select(*kept, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
-    whole = stored(whole, "bins")
-    return base.join(whole, F.col("bin") == F.col("child"), "left").select(
-        *kept, F.coalesce("top", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset")
-    )
+    return stored(whole, "bins") if whole is not None else None
 
 
-def sequences(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The packed training sequences themselves: (sequence_id, ids), at most ``limit`` tokens each."""
-    rows = placed.select("doc_id", "piece", "length", "sequence_id", "offset").join(pieces.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
-    return rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")).select(
-        "sequence_id", F.expr("aggregate(parts, cast('' as binary), (a, p) -> a || p.ids)").alias("ids")
-    )
-
-
-def packed(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end: int = END) -> DataFrame:
-    """Where each piece of ``docs`` lies, with the CRC-32 of its ids."""
+def packed(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end: int = END, slack: int = SLACK, per_lot: int = PER_LOT, with_ids: bool = False) -> DataFrame:
+    """Where each piece of ``docs`` lies, with the CRC-32 of its ids, and the ids themselves if asked for."""
     import public_tokenizers
 
-    pieces = token_pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), limit, end)
-    digests = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack(digests, limit)
+    local = stored(local_bins(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), limit, end, per_lot, with_ids), "pieces")
+    is_open = F.col("fill") < limit - slack
+    whole = risen(local.where(is_open & (F.col("place") == 0)).select(F.col("bin").alias("child"), F.col("fill").alias("length")), limit, slack, per_lot)
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    out = local.select(*kept, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"), is_open.alias("is_open"))
+    if whole is None:
+        return out.drop("is_open")
+    moved = out.where("is_open").join(whole, F.col("sequence_id") == F.col("child")).select(*kept, F.col("top").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"))
+    return out.where("not is_open").drop("is_open").unionByName(moved)
+
+
+def sequences(docs: DataFrame, **options) -> DataFrame:
+    """The packed training sequences: (sequence_id, doc_ids, n_tokens, ids). ``doc_ids`` names the document of each piece in
+    order; ``ids`` are at most ``limit`` little-endian unsigned 32-bit numbers, so a row is bounded."""
+    rows = packed(docs, with_ids=True, **options)
+    parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))  # a sequence has at most ``limit`` pieces
+    return rows.groupBy("sequence_id").agg(parts.alias("p"), F.sum("length").alias("n_tokens")).select(
+        "sequence_id", F.col("p.doc_id").alias("doc_ids"), "n_tokens", F.expr("aggregate(p, cast('' as binary), (a, x) -> a || x.ids)").alias("ids")
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
