@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ SPACES = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none a temporary one is set, but on one machine only."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -44,8 +47,10 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two columns ``u`` and ``v`` of one sortable type, in any
     direction; nulls and loops are dropped. Returns ``(node, root)`` for each
     node with an edge, where ``root`` is the smallest node of its component.
-    Every round is a few grouped minima and joins, so neither a component nor
-    the neighbours of one node ever meet in one task.
+    Every round is a few grouped minima, which are summed up before the shuffle,
+    and joins with them. The minima are stored first: a join of two stored tables
+    can be split where one node has a large share of all edges, and a join behind
+    the grouping's own shuffle cannot.
     """
     e = stored(
         edges.where("u is not null and v is not null and u <> v")
@@ -53,11 +58,11 @@ def components(edges: DataFrame) -> DataFrame:
         "edges",
     )
     before = None
-    while True:
+    while not e.isEmpty():
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(
             F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")
         )

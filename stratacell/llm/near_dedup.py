@@ -9,10 +9,17 @@ by where they differ from their common hub, and are confirmed on the full sets
 too. So no pairs of a group of copies are spelt out, and yet no link between two
 components of a bucket is left out.
 
+A hub, a bucket or a text with a third of all rows is no hot task: what is known
+of each is counted before its shuffle and stored, and the joins with it are
+between stored tables, which Spark splits where one key is large.
+
 Defined results: a null, empty or blank text has no shingles and links with
-nothing, and so is its own component. Rows that repeat an id all stay and get one
-component each through their text. A null id belongs to no component (null) and
-is kept. Only ``doc_id`` and ``text`` are read.
+nothing, and so is its own component. In the report, rows that repeat an id get
+one component each through their text, and a null id belongs to no component
+(null) and is kept. ``deduplicate`` judges each row by its own text: of the rows
+of a component one stays, that with the smallest id (a null id comes last; of
+equal ids any one); rows without shingles all stay. Only ``doc_id`` and ``text``
+are read.
 """
 
 from __future__ import annotations
@@ -89,18 +96,24 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, U)]).view(np.int64)))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands): ``set_key`` is a 128-bit digest of the shingle set, null if empty."""
+def row_key(docs: DataFrame) -> Column:
+    """A digest of a row's id and text; null without a text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), docs["text"].cast("string"))))
+
+
+def signatures(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, set_key, bands): ``set_key`` is a 128-bit digest of the shingle set, null if empty; with ``row_key`` if ``keyed``."""
 
     def run(batches):
         none = np.zeros(0, U)
         for batch, sets in _sets(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), _lists([signature(s) if len(s) else none for s in sets])],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), _lists([signature(s) if len(s) else none for s in sets]), *([batch["row_key"]] if keyed else [])],
+                ["doc_id", "n_shingles", "set_key", "bands", *["row_key"] * keyed],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[row_key(docs).alias("row_key")] * keyed)
+    return own.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>" + ", row_key binary" * keyed)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -143,8 +156,8 @@ def residual_pairs(around: DataFrame, sets: DataFrame, similar: int = SIMILAR) -
     differs = F.concat(F.array_except("ms", "hs"), F.array_except("hs", "ms"))
     d = around.join(m, "set_key").join(h, "hub").select("hub", "set_key", "n", "root", (F.col("root") == F.col("hub_root")).alias("joined"), "hub_n", differs.alias("d"))
     rows = stored(d.where(F.size("d") > 0).select("*", F.size("d").alias("nd"), F.explode("d").alias("x")).drop("d"), "differences")
-    count = rows.groupBy("hub", "x").agg(F.count("*").alias("df"))
-    ranked = rows.join(count, ["hub", "x"]).withColumn("at", F.row_number().over(Window.partitionBy("hub", "set_key").orderBy("df", "x")))
+    count = stored(rows.groupBy("hub", "x").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    ranked = rows.join(count, ["hub", "x"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", F.row_number().over(Window.partitionBy("hub", "set_key").orderBy("df", "x")))
     most = prefix_length(F.col("n"), similar)
     # a class that the hub joins only looks for classes that the hub does not join
     joined = F.col("nd") - F.ceil((F.col("nd") + c * (F.col("hub_n") - F.col("n"))) / 2 - 1e-6) + 1
@@ -168,7 +181,7 @@ def links(docs: DataFrame, sig: DataFrame, similar: int = SIMILAR) -> DataFrame:
         "classes",
     )
     in_buckets = classes.select("set_key", "n", F.explode("bands").alias("bucket"))
-    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(in_buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = stored(in_buckets.join(shared, "bucket"), "members")
     # only classes in a shared bucket need their sets
     degree = stored(members.groupBy("set_key").agg(F.sum("size").alias("degree")), "degree")
@@ -178,19 +191,17 @@ def links(docs: DataFrame, sig: DataFrame, similar: int = SIMILAR) -> DataFrame:
     )
     # the hub of a bucket is the member that meets most others: in a group of copies, the text that they vary
     hubs = members.join(degree, "set_key").groupBy("bucket").agg(F.max(F.struct("degree", "set_key", "n")).alias("h"))
-    around = stored(
-        members.join(hubs.select("bucket", F.col("h.set_key").alias("hub"), F.col("h.n").alias("hub_n")), "bucket")
-        .where("set_key <> hub").select("hub", "hub_n", "set_key", "n").distinct(), "around",
-    )
+    hubs = stored(hubs.select("bucket", F.col("h.set_key").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    around = stored(members.join(hubs, "bucket").where("set_key <> hub").select("hub", "hub_n", "set_key", "n").distinct(), "around")
     star = around.where(100 * F.least("n", "hub_n") >= similar * F.greatest("n", "hub_n")).select(F.col("set_key").alias("u"), F.col("hub").alias("v"))
     roots = stored(components(stored(confirmed(star, sets, similar), "links")), "roots")
     own, hub = roots.select(F.col("node").alias("set_key"), "root"), roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    around = around.join(own, "set_key", "left").join(hub, "hub", "left").select(
+    around = stored(around.join(own, "set_key", "left").join(hub, "hub", "left").select(
         "hub", F.coalesce("hub_root", "hub").alias("hub_root"), "hub_n", "set_key", "n", F.coalesce("root", "set_key").alias("root")
-    )
+    ), "around")
     # around a hub that joined all its classes nothing is left to try
     open_hubs = around.groupBy("hub").agg(F.count_if(F.col("root") != F.col("hub_root")).alias("apart"), F.count("*").alias("all")).where("apart > 0 and all > 1")
-    around = stored(around.join(open_hubs.select("hub"), "hub"), "apart")
+    around = stored(around.join(stored(open_hubs.select("hub"), "open-hubs"), "hub"), "apart")
     pairs = stored(residual_pairs(around, sets, similar), "pairs")
     more = stored(confirmed(pairs, sets, similar), "links")
     if more.isEmpty():
@@ -198,22 +209,34 @@ def links(docs: DataFrame, sig: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "roots")
 
 
+def _rooted(sig: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``sig`` that have shingles, with the ``root`` of their class."""
+    own = sig.where("set_key is not null")
+    return own.join(roots, F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``."""
     sig = stored(signatures(docs), "signatures")
-    roots = links(docs, sig, similar)
-    rows = sig.select("doc_id", "n_shingles", "set_key").join(roots, F.col("set_key") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "set_key").alias("root")
-    )
-    low = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
-    out = rows.join(low, "root", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
+    rows = _rooted(sig.select("doc_id", "n_shingles", "set_key"), links(docs, sig, similar))
+    low = stored(rows.groupBy("root").agg(F.min("doc_id").alias("low")), "low")
+    rows = rows.join(low, "root").select("doc_id", "n_shingles", "low").union(sig.where("set_key is null").select("doc_id", "n_shingles", "doc_id"))
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("low")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, similar: int = STAGE_SIMILAR) -> DataFrame:
-    """One document of each component, with the columns of ``docs`` unchanged."""
-    gone = stored(near_duplicates(docs, similar).where("not kept").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, with the columns of ``docs`` unchanged."""
+    sig = stored(signatures(docs, keyed=True), "signatures")
+    rows = stored(_rooted(sig.select("doc_id", "set_key", "row_key"), links(docs, sig, similar)), "rows")
+    best = stored(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("b")).select("root", F.col("b.row_key").alias("best")), "best")
+    rows = rows.join(best, "root")
+    gone = stored(rows.where("row_key <> best").select("row_key").distinct(), "gone")
+    again = stored(rows.where("row_key = best").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "again")
+    left = docs.select(F.struct("*").alias("row"), row_key(docs).alias("row_key")).join(gone, "row_key", "left_anti")
+    if not again.isEmpty():  # rows that repeat both id and text
+        left = left.join(again, "row_key", "left_anti").unionByName(left.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return left.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -118,21 +118,28 @@ def test_packing(spark, docs):
 
 def test_packing_in_levels(spark):
     rng = random.Random(3)
-    lengths = [rng.choice([rng.randint(1, 300), rng.randint(300, 2048)]) for _ in range(4000)]
-    d = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
-    rows = packing.pack(d, per_task=300).toPandas()
-    assert len(rows) == 4000 and rows["sequence_id"].nunique() <= 1.02 * sum(lengths) / 2048
+    lengths = [rng.choice([rng.randint(1, 300), rng.randint(300, 2047), 0]) for _ in range(4000)]
+    d = spark.createDataFrame([(i, " a" * n) for i, n in enumerate(lengths)], "doc_id long, text string").repartition(13)
+    rows = packing.packed(d, per_lot=150).toPandas()
+    assert len(rows) == 4000 and sorted(rows["length"]) == sorted(n + 1 for n in lengths) and rows["sequence_id"].nunique() <= 1.02 * (sum(lengths) + 4000) / 2048
     for _, g in rows.sort_values("offset").groupby("sequence_id"):
         assert list(g["offset"]) == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 2048
 
 
-def test_special_token_text():
+def test_token_ids():
+    """Equal to those of tokenizers: for its special token, any mix of characters, and white space longer than the fast encoder takes."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    text = "a<|endoftext|> b  \n\n x's 日本"
-    assert packing.encoder(path).encode(text, allowed_special="all") == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    slow = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    texts = ["a<|endoftext|> b  \n\n x's 日本", "", " " * 2_000_000, "x" + " \n\t" * 500_000 + "y", "\n" * 1_100_000 + "'ll"]
+    kinds = [[chr(c) for c in range(32, 127)], [" ", "\n", "\t", "\r", "\u00a0", "\u2003", "\u3000", "\u0085"], [*"'sdtmé日本ж٣Ⅷ½_-\u0301\U0001d49c\U0001f600"], [chr(rng.randrange(0x110000)) for _ in range(300)]]
+    for _ in range(3000):
+        texts.append("".join(c for _ in range(rng.randrange(12)) for c in rng.choices(rng.choice(kinds), k=rng.randrange(6)) if not 0xD800 <= ord(c) < 0xE000))
+    for t in texts:
+        assert packing.token_ids(t, path).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
 def test_language_model(spark, docs):
@@ -185,8 +192,8 @@ def test_isotonic_and_viterbi():
 
 
 def test_pipeline_rows(spark):
-    rows = corpus_pipeline.run(spark, SF)
-    assert rows.count() > 0 and rows.select("doc_id", "piece").distinct().count() == rows.count()
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and all(len(r["ids"]) == 4 * r["n_tokens"] <= 4 * 2048 for r in rows)
 
 
 def test_long_stretches_are_read():

@@ -118,7 +118,18 @@ def test_near_duplicates(docs, empty):
     assert got[(7, 196)] == (6, False) and got[(6, 196)] == (6, True) and got[(1, 0)] == (1, True) and got[(2, 0)] == (2, True) and got[(4, 1)] == (4, True)
     assert near_dedup.near_duplicates(empty).count() == 0
     kept = near_dedup.deduplicate(docs)
-    assert kept.columns == docs.columns and kept.count() == len(ROWS) - 1
+    assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2 and near_dedup.deduplicate(empty).count() == 0
+
+
+def test_each_row_by_its_own_text(spark):
+    """Repeated ids with different texts, repeated rows, and texts without an id."""
+    a, b, c = ("a b c d e f g", "x y z w v u t", "p q r s t u")
+    d = _docs(spark, [(4, a), (4, b), (2, b), (2, b), (None, c), (None, c), (7, None), (7, None), (8, ""), (None, a)])
+    kept = near_dedup.deduplicate(d)
+    assert kept.columns == d.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, c), (2, b), (4, a), (7, ""), (7, ""), (8, "")]
+    report = near_dedup.near_duplicates(d).collect()
+    assert len(report) == d.count() and sorted(r["component_id"] for r in report if r["doc_id"] == 4) == [2, 4]
 
 
 def test_prefixes_are_not_cut_by_rounding(spark):
@@ -206,4 +217,4 @@ def test_pipeline(spark, docs, labels, benchmark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, d, str(tmp_path)).columns == d.columns
         assert stage(spark, d.where("false"), str(tmp_path)).count() == 0
-    assert corpus_pipeline.run(spark, str(tmp_path)).columns[-2:] == ["sequence_id", "offset"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["sequence_id", "doc_ids", "n_tokens", "ids"]
