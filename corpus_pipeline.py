@@ -3,7 +3,14 @@
 Each stage reads what its predecessor kept, from Parquet in the shared folder,
 and its decisions take effect: documents that the rules or the classifier reject
 go, one document of each near-duplicate group stays, documents that overlap the
-benchmark go, and the rest is packed.
+benchmark go, and the rest is packed into sequences of token ids.
+
+Defined results: a null, empty or blank text has no words, so the quality rules
+remove it. Rows that repeat an id are judged one by one, each by its own text;
+of rows that repeat id and text one stays. A document without an id is treated
+like the others. Extra columns of any name are carried through all stages but the
+last. Empty documents, labels or benchmark tables are no error: without labels
+the classifier keeps all, without benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    return packing.sequences(docs)
 
 
 STAGES = [
