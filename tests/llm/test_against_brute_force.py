@@ -142,33 +142,68 @@ def test_token_ids():
         assert packing.token_ids(t, path).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
-def test_language_model(spark, docs):
+def language_model(docs, shards):
+    """(n_tokens, n_known, train tokens, base score, score) of each text, by plain counting."""
     end = "\0"
     words = {i: [*WORD.findall(t.translate(FOLD)), end] for i, t in docs.items()}
-    c, pairs, first, kinds = Counter(), Counter(), Counter(), Counter()
+    c, pairs, triples, kinds, kinds3 = Counter(), Counter(), Counter(), Counter(), Counter()
     for i, w in words.items():
         if zlib.crc32(str(i).encode()) % 10:
             c.update(w)
             pairs.update(zip([end, *w], w, strict=False))
-    for (a, _), n in pairs.items():
-        first[a] += n
+            triples.update(zip([end, *w], w, w[1:], strict=False))
+    for a, _ in pairs:
         kinds[a] += 1
+    for *ab, _ in triples:
+        kinds3[tuple(ab)] += 1
     n, v = sum(c.values()), len(c)
-    for r in queries.QUERIES["op8_lm_scoring"](spark, SF).collect():
-        w = words[r["doc_id"]]
-        p = [(c[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
-        s = [q if not first[a] else max(pairs[a, x] - lm.DISCOUNT, 0) / first[a] + lm.DISCOUNT * kinds[a] / first[a] * q for a, x, q in zip([end, *w], w, p, strict=False)]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(map(math.log10, p)), abs=1e-6) and r["score"] == pytest.approx(sum(map(math.log10, s)), abs=2e-4 * len(w))
-        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
+    hot = {w for w in c if c[w] * shards > n}
+
+    def second(a, w):
+        q = (c[w] + 0.1) / (n + 0.1 * (v + 1))
+        if a in hot:
+            return (pairs[a, w] + lm.PRIOR * q) / (c[a] + lm.PRIOR)
+        return q if not c[a] else max(pairs[a, w] - lm.DISCOUNT, 0) / c[a] + lm.DISCOUNT * kinds[a] / c[a] * q
+
+    def third(a, b, w):
+        q, seen = second(b, w), pairs[a, b]
+        if a in hot and b in hot:
+            return (triples[a, b, w] + lm.PRIOR * q) / (seen + lm.PRIOR)
+        return q if not seen else max(triples[a, b, w] - lm.DISCOUNT, 0) / seen + lm.DISCOUNT * kinds3[a, b] / seen * q
+
+    out = {}
+    for i, w in words.items():
+        s = [second(end, w[0]), *(third(a, b, x) for a, b, x in zip([end, *w], w, w[1:], strict=False))]
+        out[i] = (len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), sum(map(math.log10, s)))
+    return out, len(hot)
+
+
+@pytest.mark.parametrize("shards", [None, 3000])
+def test_language_model(spark, docs, shards):
+    """With many shards, many words are too frequent for one and are spread."""
+    want, hot = language_model(docs, shards or 12)
+    assert not shards or hot > 50
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = queries.QUERIES["op8_lm_scoring"](spark, SF) if not shards else lm.scored(d, shards)
+    for r in rows.collect():
+        w = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3]
+        assert r["base_score"] == pytest.approx(w[3], abs=1e-6) and r["score"] == pytest.approx(w[4], abs=4e-4 * w[0])
+        assert shards or r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
 
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 2, 77, 3000):
-        v = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
-        level, q = lm.Level(v), np.r_[v, v + np.uint64(1), np.uint64(0), np.uint64((1 << 64) - 1)]
-        assert (level.successor(q) == np.searchsorted(v, q)).all() and (level[np.arange(len(v))] == v).all()
+    for n in (0, 1, 2, 77, 3000, 70_000):
+        for most in (1, 40, 1 << 17, 1 << 40, (1 << 64) - 1):
+            v = np.sort(rng.integers(0, most, n, dtype=np.uint64, endpoint=True))
+            level = lm.Level(v)
+            q = np.r_[v, v + np.uint64(1), rng.integers(0, most, 50, dtype=np.uint64, endpoint=True), np.uint64(0), np.uint64((1 << 64) - 1)]
+            at = np.searchsorted(v, q)
+            assert (level.successor(q) == at).all() and (level[np.arange(len(v))] == v).all()
+            there = np.isin(q, v)
+            assert (level.find(q) == np.where(there, at, -1)).all()
+            assert n < 3000 or level.bytes < n * ((most // n).bit_length() + 4) / 8 + 200
 
 
 def test_loser_tree():
