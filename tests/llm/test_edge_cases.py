@@ -43,7 +43,42 @@ def benchmark(spark):
 def test_rules(docs, empty):
     got = {(r["doc_id"], r["n_words"]): r for r in quality_rules.judge(docs).collect()}
     assert quality_rules.judge(docs).count() == len(ROWS) and got[(1, 0)]["base_failed"] and got[(3, 0)]["word_chars"] == 0 and got[(5, 60_000)]["n_words"] == 60_000
-    assert quality_rules.judge(empty).count() == 0 and quality_rules.keep(docs).columns == docs.columns
+    assert quality_rules.judge(empty).count() == 0 and quality_rules.keep(docs).columns == docs.columns and quality_rules.keep(empty).count() == 0
+    assert sorted(r["doc_id"] for r in quality_rules.keep(docs).collect()) == sorted(r["doc_id"] for r in quality_rules.judge(docs).where("kept").collect())
+
+
+def test_repeats_in_long_texts(spark, monkeypatch):
+    """Beside a plain count: texts too long for shared places, and windows that agree in the bits that share them."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(n)) for n in (3, 4, 60, 300, 1500)] + ["x y z " * 40, "a b c d a b c e a b c"]
+
+    def plain(t):
+        w = t.split()
+        at = {}
+        for i in range(len(w) - 2):
+            at.setdefault(tuple(w[i : i + 3]), []).append(i)
+        return len({i + k for x in at.values() if len(x) > 1 for i in x for k in range(3)})
+
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    for places in (1 << 20, 1 << 10, 4):
+        monkeypatch.setattr(quality_rules, "PLACES", places)
+        assert [r[0] for r in d.select(quality_rules.n_repeat_words(quality_rules.words(F.col("text")))).collect()] == list(map(plain, texts))
+    # all windows agree in the bits left beside places of 60 bits, so that neighbours differ
+    monkeypatch.setattr(quality_rules, "PLACES", 1 << 60)
+    assert [r[0] for r in d.select(quality_rules.n_repeat_words(quality_rules.words(F.col("text")))).collect()] == list(map(plain, texts))
+
+
+def test_order_of_rules(spark):
+    """The rule that rejects more for its cost comes first, a dear one last, and the verdict is that of all rules."""
+    d = _docs(spark, [(i, " ".join(f"w{i}.{k}" for k in range(60)) + "!" * (i % 3)) for i in range(90)])
+    dear = lambda c: F.md5(F.array_join(F.array_repeat(c.text, 2000), "")) == "x"
+    rules = {"dear": dear, "marks": lambda c: c.text.endswith("!"), "never": lambda c: c.n_words > 1000}
+    rows = quality_rules.stored(quality_rules.base(quality_rules.sample(d)), "sample")
+    found = quality_rules.rule_order(rows, rules, quality_rules.of_columns())
+    assert [r["rule"] for r in found][0] == "marks" and [r["rule"] for r in found][-1] == "dear" and found[0]["rejected"] == 60
+    for order in itertools.permutations(rules):
+        assert d.where(quality_rules.cascade(rules, list(order), quality_rules.of_words(F.col("text"), quality_rules.words(F.col("text"))))).count() == 30
+    assert quality_rules.keep(d, rules).count() == 30 == quality_rules.judge(d, rules).where("kept").count()
 
 
 def test_classifier(docs, empty, labels):
