@@ -6,9 +6,15 @@ connected components over those edges carry a rule's decision to aliases that no
 rule fits. A URL's own rule comes first; among aliases an allow comes before a
 block; without either the verdict is allow.
 
+All canonical links and refresh redirects of a page count. A relative target is
+resolved against the page's url as URLs are (scheme, ``//host``, ``/path``,
+``?query``, or a path from the last slash; ``.`` and ``..`` are taken out); a
+``base`` tag is not read.
+
 Defined results: a null url or one without ``://`` has an empty host and path and
-no aliases, and is allowed. Repeated rows are judged one by one. Only ``page_id``,
-``url`` and ``html`` are read.
+no aliases, and is allowed. Of equally long rules the one with the longer host
+wins. Urls and pages may have any length. Repeated rows are judged one by one.
+Only ``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
@@ -43,24 +49,42 @@ def best_rule(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def without_dots(p: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    kept = F.aggregate(
+        F.split(p, "/"), F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.least(F.size(a), F.lit(1))))).otherwise(F.concat(a, F.array(x))),
+    )
+    return F.when(F.contains(p, F.lit("/.")), F.concat(F.array_join(kept, "/"), F.when(F.regexp_like(p, F.lit(r"/\.\.?$")), "/").otherwise(""))).otherwise(p)
+
+
 def place(url: Column) -> Column:
     """What makes two URLs the same place: host, path and query, without scheme and fragment; null without a host."""
     query = F.regexp_extract(url, r"^[\s\S]*?://[^?#]*(\?[^#]*)?", 1)
-    return F.when(host(url) != "", F.concat(host(url), path(url), F.coalesce(query, F.lit(""))))
+    return F.when(host(url) != "", F.concat(host(url), without_dots(path(url)), F.coalesce(query, F.lit(""))))
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """The target ``to`` of a link on the page at ``url``."""
+    root = F.concat(F.lit("http://"), host(url))
+    folder = F.concat(F.regexp_extract(path(url), r"^([\s\S]*/)?", 1))
+    return (
+        F.when(F.regexp_like(to, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(root, to))
+        .when(to.startswith("?"), F.concat(root, path(url), to)).when(to.startswith("#"), url).otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), to))
+    )
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(u, v): the place of each page and the one that its canonical link or its refresh redirect names."""
-    flat = F.col("html")
-    canonical = F.regexp_extract(flat, r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>""", 0)
-    refresh = F.regexp_extract(flat, r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*>""", 0)
-    targets = F.array(F.regexp_extract(canonical, r"""(?i)\bhref=["']?([^"'\s>]+)""", 1), F.regexp_extract(refresh, r"""(?i)\burl=["']?([^"'\s>]+)""", 1))
+    """(u, v): the place of each page and those that its canonical links and refresh redirects name."""
+    html = F.col("html")
+    canonical = F.regexp_extract_all(html, F.lit(r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>"""), F.lit(0))
+    refresh = F.regexp_extract_all(html, F.lit(r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*>"""), F.lit(0))
+    targets = F.concat(
+        F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?i)\bhref=["']?([^"'\s>]+)""", 1)), F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl=["']?([^"'\s>]+)""", 1))
+    )
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))  # as attributes spell it
     rows = pages.where("url is not null and html is not null").select("url", F.explode(targets).alias("to")).where("to <> ''")
-    full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(
-        to.startswith("/"), F.concat(F.lit("http://"), host(F.col("url")), to)
-    )
-    return rows.select(place(F.col("url")).alias("u"), place(full).alias("v")).where("u is not null and v is not null and u <> v").distinct()
+    return rows.select(place(F.col("url")).alias("u"), place(resolved(to, F.col("url"))).alias("v")).where("u is not null and v is not null and u <> v").distinct()
 
 
 def verdicts(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -75,9 +99,12 @@ def verdicts(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> D
     # places that no page has can carry a rule too
     roots = stored(components(edges), "url-roots")
     _, said = best_rule(F.regexp_extract("node", r"^[^/?]*", 0), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1), rules)
-    by_root = roots.groupBy("root").agg(F.min(said).alias("said"))  # allow sorts before block
-    alias = roots.join(by_root, "root").where("said is not null").select(F.col("node").alias("place"), "said")
-    return rows.join(alias, "place", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "said", F.lit("allow")).alias("verdict"))
+    # stored before the joins, so that a place or component with a large share of the rows can be split there
+    by_root = stored(roots.groupBy("root").agg(F.min(said).alias("said")).where("said is not null"), "url-said")  # allow sorts before block
+    alias = stored(roots.join(by_root, "root").select(F.col("node").alias("place"), "said"), "url-aliases")
+    asks = F.col("place").isNotNull() & F.col("own").isNull()  # only pages without a rule of their own look for an alias
+    found = rows.where(asks).join(alias, "place", "left").select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"))
+    return rows.where(~asks).select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict")).unionByName(found)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -86,22 +113,32 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _case(column: str) -> str:
     out = "CASE"
-    for said, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
+    for said, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]))):
         out += f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{said if column == 'verdict' else h + p}'"
     return out + " END"
 
 
+def _dots(path: str) -> str:
+    """The path without dot segments, in SQL."""
+    return f"""CASE WHEN contains({path}, '/.') THEN array_to_string(list_reduce([[x] for x in string_split({path}, '/')],
+    lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, least(len(a), 1))] ELSE list_concat(a, x) END), '/')
+    || CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN '/' ELSE '' END ELSE {path} END"""
+
+
 SQL = rf"""
-WITH RECURSIVE a AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+WITH RECURSIVE a AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 2) AS path, regexp_extract(url, '^[\s\S]*?://[^?#]*(\?[^#]*)?', 1) AS q FROM pages),
-p AS (SELECT *, CASE WHEN host <> '' THEN host || path || coalesce(q, '') END AS place, {_case("rule")} AS rule, {_case("verdict")} AS own FROM a),
-t AS (SELECT place, host, unnest([
-  regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel=["'']?canonical["'']?[^>]*>'), '(?i)\bhref=["'']?([^"''\s>]+)', 1),
-  regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv=["'']?refresh["'']?[^>]*>'), '(?i)\burl=["'']?([^"''\s>]+)', 1)]) AS to_ FROM p),
-g AS (SELECT place, host, replace(to_, '&amp;', '&') AS to_ FROM t WHERE to_ <> ''),
-f AS (SELECT place, CASE WHEN contains(to_, '://') THEN to_ WHEN starts_with(to_, '//') THEN 'http:' || to_ WHEN starts_with(to_, '/') THEN 'http://' || host || to_ END AS u FROM g),
-e AS (SELECT place AS a, translate(regexp_extract(u, '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') || regexp_extract(u, '^[\s\S]*?://([^/?#]*)([^?#]*)', 2)
-  || regexp_extract(u, '^[\s\S]*?://[^?#]*(\?[^#]*)?', 1) AS b FROM f WHERE u IS NOT NULL),
+p AS (SELECT *, CASE WHEN host <> '' THEN host || ({_dots("path")}) || coalesce(q, '') END AS place, {_case("rule")} AS rule, {_case("verdict")} AS own FROM a),
+t AS (SELECT place, url, host, path, unnest(list_concat(
+  [regexp_extract(x, '(?i)\bhref=["'']?([^"''\s>]+)', 1) for x in regexp_extract_all(html, '(?i)<link\b[^>]*\brel=["'']?canonical["'']?[^>]*>')],
+  [regexp_extract(x, '(?i)\burl=["'']?([^"''\s>]+)', 1) for x in regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv=["'']?refresh["'']?[^>]*>')])) AS to_ FROM p),
+g AS (SELECT place, url, host, path, replace(to_, '&amp;', '&') AS to_ FROM t WHERE to_ <> '' AND place IS NOT NULL),
+f AS (SELECT place, CASE WHEN regexp_matches(to_, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN to_ WHEN starts_with(to_, '//') THEN 'http:' || to_ WHEN starts_with(to_, '/') THEN 'http://' || host || to_
+  WHEN starts_with(to_, '?') THEN 'http://' || host || path || to_ WHEN starts_with(to_, '#') THEN url
+  ELSE 'http://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^([\s\S]*/)?', 1) ELSE '/' END || to_ END AS u FROM g),
+o AS (SELECT place, translate(regexp_extract(u, '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS h, regexp_extract(u, '^[\s\S]*?://([^/?#]*)([^?#]*)', 2) AS p2,
+  regexp_extract(u, '^[\s\S]*?://[^?#]*(\?[^#]*)?', 1) AS q2 FROM f),
+e AS (SELECT place AS a, h || ({_dots("p2")}) || q2 AS b FROM o WHERE h <> ''),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a),
 k AS (SELECT node, min({_case("verdict")}) AS said FROM (SELECT node, regexp_extract(other, '^[^/?]*') AS host, regexp_extract(other, '^[^/?]*([^?]*)', 1) AS path FROM r) GROUP BY node)

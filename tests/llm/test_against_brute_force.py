@@ -36,9 +36,13 @@ def test_redirects_same_as_sql(spark, tmp_path):
     url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(['/de/', '/fr/', '/es/', '/p/'])}{rng.randrange(9)}{rng.choice(['', '?q=1&r=2', '#top'])}"
     rows = []
     for i in range(240):
-        to = rng.choice([None, None, url(), url().split(":", 1)[1], f"/p/{rng.randrange(9)}", "relative"])
-        to = to and to.replace("&", "&amp;")
-        html = to and rng.choice([f'<head><link href="{to}" rel="canonical"></head>', f"<LINK rel=canonical href='{to}'>", f'<meta http-equiv="refresh" content="0; url={to}">'])
+        k = rng.randrange(9)
+        kinds = [None, None, url(), url().split(":", 1)[1], f"/p/{k}", f"{k}", f"../p/{k}", f"./{k}", f"/de/./x/../../p/{k}", "?q=1&r=2", "#top", "mailto:x", "../../..", "."]
+        html = None
+        for to in rng.choices(kinds, k=rng.choice([1, 1, 2])):
+            if to:
+                to = to.replace("&", "&amp;")
+                html = (html or "") + rng.choice([f'<head><link href="{to}" rel="canonical"></head>', f"<LINK rel=canonical href='{to}'>", f'<meta http-equiv="refresh" content="0; url={to}">'])
         rows.append((i, rng.choice([None, "no scheme", *[url()] * 8]), html))
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
     got = queries.QUERIES["op10_url_filters"]

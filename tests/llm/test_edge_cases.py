@@ -245,6 +245,18 @@ def test_url_filters(spark):
     assert url_filter.verdicts(pages.where("false")).count() == 0
 
 
+def test_relative_targets(spark):
+    """As the standard's own examples resolve them, and long urls."""
+    base = "http://a/b/c/d;p?q"
+    want = {"g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/", "../g": "/b/g", "../..": "/", "../../g": "/g", "../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", "..g": "/b/c/..g", "./../g": "/b/g", "g/./h": "/b/c/g/h", "g/../h": "/b/c/h"}
+    d = spark.createDataFrame([(t,) for t in want], "to string")
+    got = {r["to"]: r["p"] for r in d.select("to", url_filter.place(url_filter.resolved(F.col("to"), F.lit(base))).alias("p")).collect()}
+    assert got == {t: "a" + p for t, p in want.items()}
+    long = "http://x.com/de/" + "y/" * 200_000
+    pages = spark.createDataFrame([(1, "http://q.net/x/", '<link rel="canonical" href="p">'), (2, "http://q.net/x/p", f'<link rel="canonical" href="{long}">'), (3, long, "t " * 300_000)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.verdicts(pages).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_pipeline(spark, docs, labels, benchmark, tmp_path):
     for name, t in (("documents", docs.select("doc_id", "text", "lang", "source", "n_chars")), ("labels", labels), ("benchmark", benchmark)):
         t.write.parquet(str(tmp_path / f"{name}.parquet"))
