@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing extra columns, for every operator."""
 
+import base64
+import hashlib
 import itertools
 import random
 
@@ -196,10 +198,29 @@ def test_warc(spark, tmp_path):
     assert [r["url_key"] for r in got] == sorted(r["url_key"] for r in got)
     kind = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got}
     assert kind[1] == ("response", None, 21) and kind[2] == ("revisit", 1, 21) and kind[4] == ("revisit", 3, 0) and kind[9][2] == 1_000_000
+    assert {r["page_id"]: r["digest"] for r in got}[9] == base64.b32encode(hashlib.sha1(("long " * 200_000).encode()).digest()).decode()
     warc.write(pages.where("false"), str(tmp_path / "e"))
     assert warc.index(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_files_are_bounded(spark, tmp_path):
+    """In bytes, whatever the mix of sizes; and the index is whole and in order over many files and ranges."""
+    rng = random.Random(4)
+    rows = [(i, f"http://h{i % 7}.org/{rng.randrange(99)}", "x" * rng.choice([10, 3000, 70_000, 400_000]) + str(i % 50)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"), file_bytes=1 << 20)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").rglob("part-*")]
+    assert len(sizes) > 20 and max(sizes) <= 1 << 20
+    few = warc.RANGE_ROWS
+    warc.RANGE_ROWS = 40
+    try:
+        got = warc.index(spark, str(tmp_path / "w")).orderBy("range", "place").collect()
+    finally:
+        warc.RANGE_ROWS = few
+    keys = [(r["url_key"], r["ts"], r["page_id"]) for r in got]
+    assert len({r["range"] for r in got}) > 3 and keys == sorted(keys) and sorted(r["page_id"] for r in got) == list(range(300)) and all(r["checked"] for r in got)
+
+
 def test_lm(docs, empty):
     got = {(r["doc_id"], r["n_tokens"]): r for r in lm.scored(docs).collect()}
     assert len(lm.scored(docs).collect()) == len(ROWS) and got[(1, 1)]["n_tokens"] == 1 and all(r["score"] <= 0 for r in got.values())
