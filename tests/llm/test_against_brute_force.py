@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -235,8 +236,69 @@ def test_pipeline_rows(spark):
     assert rows and all(len(r["ids"]) == 4 * r["n_tokens"] <= 4 * 2048 for r in rows)
 
 
+def _chars(text: str) -> toxicity.Chars:
+    letters = toxicity._letters(text)
+    return toxicity.Chars(toxicity._trigrams(text), "".join(sorted(set(letters) | {" ", toxicity.OTHER})))
+
+
 def test_long_stretches_are_read():
-    read = lambda s: toxicity.decode(s, {"": -12.0})
-    assert toxicity.restore("so " + "h 4 t e ".replace("4", "a") * 30 + "end", read) == "so " + "hate" * 30 + " end"
+    reader = toxicity.Reader(_chars("they hate the very idea of it"))
+    assert toxicity.restore("so " + "h 4 t e ".replace("4", "a") * 30 + "end", reader.read) == "so " + "hate" * 30 + " end"
     for odd in ("ab" * 50_000, "@$" * 50_000 + "x", "s p a m " * 10_000 + "x", "a" * 200_000):
-        assert toxicity.restore(odd, read)
+        assert toxicity.restore(odd, reader.read)
+
+
+def test_character_model_adds_up():
+    chars = _chars("the quick brown fox, the lazy dog. Été!")
+    for context in ("th", "he", "  ", "zz", " \ufffd", "qu"):
+        assert sum(math.exp(chars.after(context, c)) for c in chars.alphabet) == pytest.approx(1)
+
+
+def test_viterbi_is_the_best_of_all_readings():
+    rng = random.Random(3)
+    chars = _chars("you are an idiot and a total loser who is stupid and silly, all of you, good books too")
+
+    def likelihood(parts) -> float:
+        q, end = 0.0, "  "
+        for text, cost in parts:
+            q += cost
+            for c in text:
+                if c.isalpha() or c == " ":
+                    k = chars.known(c)
+                    q, end = q + chars.after(end, k), (end + k)[1:]
+                else:
+                    end = "  "
+        return q
+
+    for _ in range(300):
+        stretch = rng.choice("abdeilost") + "".join(rng.choice("abdeilostu0134@$!|*sseell") for _ in range(rng.randrange(1, 6))) + rng.choice("abdeilost")
+        every = [(likelihood([*parts, (" ", 0.0)]), "".join(t for t, _ in parts)) for parts in itertools.product(*toxicity.lattice(stretch))]
+        best = max(q for q, _ in every)
+        assert toxicity.decode(stretch, chars) in {t for q, t in every if q > best - 1e-9}, stretch
+
+
+def _plain_statistics(text: str) -> list[float]:
+    """The classifier's statistics of one text, counted one by one."""
+    data = text.encode()
+    w = WORD.findall(text)
+    raw = [x.encode() for x in w]
+    low = [x.translate(FOLD) for x in w]
+    lines = [x for x in text.split("\n") if x]
+    three = [tuple(low[i : i + 3]) for i in range(len(low) - 2)]
+    n, b = max(len(w), 1), max(len(data), 1)
+    kinds = [sum(c in k for c in data) for k in (range(65, 91), range(97, 123), range(48, 58), b"#*$%&|<>", b"!", b".,;:", b"\n", range(192, 256), b"?\"'()-")]
+    sizes = [len(x) for x in raw]
+    mean = sum(sizes) / n
+    share = lambda k, of=None: k / max(n if of is None else of, 1)
+    return [
+        math.log1p(len(w)), math.log1p(len(lines)), mean, math.sqrt(max(sum(x * x for x in sizes) / n - mean**2, 0)), share(sum(x <= 3 for x in sizes)), share(sum(x > 12 for x in sizes)),
+        share(sum(x == 1 for x in sizes)), share(len(set(low))), share(sum(x == y for x, y in itertools.pairwise(low))), share(len(three) - len(set(three)), len(three)),
+        share(len(lines) - len(set(lines)), len(lines)), share(sum(65 <= x[0] < 91 for x in raw)), share(sum(x[-1] in b".,;:" for x in raw)), kinds[3] / n, kinds[4] / n, *[k / b for k in kinds],
+    ]
+
+
+def test_statistics(docs):
+    texts = ["", "a", " \n", "A b a b a b.\n\nA b a b a b.\nÉté! (no) #1", *list(docs.values())[:120]]
+    got = quality_model.statistics(pa.array([*texts, None]))
+    want = np.array([*map(_plain_statistics, texts), _plain_statistics("")])
+    assert np.abs(got - want).max() < 2e-3 and np.abs(got - want).mean() < 1e-5
