@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 MISSING = ("nan", "None")
 
 
-def finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-
-
 def sample_variance(sum_x: Column, sum_xx: Column, n: Column) -> Column:
     """Variance with n - 1, from sums; never below 0, and 0 for fewer than two cells."""
     centred = sum_xx - F.try_divide(sum_x * sum_x, n)
@@ -48,7 +44,26 @@ def visible(is_public: Column, required: Column, roles: Column) -> Column:
     return is_public | F.coalesce(F.arrays_overlap(required, roles), F.lit(False))
 
 
-def redacted(c: Column, public: Column, most_bytes: int = 4096) -> Column:
-    """The text of public rows, cut if it is long; a placeholder otherwise."""
-    short = F.when(F.octet_length(c) > most_bytes, F.concat(F.substring(c, 1, most_bytes // 4), F.lit("[truncated]"))).otherwise(c)
-    return F.when(public, short).otherwise(F.lit("[redacted]"))
+#: Fixed values of traces: what stands for private content, and the longest result that is kept, in characters of its JSON.
+REDACTED, MOST_RESULT = "[redacted]", 4096
+
+
+def redacted(c: Column, public: Column) -> Column:
+    """A text that a user or an assistant wrote: unchanged where the dataset is public, a placeholder otherwise."""
+    return F.when(public, c).otherwise(F.lit(REDACTED))
+
+
+def redacted_result(c: Column, public: Column, most: int = MOST_RESULT) -> Column:
+    """A tool's result, as JSON: replaced where the dataset is private, and by a marker with its size where it is too long."""
+    marker = F.to_json(F.struct(F.lit(True).alias("_truncated"), F.length(c).alias("_size_bytes")))
+    return F.when(~public, F.lit('{"_redacted":"tool_result"}')).when(F.length(c) > most, marker).otherwise(c)
+
+
+def redacted_args(tool: Column, c: Column, public: Column) -> Column:
+    """A tool's arguments, as JSON; of private ones the tool's name is left."""
+    return F.when(public, c).otherwise(F.to_json(F.struct(F.lit("tool_args").alias("_redacted"), tool.alias("tool"))))
+
+
+def redacted_view(c: Column, public: Column) -> Column:
+    """A view state, as JSON; none stays none."""
+    return F.when(c.isNull() | public, c).otherwise(F.lit('{"_redacted":"view_state"}'))

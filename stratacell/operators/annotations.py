@@ -12,8 +12,19 @@ from pyspark.sql.window import Window
 from ..sources.store import Store
 from .stats import MOST, clamp, panel_above_min
 
-#: Gene label columns, the first present is used.
-LABEL_COLUMNS = ("gene_symbol", "gene_symbols", "symbol", "feature_name", "gene_name", "gene_names", "name", "gene", "var_name", "gene_id")
+#: Gene label columns, of which the first that is there counts; without one the gene's id is the label.
+LABEL_COLUMNS = (
+    "feature_name",
+    "gene_symbol",
+    "GeneSymbol",
+    "gene_symbols",
+    "var_name",
+    "gene_name",
+    "gene_short_name",
+    "symbol",
+    "name",
+    "gene",
+)
 MOST_IDS = 100_000
 
 
@@ -51,17 +62,31 @@ def search_genes(var: DataFrame, query: str, limit: int = 20, label: str = "var_
 
 
 def label_column(var: DataFrame) -> str:
-    return next(c for c in LABEL_COLUMNS if c in var.columns)
+    return next((c for c in LABEL_COLUMNS if c in var.columns), "gene_id")
 
 
 def symbol_map(var: DataFrame, label: str | None = None) -> DataFrame:
     """(symbol, gene_id): a symbol that several genes have means the first."""
-    return var.groupBy(F.col(label or label_column(var)).alias("symbol")).agg(F.min("gene_id").alias("gene_id"))
+    return var.groupBy(F.col(label or label_column(var)).cast("string").alias("symbol")).agg(F.min("gene_id").alias("gene_id"))
+
+
+def gene_positions(var: DataFrame, wanted: DataFrame, label: str | None = None) -> DataFrame:
+    """``wanted`` (symbol, ..) with the ``gene_id`` of each symbol, null where no gene has it."""
+    return wanted.join(symbol_map(var, label), "symbol", "left")
 
 
 def unknown_genes(var: DataFrame, wanted: DataFrame, label: str | None = None) -> DataFrame:
-    """The first five of ``wanted`` (symbol) that no gene has."""
-    return wanted.join(symbol_map(var, label), "symbol", "left_anti").orderBy("symbol").limit(5)
+    """The first five of ``wanted`` (symbol, place), in the order of the request, that no gene has."""
+    return gene_positions(var, wanted, label).where("gene_id is null").orderBy("place").limit(5).select("symbol", "place")
+
+
+def genes_named(var: DataFrame, names: Sequence[str], label: str | None = None) -> list[int]:
+    """The positions of the named genes, in the order of the request; an error names the first five that there are not."""
+    found = {r["symbol"]: r["gene_id"] for r in symbol_map(var, label).where(F.col("symbol").isin(list(names))).collect()}
+    unknown = [n for n in names if n not in found][:5]
+    if unknown:
+        raise ValueError(f"no such genes: {', '.join(unknown)}")
+    return [found[n] for n in names]
 
 
 def matches(where: dict[str, object]) -> Column:
@@ -92,6 +117,15 @@ def filter_by_expression(store: Store, gene_id: int, low: float | None = None, h
     return store.gene(gene_id).where((v >= low if low is not None else F.lit(True)) & (v <= high if high is not None else F.lit(True)))
 
 
+def select_by_expression(store: Store, gene_id: int, low: float | None = None, high: float | None = None) -> tuple[DataFrame, int]:
+    """The cells of :func:`filter_by_expression` and their number; none is an error."""
+    cells = filter_by_expression(store, gene_id, low, high)
+    n = cells.count()
+    if not n:
+        raise ValueError(f"no cell has gene {gene_id} within [{low}, {high}]")
+    return cells, n
+
+
 def bar_counts(obs: DataFrame, column: str, groups: Sequence[str], where: dict[str, object] | None = None) -> DataFrame:
     """Cells of 1 to 8 named groups under equality conditions; empty groups count 0."""
     names = list(dict.fromkeys(groups))
@@ -101,22 +135,29 @@ def bar_counts(obs: DataFrame, column: str, groups: Sequence[str], where: dict[s
     return row.select(F.inline("g"))
 
 
-def bar_composition(obs: DataFrame, column: str, groups: Sequence[str], of: str, most: int = 10) -> DataFrame:
-    """Share of each ``of`` label in each group; beyond ten labels by summed share the rest is one. Cells without label stay in the denominator."""
-    own = obs.where(F.col(column).isin(list(groups)))
+def bar_composition(obs: DataFrame, column: str, groups: Sequence[str], of: str, most: int = 10, where: dict[str, object] | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """Share of each ``of`` label in each group, under equality conditions; beyond ten labels by summed share the rest is one.
+    Cells without label stay in the denominator. Equal shares go by the labels' positions in ``declared`` (label, code), or by label."""
+    own = obs.where(F.col(column).isin(list(groups)) & matches(where or {}))
     n = own.groupBy(F.col(column).alias("group")).agg(F.count("*").alias("n_cells"))
     share = own.where(F.col(of).isNotNull()).groupBy(F.col(column).alias("group"), F.col(of).alias("label")).agg(F.count("*").alias("n")).join(n, "group").withColumn("share", F.col("n") / F.col("n_cells"))
-    top = share.groupBy("label").agg(F.round(F.sum("share"), 12).alias("weight")).orderBy(F.desc("weight"), "label").limit(most)
+    weight = share.groupBy("label").agg(F.round(F.sum("share"), 12).alias("weight"))
+    if declared is not None:
+        weight = weight.join(declared.select("label", "code"), "label", "left")
+    top = weight.orderBy(F.desc("weight"), *(["code"] if declared is not None else []), "label").limit(most)
     top = F.broadcast(top.select("label", F.lit(True).alias("named")))  # ten labels
     label = F.when(F.col("named"), F.col("label")).otherwise("All other")
     return share.join(top, "label", "left").groupBy("group", label.alias("label")).agg(F.sum("share").alias("share"))
 
 
-def bar_gene_mean(store: Store, column: str, groups: Sequence[str], genes: Sequence[int]) -> DataFrame:
-    """Mean and fraction expressing, of 1 to 10 genes in the named groups; a value counts above the gene's least one there."""
+def bar_gene_mean(store: Store, column: str, groups: Sequence[str], genes: Sequence[int], where: dict[str, object] | None = None) -> DataFrame:
+    """Mean and fraction expressing, of 1 to 10 genes in the named groups under equality conditions; a value counts above the
+    gene's least one there. Groups without cells count 0."""
     if not 0 < len(genes) <= 10:
         raise ValueError("1 to 10 genes")
-    return panel_above_min(store, store.column(column).where(F.col(column).isin(list(groups))), genes)
+    cells = store.obs.where(F.col(column).isin(list(groups)) & matches(where or {})).select("cell_id", column)
+    named = store.obs.sparkSession.createDataFrame([(g,) for g in dict.fromkeys(groups)], "label string")
+    return panel_above_min(store, cells, genes, named)
 
 
 def color_by_gene(store: Store, gene_id: int, key: str) -> DataFrame:
@@ -177,7 +218,12 @@ def relabel(genes: DataFrame, var: DataFrame, label: str) -> DataFrame:
     return genes.join(names, "gene_id", "left").withColumn("label", F.coalesce("label", F.col("gene_id").cast("string")))
 
 
-def store_facts(store: Store) -> DataFrame:
-    """Cells, genes, entries and columns of a store, in one row."""
-    n = store.obs.agg(F.count("*").alias("n_obs")).crossJoin(store.var.agg(F.count("*").alias("n_var"))).crossJoin(store.x.agg(F.count("*").alias("entries")))
-    return n.select("*", F.lit(",".join(c for c in store.obs.columns if c != "cell_id")).alias("obs_columns"), (F.col("entries") / (F.col("n_obs") * F.col("n_var"))).alias("density"))
+def store_facts(store: Store, cap: int = 100) -> DataFrame:
+    """Cells, genes, entries, density, embeddings, and each cell column's type, cardinality and values up to ``cap``, in one row."""
+    n = store.obs.agg(F.count("*").alias("n_obs")).crossJoin(store.var.agg(F.count("*").alias("n_var"))).crossJoin(store.x.agg(F.count("*").alias("entries")))  # one row each
+    if store.obsm is None:
+        n = n.withColumn("embeddings", F.array().cast("array<string>"))
+    else:
+        n = n.crossJoin(store.obsm.agg(F.sort_array(F.collect_set("key")).alias("embeddings")))
+    facets = schema_summary(store.obs.drop("cell_id"), cap).agg(F.sort_array(F.collect_list(F.struct("column", "dtype", "cardinality", "values"))).alias("obs_facets"))
+    return n.crossJoin(facets).withColumn("density", F.try_divide(F.col("entries"), F.col("n_obs") * F.col("n_var")))

@@ -114,6 +114,17 @@ def copy_table(table: DataFrame, path: str) -> DataFrame:
     return back
 
 
+def copy_tables(tables: dict[str, DataFrame], references: dict[str, tuple[str, str, str, str]], root: str, revision: str, expected: str) -> DataFrame:
+    """Verified copies of all tables, and their (table, rows). Nothing is written unless the ``revision`` of the tables is
+    the ``expected`` one and no reference ``name: (child, key, parent, key)`` lacks its parent; a target that is there is an error."""
+    if revision != expected:
+        raise ValueError(f"the tables are at {revision}, not {expected}")
+    lost = orphans({name: (tables[c], ck, tables[p], pk) for name, (c, ck, p, pk) in references.items()}).where("orphans > 0").collect() if references else []
+    if lost:
+        raise ValueError(f"rows without a parent: {[tuple(r) for r in lost]}")
+    return row_counts({name: copy_table(t, f"{root}/{name}") for name, t in tables.items()})
+
+
 def top_overlap(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     """Shared genes of two rankings (gene_id, ..) of ``n`` genes."""
     both = a.select("gene_id").intersect(b.select("gene_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import redacted, thread_title
+from ..functions.scalars import redacted, redacted_result, thread_title
 
 
 def thread_list(threads: DataFrame, messages: DataFrame) -> DataFrame:
@@ -27,16 +27,26 @@ def titles(messages: DataFrame) -> DataFrame:
     return first.select("thread_id", thread_title(F.col("text")).alias("title"))
 
 
-def oversized(messages: DataFrame, most: int = 40, longest: int = 8_000, total: int = 60_000) -> DataFrame:
+#: Fixed limits of a turn without sign-in: messages, characters of one and of all, and characters of the view state's JSON.
+MOST_MESSAGES, MOST_CHARS, MOST_TOTAL, MOST_VIEW = 30, 4_000, 40_000, 4_096
+
+
+def oversized(messages: DataFrame, most: int = MOST_MESSAGES, longest: int = MOST_CHARS, total: int = MOST_TOTAL, views: DataFrame | None = None, view: int = MOST_VIEW) -> DataFrame:
+    """Sizes of each thread's turn, and whether it is over a limit. ``views`` (thread_id, view_state): JSON, null for none."""
     s = messages.groupBy("thread_id").agg(F.count("*").alias("n_messages"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("total"))
-    return s.withColumn("oversized", (F.col("n_messages") > most) | (F.col("longest") > longest) | (F.col("total") > total))
+    over = (F.col("n_messages") > most) | (F.col("longest") > longest) | (F.col("total") > total)
+    if views is None:
+        return s.withColumn("oversized", over)
+    v = views.groupBy("thread_id").agg(F.max(F.length("view_state")).alias("view_size"))
+    return s.join(v, "thread_id", "left").withColumn("oversized", over | F.coalesce(F.col("view_size") > view, F.lit(False)))
 
 
 def alternating(messages: DataFrame) -> DataFrame:
-    """Whether user and assistant take turns and the last word is the user's; other roles do not count."""
-    w = Window.partitionBy("thread_id").orderBy("turn")
-    own = messages.where(F.col("role").isin("user", "assistant")).withColumn("before", F.lag("role").over(w))
-    return own.groupBy("thread_id").agg((~F.coalesce(F.bool_or(F.col("role") == F.col("before")), F.lit(False)) & (F.max_by("role", "turn") == "user")).alias("ok"))
+    """Whether user and assistant take turns, from the user to the user; other roles do not count."""
+    at = F.row_number().over(Window.partitionBy("thread_id").orderBy("turn"))
+    own = messages.where(F.col("role").isin("user", "assistant")).withColumn("turns_user", at % 2 == 1)
+    right = F.bool_and((F.col("role") == "user") == F.col("turns_user"))
+    return own.groupBy("thread_id").agg((right & (F.max_by("role", "turn") == "user")).alias("ok"))
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
@@ -52,10 +62,12 @@ def claim_history(rows: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def redact_private(messages: DataFrame, public: DataFrame) -> DataFrame:
-    """Texts of public threads, placeholders for the others. ``public`` (thread_id)."""
+    """Texts of public threads, placeholders for the others; rows of the role ``tool`` are results. ``public`` (thread_id)."""
     p = public.select("thread_id", F.lit(True).alias("public")).distinct()
     j = messages.join(p, "thread_id", "left")
-    return j.withColumn("text", redacted(F.col("text"), F.coalesce("public", F.lit(False)))).drop("public")
+    seen = F.coalesce("public", F.lit(False))
+    text = F.when(F.col("role") == "tool", redacted_result(F.col("text"), seen)).otherwise(redacted(F.col("text"), seen))
+    return j.withColumn("text", text).drop("public")
 
 
 def token_usage(generations: DataFrame) -> DataFrame:

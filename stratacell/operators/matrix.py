@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,37 +94,56 @@ def decode_nullable(rows: DataFrame) -> DataFrame:
     return rows.select("cell_id", F.when(F.col("mask"), F.lit(None)).otherwise(F.col("value")).alias("value"))
 
 
-#: Required columns and the names that may stand for them, in order.
-ALIASES = {"cell_type": ("celltype", "cell_label", "annotation"), "disease": ("condition", "diagnosis")}
+#: Columns of other names that give a required one where it is absent, and the columns of prepared cells.
+ALIASES = {
+    "sample_id": "sample",
+    "donor_id": "patient",
+    "platform": "technology",
+    "tissue": "site",
+    "cell_type_study": "author_cell_type",
+    "dataset": "dataset_id",
+}
+REQUIRED = ("sample", "cell_type", "author_cell_type", "technology", "expression_unit", "site", "disease", "patient", "dataset_id", "cell_name")
 
 
-def prepare_obs(obs: DataFrame, dataset: str, aliases: dict[str, Sequence[str]] = ALIASES) -> DataFrame:
-    """Raw counts only, required columns under their names, labels as text, and ids made unique by the dataset's name."""
+def _labels(table: DataFrame, columns: Sequence[str]) -> dict:
+    kinds = dict(table.dtypes)
+    return {c: as_label(F.col(c), kinds[c] in ("double", "float")) for c in columns}
+
+
+def prepare_obs(obs: DataFrame, dataset: str, required: Sequence[str] = REQUIRED) -> DataFrame:
+    """(cell_id, cell_key, ``required``): raw counts only, columns under their required names, all labels as text. The
+    cell's own name is kept, and its key is made unique by the dataset's name."""
     if "matrix_type" in obs.columns:
         obs = obs.where("matrix_type = 'raw counts'")
-    for name, others in aliases.items():
-        if name not in obs.columns:
-            found = next((o for o in others if o in obs.columns), None)
-            if found is None:
-                raise ValueError(f"no column for {name}")
-            obs = obs.withColumn(name, F.col(found))
-    if "expression_unit" not in obs.columns:
-        obs = obs.withColumn("expression_unit", F.lit("UMI"))
-    obs = obs.withColumns({c: as_label(F.col(c), dict(obs.dtypes)[c] in ("double", "float")) for c in (*aliases, "expression_unit")})
-    return obs.withColumn("cell_name", F.col("cell_id").cast("string")).withColumn("cell_key", F.concat_ws("_", F.lit(dataset), F.col("cell_id").cast("string")))
+    for old, new in ALIASES.items():
+        if old in obs.columns and new not in obs.columns:
+            obs = obs.withColumn(new, F.col(old))
+    obs = obs.withColumn("expression_unit", F.lit("UMI")).withColumn("cell_name", F.col("cell_id").cast("string"))
+    missing = [c for c in required if c not in obs.columns]
+    if missing:
+        raise ValueError(f"no columns for {missing}")
+    return obs.withColumns(_labels(obs, required)).select("cell_id", F.concat_ws("_", F.lit(dataset), "cell_name").alias("cell_key"), *required)
+
 
+#: The gene columns that preparation keeps, and those that give the symbol, in order.
+KNOWN_VAR = ("var_names", "GeneSymbol", "ensembl", "Chromosome")
+SYMBOLS = ("GeneSymbol", "var_names")
 
-#: Gene columns that preparation keeps, and those that may give the symbol, in order.
-KNOWN_VAR = ("gene_id", "gene_symbol", "feature_name", "feature_id", "feature_type", "biotype", "genome")
-SYMBOLS = ("gene_symbol", "feature_name", "gene_name", "symbol", "var_name", "gene_id")
 
+def prepare_var(var: DataFrame) -> DataFrame:
+    """(gene_id, known columns that are there, gene_symbol), all labels as text; without a symbol column the gene's id is the symbol."""
+    known = [c for c in KNOWN_VAR if c in var.columns]
+    symbol = next((c for c in SYMBOLS if c in var.columns), "gene_id")
+    var = var.select("gene_id", *known, F.col(symbol).alias("gene_symbol"))
+    return var.withColumns(_labels(var, [*known, "gene_symbol"]))
 
-def prepare_var(var: DataFrame, known: Sequence[str] = KNOWN_VAR, symbols: Sequence[str] = SYMBOLS) -> DataFrame:
-    """The known gene columns, and ``gene_symbol`` from the first column that can give it."""
-    found = next((c for c in symbols if c in var.columns), None)
-    if found is None:
-        raise ValueError("no column gives a gene symbol")
-    return var.select(*[c for c in known if c in var.columns and c != "gene_symbol"], F.col(found).cast("string").alias("gene_symbol"))
+
+def prepare(store: Store, dataset: str, layer: str = "counts") -> Store:
+    """A dataset's part of a joint matrix: raw counts from ``layer``, of the cells that are kept, cells by their keys."""
+    obs, x = prepare_obs(store.obs, dataset), store.matrix(layer)
+    x = x.join(obs.select("cell_id", "cell_key"), "cell_id").select(F.col("cell_key").alias("cell_id"), "gene_id", "value")
+    return Store(obs.drop("cell_id").withColumnRenamed("cell_key", "cell_id"), prepare_var(store.var), x)
 
 
 #: Cells of a gene that one call of a user's function sees, at most about.
@@ -143,20 +166,82 @@ def concatenate(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def concatenate_stores(parts: Sequence[Store]) -> Store:
+    """Cells and entries of all parts; the genes are those of the first, which all share."""
+    return Store(concatenate([p.obs for p in parts]), parts[0].var, concatenate([p.x for p in parts]))
+
+
+def normalized(store: Store, target: float | None = None, layer: str | None = None) -> Store:
+    """The store with a normalised matrix, and the mark in ``uns`` that says so."""
+    mark = store.obs.sparkSession.range(1).select(F.lit("log1p").alias("path"), F.lit("{}").alias("value_json"))
+    uns = mark if store.uns is None else store.uns.where("path <> 'log1p'").unionByName(mark)
+    return replace(store, x=normalize_log1p(store, target, layer), uns=uns)
+
+
+#: Genes that a decomposition takes at most: its Gram matrix of so many squared is summed over tasks.
+MOST_GENES = 4_096
+
+
 def svd_scores(store: Store, k: int) -> tuple[DataFrame, list[float]]:
     """Coordinates (cell_id, component, score) of the cells on the first ``k`` singular directions, without centring,
-    and the singular values. Genes are few thousand at most after selection; their Gram matrix is summed by Spark."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    n = store.var.agg(F.max("gene_id")).first()[0] + 1
-    rows = store.x.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct(F.col("gene_id").cast("int"), "value"))).alias("e"))
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["cell_id"], Vectors.sparse(n, [(g, v) for g, v in r["e"]]))))
-    svd = matrix.computeSVD(k, computeU=False)
-    v = svd.V.toArray()  # genes x k
-    genes = store.x.sparkSession.createDataFrame([(i, j, float(v[i, j])) for i in range(n) for j in range(v.shape[1])], "gene_id int, component int, weight double")
-    scores = store.x.join(F.broadcast(genes), "gene_id").groupBy("cell_id", "component").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
-    return scores, list(svd.s)
+    and the singular values. Each task sums the Gram matrix of its cells, and the sums are added in a tree."""
+    n = (store.var.agg(F.max("gene_id")).first()[0] or 0) + 1
+    if n > MOST_GENES:
+        raise ValueError(f"{n} genes; select {MOST_GENES} at most")
+
+    def gram(batches):
+        total = np.zeros((n, n))
+        for b in batches:
+            ends = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(b["genes"]), np.int64))]
+            genes, values = (np.asarray(pc.list_flatten(b[c])) for c in ("genes", "v"))
+            for at in range(0, b.num_rows, 1024):
+                to = ends[at : at + 1025]
+                z = np.zeros((len(to) - 1, n))
+                z[np.repeat(np.arange(len(to) - 1), np.diff(to)), genes[to[0] : to[-1]]] = values[to[0] : to[-1]]
+                total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["g"])
+
+    def add(batches):
+        total = np.zeros(n * n)
+        for b in batches:
+            for g in b["g"]:
+                total += np.frombuffer(g.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["g"])
+
+    entries = F.collect_list(F.struct(F.col("gene_id").cast("int").alias("g"), F.col("value").cast("double").alias("v")))  # a cell has MOST_GENES at most
+    rows = store.x.groupBy("cell_id").agg(entries.alias("e")).select(F.col("e.g").alias("genes"), F.col("e.v").alias("v"))
+    sums, parts = rows.mapInArrow(gram, "g binary"), 64
+    while parts > 1:
+        parts = -(-parts // 8)
+        sums = sums.repartition(parts).mapInArrow(add, "g binary")
+    found = sums.collect()
+    g = sum((np.frombuffer(r["g"]) for r in found), np.zeros(n * n)).reshape(n, n)
+    values, vectors = np.linalg.eigh(g)
+    k = min(k, n)
+    v = vectors[:, ::-1][:, :k]
+    genes = store.x.sparkSession.createDataFrame([(i, j, float(v[i, j])) for i in range(n) for j in range(k)], "gene_id int, component int, weight double")
+    scores = store.x.join(F.broadcast(genes), "gene_id").groupBy("cell_id", "component").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))  # MOST_GENES times k at most
+    return scores, np.sqrt(np.maximum(values[::-1][:k], 0)).tolist()
+
+
+def knn_within(vectors: DataFrame, k: int, radius: float, tables: int = 8, width: float | None = None, seed: int = 1) -> DataFrame:
+    """(row_id, col_id, value): edges from every cell to the ``k`` nearest that lie within ``radius``, by distance, for ``obsp``.
+    Pairs are met in buckets of random projections, so neighbours that share no bucket are missed: see :func:`knn_recall`."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    v = vectors.select("cell_id", array_to_vector(F.transform("coords", lambda c: c.cast("double"))).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width or radius, numHashTables=tables, seed=seed).fit(v)
+    pairs = model.approxSimilarityJoin(v, v, radius, distCol="value").select(F.col("datasetA.cell_id").alias("row_id"), F.col("datasetB.cell_id").alias("col_id"), "value").where("row_id <> col_id")
+    best = F.row_number().over(Window.partitionBy("row_id").orderBy("value", "col_id"))
+    return pairs.withColumn("rank", best).where(F.col("rank") <= k).select("row_id", "col_id", "value")
+
+
+def knn_recall(edges: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> float:
+    """The share of the ``k`` nearest of ``queries``, found by comparison with all ``vectors``, that ``edges`` has."""
+    true = knn(queries, vectors, k).select(F.col("cell_id").alias("row_id"), F.col("neighbour").alias("col_id"))
+    hit = true.join(edges.select("row_id", "col_id", F.lit(1).alias("hit")), ["row_id", "col_id"], "left")
+    return hit.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] or 0.0
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

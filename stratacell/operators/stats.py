@@ -12,6 +12,8 @@ from ..functions.scalars import cohens_d, sample_variance, welch_t
 from ..sources.store import Store
 
 MOST = 50
+#: Groups of which markers are found at once.
+MOST_GROUPS = 50_000
 
 
 def clamp(n: int) -> int:
@@ -75,38 +77,52 @@ def find_markers(sums: DataFrame, cells: DataFrame, var: DataFrame, group: str,
     return rank_by_effect(two_sample(_two(sums, cells, var, own, ~own)), n).select("gene_id", "mean_a", "mean_b", "cohens_d", "t", "n_a", "n_b")
 
 
-def markers_of_all_groups(sums: DataFrame, cells: DataFrame, n: int = 5) -> DataFrame:
-    """The markers of every group at once: the rest is the total less the group."""
-    w = Window.partitionBy("gene_id")
-    total = cells.agg(F.sum("n_cells").alias("n_all"))
-    t = (
-        sums.join(cells, sums["group"].eqNullSafe(cells["group"])).select(sums["group"], "gene_id", "sum_x", "sum_xx", "n_cells")
-        .select("*", F.sum("sum_x").over(w).alias("all_x"), F.sum("sum_xx").over(w).alias("all_xx")).crossJoin(F.broadcast(total))
-    )
+def markers_of_all_groups(sums: DataFrame, cells: DataFrame, var: DataFrame, n: int = 5) -> DataFrame:
+    """The markers of every group at once: the rest is the total less the group. A gene that a group does not express
+    counts there too, with zeros; so the work is as large as groups times genes, of which the groups are few."""
+    total = sums.groupBy("gene_id").agg(F.sum("sum_x").alias("all_x"), F.sum("sum_xx").alias("all_xx"))
+    groups = cells.agg(F.collect_list(F.struct("group", "n_cells")).alias("g"), F.sum("n_cells").alias("n_all"), F.count("*").alias("n_groups"))
+    if groups.first()["n_groups"] > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    grid = var.select("gene_id").join(total, "gene_id", "left").crossJoin(F.broadcast(groups)).select("gene_id", "all_x", "all_xx", "n_all", F.inline("g"))  # one row
+    own = sums.select(F.col("group").alias("own_group"), F.col("gene_id").alias("own_gene"), "sum_x", "sum_xx")
+    t = grid.join(own, (F.col("gene_id") == F.col("own_gene")) & F.col("group").eqNullSafe(F.col("own_group")), "left")
+    x, xx, all_x, all_xx = (F.coalesce(c, F.lit(0.0)) for c in ("sum_x", "sum_xx", "all_x", "all_xx"))
     s = two_sample(t.select(
-        "group", "gene_id", F.col("sum_x").alias("sum_x_a"), F.col("sum_xx").alias("sum_xx_a"), F.col("n_cells").alias("n_a"),
-        (F.col("all_x") - F.col("sum_x")).alias("sum_x_b"), (F.col("all_xx") - F.col("sum_xx")).alias("sum_xx_b"), (F.col("n_all") - F.col("n_cells")).alias("n_b"),
+        "group", "gene_id", x.alias("sum_x_a"), xx.alias("sum_xx_a"), F.col("n_cells").alias("n_a"),
+        (all_x - x).alias("sum_x_b"), (all_xx - xx).alias("sum_xx_b"), (F.col("n_all") - F.col("n_cells")).alias("n_b"),
     ).where("n_a >= 2 and n_b >= 2"))
     rank = F.row_number().over(Window.partitionBy("group").orderBy(F.abs("cohens_d").desc_nulls_last(), "gene_id"))
     return s.withColumn("rank", rank).where(F.col("rank") <= clamp(n)).select("group", "rank", "gene_id", "mean_a", "mean_b", "cohens_d", "t")
 
 
+def top_of_sums(sums: DataFrame, cells: DataFrame, var: DataFrame, group: str, n: int = 10) -> DataFrame:
+    """The genes of highest mean in a group, with the fraction of cells above 0. ``sums`` and ``cells`` come from a scan or from strata."""
+    need_cells(cells, [group], 1)
+    own = sums.where(F.col("group") == group).groupBy("gene_id").agg(F.sum("sum_x").alias("s"), F.sum("nnz").alias("pos"))
+    n_cells = cells.where(F.col("group") == group).agg(F.sum("n_cells").alias("n_cells"))
+    rows = var.select("gene_id").join(own, "gene_id", "left").crossJoin(F.broadcast(n_cells))  # one row
+    share = lambda c: (F.coalesce(c, F.lit(0)) / F.col("n_cells"))
+    return rows.select("gene_id", share("s").alias("mean"), share("pos").alias("fraction")).orderBy(F.desc("mean"), "gene_id").limit(clamp(n))
+
+
 def top_expressed(store: Store, column: str, group: str, n: int = 10, rule: str = "positive") -> DataFrame:
-    """The genes of highest mean in a group, with the fraction of cells that express them."""
+    """:func:`top_of_sums` by a scan; ``above_min`` counts the cells above the gene's least value in the group."""
+    if rule == "positive":
+        return top_of_sums(*group_sums(store, column), store.var, group, n)
     cells = store.column(column).where(F.col(column) == group).select("cell_id")
     n_cells = cells.count()
     if not n_cells:
         raise ValueError(f"group {group!r} has no cells")
-    v = F.col("value").cast("double")
-    x = store.x.join(cells, "cell_id").select("gene_id", v.alias("v"))
-    s = x.groupBy("gene_id").agg(F.sum("v").alias("s"), F.count_if(F.col("v") > 0).alias("pos"), F.min("v").alias("low"), F.count("*").alias("stored"))
-    if rule == "above_min":
-        floor = F.when(F.col("stored") < n_cells, F.least("low", F.lit(0.0))).otherwise(F.col("low"))
-        f = s.select("gene_id", floor.alias("floor"))
-        above = x.join(f, "gene_id").groupBy("gene_id").agg(F.count_if(F.col("v") > F.col("floor")).alias("above"), F.first("floor").alias("floor"))
-        zeros = F.when(F.col("floor") < 0, n_cells - F.col("stored")).otherwise(0)
-        s = s.join(above, "gene_id").withColumn("pos", F.col("above") + zeros)
-    return s.select("gene_id", (F.col("s") / n_cells).alias("mean"), (F.col("pos") / n_cells).alias("fraction")).orderBy(F.desc("mean"), "gene_id").limit(clamp(n))
+    x = store.x.join(cells, "cell_id").select("gene_id", F.col("value").cast("double").alias("v"))
+    s = x.groupBy("gene_id").agg(F.sum("v").alias("s"), F.min("v").alias("low"), F.count("*").alias("stored"))
+    floor = F.when(F.col("stored") < n_cells, F.least("low", F.lit(0.0))).otherwise(F.col("low"))
+    s = s.withColumn("floor", floor)
+    above = x.join(s.select("gene_id", "floor"), "gene_id").groupBy("gene_id").agg(F.count_if(F.col("v") > F.col("floor")).alias("above"))
+    zeros = F.when(F.col("floor") < 0, n_cells - F.col("stored")).otherwise(0)
+    s = s.join(above, "gene_id").select("gene_id", "s", (F.col("above") + zeros).alias("pos"))
+    share = lambda c: (F.coalesce(c, F.lit(0)) / n_cells)
+    return store.var.select("gene_id").join(s, "gene_id", "left").select("gene_id", share("s").alias("mean"), share("pos").alias("fraction")).orderBy(F.desc("mean"), "gene_id").limit(clamp(n))
 
 
 def _grid(cells: DataFrame, var: DataFrame, genes: Sequence[int]) -> DataFrame:
@@ -114,11 +130,11 @@ def _grid(cells: DataFrame, var: DataFrame, genes: Sequence[int]) -> DataFrame:
     return cells.crossJoin(F.broadcast(var.where(F.col("gene_id").isin(list(genes))).select("gene_id")))  # the named genes, 50 at most
 
 
-def panel_above_min(store: Store, labels: DataFrame, genes: Sequence[int]) -> DataFrame:
+def panel_above_min(store: Store, labels: DataFrame, genes: Sequence[int], declared: DataFrame | None = None) -> DataFrame:
     """(group, gene_id, mean, fraction, n_cells) over the cells of ``labels`` (cell_id, label): a value counts if it is above
     the gene's least one among all these cells, zeros that are not stored included."""
     cells = labels.toDF("cell_id", "group")
-    n = cells.groupBy("group").agg(F.count("*").alias("n_cells"))
+    n = _with_declared(cells.groupBy("group").agg(F.count("*").alias("n_cells")), declared)
     n_all = n.agg(F.coalesce(F.sum("n_cells"), F.lit(0))).first()[0]
     x = store.x.where(F.col("gene_id").isin(list(genes))).join(cells, "cell_id").select("group", "gene_id", F.col("value").cast("double").alias("v"))
     low = x.groupBy("gene_id").agg(F.when(F.count("*") < n_all, F.least(F.min("v"), F.lit(0.0))).otherwise(F.min("v")).alias("floor"))
@@ -127,21 +143,35 @@ def panel_above_min(store: Store, labels: DataFrame, genes: Sequence[int]) -> Da
     zeros = F.when(F.col("floor") < 0, F.col("n_cells") - zero("stored")).otherwise(0)
     return _grid(n, store.var, genes).join(s.withColumnRenamed("group", "g").withColumnRenamed("gene_id", "k"), F.col("group").eqNullSafe(F.col("g")) & (F.col("gene_id") == F.col("k")), "left").join(
         low, "gene_id", "left"
-    ).select("group", "gene_id", (zero("s") / F.col("n_cells")).alias("mean"), ((zero("above") + zeros) / F.col("n_cells")).alias("fraction"), "n_cells")
+    ).select("group", "gene_id", _share("s").alias("mean"), F.coalesce(F.try_divide(zero("above") + zeros, F.col("n_cells")), F.lit(0.0)).alias("fraction"), "n_cells")
+
+
+def _share(c: str) -> Column:
+    return F.coalesce(F.try_divide(F.coalesce(c, F.lit(0)), F.col("n_cells")), F.lit(0.0))
+
+
+def _with_declared(cells: DataFrame, declared: DataFrame | None) -> DataFrame:
+    """``cells`` (group, n_cells) with the labels of ``declared`` (label) that no cell has, as 0."""
+    if declared is None:
+        return cells
+    return cells.unionByName(declared.select(F.col("label").alias("group"), F.lit(0).cast("long").alias("n_cells"))).groupBy("group").agg(F.sum("n_cells").alias("n_cells"))
 
 
 def gene_panel(store: Store, column: str, genes: Sequence[int], rule: str = "positive") -> DataFrame:
-    """Mean, fraction expressing and cells of each gene in each category; categories without entries give 0. ``rule``:
-    values count above 0 (``positive``) or above the gene's least value (``above_min``)."""
+    """Mean, fraction expressing and cells of each gene in each category; categories without entries, or that the store
+    declares and no cell has, give 0. ``rule``: values count above 0 (``positive``) or above the gene's least value (``above_min``)."""
     if not 0 < len(genes) <= MOST:
         raise ValueError(f"1 to {MOST} genes")
     if rule == "above_min":
-        return panel_above_min(store, store.column(column), genes)
-    sums, cells = group_sums(store, column)
-    zero = lambda c: F.coalesce(c, F.lit(0))
+        return panel_above_min(store, store.column(column), genes, store.labels(column))
+    return panel_of_sums(*group_sums(store, column), store.var, genes, store.labels(column))
+
+
+def panel_of_sums(sums: DataFrame, cells: DataFrame, var: DataFrame, genes: Sequence[int], declared: DataFrame | None = None) -> DataFrame:
+    """The panel of values above 0. ``sums`` and ``cells`` come from a scan or from strata."""
     sums = sums.where(F.col("gene_id").isin(list(genes))).withColumnRenamed("group", "g").withColumnRenamed("gene_id", "k")
-    return _grid(cells, store.var, genes).join(sums, F.col("group").eqNullSafe(F.col("g")) & (F.col("gene_id") == F.col("k")), "left").select(
-        "group", "gene_id", (zero("sum_x") / F.col("n_cells")).alias("mean"), (zero("nnz") / F.col("n_cells")).alias("fraction"), "n_cells"
+    return _grid(_with_declared(cells, declared), var, genes).join(sums, F.col("group").eqNullSafe(F.col("g")) & (F.col("gene_id") == F.col("k")), "left").select(
+        "group", "gene_id", _share("sum_x").alias("mean"), _share("nnz").alias("fraction"), "n_cells"
     )
 
 
@@ -153,9 +183,26 @@ def gene_summary(store: Store, gene_id: int, by: str) -> DataFrame:
     return agg(rows.groupBy(F.lit(None).cast("string").alias("group"))).unionByName(by_group)
 
 
+#: What the stored values may be.
+STATES = (
+    "empty (all zeros)",
+    "z-scored / scaled (negative values, std ~1)",
+    "z-scored / scaled (negative values present)",
+    "raw counts (integers)",
+    "likely raw counts (small integers)",
+    "log-normalized (floats, range 0-15)",
+    "normalized (floats, not log-transformed)",
+)
+
+
 def scan_state(x: DataFrame) -> DataFrame:
-    """What the stored values look like: raw counts, log-normalised, scaled or unknown."""
+    """What the stored values look like, by those that are not 0."""
     v = F.col("value").cast("double")
-    a = x.where(v != 0).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("spread"), F.coalesce(F.every(F.abs(v - F.rint(v)) < 1e-6), F.lit(True)).alias("whole"))
-    state = F.when(F.col("low") < 0, "scaled").when(F.col("whole"), "raw_counts").when(F.col("high") < 20, "log_normalized").otherwise("unknown")
+    near = F.abs(v - F.rint(v)) <= 1e-8 + 1e-5 * F.abs(F.rint(v))
+    a = x.where(v != 0).agg(F.min(v).alias("low"), F.max(F.abs(v)).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("spread"), F.every(near).alias("whole"))
+    standard = (F.col("spread") > 0.5) & (F.col("spread") < 2.0) & (F.abs("mean") < 1.0)
+    state = (
+        F.when(F.col("low").isNull(), STATES[0]).when((F.col("low") < 0) & standard, STATES[1]).when(F.col("low") < 0, STATES[2])
+        .when(F.col("whole") & (F.col("high") > 20), STATES[3]).when(F.col("whole"), STATES[4]).when(F.col("high") < 15, STATES[5]).otherwise(STATES[6])
+    )
     return a.withColumn("state", state)

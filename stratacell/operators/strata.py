@@ -38,6 +38,11 @@ def derive_coarse(atomic: DataFrame, axes: Sequence[str], gene: str = "gene_id")
     return atomic.groupBy(*axes, gene).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
+def in_order(strata: DataFrame, axes: Sequence[str], gene: str = "gene_id") -> DataFrame:
+    """Strata by their axes, one after the other, and then by gene."""
+    return strata.orderBy(*axes, gene)
+
+
 def grouping_sets(atomic: DataFrame, sets: Sequence[Sequence[str]], gene: str = "gene_id") -> DataFrame:
     """Several coarse tables in one pass; ``level`` has a bit for each axis that was summed over."""
     axes = sorted(set(chain.from_iterable(sets)))
@@ -47,6 +52,11 @@ def grouping_sets(atomic: DataFrame, sets: Sequence[Sequence[str]], gene: str =
     )
 
 
+def surely_too_many(store: Store, axes: Sequence[str], most: int = MOST_TUPLES) -> bool:
+    """A cheap first look: whether an approximate count of tuples is far above the cap."""
+    return (store.obs.agg(F.approx_count_distinct(F.struct(*axes))).first()[0] or 0) > 2 * most
+
+
 def preflight(store: Store, axes: Sequence[str], most: int = MOST_TUPLES) -> DataFrame:
     """For each axis its labels and share of nulls, beside the number of tuples; ``ok`` if the strata may be built."""
     missing = [a for a in axes if a not in store.obs.columns]

@@ -1,15 +1,17 @@
-"""Which table answers a question: the smallest strata that cover its axes, or else a scan of the matrix."""
+"""Which table answers a question: the smallest strata that cover its axes, or else a scan of the matrix; and the named operators."""
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import stats, strata
+from ..operators import annotations, catalog, chat, matrix, stats, strata
 from ..sources.store import Store
-from ..sources.store_io import add_part, manifest, read_part
+from ..sources.store_io import add_part, manifest, read_part, strata_tables
+from ..streaming import usage
 
 OPERATORS: dict[str, Callable] = {}
 
@@ -26,8 +28,42 @@ def register(name: str) -> Callable:
     return put
 
 
-for _f in (stats.compare_groups, stats.find_markers, stats.top_expressed, stats.gene_panel, stats.gene_summary):
-    register(_f.__name__)(_f)
+for _module in (stats, annotations, matrix, strata, catalog, chat, usage):
+    for _name, _f in sorted(vars(_module).items()):
+        if inspect.isfunction(_f) and _f.__module__ == _module.__name__ and not _name.startswith("_"):
+            register(_name)(_f)
+
+#: JSON types of the arguments that a caller writes down; tables and stores are objects that the caller has.
+JSON_TYPES = {"str": "string", "int": "integer", "float": "number", "bool": "boolean", "Sequence": "array", "list": "array", "tuple": "array", "dict": "object"}
+
+
+def arguments(name: str) -> dict:
+    """The JSON schema of an operator's arguments."""
+    properties, required = {}, []
+    for p in inspect.signature(OPERATORS[name]).parameters.values():
+        kinds = [JSON_TYPES.get(k.strip().split("[")[0], "null" if k.strip() == "None" else "object") for k in str(p.annotation).split("|")]
+        properties[p.name] = {"type": kinds[0] if len(kinds) == 1 else kinds}
+        if p.default is inspect.Parameter.empty:
+            required.append(p.name)
+        elif isinstance(p.default, (str, int, float, bool)):
+            properties[p.name]["default"] = p.default
+    return {"type": "object", "properties": properties, "required": required, "additionalProperties": False}
+
+
+def call(name: str, **given):
+    """Runs an operator by name; arguments that it lacks or does not know are an error that names them."""
+    if name not in OPERATORS:
+        raise KeyError(f"no operator {name}")
+    schema = arguments(name)
+    wrong = [k for k in given if k not in schema["properties"]] + [k for k in schema["required"] if k not in given]
+    if wrong:
+        raise ValueError(f"{name}: arguments missing or unknown: {wrong}")
+    python = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": (list, tuple), "object": object, "null": type(None)}
+    for k, v in given.items():
+        kinds = schema["properties"][k]["type"]
+        if not isinstance(v, tuple(t for kind in ([kinds] if isinstance(kinds, str) else kinds) for t in (python[kind] if isinstance(python[kind], tuple) else (python[kind],)))):
+            raise ValueError(f"{name}: {k} is {type(v).__name__}, not {kinds}")
+    return OPERATORS[name](**given)
 
 
 def covering(tables: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -54,23 +90,51 @@ def build_strata(spark: SparkSession, root: str, store: Store, atomic: Sequence[
     if unknown:
         raise ValueError(f"axes that the atomic table lacks: {unknown}")
     if not add_only:
-        if strata.preflight(store, atomic).where("not ok").count():
+        if strata.surely_too_many(store, atomic) or strata.preflight(store, atomic).where("not ok").count():
             raise ValueError("preflight failed")
-        add_part(root, "strata", strata.build_atomic(store, atomic).sortWithinPartitions(*atomic, "gene_id"), "atomic", True, snapshot, list(atomic))
+        add_part(root, "strata", strata.in_order(strata.build_atomic(store, atomic), atomic), "atomic", True, snapshot, list(atomic))
         add_part(root, "strata_cells", strata.strata_cells(store, atomic), "atomic", True, snapshot, list(atomic))
     base, cells = (read_part(spark, root, p, "atomic") for p in ("strata", "strata_cells"))
     for axes in coarse:
         key = "-".join(axes) or "all"
-        add_part(root, "strata", strata.derive_coarse(base, axes), key, True, snapshot, list(axes))
+        add_part(root, "strata", strata.in_order(strata.derive_coarse(base, axes), axes), key, True, snapshot, list(axes))
         add_part(root, "strata_cells", cells.groupBy(*axes).agg(F.sum("n_cells").alias("n_cells")), key, True, snapshot, list(axes))
 
 
 def group_sums(spark: SparkSession, root: str | None, store: Store, axis: str, snapshot: str = "1") -> tuple[DataFrame, DataFrame, str]:
     """The sums of each group of ``axis``, from the smallest fresh table that covers it, or from a scan; and which it was."""
     if root:
-        fresh = manifest(spark, root).where((F.col("part") == "strata") & (F.col("snapshot") == snapshot))
-        found = covering(fresh, [axis]).first()
+        found = covering(strata_tables(spark, root, snapshot), [axis]).first()
         if found:
             s, c = (read_part(spark, root, p, found["key"]) for p in ("strata", "strata_cells"))
             return *strata.as_groups(s, c, axis), found["key"]
     return *stats.group_sums(store, axis), "scan"
+
+
+def compare_groups(spark: SparkSession, root: str | None, store: Store, axis: str, a: str, b: str, n: int = 10, snapshot: str = "1") -> DataFrame:
+    """:func:`stats.compare_groups` from strata where they are fresh and know both groups, else by a scan."""
+    return stats.compare_groups(*_knowing(spark, root, store, axis, (a, b), snapshot), store.var, a, b, n)
+
+
+def find_markers(spark: SparkSession, root: str | None, store: Store, axis: str, group: str, n: int = 10, snapshot: str = "1") -> DataFrame:
+    return stats.find_markers(*_knowing(spark, root, store, axis, (group,), snapshot), store.var, group, n)
+
+
+def markers_of_all_groups(spark: SparkSession, root: str | None, store: Store, axis: str, n: int = 5, snapshot: str = "1") -> DataFrame:
+    return stats.markers_of_all_groups(*group_sums(spark, root, store, axis, snapshot)[:2], store.var, n)
+
+
+def top_expressed(spark: SparkSession, root: str | None, store: Store, axis: str, group: str, n: int = 10, snapshot: str = "1") -> DataFrame:
+    return stats.top_of_sums(*_knowing(spark, root, store, axis, (group,), snapshot), store.var, group, n)
+
+
+def gene_panel(spark: SparkSession, root: str | None, store: Store, axis: str, genes: Sequence[int], snapshot: str = "1") -> DataFrame:
+    return stats.panel_of_sums(*group_sums(spark, root, store, axis, snapshot)[:2], store.var, genes, store.labels(axis))
+
+
+def _knowing(spark: SparkSession, root: str | None, store: Store, axis: str, groups: Sequence[str], snapshot: str) -> tuple[DataFrame, DataFrame]:
+    """The sums of :func:`group_sums`; of a scan if the strata lack one of the groups."""
+    sums, cells, route = group_sums(spark, root, store, axis, snapshot)
+    if route != "scan" and cells.where(F.col("group").isin(list(groups))).count() < len(set(groups)):
+        return stats.group_sums(store, axis)
+    return sums, cells

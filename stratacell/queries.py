@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import annotations as an
 from .operators import catalog, chat, matrix, stats, strata
+from .plans import router
 from .sources import store as st
+from .sources import store_io
 from .streaming import usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,15 +101,115 @@ k AS (SELECT label, gene_id, sum(v) AS sa, sum(v * v) AS qa FROM dx GROUP BY ALL
 s AS (SELECT label, gene_id, sa, qa, na, sum(sa) OVER (PARTITION BY gene_id) - sa AS sb, sum(qa) OVER (PARTITION BY gene_id) - qa AS qb, n - na AS nb FROM k JOIN c ON label = g, t),
 """ + _two_sample("a", "b", f"SELECT label AS \"group\", CAST(rank AS INTEGER) AS rank, CAST(gene_id AS INTEGER) AS gene_id, {R('ma')} AS mean_a, {R('mb')} AS mean_b, {R('d')} AS cohens_d, {R('t')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(d) DESC NULLS LAST, gene_id) AS rank FROM e) WHERE rank <= 5"))
 def find_markers_all_groups(spark, d):
-    return rounded(stats.markers_of_all_groups(*stats.group_sums(st.dense_store(spark, d), "label"), 5))
+    s = st.dense_store(spark, d)
+    return rounded(stats.markers_of_all_groups(*stats.group_sums(s, "label"), s.var, 5))
+
+
+_SPARSE_MARKERS = f"""WITH {SPARSE}, c AS (SELECT priority AS g, count(*) AS na FROM so GROUP BY 1), t AS (SELECT count(*) AS n FROM so),
+k AS (SELECT priority AS g, gene_id, sum(v) AS x, sum(v * v) AS xx FROM sx JOIN so USING (cell_id) GROUP BY ALL),
+z AS (SELECT g, na, p_partkey AS gene_id, coalesce(x, 0) AS sa, coalesce(xx, 0) AS qa FROM c CROSS JOIN part LEFT JOIN k USING (g, gene_id)),
+s AS (SELECT g, gene_id, sa, qa, na, sum(sa) OVER (PARTITION BY gene_id) - sa AS sb, sum(qa) OVER (PARTITION BY gene_id) - qa AS qb, n - na AS nb FROM z, t),
+""".replace("LEFT JOIN k USING (g, gene_id)", "LEFT JOIN k ON k.g = c.g AND k.gene_id = p_partkey").replace("SELECT g, na,", "SELECT c.g, na,") + _two_sample("a", "b", f"SELECT g AS \"group\", CAST(rank AS INTEGER) AS rank, gene_id, {R('ma')} AS mean_a, {R('mb')} AS mean_b, {R('d')} AS cohens_d, {R('t')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY abs(d) DESC NULLS LAST, gene_id) AS rank FROM e) WHERE rank <= 20")
+
+
+@query(_SPARSE_MARKERS)
+def find_markers_all_groups_sparse(spark, d):
+    """Over a store that leaves zeros out: a gene that a group does not express is among its markers."""
+    s = st.sparse_store(spark, d)
+    return rounded(stats.markers_of_all_groups(*stats.group_sums(s, "priority"), s.var, 20))
+
+
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, d) -> tuple[str, st.Store]:
+    """The sparse store on disk with its strata, written once for a session and input: (root, the store read back)."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ROOTS:
+        root = store_io.new_root(spark)
+        s = st.sparse_store(spark, d)
+        s = replace(s, layers={"doubled": s.x.withColumn("value", F.col("value") * 2)}, obsp={"same_gene": s.x.select(F.col("cell_id").alias("row_id"), F.col("gene_id").alias("col_id"), "value")})
+        store_io.write_store(root, s)
+        router.build_strata(spark, root, store_io.open_store(spark, root), ["priority", "status", "segment"], [["priority"], ["status", "segment"]])
+        _ROOTS[key] = root
+    return _ROOTS[key], store_io.open_store(spark, _ROOTS[key])
+
+
+@query(_SPARSE_COMPARE)
+def compare_groups_routed(spark, d):
+    """The same comparison, from the smallest stored strata that cover it."""
+    root, s = _stored(spark, d)
+    return rounded(router.compare_groups(spark, root, s, "priority", "1-URGENT", "5-LOW", 20))
 
 
-@query(f"""WITH {SPARSE}, n AS (SELECT count(*) AS n FROM so WHERE priority = '1-URGENT')
-SELECT gene_id, {R("sum(v) / any_value(n)")} AS mean, {R("count(*) FILTER (WHERE v > 0) / any_value(n)")} AS fraction FROM sx JOIN so USING (cell_id), n WHERE priority = '1-URGENT' GROUP BY gene_id ORDER BY sum(v) / any_value(n) DESC, gene_id LIMIT 10""")
+@query(_SPARSE_MARKERS)
+def find_markers_routed(spark, d):
+    root, s = _stored(spark, d)
+    return rounded(router.markers_of_all_groups(spark, root, s, "priority", 20))
+
+
+_TOP = f"""WITH {SPARSE}, n AS (SELECT count(*) AS n FROM so WHERE priority = '1-URGENT')
+SELECT gene_id, {R("sum(v) / any_value(n)")} AS mean, {R("count(*) FILTER (WHERE v > 0) / any_value(n)")} AS fraction FROM sx JOIN so USING (cell_id), n WHERE priority = '1-URGENT' GROUP BY gene_id ORDER BY sum(v) / any_value(n) DESC, gene_id LIMIT 10"""
+
+
+@query(_TOP)
 def top_expressed_genes(spark, d):
     return rounded(stats.top_expressed(st.sparse_store(spark, d), "priority", "1-URGENT", 10))
 
 
+@query(_TOP)
+def top_expressed_routed(spark, d):
+    root, s = _stored(spark, d)
+    return rounded(router.top_expressed(spark, root, s, "priority", "1-URGENT", 10))
+
+
+@query(f"""WITH {SPARSE}, c AS (SELECT status, count(*) AS n FROM so GROUP BY 1), a AS (SELECT status, gene_id, sum(v) AS s, count(*) FILTER (WHERE v > 0) AS z FROM sx JOIN so USING (cell_id) GROUP BY ALL)
+SELECT c.status AS "group", CAST(g AS BIGINT) AS gene_id, n AS n_cells, {R("coalesce(s, 0) / n")} AS mean, {R("coalesce(z, 0) / n")} AS fraction FROM c CROSS JOIN (VALUES (3), (4), (11)) v(g) LEFT JOIN a ON a.status = c.status AND a.gene_id = g""")
+def gene_panel_routed(spark, d):
+    """A panel by an axis that only a coarse table of two axes covers."""
+    root, s = _stored(spark, d)
+    return rounded(router.gene_panel(spark, root, s, "status", [3, 4, 11]).withColumn("gene_id", F.col("gene_id").cast("long")))
+
+
+@query(f"""WITH {SPARSE} SELECT cell_id, coalesce(v, 0) AS value FROM so LEFT JOIN (SELECT * FROM sx WHERE gene_id = 7) USING (cell_id)""")
+def stored_gene_column(spark, d):
+    """One gene of a store that was written and read back, laid out by gene."""
+    return _stored(spark, d)[1].gene(7)
+
+
+@query(f"""WITH {SPARSE} SELECT cell_id, {R("2 * coalesce(sum(v), 0)")} AS total FROM so LEFT JOIN sx USING (cell_id) GROUP BY 1""")
+def stored_layer_totals(spark, d):
+    return rounded(matrix.cell_totals(_stored(spark, d)[1].from_layer("doubled")))
+
+
+@query(f"""WITH {SPARSE} SELECT cell_id AS row_id, gene_id AS col_id, {R("v")} AS value FROM sx""")
+def stored_pairs(spark, d):
+    return rounded(_stored(spark, d)[1].obsp["same_gene"])
+
+
+@query(f"""WITH {SPARSE}, l AS (SELECT 'status' AS "column", status AS label FROM so UNION SELECT 'priority', priority FROM so UNION SELECT 'segment', segment FROM so UNION SELECT 'nation', nation FROM so)
+SELECT "column", CAST(row_number() OVER (PARTITION BY "column" ORDER BY label) - 1 AS INTEGER) AS code, label FROM l""")
+def stored_categories(spark, d):
+    return _stored(spark, d)[1].categories.select("column", "code", "label")
+
+
+@query(f"""WITH {SPARSE} SELECT priority, gene_id, {R("sum(v)")} AS sum_x, {R("sum(v * v)")} AS sum_xx, count(*) FILTER (WHERE v > 0) AS nnz FROM sx JOIN so USING (cell_id) WHERE priority IN ('1-URGENT', '5-LOW') AND gene_id IN (3, 4, 11) GROUP BY ALL""")
+def strata_of_genes_and_rows(spark, d):
+    """A few genes of a few strata from a stored table."""
+    rows = spark.createDataFrame([("1-URGENT",), ("5-LOW",)], "priority string")
+    return rounded(store_io.read_strata(spark, _stored(spark, d)[0], "priority", [3, 4, 11], rows)[0])
+
+
+@query(f"""WITH {SPARSE} SELECT status, segment, count(*) AS n_cells FROM so GROUP BY ALL""")
+def strata_keys(spark, d):
+    return store_io.strata_keys(spark, _stored(spark, d)[0], "status-segment")
+
+
+@query("SELECT true AS has_atomic, CAST(2 AS BIGINT) AS n_coarse, 'priority,status-segment' AS coarse FROM (SELECT count(*) FROM orders)")
+def strata_summary(spark, d):
+    return store_io.strata_summary(spark, _stored(spark, d)[0]).withColumn("coarse", F.array_join("coarse", ","))
+
+
 @query(f"""WITH {DENSE}, x AS (SELECT * FROM dx WHERE label = '4'), n AS (SELECT count(*) AS n FROM embeddings WHERE label = 4), f AS (SELECT gene_id, min(v) AS floor FROM x GROUP BY 1)
 SELECT CAST(gene_id AS INTEGER) AS gene_id, {R("sum(v) / any_value(n)")} AS mean, {R("count(*) FILTER (WHERE v > floor) / any_value(n)")} AS fraction FROM x JOIN f USING (gene_id), n GROUP BY gene_id ORDER BY sum(v) / any_value(n) DESC, gene_id LIMIT 10""")
 def top_expressed_above_min(spark, d):
@@ -296,11 +399,17 @@ def hvg_dispersion(spark, d):
     return rounded(matrix.dispersion_genes(st.sparse_store(spark, d), 100))
 
 
-@query(f"""WITH {SPARSE} SELECT {R("min(v)")} AS low, {R("max(v)")} AS high, {R("avg(v)")} AS mean, {R("stddev_pop(v)")} AS spread, true AS whole, 'raw_counts' AS state FROM sx WHERE v <> 0""")
+@query(f"""WITH {SPARSE} SELECT {R("min(v)")} AS low, {R("max(v)")} AS high, {R("avg(v)")} AS mean, {R("stddev_pop(v)")} AS spread, bool_and(abs(v - round(v)) <= 1e-8) AS whole, CASE WHEN bool_and(abs(v - round(v)) <= 1e-8) AND max(v) > 20 THEN 'raw counts (integers)' END AS state FROM sx WHERE v <> 0""")
 def x_state(spark, d):
     return rounded(stats.scan_state(st.sparse_store(spark, d).x))
 
 
+@query(f"""WITH {DENSE} SELECT {R("min(v)")} AS low, {R("max(abs(v))")} AS high, {R("avg(v)")} AS mean, {R("stddev_pop(v)")} AS spread, false AS whole,
+CASE WHEN stddev_pop(v) > 0.5 AND stddev_pop(v) < 2 AND abs(avg(v)) < 1 THEN 'z-scored / scaled (negative values, std ~1)' ELSE 'z-scored / scaled (negative values present)' END AS state FROM dx WHERE v <> 0""")
+def x_state_dense(spark, d):
+    return rounded(stats.scan_state(st.dense_store(spark, d).x))
+
+
 @query(f"WITH {DENSE} SELECT cell_id, CAST(gene_id AS INTEGER) AS gene_id, {R('v')} AS value FROM dx WHERE v <> 0")
 def coo_from_dense(spark, d):
     return rounded(st.dense_store(spark, d).x)
@@ -358,18 +467,34 @@ def decode_nullable(spark, d):
     return matrix.decode_nullable(o.select(F.col("o_orderkey").alias("cell_id"), F.col("o_orderstatus").alias("value"), (F.col("o_orderkey") % 5 == 0).alias("mask")))
 
 
-@query("SELECT p_partkey AS gene_id, p_type AS feature_type, p_name AS gene_symbol FROM part")
+@query("SELECT p_partkey AS gene_id, p_name AS var_names, p_type AS ensembl, p_name AS gene_symbol FROM part")
 def prepare_var(spark, d):
     p = st.table(spark, d, "part")
-    return matrix.prepare_var(p.select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("feature_name"), F.col("p_type").alias("feature_type"), "p_size"), known=("gene_id", "feature_type"))
+    return matrix.prepare_var(p.select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("var_names"), F.col("p_type").alias("ensembl"), "p_size"))
 
 
-@query("""SELECT o_orderkey::VARCHAR AS cell_name, 'sf_' || o_orderkey AS cell_key, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END, 'unknown') AS cell_type, o_orderpriority AS disease, 'UMI' AS expression_unit FROM orders WHERE o_orderkey % 3 <> 0""")
+_PREPARED = """ob AS (SELECT o_orderkey::VARCHAR AS cell_name, 'sf_' || o_orderkey AS cell_id, o_custkey::VARCHAR AS sample, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END, 'unknown') AS cell_type, o_orderstatus AS author_cell_type, 't' AS technology,
+  'UMI' AS expression_unit, o_clerk_ AS site, o_orderpriority AS disease, o_custkey::VARCHAR AS patient, 'd' AS dataset_id FROM (SELECT *, o_orderpriority AS o_clerk_ FROM orders) WHERE o_orderkey % 3 <> 0)"""
+
+
+def _prepared(spark, d) -> st.Store:
+    """Orders in two parts, each prepared on its own, as one joint matrix of counts."""
+    o, s = st.table(spark, d, "orders"), st.sparse_store(spark, d)
+    obs = o.select(F.col("o_orderkey").alias("cell_id"), F.col("o_custkey").alias("sample_id"), F.expr("if(o_orderkey % 4 = 0, null, o_orderstatus)").alias("cell_type"), F.col("o_orderstatus").alias("cell_type_study"), F.lit("t").alias("platform"), F.lit("TPM").alias("expression_unit"),
+                   F.col("o_orderpriority").alias("tissue"), F.col("o_orderpriority").alias("disease"), F.col("o_custkey").alias("donor_id"), F.lit("d").alias("dataset"), F.expr("if(o_orderkey % 3 = 0, 'scaled', 'raw counts')").alias("matrix_type"))
+    var = s.var.select("gene_id", F.col("var_name").alias("var_names"))
+    parts = [st.Store(obs.where(f"cell_id % 2 = {k}"), var, s.x.withColumn("value", F.lit(0.0)), layers={"counts": s.x}) for k in (0, 1)]
+    return matrix.concatenate_stores([matrix.prepare(p, "sf") for p in parts])
+
+
+@query(f"WITH {_PREPARED} SELECT * FROM ob")
 def preprocess_counts(spark, d):
-    o = st.table(spark, d, "orders")
-    obs = o.select(F.col("o_orderkey").alias("cell_id"), F.expr("if(o_orderkey % 4 = 0, null, o_orderstatus)").alias("celltype"), F.col("o_orderpriority").alias("condition"), F.expr("if(o_orderkey % 3 = 0, 'scaled', 'raw counts')").alias("matrix_type"))
-    parts = [matrix.prepare_obs(obs.where(f"cell_id % 2 = {k}"), "sf") for k in (0, 1)]
-    return matrix.concatenate(parts).select("cell_name", "cell_key", "cell_type", "disease", "expression_unit")
+    return _prepared(spark, d).obs
+
+
+@query(f"WITH {SPARSE}, {_PREPARED} SELECT ob.cell_id, gene_id, {R('v')} AS value FROM sx JOIN ob ON ob.cell_name = sx.cell_id::VARCHAR")
+def preprocess_matrix(spark, d):
+    return rounded(_prepared(spark, d).x)
 
 
 @query(f"""WITH {SPARSE} SELECT 'cell_id' AS "column", 'numeric' AS dtype, NULL::BIGINT AS cardinality, NULL::VARCHAR AS "values" UNION ALL SELECT 'total_price', 'numeric', NULL, NULL
@@ -392,10 +517,29 @@ def gene_labels(spark, d):
     return rounded(an.relabel(s.x.groupBy("gene_id").agg(F.sum("value").alias("total")), s.var, "brand"))
 
 
-@query(f"""WITH {SPARSE} SELECT (SELECT count(*) FROM so) AS n_obs, (SELECT count(*) FROM part) AS n_var, (SELECT count(*) FROM sx) AS entries, 'status,priority,segment,nation,total_price' AS obs_columns,
+@query(f"""WITH {SPARSE}, l AS (SELECT 'status' AS c, status AS label FROM so UNION SELECT 'priority', priority FROM so UNION SELECT 'segment', segment FROM so UNION SELECT 'nation', nation FROM so),
+k AS (SELECT c || ':categorical:' || count(*) || ':' || string_agg(label, ',' ORDER BY label) AS f FROM l GROUP BY c UNION ALL SELECT 'total_price:numeric')
+SELECT (SELECT count(*) FROM so) AS n_obs, (SELECT count(*) FROM part) AS n_var, (SELECT count(*) FROM sx) AS entries, (SELECT string_agg(f, ';' ORDER BY f) FROM k) AS obs_facets, '' AS embeddings,
 {R("(SELECT count(*) FROM sx) / ((SELECT count(*) FROM so) * (SELECT count(*) FROM part))")} AS density""")
 def store_schema(spark, d):
-    return rounded(an.store_facts(st.sparse_store(spark, d)))
+    facts = an.store_facts(st.sparse_store(spark, d))
+    facet = lambda f: F.concat_ws(":", f["column"], f["dtype"], f["cardinality"].cast("string"), F.array_join(f["values"], ","))
+    return rounded(facts.withColumn("obs_facets", F.array_join(F.array_sort(F.transform("obs_facets", facet)), ";")).withColumn("embeddings", F.array_join("embeddings", ",")))
+
+
+@query("SELECT p_name AS symbol, first AS gene_id FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 9 = 0) JOIN (SELECT p_name AS n, min(p_partkey) AS first FROM part GROUP BY 1) ON n = p_name UNION ALL SELECT 'no such gene', NULL FROM (SELECT count(*) FROM part)")
+def gene_positions(spark, d):
+    v = st.sparse_store(spark, d).var
+    wanted = v.where("gene_id % 9 = 0").select(F.col("var_name").alias("symbol")).distinct().union(spark.range(1).select(F.lit("no such gene")))
+    return an.gene_positions(v, wanted, "var_name")
+
+
+@query("SELECT 'no ' || p_name AS symbol, min(p_partkey) AS place FROM part GROUP BY 1 ORDER BY place LIMIT 5")
+def unknown_genes(spark, d):
+    v = st.sparse_store(spark, d).var
+    names = v.groupBy("var_name").agg(F.min("gene_id").alias("place"))
+    wanted = names.select(F.concat(F.lit("no "), "var_name").alias("symbol"), "place").union(names.select("var_name", F.col("place") - 1))
+    return an.unknown_genes(v, wanted, "var_name")
 
 
 def _catalog(spark, d):
@@ -532,13 +676,14 @@ def thread_title(spark, d):
     return chat.titles(_messages(spark, d))
 
 
-@query("SELECT conv_id AS thread_id, count(*) AS n_messages, CAST(max(length(text)) AS INTEGER) AS longest, CAST(sum(length(text)) AS BIGINT) AS total, count(*) > 6 OR max(length(text)) > 900 OR sum(length(text)) > 3000 AS oversized FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS thread_id, count(*) AS n_messages, CAST(max(length(text)) AS INTEGER) AS longest, CAST(sum(length(text)) AS BIGINT) AS total, CAST(max(length(text)) * 3 AS INTEGER) AS view_size, count(*) > 30 OR max(length(text)) > 4000 OR sum(length(text)) > 40000 OR max(length(text)) * 3 > 4096 AS oversized FROM conversations GROUP BY 1")
 def oversized_turns(spark, d):
-    return chat.oversized(_messages(spark, d), 6, 900, 3000)
+    m = _messages(spark, d)
+    return chat.oversized(m, views=m.select("thread_id", F.repeat("text", F.lit(3)).alias("view_state")))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE role IN ('user', 'assistant'))
-SELECT conv_id AS thread_id, NOT coalesce(bool_or(role = b), false) AND arg_max(role, turn) = 'user' AS ok FROM m GROUP BY 1""")
+@query("""WITH m AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id AS thread_id, bool_and(role = CASE WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END) AND arg_max(role, turn) = 'user' AS ok FROM m GROUP BY 1""")
 def role_alternation(spark, d):
     return chat.alternating(_messages(spark, d))
 
@@ -556,9 +701,12 @@ def claim_history(spark, d):
     return chat.claim_history(e, c)
 
 
-@query("SELECT conv_id AS thread_id, turn, CASE WHEN conv_id % 2 = 1 THEN '[redacted]' WHEN octet_length(text::BLOB) > 4096 THEN text[1:1024] || '[truncated]' ELSE text END AS text FROM conversations".replace("octet_length(text::BLOB)", "strlen(text)"))
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'tool' ELSE role END AS role, CASE WHEN turn % 3 = 0 THEN repeat(text, 12) ELSE text END AS text FROM conversations)
+SELECT conv_id AS thread_id, turn, CASE WHEN role <> 'tool' AND conv_id % 2 = 1 THEN '[redacted]' WHEN role <> 'tool' THEN text WHEN conv_id % 2 = 1 THEN '{"_redacted":"tool_result"}' WHEN length(text) > 4096 THEN '{"_truncated":true,"_size_bytes":' || length(text) || '}' ELSE text END AS text FROM m""")
 def redact_private(spark, d):
     m = _messages(spark, d)
+    tool = F.col("turn") % 3 == 0
+    m = m.withColumn("text", F.when(tool, F.repeat("text", F.lit(12))).otherwise(F.col("text"))).withColumn("role", F.when(tool, "tool").otherwise(F.col("role")))
     return chat.redact_private(m, m.where("thread_id % 2 = 0")).select("thread_id", "turn", "text")
 
 

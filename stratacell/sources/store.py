@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +12,27 @@ INT32 = 2**31 - 1
 
 @dataclass
 class Store:
-    """``obs(cell_id, ..)``, ``var(gene_id, ..)``, ``x(cell_id, gene_id, value)``, ``obsm(key, cell_id, coords)``."""
+    """``obs(cell_id, ..)``, ``var(gene_id, ..)``, ``x(cell_id, gene_id, value)``, ``obsm(key, cell_id, coords)``; by name ``layers``
+    (like ``x``), ``obsp`` and ``varp`` (row_id, col_id, value); ``uns(path, value_json)``; ``categories(column, code, label)``,
+    the declared labels of cell columns in their order."""
 
     obs: DataFrame
     var: DataFrame
     x: DataFrame
     obsm: DataFrame | None = None
     layers: dict[str, DataFrame] = field(default_factory=dict)
+    obsp: dict[str, DataFrame] = field(default_factory=dict)
+    varp: dict[str, DataFrame] = field(default_factory=dict)
+    uns: DataFrame | None = None
+    categories: DataFrame | None = None
+
+    def labels(self, column: str) -> DataFrame | None:
+        """(label, code) of the labels that are declared for a cell column; none where nothing is declared."""
+        return None if self.categories is None else self.categories.where(F.col("column") == column).select("label", "code")
+
+    def from_layer(self, layer: str = "counts") -> Store:
+        """The store with a layer as its matrix."""
+        return replace(self, x=self.matrix(layer))
 
     def matrix(self, layer: str | None = None) -> DataFrame:
         if layer is None:
@@ -74,10 +88,13 @@ def csr_from_coo(x: DataFrame) -> DataFrame:
     return x.groupBy("cell_id").agg(entry.alias("e")).select(F.col("cell_id").alias("row"), F.col("e.gene_id").alias("indices"), F.col("e.value").alias("data"))
 
 
-def densify(x: DataFrame, n_genes: int) -> DataFrame:
-    """(cell_id, values) with ``n_genes`` values for each cell that has an entry."""
+def densify(x: DataFrame, n_genes: int, cells: DataFrame | None = None) -> DataFrame:
+    """(cell_id, values) with ``n_genes`` values for each cell that has an entry, or for all ``cells`` (cell_id)."""
     entries = x.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("gene_id").cast("int"), "value"))).alias("m"))
-    return entries.select("cell_id", F.transform(F.sequence(F.lit(0), F.lit(n_genes - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("values"))
+    if cells is not None:
+        entries = cells.select("cell_id").join(entries, "cell_id", "left")
+    value = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
+    return entries.select("cell_id", F.transform(F.sequence(F.lit(0), F.lit(n_genes - 1)), value).alias("values"))
 
 
 def index_bounds(x: DataFrame) -> DataFrame:
@@ -86,6 +103,14 @@ def index_bounds(x: DataFrame) -> DataFrame:
     return out.select("*", (F.greatest("max_cell", "max_gene", "entries") <= INT32).alias("fits_int32"))
 
 
+def need_int32(x: DataFrame) -> DataFrame:
+    """``x`` itself; an error where an index or the number of entries does not fit 32 bits."""
+    bounds = index_bounds(x).first()
+    if bounds["fits_int32"] is False:
+        raise ValueError(f"too large for 32-bit indices: {bounds.asDict()}")
+    return x
+
+
 def by_gene(x: DataFrame, partitions: int | None = None) -> DataFrame:
     """The matrix laid out for reads of one gene: ranges of genes, sorted, so that Parquet statistics prune."""
     split = x.repartitionByRange(partitions, "gene_id") if partitions else x.repartitionByRange("gene_id")

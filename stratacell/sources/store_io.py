@@ -1,74 +1,151 @@
-"""Stores on disk: a folder of Parquet tables beside a manifest whose rows mark finished parts."""
+"""Stores on disk: a folder of Parquet tables beside a manifest whose rows mark finished parts.
+
+Each write of a part goes to a folder of its own, and the manifest row that
+names the folder comes last. So a part that is being written, or whose write
+failed, is invisible, and what it would replace stays readable. Folders that the
+manifest names no longer are left for readers that still use them.
+"""
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.matrix import categories
 from .store import Store, by_gene
 
-PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers")
-KEYED = ("obsm", "layers")
-MANIFEST = "part string, key string, snapshot string, axes array<string>"
+PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells")
+KEYED = ("obsm", "obsp", "varp", "layers", "strata", "strata_cells")
+#: Parts that may have no rows.
+MAYBE_EMPTY = ("x", "obsm", "layers", "strata", "strata_cells", "categories")
+MANIFEST = "part string, key string, snapshot string, axes array<string>, path string"
 
 
 class PartExists(ValueError):
     """The part is there already; ``overwrite`` replaces it."""
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, in the folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> None:
+    """Sets the folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set, on one machine."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
+def new_root(spark: SparkSession) -> str:
+    """A new folder name in the folder that ``spark.checkpoint.dir`` names."""
+    shared(spark)
+    sc = spark.sparkContext
+    return f"{(sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir()).rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """The finished parts, the last entry of each."""
     try:
         rows = spark.read.schema(MANIFEST + ", at timestamp").parquet(f"{root}/manifest")
     except AnalysisException:
         return spark.createDataFrame([], MANIFEST + ", at timestamp")
-    return rows.groupBy("part", "key").agg(F.max_by("snapshot", "at").alias("snapshot"), F.max_by("axes", "at").alias("axes"), F.max("at").alias("at"))
+    last = rows.groupBy("part", "key").agg(F.max_by(F.struct("snapshot", "axes", "path"), "at").alias("m"), F.max("at").alias("at"))
+    return last.select("part", "key", "m.snapshot", "m.axes", "m.path", "at")
 
 
-def _finish(spark: SparkSession, root: str, part: str, key: str, snapshot: str, axes: list[str] | None) -> None:
-    row = spark.createDataFrame([(part, key, snapshot, axes)], MANIFEST).withColumn("at", F.current_timestamp())
+def _finish(spark: SparkSession, root: str, part: str, key: str, snapshot: str, axes: list[str] | None, path: str) -> None:
+    row = spark.createDataFrame([(part, key, snapshot, axes, path)], MANIFEST).withColumn("at", F.current_timestamp())
     row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
 
 
 def add_part(root: str, part: str, df: DataFrame, key: str = "", overwrite: bool = False, snapshot: str = "1", axes: list[str] | None = None) -> None:
-    """Write one part; its manifest row comes last, so an unfinished part is invisible."""
+    """Write one part; its manifest row comes last, so an unfinished part is invisible and an overwritten one readable until then."""
     spark = df.sparkSession
-    if part == "raw" or part.split("/")[0] not in (*PARTS, "strata", "strata_cells"):
+    if part not in PARTS:
         raise ValueError(f"cannot add {part}")
-    if key and part not in (*KEYED, "strata", "strata_cells"):
-        raise ValueError(f"{part} has no keys")
-    if part not in (*KEYED, "strata", "strata_cells", "x") and df.isEmpty():
+    if bool(key) != (part in KEYED):
+        raise ValueError(f"{part} needs a key" if part in KEYED else f"{part} has no keys")
+    if part not in MAYBE_EMPTY and df.isEmpty():
         raise ValueError(f"{part} is empty")
     if not overwrite and not manifest(spark, root).where((F.col("part") == part) & (F.col("key") == key)).isEmpty():
         raise PartExists(f"{part}/{key}")
     if part == "obsm":
         df = df.withColumn("coords", F.transform("coords", lambda c: c.cast("float")))
-    out = by_gene(df) if part in ("x", "layers") else df
-    out.write.mode("overwrite").parquet(f"{root}/{part}/{key}" if key else f"{root}/{part}")
-    _finish(spark, root, part, key, snapshot, axes)
+    path = "/".join([part, *[key] * bool(key), uuid.uuid4().hex])
+    (by_gene(df) if part in ("x", "layers") else df).write.parquet(f"{root}/{path}")
+    _finish(spark, root, part, key, snapshot, axes, path)
 
 
 def read_part(spark: SparkSession, root: str, part: str, key: str = "") -> DataFrame:
-    if manifest(spark, root).where((F.col("part") == part) & (F.col("key") == key)).isEmpty():
+    found = manifest(spark, root).where((F.col("part") == part) & (F.col("key") == key)).select("path").first()
+    if found is None:
         raise KeyError(f"no finished part {part}/{key}")
-    return spark.read.parquet(f"{root}/{part}/{key}" if key else f"{root}/{part}")
+    return spark.read.parquet(f"{root}/{found['path']}")
+
+
+def strata_tables(spark: SparkSession, root: str, snapshot: str | None = None) -> DataFrame:
+    """(key, axes, snapshot) of the finished strata whose cells are finished too; of one snapshot if asked for."""
+    m = manifest(spark, root)
+    done = m.where("part = 'strata'").join(m.where("part = 'strata_cells'").select("key", "snapshot"), ["key", "snapshot"], "left_semi")
+    return (done if snapshot is None else done.where(F.col("snapshot") == snapshot)).select("key", "axes", "snapshot")
+
+
+def has_strata(spark: SparkSession, root: str, key: str = "atomic") -> bool:
+    return not strata_tables(spark, root).where(F.col("key") == key).isEmpty()
+
+
+def strata_summary(spark: SparkSession, root: str) -> DataFrame:
+    """One row: whether the atomic table is there, how many coarse ones, and their keys."""
+    t = strata_tables(spark, root)
+    coarse = F.col("key") != "atomic"
+    return t.agg(F.coalesce(F.bool_or(~coarse), F.lit(False)).alias("has_atomic"), F.count_if(coarse).alias("n_coarse"), F.sort_array(F.collect_list(F.when(coarse, F.col("key")))).alias("coarse"))
+
+
+def read_strata(spark: SparkSession, root: str, key: str, genes: Sequence[int] | None = None, strata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sums and the cells of a table. ``genes`` keeps the sums of those genes, and of none the strata stay; ``strata``
+    (some of the axes) keeps the strata that it names, missing labels included."""
+    sums, cells = read_part(spark, root, "strata", key), read_part(spark, root, "strata_cells", key)
+    if genes is not None:
+        sums = sums.where(F.col("gene_id").isin(list(genes))) if genes else sums.where("false")
+    if strata is not None:
+        named = strata.distinct()
+        some = lambda t: t.join(named, [t[c].eqNullSafe(named[c]) for c in strata.columns], "left_semi")
+        sums, cells = some(sums), some(cells)
+    return sums, cells
+
+
+def strata_keys(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The strata of a table and their cells; the sums are not read."""
+    return read_part(spark, root, "strata_cells", key)
+
+
+def declared(obs: DataFrame) -> DataFrame:
+    """(column, code, label): every text column of the cells is categorical, its labels in order."""
+    text = [c for c, t in obs.dtypes if t == "string"]
+    if not text:
+        return obs.sparkSession.createDataFrame([], "column string, code int, label string")
+    return categories(obs, text)
 
 
 def write_store(root: str, store: Store, overwrite: bool = False, hook: Callable[[str, str], None] = lambda event, part: None) -> None:
     """Write all parts. ``hook`` hears (event, part): ``done`` after each part, ``error`` before what went wrong is raised, ``complete``."""
-    parts = [(p, "", getattr(store, p)) for p in ("obs", "var", "x")] + [("layers", name, layer) for name, layer in store.layers.items()]
+    labels = store.categories if store.categories is not None else declared(store.obs)
+    parts = [("obs", "", store.obs), ("var", "", store.var), ("x", "", store.x), ("categories", "", labels)]
+    parts += [(part, name, table) for part in ("layers", "obsp", "varp") for name, table in getattr(store, part).items()]
+    if store.uns is not None:
+        parts.append(("uns", "", store.uns))
     if store.obsm is not None:  # a handful of embedding names
         parts += [("obsm", key, store.embedding(key)) for (key,) in store.obsm.select("key").distinct().collect()]
     for part, key, df in parts:
@@ -91,12 +168,28 @@ def open_store(spark: SparkSession, root: str) -> Store:
     for _, key in sorted(k for k in keys if k[0] == "obsm"):
         one = read_part(spark, root, "obsm", key).select(F.lit(key).alias("key"), "cell_id", "coords")
         obsm = one if obsm is None else obsm.unionByName(one)
-    layers = {key: read_part(spark, root, "layers", key) for part, key in keys if part == "layers"}
-    return Store(*(read_part(spark, root, p) for p in ("obs", "var", "x")), obsm, layers)
+    named = {part: {key: read_part(spark, root, part, key) for p, key in sorted(keys) if p == part} for part in ("layers", "obsp", "varp")}
+    single = {part: read_part(spark, root, part) for part in ("uns", "categories") if (part, "") in keys}
+    return Store(*(read_part(spark, root, p) for p in ("obs", "var", "x")), obsm, **named, **single)
 
 
-def layout(spark: SparkSession, root: str) -> DataFrame:
-    """Files and bytes of each part."""
+def layout(spark: SparkSession, root: str, value_bytes: int = 4) -> DataFrame:
+    """Files and bytes of each finished part, and for the matrix the ratio of a dense array's bytes to those on disk."""
+    live = manifest(spark, root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path", "length")
-    part = F.regexp_extract(F.substring_index("path", root.rstrip("/") + "/", -1), r"^([^/]+)", 1)
-    return files.groupBy(part.alias("part")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.avg("length").alias("mean_bytes"))
+    folder = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), r"/[^/]*$", "")
+    files = files.select(folder.alias("path"), "length").join(live.select("part", "path"), "path")
+    out = files.groupBy("part").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.avg("length").alias("mean_bytes"))
+    if live.where("part in ('obs', 'var')").count() < 2:
+        return out.withColumn("ratio", F.lit(None).cast("double"))
+    dense = read_part(spark, root, "obs").count() * read_part(spark, root, "var").count() * value_bytes
+    return out.withColumn("ratio", F.when(F.col("part") == "x", F.lit(float(dense)) / F.col("bytes")))
+
+
+def actual_layout(spark: SparkSession, root: str) -> DataFrame:
+    """(part, key, columns, rows) of each finished part, as its files have them; ``columns`` is JSON of names and types."""
+    out = spark.createDataFrame([], "part string, key string, columns string, rows long")
+    for part, key in manifest(spark, root).select("part", "key").orderBy("part", "key").collect():  # a row for each part
+        t = read_part(spark, root, part, key)
+        out = out.unionByName(t.agg(F.count("*").alias("rows")).select(F.lit(part).alias("part"), F.lit(key).alias("key"), F.lit(json.dumps(dict(t.dtypes))).alias("columns"), "rows"))
+    return out

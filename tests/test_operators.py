@@ -1,12 +1,17 @@
 import datetime
 import json
+import math
 import os
 import random
+import statistics
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratacell import Store
+from stratacell.functions import scalars
 from stratacell.functions.scalars import as_label
 from stratacell.operators import annotations, catalog, chat, matrix, stats, strata
 from stratacell.plans import router
@@ -15,28 +20,56 @@ from stratacell.sources import store_io
 from stratacell.streaming import usage
 
 
+KINDS, SUBJECTS = ["gut", "lung", "gut", "skin", "lung", "gut", "lung"], ["p", "p", "q", "q", "q", "p", "q"]
+#: Seven cells and four genes: a rule with some zeros; no cell has the last gene but the fourth one.
+GRID = [[float((3 * i + 2 * j * j + i * j) % 5) if j < 3 else float(i == 3) for j in range(4)] for i in range(7)]
+
+
 @pytest.fixture(scope="module")
 def tiny(spark):
-    obs = spark.createDataFrame([(0, "A", "d1"), (1, "A", "d2"), (2, "B", "d1"), (3, "B", "d2"), (4, "C", "d1")], "cell_id long, cell_type string, donor string")
-    var = spark.createDataFrame([(0, "gene1"), (1, "gene2"), (2, "gene3")], "gene_id int, var_name string")
-    rows = spark.createDataFrame([(0, [1.0, 2.0, 0.0]), (1, [3.0, 4.0, 0.0]), (2, [5.0, 0.0, 1.0]), (3, [0.0, 0.0, 2.0]), (4, [1.0, 1.0, 1.0])], "cell_id long, v array<float>")
+    obs = spark.createDataFrame(list(zip(range(7), KINDS, SUBJECTS, strict=True)), "cell_id long, kind string, subject string")
+    var = spark.createDataFrame([(j, f"name{j}") for j in range(4)], "gene_id int, var_name string")
+    rows = spark.createDataFrame(list(enumerate(GRID)), "cell_id long, v array<float>")
     return Store(obs, var, st.coo_from_dense(rows, "cell_id", "v"))
 
 
+def _of(kind: str, gene: int) -> list[float]:
+    return [row[gene] for row, k in zip(GRID, KINDS, strict=True) if k == kind]
+
+
 def test_atomic_and_coarse(tiny):
-    atomic = strata.build_atomic(tiny, ["cell_type", "donor"])
-    assert strata.strata_cells(tiny, ["cell_type", "donor"]).count() == 5
-    got = {r["cell_type"]: (r["sum_x"], r["sum_xx"], r["nnz"]) for r in strata.derive_coarse(atomic, ["cell_type"]).where("gene_id = 0").collect()}
-    assert got == {"A": (4, 10, 2), "B": (5, 25, 1), "C": (1, 1, 1)}
+    atomic = strata.build_atomic(tiny, ["kind", "subject"])
+    assert strata.strata_cells(tiny, ["kind", "subject"]).count() == len(set(zip(KINDS, SUBJECTS, strict=True)))
+    got = {(r["kind"], r["gene_id"]): (r["sum_x"], r["sum_xx"], r["nnz"]) for r in strata.derive_coarse(atomic, ["kind"]).collect()}
+    want = {(k, j): (sum(x), sum(v * v for v in x), sum(v > 0 for v in x)) for k in set(KINDS) for j in range(4) if any(x := _of(k, j))}
+    assert got == want
+    rows = strata.in_order(strata.derive_coarse(atomic, ["subject", "kind"]), ["subject", "kind"]).select("subject", "kind", "gene_id").collect()
+    assert rows == sorted(rows) and len(rows) > 8
 
 
 def test_statistics_from_sums(spark):
-    rows = [(15.0, 55.0, 5, 25.0, 135.0, 5), (50.0, 500.0, 5, 50.0, 500.0, 5), (5.0, 15.0, 5, 15.0, 55.0, 5)]
+    pairs = [([2.0, 7.0, 3.0, 9.0], [1.0, 0.0, 4.0]), ([6.0, 6.0], [6.0, 6.0, 6.0]), ([0.5, 1.5, 0.0], [8.0, 2.5])]
+    rows = [tuple(x for g in p for x in (sum(g), sum(v * v for v in g), len(g))) for p in pairs]
     s = spark.createDataFrame(rows, "sum_x_a double, sum_xx_a double, n_a long, sum_x_b double, sum_xx_b double, n_b long")
-    got = [(r["cohens_d"], r["t"]) for r in stats.two_sample(s).collect()]
-    assert got[1] == (None, None)
-    for d, t in (got[0], got[2]):
-        assert d == pytest.approx(-1.2649, abs=1e-4) and t == pytest.approx(-2)
+    for (a, b), r in zip(pairs, stats.two_sample(s).collect(), strict=True):
+        va, vb, diff = statistics.variance(a), statistics.variance(b), statistics.mean(a) - statistics.mean(b)
+        if va + vb == 0:
+            assert (r["cohens_d"], r["t"]) == (None, None)
+        else:
+            assert r["cohens_d"] == pytest.approx(diff / math.sqrt(((len(a) - 1) * va + (len(b) - 1) * vb) / (len(a) + len(b) - 2)))
+            assert r["t"] == pytest.approx(diff / math.sqrt(va / len(a) + vb / len(b)))
+
+
+def test_markers_of_all_groups_equal_those_of_each(spark, tiny):
+    """In a store that leaves zeros out, a gene that a group does not express is a marker like any other."""
+    sums, cells = stats.group_sums(tiny, "kind")
+    every = stats.markers_of_all_groups(sums, cells, tiny.var, 4).collect()
+    for kind in ("gut", "lung"):
+        one = stats.find_markers(sums, cells, tiny.var, kind, 4).collect()
+        got = sorted((r for r in every if r["group"] == kind), key=lambda r: r["rank"])
+        assert [r["gene_id"] for r in got] == [r["gene_id"] for r in one] and len(got) == 4
+        assert [r["cohens_d"] for r in got] == pytest.approx([r["cohens_d"] for r in one])
+    assert not [r for r in every if r["group"] == "skin"]  # one cell is no group
 
 
 def test_routes_agree(spark, tiny, tmp_path):
@@ -45,18 +78,84 @@ def test_routes_agree(spark, tiny, tmp_path):
     with pytest.raises(store_io.PartExists):
         store_io.add_part(root, "obs", tiny.obs)
     back = store_io.open_store(spark, root)
-    router.build_strata(spark, root, back, ["cell_type", "donor"], [["cell_type"]])
+    router.build_strata(spark, root, back, ["kind", "subject"], [["kind"]])
     with pytest.raises(ValueError):
-        router.build_strata(spark, root, back, ["cell_type"])
+        router.build_strata(spark, root, back, ["kind"])
     answers = []
-    for axis, where, snapshot in (("cell_type", root, "1"), ("donor", root, "1"), ("donor", root, "old"), ("donor", None, "1")):
+    for axis, where, snapshot in (("kind", root, "1"), ("subject", root, "1"), ("subject", root, "old"), ("subject", None, "1")):
         s, c, route = router.group_sums(spark, where, back, axis, snapshot)
         answers.append((route, sorted(map(tuple, s.select("group", "gene_id", "sum_x", "sum_xx", "nnz").collect())), sorted(map(tuple, c.collect()))))
-    assert [a[0] for a in answers] == ["cell_type", "atomic", "scan", "scan"]
+    assert [a[0] for a in answers] == ["kind", "atomic", "scan", "scan"]
     assert answers[1][1:] == answers[2][1:] == answers[3][1:]
-    router.build_strata(spark, root, back, [], [["donor"]], add_only=True)
-    assert router.group_sums(spark, root, back, "donor")[2] == "donor"
-    assert store_io.layout(spark, root).where("part = 'x'").first()["files"] >= 1
+    router.build_strata(spark, root, back, [], [["subject"]], add_only=True)
+    assert router.group_sums(spark, root, back, "subject")[2] == "subject"
+    for where in (root, None):
+        assert router.top_expressed(spark, where, back, "kind", "gut", 4).collect() == stats.top_expressed(tiny, "kind", "gut", 4).collect()
+        assert router.find_markers(spark, where, back, "kind", "lung", 4).collect() == stats.find_markers(*stats.group_sums(tiny, "kind"), tiny.var, "lung", 4).collect()
+        assert router.compare_groups(spark, where, back, "kind", "gut", "lung", 4).collect() == stats.compare_groups(*stats.group_sums(tiny, "kind"), tiny.var, "gut", "lung", 4).collect()
+    tables = store_io.strata_tables(spark, root)
+    assert router.exact(tables, ["subject", "kind"]).first()["key"] == "atomic" and router.exact(tables, ["kind"]).first()["key"] == "kind"
+    assert router.exact(tables.where("key <> 'kind'"), ["kind"]).count() == 0 and router.covering(tables.where("key <> 'kind'"), ["kind"]).first()["key"] == "atomic"
+    assert store_io.has_strata(spark, root) and not store_io.has_strata(spark, root, "none")
+    assert tuple(store_io.strata_summary(spark, root).first()) == (True, 2, ["kind", "subject"])
+    sums, cells = store_io.read_strata(spark, root, "atomic", genes=[])
+    assert sums.count() == 0 and cells.count() == strata.strata_cells(tiny, ["kind", "subject"]).count()
+    sums, cells = store_io.read_strata(spark, root, "atomic", [0, 2], spark.createDataFrame([("gut",)], "kind string"))
+    assert {r["gene_id"] for r in sums.collect()} <= {0, 2} and {r["kind"] for r in cells.collect()} == {"gut"}
+
+
+def test_a_failed_overwrite_leaves_what_was_there(spark, tiny, tmp_path):
+    root = str(tmp_path / "store")
+    store_io.write_store(root, tiny)
+    router.build_strata(spark, root, tiny, ["kind"])
+    before = sorted(map(tuple, store_io.read_part(spark, root, "obs").collect()))
+    sums = store_io.read_strata(spark, root, "atomic")[0].count()
+    broken = tiny.obs.withColumn("kind", F.raise_error(F.lit("no luck")).cast("string"))
+    with pytest.raises(Exception, match="no luck"):
+        store_io.add_part(root, "obs", broken, overwrite=True)
+    assert sorted(map(tuple, store_io.read_part(spark, root, "obs").collect())) == before
+    bad = Store(tiny.obs, tiny.var, tiny.x.withColumn("value", F.raise_error(F.lit("no luck")).cast("double")))
+    with pytest.raises(Exception, match="no luck"):
+        router.build_strata(spark, root, bad, ["kind"], force=True)
+    assert store_io.read_strata(spark, root, "atomic")[0].count() == sums
+    # a reader that opened the store before an overwrite keeps reading what it opened
+    old = store_io.open_store(spark, root)
+    store_io.add_part(root, "obs", tiny.obs.limit(2), overwrite=True)
+    assert old.obs.count() == 7 and store_io.open_store(spark, root).obs.count() == 2
+
+
+def test_all_parts_come_back(spark, tiny, tmp_path):
+    root = str(tmp_path / "store")
+    coords = spark.createDataFrame([("flat", i, [float(i), 0.5]) for i in range(7)], "key string, cell_id long, coords array<double>")
+    pairs = spark.createDataFrame([(0, 1, 0.25), (1, 0, 0.25)], "row_id long, col_id long, value double")
+    uns = spark.createDataFrame([("colours", "[1]")], "path string, value_json string")
+    labels = spark.createDataFrame([("kind", 0, "skin"), ("kind", 1, "gut"), ("kind", 2, "lung"), ("kind", 3, "eye")], "column string, code int, label string")
+    full = Store(tiny.obs, tiny.var, tiny.x, coords, {"counts": tiny.x.withColumn("value", F.col("value") * 3)}, {"near": pairs}, {"linked": pairs}, uns, labels)
+    store_io.write_store(root, full)
+    back = store_io.open_store(spark, root)
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.select(*x.columns).collect()))
+    assert same(back.obsp["near"], pairs) and same(back.varp["linked"], pairs) and same(back.uns, uns) and same(back.categories, labels) and same(back.layers["counts"], full.layers["counts"])
+    assert dict(back.obsm.dtypes)["coords"] == "array<float>" and back.embedding("flat").count() == 7
+    assert same(back.from_layer("counts").x, full.layers["counts"])
+    with pytest.raises(KeyError):
+        back.from_layer("none")
+    # declared labels, empty ones too, are the groups of a panel, and their order breaks ties
+    panel = {(r["group"], r["gene_id"]): (r["mean"], r["n_cells"]) for r in stats.gene_panel(back, "kind", [0, 1]).collect()}
+    assert panel[("eye", 0)] == (0.0, 0) and panel[("gut", 1)] == (pytest.approx(sum(_of("gut", 1)) / 3), 3) and len(panel) == 8
+    obs = spark.createDataFrame([(i, "s", k) for i, k in enumerate(["gut", "skin", "lung"])], "cell_id long, site string, kind string")
+    first = annotations.bar_composition(obs, "site", ["s"], "kind", most=1, declared=back.labels("kind"))
+    assert {r["label"] for r in first.collect()} == {"skin", "All other"}
+    files = {r["part"]: r for r in store_io.layout(spark, root).collect()}
+    assert files["x"]["files"] >= 1 and files["x"]["ratio"] == pytest.approx(7 * 4 * 4 / files["x"]["bytes"]) and files["obs"]["ratio"] is None
+    parts = {(r["part"], r["key"]): (json.loads(r["columns"]), r["rows"]) for r in store_io.actual_layout(spark, root).collect()}
+    assert parts[("obsp", "near")] == ({"row_id": "bigint", "col_id": "bigint", "value": "double"}, 2) and parts[("obs", "")][1] == 7
+    with pytest.raises(ValueError):
+        store_io.add_part(root, "raw", tiny.x)
+    with pytest.raises(ValueError):
+        store_io.add_part(root, "uns", uns.where("false"), overwrite=True)
+    # one gene is read by row groups that hold it
+    plan = back.x.where("gene_id = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(gene_id,2)" in plan
 
 
 def test_unfinished_part_is_invisible(spark, tiny, tmp_path):
@@ -79,6 +178,10 @@ def test_normalisation_of_empty_cells(spark, tiny):
         matrix.normalize_log1p(empty)
     one = Store(tiny.obs, tiny.var, tiny.x.where("cell_id <> 3"))
     assert matrix.cell_totals(one).where("cell_id = 3").first()["total"] == 0
+    n = matrix.normalized(tiny)
+    totals = sorted(sum(r) for r in GRID if sum(r))
+    scaled = n.x.groupBy("cell_id").agg(F.sum(F.expm1("value")).alias("t")).collect()
+    assert [r["t"] for r in scaled] == pytest.approx([statistics.median(totals)] * len(totals)) and n.uns.first()["path"] == "log1p"
 
 
 def test_errors(spark, tiny):
@@ -87,18 +190,31 @@ def test_errors(spark, tiny):
     with pytest.raises(ValueError):
         annotations.filter_by_expression(tiny, 0, 2, 1)
     with pytest.raises(ValueError):
-        annotations.describe_numeric(tiny.obs, "donor")
+        annotations.describe_numeric(tiny.obs, "subject")
     with pytest.raises(ValueError):
-        stats.compare_groups(*stats.group_sums(tiny, "cell_type"), tiny.var, "A", "C")
+        stats.compare_groups(*stats.group_sums(tiny, "kind"), tiny.var, "gut", "skin")
     with pytest.raises(ValueError):
-        annotations.color_by_category(Store(tiny.obs, tiny.var, tiny.x, spark.createDataFrame([("k", 0, [0.0, 1.0])], "key string, cell_id long, coords array<float>")), "donor", "k", ["nobody"])
+        annotations.color_by_category(Store(tiny.obs, tiny.var, tiny.x, spark.createDataFrame([("k", 0, [0.0, 1.0])], "key string, cell_id long, coords array<float>")), "subject", "k", ["nobody"])
+    with pytest.raises(ValueError, match="no cell"):
+        annotations.select_by_expression(tiny, 0, 99)
+    assert annotations.select_by_expression(tiny, 3, 1, 1)[1] == 1 and annotations.select_by_expression(tiny, 3, 0, 0)[1] == 6
+    with pytest.raises(ValueError, match="f, a, c, b, e$"):
+        annotations.genes_named(tiny.var, ["f", "name1", "a", "c", "b", "e", "d"])
+    assert annotations.genes_named(tiny.var, ["name2", "name0"]) == [2, 0]
+    with pytest.raises(ValueError):
+        st.need_int32(spark.createDataFrame([(2**31, 0, 1.0)], "cell_id long, gene_id int, value double"))
+    assert st.need_int32(tiny.x) is tiny.x
 
 
 def test_composition(spark):
-    site, kind = ["Adnexa"] * 4 + ["Omentum"] * 4, list("TTBFTBBF")
-    obs = spark.createDataFrame(list(zip(range(8), site, kind, strict=True)), "cell_id long, site string, cell_type string")
-    got = {(r["group"], r["label"]): r["share"] for r in annotations.bar_composition(obs, "site", ["Adnexa", "Omentum"], "cell_type").collect()}
-    assert got[("Adnexa", "T")] == 0.5 and got[("Omentum", "B")] == 0.5 and len(got) == 6
+    shelf, kind = ["low"] * 5 + ["high"] * 3, ["cup", "jar", "cup", None, "pan", "jar", "pan", "pan"]
+    obs = spark.createDataFrame(list(zip(range(8), shelf, kind, ["x", "y"] * 4, strict=True)), "cell_id long, shelf string, kind string, room string")
+    for where in ({}, {"room": "x"}):
+        rows = [(s, k) for i, (s, k) in enumerate(zip(shelf, kind, strict=True)) if not where or i % 2 == 0]
+        n = Counter(s for s, _ in rows)
+        want = {p: c / n[p[0]] for p, c in Counter(r for r in rows if r[1]).items()}
+        got = annotations.bar_composition(obs, "shelf", ["low", "high"], "kind", where=where).collect()
+        assert {(r["group"], r["label"]): pytest.approx(r["share"]) for r in got} == want
 
 
 def test_composition_ranks_labels_in_many_tasks(spark):
@@ -171,23 +287,28 @@ def test_harvest_stream(spark, tmp_path):
 
 
 def test_panels_show_empty_groups(spark, tiny):
-    only = Store(tiny.obs, tiny.var, tiny.x.where("cell_id <> 4"))
-    got = {(r["group"], r["gene_id"]): (r["mean"], r["fraction"]) for r in annotations.bar_gene_mean(only, "cell_type", ["A", "C"], [0, 1]).collect()}
-    assert got == {("A", 0): (2.0, 1.0), ("A", 1): (3.0, 1.0), ("C", 0): (0.0, 0.0), ("C", 1): (0.0, 0.0)}
-    axes = ["cell_type", "donor"]
-    dots = strata.dotplot(strata.build_atomic(only, axes), strata.strata_cells(only, axes), "cell_type", [1, 2], ["A", "C"])
-    assert sorted((r["group"], r["gene_id"], r["mean"], r["fraction"]) for r in dots.collect()) == [("A", 1, 3.0, 1.0), ("A", 2, 0.0, 0.0), ("C", 1, 0.0, 0.0), ("C", 2, 0.0, 0.0)]
+    only = Store(tiny.obs, tiny.var, tiny.x.where("cell_id <> 3"))
+    got = {(r["group"], r["gene_id"]): (r["mean"], r["fraction"]) for r in annotations.bar_gene_mean(only, "kind", ["gut", "skin", "eye"], [0, 1]).collect()}
+    mean = lambda k, j: (pytest.approx(sum(_of(k, j)) / len(_of(k, j))), pytest.approx(sum(v > 0 for v in _of(k, j)) / len(_of(k, j))))
+    assert got == {("gut", 0): mean("gut", 0), ("gut", 1): mean("gut", 1), **{(k, j): (0.0, 0.0) for k in ("skin", "eye") for j in (0, 1)}}
+    axes = ["kind", "subject"]
+    dots = strata.dotplot(strata.build_atomic(only, axes), strata.strata_cells(only, axes), "kind", [1, 2], ["gut", "skin"])
+    got = {(r["group"], r["gene_id"]): (r["mean"], r["fraction"]) for r in dots.collect()}
+    assert got == {("gut", 1): mean("gut", 1), ("gut", 2): mean("gut", 2), ("skin", 1): (0.0, 0.0), ("skin", 2): (0.0, 0.0)}
+    some = annotations.bar_gene_mean(tiny, "kind", ["gut"], [0], {"subject": "q"}).first()
+    assert (some["mean"], some["n_cells"]) == (GRID[2][0], 1)
 
 
 def test_missing_categories_are_a_group(tiny):
-    some = Store(tiny.obs.withColumn("cell_type", F.when(F.col("cell_type") != "B", F.col("cell_type"))), tiny.var, tiny.x)
-    axes = ["cell_type", "donor"]
+    some = Store(tiny.obs.withColumn("kind", F.when(F.col("kind") != "lung", F.col("kind"))), tiny.var, tiny.x)
+    axes = ["kind", "subject"]
     atomic, cells = strata.build_atomic(some, axes), strata.strata_cells(some, axes)
-    got = {(r["cell_type"], r["donor"]): (r["n_cells"], r["mean"]) for r in strata.statistics(atomic, cells, axes).where("gene_id = 2").collect()}
-    assert got[(None, "d1")] == (1, 1.0) and got[(None, "d2")] == (1, 2.0)
-    for rows in (strata.dotplot(atomic, cells, "cell_type", [0, 2]), stats.gene_panel(some, "cell_type", [0, 2])):
+    got = {(r["kind"], r["subject"]): (r["n_cells"], r["mean"]) for r in strata.statistics(atomic, cells, axes).where("gene_id = 2").collect()}
+    assert got[(None, "q")] == (2, (GRID[4][2] + GRID[6][2]) / 2)
+    for rows in (strata.dotplot(atomic, cells, "kind", [0, 2]), stats.gene_panel(some, "kind", [0, 2])):
         got = {(r["group"], r["gene_id"]): (r["mean"], r["fraction"], r["n_cells"]) for r in rows.collect()}
-        assert got[(None, 0)] == (2.5, 0.5, 2) and got[(None, 2)] == (1.5, 1.0, 2) and len(got) == 6
+        x = _of("lung", 0)
+        assert got[(None, 0)] == (pytest.approx(sum(x) / 3), pytest.approx(sum(v > 0 for v in x) / 3), 3) and len(got) == 6
 
 
 def test_floor_with_negative_values(spark):
@@ -208,32 +329,91 @@ def test_triples(spark):
 def test_reduction_in_blocks(spark, tiny):
     part = lambda rows: rows.groupby("gene_id", as_index=False)["value"].max()
     got = matrix.reduce_genes(tiny.x, part, part, "gene_id int, value double", block=2)
-    assert sorted(map(tuple, got.collect())) == [(0, 5.0), (1, 4.0), (2, 2.0)]
+    assert sorted(map(tuple, got.collect())) == [(j, max(r[j] for r in GRID)) for j in range(4)]
 
 
 def test_categories_round_trip(spark, tiny):
-    obs = tiny.obs.withColumn("donor", F.when(F.col("cell_id") > 0, F.col("donor")))
-    labels = matrix.categories(obs, ["cell_type", "donor"])
-    back = matrix.decode_categorical(matrix.encode_categorical(obs, ["cell_type", "donor"]), labels)
-    want = [(r["cell_id"], c, r[c]) for r in obs.collect() for c in ("cell_type", "donor")]
+    obs = tiny.obs.withColumn("subject", F.when(F.col("cell_id") > 0, F.col("subject")))
+    labels = matrix.categories(obs, ["kind", "subject"])
+    back = matrix.decode_categorical(matrix.encode_categorical(obs, ["kind", "subject"]), labels)
+    want = [(r["cell_id"], c, r[c]) for r in obs.collect() for c in ("kind", "subject")]
     assert sorted(map(tuple, back.collect()), key=str) == sorted(want, key=str)
 
 
 def test_hooks(spark, tiny, tmp_path):
     heard = []
     store_io.write_store(str(tmp_path / "s"), tiny, hook=lambda *e: heard.append(e))
-    assert heard == [("done", "obs"), ("done", "var"), ("done", "x"), ("complete", "")]
+    assert heard == [("done", "obs"), ("done", "var"), ("done", "x"), ("done", "categories"), ("complete", "")]
     with pytest.raises(store_io.PartExists):
         store_io.write_store(str(tmp_path / "s"), tiny, hook=lambda *e: heard.append(e))
     assert heard[-1] == ("error", "obs")
 
 
 def test_gene_columns(spark, tiny):
-    assert matrix.prepare_var(tiny.var).columns == ["gene_id", "gene_symbol"]
-    with pytest.raises(ValueError):
-        matrix.prepare_var(tiny.var.select(F.lit(1).alias("other")))
+    assert [r["gene_symbol"] for r in matrix.prepare_var(tiny.var).orderBy("gene_id").collect()] == ["0", "1", "2", "3"]
+    named = matrix.prepare_var(tiny.var.withColumnRenamed("var_name", "GeneSymbol").withColumn("Chromosome", F.lit(None).cast("string")).withColumn("extra", F.lit(1)))
+    assert named.columns == ["gene_id", "GeneSymbol", "Chromosome", "gene_symbol"] and tuple(named.where("gene_id = 1").first())[1:] == ("name1", "unknown", "name1")
+    order = [*annotations.LABEL_COLUMNS, "other"]
+    for k in range(len(order) - 1):
+        var = tiny.var.select("gene_id", *[F.lit(c).alias(c) for c in reversed(order[k:])])
+        assert annotations.label_column(var) == order[k]
+    assert annotations.label_column(tiny.var.select("gene_id")) == "gene_id"
     named = annotations.relabel(tiny.x.select("gene_id").distinct(), tiny.var.where("gene_id < 2"), "var_name")
-    assert sorted(r["label"] for r in named.collect()) == ["2", "gene1", "gene2"]
+    assert sorted(r["label"] for r in named.collect()) == ["2", "3", "name0", "name1"]
+
+
+def test_prepared_cells(spark, tiny):
+    obs = tiny.obs.select("cell_id", *[F.lit(c).alias(c) for c in ("sample_id", "donor_id", "platform", "tissue", "cell_type_study", "dataset", "cell_type")], F.lit("mine").alias("site"), F.lit(None).cast("string").alias("disease"), F.lit("TPM").alias("expression_unit"))
+    got = matrix.prepare_obs(obs, "d7").where("cell_id = 5").first()
+    assert tuple(got) == (5, "d7_5", "sample_id", "cell_type", "cell_type_study", "platform", "UMI", "mine", "unknown", "donor_id", "dataset", "5")
+    with pytest.raises(ValueError, match="disease"):
+        matrix.prepare_obs(obs.drop("disease"), "d7")
+    dense = {r["cell_id"]: r["values"] for r in st.densify(tiny.x.where("cell_id <> 2"), 4, tiny.obs).collect()}
+    assert dense == {i: r if i != 2 else [0.0] * 4 for i, r in enumerate(GRID)}
+
+
+def test_states_of_a_matrix(spark):
+    for values, state in (([0.0], 0), ([-1.2, 0.4, 1.1, -0.6], 1), ([-9.0, 30.0], 2), ([3.0, 21.0, 1.0], 3), ([20.0, 1.0], 4), ([0.5, 14.9], 5), ([0.5, 15.0], 6)):
+        x = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "cell_id long, gene_id int, value double")
+        assert stats.scan_state(x).first()["state"] == stats.STATES[state]
+
+
+def test_singular_values(spark, tiny):
+    scores, values = matrix.svd_scores(tiny, 3)
+    u, s, _ = np.linalg.svd(np.array(GRID), full_matrices=False)
+    assert values == pytest.approx(s[:3].tolist())
+    got = np.zeros((7, 3))
+    for r in scores.collect():
+        got[r["cell_id"], r["component"]] = r["score"]
+    assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-9)
+
+
+def test_neighbours_of_all_cells(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(600, 6)) + 9 * rng.integers(0, 4, (600, 1))
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "cell_id long, coords array<double>")
+    edges = matrix.knn_within(v, 5, radius=3.0, tables=12)
+    assert matrix.knn_recall(edges, v, v.where("cell_id % 20 = 0"), 5) > 0.9
+    assert edges.groupBy("row_id").count().agg(F.max("count")).first()[0] == 5 and edges.columns == ["row_id", "col_id", "value"]
+
+
+def test_turns(spark):
+    rows = [(1, "user"), (2, "assistant user"), (3, "user assistant user"), (4, "user user"), (5, "assistant user assistant user"), (6, "user assistant"), (7, "system user assistant user")]
+    m = spark.createDataFrame([(t, k, r, "x" * 10) for t, roles in rows for k, r in enumerate(roles.split())], "thread_id long, turn int, role string, text string")
+    assert {r["thread_id"] for r in chat.alternating(m).where("ok").collect()} == {1, 3, 7}
+    views = spark.createDataFrame([(1, "y" * 4097), (2, "y" * 4096), (3, None)], "thread_id long, view_state string")
+    assert {r["thread_id"] for r in chat.oversized(m, views=views).where("oversized").collect()} == {1}
+    for text, over in (("z" * 4001, True), ("z" * 4000, False)):
+        assert chat.oversized(m.withColumn("text", F.lit(text))).where("thread_id = 1").first()["oversized"] == over
+    assert chat.oversized(spark.range(31).select(F.lit(1).alias("thread_id"), F.lit("").alias("text"))).first()["oversized"]
+
+
+def test_redaction(spark):
+    d = spark.createDataFrame([(True, "a" * 4096), (True, "a" * 4097), (False, "a")], "public boolean, t string")
+    p, t = F.col("public"), F.col("t")
+    got = d.select(scalars.redacted(t, p), scalars.redacted_result(t, p), scalars.redacted_args(F.lit("find"), t, p), scalars.redacted_view(F.lit(None).cast("string"), p)).collect()
+    assert tuple(got[0]) == ("a" * 4096,) * 3 + (None,) and tuple(got[1])[:2] == ("a" * 4097, '{"_truncated":true,"_size_bytes":4097}')
+    assert tuple(got[2]) == ("[redacted]", '{"_redacted":"tool_result"}', '{"_redacted":"tool_args","tool":"find"}', None)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -255,7 +435,30 @@ def test_run_log(spark, tmp_path):
     assert got["status"] == "completed" and got["dataset"]["n_obs"] == 5 and got["dataset"]["n_vars"] == 7
 
 
-def test_copy_and_registry(spark, tiny, tmp_path):
-    assert catalog.copy_table(tiny.obs, str(tmp_path / "copy")).count() == 5
+def test_verified_copies(spark, tiny, tmp_path):
+    assert catalog.copy_table(tiny.obs, str(tmp_path / "copy")).count() == 7
+    tables = {"cells": tiny.obs, "entries": tiny.x}
+    links = {"entries.cell": ("entries", "cell_id", "cells", "cell_id")}
+    with pytest.raises(ValueError, match="not r2"):
+        catalog.copy_tables(tables, links, str(tmp_path / "a"), "r1", "r2")
+    with pytest.raises(ValueError, match="parent"):
+        catalog.copy_tables(tables | {"cells": tiny.obs.limit(2)}, links, str(tmp_path / "a"), "r1", "r1")
+    assert not (tmp_path / "a").exists()
+    rows = {r["table"]: r["rows"] for r in catalog.copy_tables(tables, links, str(tmp_path / "a"), "r1", "r1").collect()}
+    assert rows == {"cells": 7, "entries": tiny.x.count()}
+    with pytest.raises(Exception, match="exists"):
+        catalog.copy_tables(tables, links, str(tmp_path / "a"), "r1", "r1")
+
+
+def test_registry(spark, tiny):
     with pytest.raises(ValueError):
         router.register("compare_groups")(print)
+    assert len(router.OPERATORS) > 90
+    schema = router.arguments("search_genes")
+    assert schema["required"] == ["var", "query"] and schema["properties"]["limit"] == {"type": "integer", "default": 20}
+    assert [r["gene_id"] for r in router.call("search_genes", var=tiny.var, query="ME2").collect()] == [2]
+    for wrong in ({"var": tiny.var}, {"var": tiny.var, "query": "a", "more": 1}, {"var": tiny.var, "query": 3}):
+        with pytest.raises(ValueError):
+            router.call("search_genes", **wrong)
+    with pytest.raises(KeyError):
+        router.call("nothing")
