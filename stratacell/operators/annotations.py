@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.quantiles import exact_quantiles
 from ..sources.store import Store
 from .stats import MOST, clamp, panel_above_min
 
@@ -41,10 +42,11 @@ def describe_numeric(table: DataFrame, column: str) -> DataFrame:
     if kind in ("string", "boolean") or kind.startswith(("array", "map", "struct")):
         raise ValueError(f"{column} is {kind}, neither numeric nor categorical")
     v = F.col(column).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return table.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), q.alias("q"), F.stddev_pop(v).alias("spread"), F.count(v).alias("n")).select(
-        "n", "low", "high", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "spread"
-    )
+    q = exact_quantiles(table.select(v), [0.25, 0.5, 0.75]) or [None] * 3
+    return table.agg(
+        F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"),
+        *[F.lit(x).cast("double").alias(name) for x, name in zip(q, ("q1", "median", "q3"), strict=True)], F.stddev_pop(v).alias("spread"),
+    )
 
 
 def cluster_stats(cells: DataFrame, column: str) -> DataFrame:

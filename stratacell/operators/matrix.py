@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import as_label
 from ..sources.store import Store
 
@@ -23,15 +24,19 @@ def cell_totals(store: Store, layer: str | None = None) -> DataFrame:
 
 
 def normalize_log1p(store: Store, target: float | None = None, layer: str | None = None) -> DataFrame:
-    """log1p of values scaled so that each cell sums to ``target``: the median of the positive totals by default."""
+    """log1p of values scaled so that each cell sums to ``target``: the median of the positive totals by default. A cell's
+    total stands beside its entries after one shuffle by cell."""
     x = store.matrix(layer)
-    totals = x.groupBy("cell_id").agg(F.sum(F.col("value").cast("double")).alias("total"))
     if target is None:
-        target = totals.where("total > 0").agg(F.percentile("total", F.lit(0.5))).first()[0]
-        if target is None:
+        totals = x.groupBy("cell_id").agg(F.sum(F.col("value").cast("double")).alias("total"))
+        found = exact_quantiles(totals.where("total > 0").select("total"), [0.5])
+        if found is None:
             raise ValueError("all cells are empty")
+        target = found[0]
+    total = F.sum(F.col("value").cast("double")).over(Window.partitionBy("cell_id"))
+    rows = x.select("cell_id", "gene_id", F.col("value").cast("double").alias("value"), total.alias("total"))
     scale = F.coalesce(F.try_divide(F.lit(float(target)), F.col("total")), F.lit(0.0))
-    return x.join(totals, "cell_id").select("cell_id", "gene_id", F.log1p(F.col("value").cast("double") * scale).alias("value"))
+    return rows.select("cell_id", "gene_id", F.log1p(F.col("value") * scale).alias("value"))
 
 
 def select_ranked(var: DataFrame, n: int) -> DataFrame:
@@ -244,9 +249,15 @@ def knn_recall(edges: DataFrame, vectors: DataFrame, queries: DataFrame, k: int)
     return hit.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] or 0.0
 
 
+#: Queries that are met with all vectors; for more, or for all cells, there is :func:`knn_within`.
+MOST_QUERIES = 1_000_000
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(cell_id, neighbour, distance, rank): the ``k`` nearest of all ``vectors`` (cell_id, coords) to each query, by squared
     Euclidean distance. The query set is given and met with all rows in blocks; at most ``k`` candidates of each block go on."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
     blocks = vectors.withColumn("block", F.pmod(F.xxhash64("cell_id"), F.lit(64)))
     q = queries.select(F.col("cell_id").alias("q"), F.col("coords").alias("qc"))
     pair = q.crossJoin(blocks).where("q <> cell_id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stratacell import Store
 from stratacell.functions import scalars
+from stratacell.functions.quantiles import exact_quantiles
 from stratacell.functions.scalars import as_label
 from stratacell.operators import annotations, catalog, chat, matrix, stats, strata
 from stratacell.plans import router
@@ -168,8 +169,10 @@ def test_unfinished_part_is_invisible(spark, tiny, tmp_path):
 
 
 def test_missing_to_text(spark):
-    d = spark.createDataFrame([("a",), (None,), ("nan",), ("None",), ("b",)], "c string")
-    assert [r[0] for r in d.select(as_label(F.col("c"))).collect()] == ["a", "unknown", "unknown", "unknown", "b"]
+    d = spark.createDataFrame([(x,) for x in ("None", "blue", None, "", "none", "nan")], "c string")
+    assert [r[0] for r in d.select(as_label(F.col("c"))).collect()] == ["unknown", "blue", "unknown", "", "none", "unknown"]
+    n = spark.createDataFrame([(2.25,), (None,), (float("nan"),)], "c double")
+    assert [r[0] for r in n.select(as_label(F.col("c"), True)).collect()] == ["2.25", "unknown", "unknown"]
 
 
 def test_normalisation_of_empty_cells(spark, tiny):
@@ -372,6 +375,15 @@ def test_prepared_cells(spark, tiny):
     assert dense == {i: r if i != 2 else [0.0] * 4 for i, r in enumerate(GRID)}
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=30_000), np.r_[np.zeros(9000), np.arange(20_000.0)], np.array([4.0]), np.array([1.0, 2.0])):
+        d = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for most in (10**6, 0):
+            assert exact_quantiles(d, [0.0, 0.25, 0.5, 0.9, 1.0], most) == pytest.approx(np.quantile(values, [0.0, 0.25, 0.5, 0.9, 1.0]).tolist())
+    assert exact_quantiles(d.where("v is null"), [0.5]) is None
+
+
 def test_states_of_a_matrix(spark):
     for values, state in (([0.0], 0), ([-1.2, 0.4, 1.1, -0.6], 1), ([-9.0, 30.0], 2), ([3.0, 21.0, 1.0], 3), ([20.0, 1.0], 4), ([0.5, 14.9], 5), ([0.5, 15.0], 6)):
         x = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "cell_id long, gene_id int, value double")
