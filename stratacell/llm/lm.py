@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +50,9 @@ from .common import id_text_crc, stored
 from .textnum import GOLD, U, hashes, mix, slices, spans, utf8
 
 #: Discount of counts, and tokens of prior in contexts that are spread.
-DISCOUNT, PRIOR = 0.75, 4.0
+DISCOUNT, PRIOR = 0.9, 4.0
 #: Bytes of text of a batch, about; words and tokens of a shard, about.
-BATCH_BYTES, SHARD_WORDS, SHARD_TOKENS = 16 << 20, 1 << 21, 1 << 21
+BATCH_BYTES, SHARD_WORDS, SHARD_TOKENS = 8 << 20, 1 << 21, 3 << 19
 END = U(0x1234567890ABCDE1)
 #: Bits of a successor's hash within its context, and steps of a probability's logarithm.
 CHILD_BITS = 32
@@ -239,16 +240,14 @@ class Trie:
 
 
 def _blob(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
+    """Compressed by byte position, as the upper bytes of counts, codes and token numbers are mostly alike."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
 
 
-def _counts(a: np.ndarray) -> bytes:
-    """One byte for each count where they are all small, else four."""
-    return _blob(a.astype("u1" if not len(a) or a.max() < 256 else "<u4"))
-
-
-def _read(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "u1" if len(blob) == n else "<u4").astype(np.int64)
+def _array(blob: bytes, dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -259,8 +258,8 @@ def encode(docs: DataFrame) -> DataFrame:
         vocab, tokens = np.unique(h, return_inverse=True)
         return pa.RecordBatch.from_arrays(
             [pa.array([number]), pa.array([[d for p in parts for d in p[0].to_pylist()]], pa.list_(pa.int64())), pa.array([[t for p in parts for t in p[1].to_pylist()]], pa.list_(pa.bool_())),
-             pa.array([np.concatenate([p[3] for p in parts])], pa.list_(pa.int64())), pa.array([_blob(tokens.astype("<u2" if len(vocab) <= 1 << 16 else "<u4"))]), pa.array([_blob(vocab)])],
-            ["batch", "doc_id", "train", "n", "tokens", "vocab"],
+             pa.array([np.concatenate([p[3] for p in parts])], pa.list_(pa.int64())), pa.array([_blob(tokens.astype("<u4"))]), pa.array([_blob(vocab)]), pa.array([len(vocab)])],
+            ["batch", "doc_id", "train", "n", "tokens", "vocab", "kinds"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +281,7 @@ def encode(docs: DataFrame) -> DataFrame:
             yield batch_row(number, parts)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(id_text_crc("doc_id") % 10 != 0, F.lit(False)).alias("train"))
-    return own.mapInArrow(run, "batch long, doc_id array<long>, train array<boolean>, n array<long>, tokens binary, vocab binary")
+    return own.mapInArrow(run, "batch long, doc_id array<long>, train array<boolean>, n array<long>, tokens binary, vocab binary, kinds long")
 
 
 class Batch:
@@ -291,8 +290,7 @@ class Batch:
     def __init__(self, row: dict) -> None:
         self.number, self.doc_id = row["batch"], row["doc_id"]
         self.n = np.array(row["n"], np.int64)
-        self.tokens = np.frombuffer(row["tokens"], "<u2" if len(row["tokens"]) == 2 * self.n.sum() else "<u4")
-        self.vocab = np.frombuffer(row["vocab"], U)
+        self.tokens, self.vocab = _array(row["tokens"], "<u4"), _array(row["vocab"], U)
         self.learn = np.repeat(np.array(row["train"], bool), self.n)
 
     def words(self, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -304,7 +302,7 @@ class Batch:
 
     def ngrams(self, shards: int, hot: np.ndarray) -> None:
         """Distinct pairs and triples, and the order in which they are asked: by shard, context and successor."""
-        vocab, tokens = self.vocab, self.tokens.astype(np.uint32)
+        vocab, tokens = self.vocab, self.tokens
         begins = np.zeros(len(tokens), bool)
         begins[np.r_[0, np.cumsum(self.n)[:-1]]] = True
         before = np.r_[np.uint32(np.searchsorted(vocab, END)), tokens[:-1]]  # each text follows an end
@@ -358,7 +356,7 @@ class Batch:
             cut, of, third = (np.searchsorted(x, np.arange(shards + 1)) for x in (shard, shard[first], near_shard))
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 (a, b), (c, d), (e, f) = cut[k : k + 2], of[k : k + 2], third[k : k + 2]
-                yield k, part, _blob(context[first[c:d]]), _counts(n[c:d]), _blob(child[a:b]), _counts(count[a:b]), _counts(m[a:b]), _blob(near[e:f]), _counts(near_count[e:f])
+                yield k, part, _blob(context[first[c:d]]), *(_blob(x.astype("<u4")) for x in (n[c:d], child[a:b], count[a:b], m[a:b], near[e:f], near_count[e:f]))
 
 
 def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -386,8 +384,8 @@ def count_words(encoded: DataFrame, shards: int, share: int) -> DataFrame:
             yield _rows(["batch", "shard", "words", "counts"], [L, I, B, B], [(b.number, *w) for w in b.words(shards)])
 
     def answer(t: pa.Table) -> pa.Table:
-        words = [np.frombuffer(w.as_py(), U) for w in t["words"]]
-        counts = np.concatenate([np.frombuffer(c.as_py(), "<u4") for c in t["counts"]])
+        words = [_array(w.as_py(), U) for w in t["words"]]
+        counts = np.concatenate([_array(c.as_py(), "<u4") for c in t["counts"]])
         vocab, at = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(at, counts, len(vocab)).astype("<i8")
         cut, shard = np.cumsum([0, *map(len, words)]), t["shard"][0].as_py()
@@ -415,8 +413,7 @@ def count_ngrams(encoded: DataFrame, shards: int, hot: np.ndarray, tokens: int)
     def answer(t: pa.Table) -> pa.Table:
         asked = []
         for r in _each(t.to_batches()):
-            context, child, third = np.frombuffer(r["contexts"], U), np.frombuffer(r["children"], "<u4"), np.frombuffer(r["thirds"], "<u4")
-            asked.append((context, _read(r["n"], len(context)), child, _read(r["counts"], len(child)), _read(r["m"], len(child)), third, _read(r["third_counts"], len(third))))
+            asked.append((_array(r["contexts"], U), *(_array(r[c], "<u4") for c in ("n", "children", "counts", "m", "thirds", "third_counts"))))
         trie = Trie(asked, tokens)
         rows = [(b, s, p, *map(_blob, trie.answer(k, *asked[k][4:6]))) for k, (b, s, p) in enumerate(zip(t["batch"].to_pylist(), t["shard"].to_pylist(), t["part"].to_pylist(), strict=True))]
         return pa.Table.from_batches([_rows(["batch", "shard", "part", "alpha", "gamma", "third_alpha", "third_gamma"], [L, I, I, *[B] * 4], rows)])
@@ -438,7 +435,7 @@ def scored(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each document. ``shards`` of pairs and triples: as
     many as the tokens need, if not given."""
     encoded = stored(encode(docs), "encoded")
-    size = encoded.agg(F.coalesce(F.sum(F.length("vocab")), F.lit(0)) / 8, F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
+    size = encoded.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
     word_shards, shards = max(8, int(size[0] // SHARD_WORDS) + 1), shards or max(12, int(size[1] // SHARD_TOKENS) + 1)
 
     words = stored(count_words(encoded, word_shards, shards), "words")
@@ -454,7 +451,7 @@ def scored(docs: DataFrame, shards: int | None = None) -> DataFrame:
         for one in _each(left.to_batches()):
             b = Batch(one)
             b.ngrams(shards, hot)
-            got = lambda name, part, dtype: np.frombuffer(b"".join(x.as_py() for x, p in zip(order[name], order["part"], strict=True) if p.as_py() == part and x.is_valid), dtype)  # noqa: B023, E731
+            got = lambda name, part, dtype: np.concatenate([*(_array(x.as_py(), dtype) for x, p in zip(order[name], order["part"], strict=True) if p.as_py() == part), np.zeros(0, dtype)])  # noqa: B023, E731
             c = got("counts", -1, "<i8")
             p = (c + 0.1) / (total + 0.1 * (distinct + 1))
             n = len(b.last)
