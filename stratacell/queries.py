@@ -390,6 +390,15 @@ def hvg_select_ranked(spark, d):
     return matrix.select_ranked(v, 200).select("gene_id", "var_name")
 
 
+@query(f"""WITH {SPARSE}, t AS (SELECT cell_id, sum(v) AS total FROM sx GROUP BY 1) SELECT cell_id, gene_id, {R("ln(1 + v * (10000 / total))")} AS value FROM sx JOIN t USING (cell_id)
+WHERE gene_id IN (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 150)""")
+def hvg_matrix(spark, d):
+    """The normalised matrix of the genes of largest variance: totals are of all genes."""
+    s = st.sparse_store(spark, d)
+    best = matrix.select_ranked(s.var.withColumnRenamed("price", "vst.variance.standardized"), 150)
+    return rounded(matrix.restrict(matrix.normalize_log1p(s, 10_000), best))
+
+
 @query(f"""WITH {SPARSE}, n AS (SELECT count(*)::DOUBLE AS n FROM so), g AS (SELECT gene_id, sum(v) / any_value(n) AS mean, (sum(v * v) - sum(v) * sum(v) / any_value(n)) / (any_value(n) - 1) AS var FROM sx, n GROUP BY 1 HAVING sum(v) > 0),
 h AS (SELECT gene_id, mean, var / mean AS disp, ln(1 + mean) AS lm FROM g), b AS (SELECT *, least(floor((lm - min(lm) OVER ()) / nullif(max(lm) OVER () - min(lm) OVER (), 0) * 20), 19) AS bin FROM h),
 z AS (SELECT gene_id, mean, disp, CASE WHEN stddev_samp(ln(disp)) OVER (PARTITION BY bin) > 0 THEN (ln(disp) - avg(ln(disp)) OVER (PARTITION BY bin)) / stddev_samp(ln(disp)) OVER (PARTITION BY bin) ELSE 1 END AS score FROM b WHERE disp > 0),

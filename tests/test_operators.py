@@ -375,6 +375,17 @@ def test_prepared_cells(spark, tiny):
     assert dense == {i: r if i != 2 else [0.0] * 4 for i, r in enumerate(GRID)}
 
 
+def test_selected_genes(spark, tiny):
+    var = spark.createDataFrame([(0, 2.0, 0.5, True), (1, None, 3.0, False), (2, 1.0, None, True), (3, 3.0, 3.0, None)], "gene_id int, highly_variable_rank double, `vst.variance.standardized` double, highly_variable boolean")
+    chosen = lambda v, n: [r["gene_id"] for r in matrix.select_ranked(v, n).collect()]
+    assert chosen(var, 2) == [0, 2] and chosen(var, 9) == [0, 2, 3]
+    assert chosen(var.drop("highly_variable_rank"), 2) == [1, 3] and chosen(var.select("gene_id", "highly_variable"), 1) == [0] and chosen(var.select("gene_id"), 1) == [0, 1, 2, 3]
+    assert {r["gene_id"] for r in matrix.restrict(tiny.x, var.where("gene_id > 1")).select("gene_id").distinct().collect()} == {2, 3}
+    edges = matrix.knn_within(spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.0, 0.1]), (2, [9.0, 9.0])], "cell_id long, coords array<double>"), 1, 1.0)
+    with_graph = Store(tiny.obs, tiny.var, tiny.x, obsp={"distances": edges})
+    assert {(r["row_id"], r["col_id"]) for r in with_graph.obsp["distances"].collect()} == {(0, 1), (1, 0)}
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(2)
     for values in (rng.normal(size=30_000), np.r_[np.zeros(9000), np.arange(20_000.0)], np.array([4.0]), np.array([1.0, 2.0])):
