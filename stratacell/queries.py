@@ -788,6 +788,13 @@ def trace_summary(spark, d):
     return rounded(usage.trace_summary(e.select(F.when(bad, F.col("event_type")).alias("error"), F.when(~bad, F.col("event_id")).alias("bytes"), F.col("value").alias("elapsed_ms"))))
 
 
+@query(f"SELECT vec_id AS cell_id, {R('list_sum([x::DOUBLE * x::DOUBLE for x in embedding])')} AS squares FROM embeddings")
+def svd_norms(spark, d):
+    """On all singular directions a cell keeps its length."""
+    scores = matrix.svd_scores(st.dense_store(spark, d), 64)[0]
+    return rounded(scores.groupBy("cell_id").agg(F.sum(F.col("score") * F.col("score")).alias("squares")))
+
+
 @query()
 def svd_scores(spark, d):
     return matrix.svd_scores(st.dense_store(spark, d), 5)[0]
