@@ -31,6 +31,8 @@ RIDGE = 1e-3
 #: Steps of the raw score on which calibration counts labels.
 GRID = 400
 ACCEPT = 0.7
+#: Labels whose ids are broadcast, at most: 8 bytes each.
+BROADCAST_LABELS = 4_000_000
 CLASSES = [_flags(bytes(x)) for x in (range(65, 91), range(97, 123), range(48, 58), b"#*$%&|<>", b"!", b".,;:", b"\n", range(192, 256), b"?\"'()-")]
 
 
@@ -187,9 +189,18 @@ def scores(x: DataFrame, model: Model) -> DataFrame:
     return x.mapInArrow(run, "doc_id long, score double")
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have a label. The labels' ids are broadcast if they are few enough, else both sides are shuffled."""
+    ids = stored(labels.select("doc_id"), "label-ids")
+    few = ids.count() <= BROADCAST_LABELS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def keep(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs`` that score ``accept`` or more, with their columns unchanged; all rows where nothing can be learnt."""
-    model = fit(stored(features(docs), "features"), training_labels(labels))
+    """The rows of ``docs`` that score ``accept`` or more, with their columns unchanged; all rows where nothing can be learnt.
+    Statistics are computed of the labelled rows to learn from, and of all rows to score them."""
+    learn = training_labels(labels)
+    model = fit(stored(features(labelled(docs, learn)), "features"), learn)
     if model.beta is None:
         return docs
 

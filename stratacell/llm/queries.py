@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.SQL,
     "op4_benchmark_decontamination": decontam.SQL,
+    "op5_minhash_near_dedup": near_dedup.SQL,
     "op6_sharding": sharding.SQL,
     "op7_warc": warc.SQL,
     "op10_url_filters": url_filter.SQL,
