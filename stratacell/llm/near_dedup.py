@@ -43,6 +43,8 @@ STAGE_SIMILAR = 80
 #: A pair shares no bucket with probability 3e-7 at a similarity of 0.85, and 3e-5 at 0.8.
 BANDS, ROWS = 26, 5
 BINS = BANDS * ROWS
+#: Keys of rows to remove that are broadcast, at most: 16 bytes each, about 100 in memory.
+BROADCAST_KEYS = 1_000_000
 def _donors(tries: int = 64) -> np.ndarray:
     return (table(BINS * tries, 9001).reshape(BINS, tries) % U(BINS)).astype(np.int64)
 
@@ -233,7 +235,9 @@ def deduplicate(docs: DataFrame, similar: int = STAGE_SIMILAR) -> DataFrame:
     rows = rows.join(best, "root")
     gone = stored(rows.where("row_key <> best").select("row_key").distinct(), "gone")
     again = stored(rows.where("row_key = best").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "again")
-    left = docs.select(F.struct("*").alias("row"), row_key(docs).alias("row_key")).join(gone, "row_key", "left_anti")
+    # the rows themselves are shuffled only if the keys are too many to broadcast
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    left = docs.select(F.struct("*").alias("row"), row_key(docs).alias("row_key")).join(small, "row_key", "left_anti")
     if not again.isEmpty():  # rows that repeat both id and text
         left = left.join(again, "row_key", "left_anti").unionByName(left.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]))
     return left.select("row.*")
@@ -241,3 +245,17 @@ def deduplicate(docs: DataFrame, similar: int = STAGE_SIMILAR) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+m AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS other FROM m UNION SELECT r.node, m.b FROM r JOIN m ON r.other = m.a),
+k AS (SELECT node, min(other) AS low FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(low, doc_id) = doc_id AS kept FROM n LEFT JOIN k ON node = doc_id
+"""

@@ -108,6 +108,22 @@ def test_decontamination(docs, empty, benchmark):
     assert decontam.decontaminate(docs, benchmark.where("false")).count() == len(ROWS) and decontam.decontaminate(empty, benchmark).count() == 0
 
 
+def test_many_seeds(spark, monkeypatch):
+    """Beyond the broadcast bound the join shuffles, with the same result."""
+    sf = "/root/testdata/sf0.001"
+    d, b = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda: sorted(map(tuple, decontam.flagged(d, b).select(F.hex("md5"), "n_items", "item_id", "matched").collect()))
+    near = found()
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    assert found() == near and near
+
+
+def test_many_labels(docs, labels, monkeypatch):
+    few = sorted(map(str, quality_model.keep(docs, labels).collect()))
+    monkeypatch.setattr(quality_model, "BROADCAST_LABELS", 0)
+    assert sorted(map(str, quality_model.keep(docs, labels).collect())) == few
+
+
 def test_substitutions_are_tolerated(spark, benchmark):
     words = WORDS[20:90]
     words[30] = words[41] = "other"
@@ -158,8 +174,10 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2 and near_dedup.deduplicate(empty).count() == 0
 
 
-def test_each_row_by_its_own_text(spark):
-    """Repeated ids with different texts, repeated rows, and texts without an id."""
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_each_row_by_its_own_text(spark, monkeypatch, most):
+    """Repeated ids with different texts, repeated rows, and texts without an id; with keys broadcast and shuffled."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", most)
     a, b, c = ("a b c d e f g", "x y z w v u t", "p q r s t u")
     d = _docs(spark, [(4, a), (4, b), (2, b), (2, b), (None, c), (None, c), (7, None), (7, None), (8, ""), (None, a)])
     kept = near_dedup.deduplicate(d)
