@@ -160,17 +160,19 @@ def write_store(root: str, store: Store, overwrite: bool = False, hook: Callable
 
 
 def open_store(spark: SparkSession, root: str) -> Store:
-    keys = {(r["part"], r["key"]) for r in manifest(spark, root).select("part", "key").collect()}
-    missing = [p for p in ("obs", "var", "x") if (p, "") not in keys]
+    """The finished parts of a store, by one read of the manifest."""
+    paths = {(r["part"], r["key"]): r["path"] for r in manifest(spark, root).select("part", "key", "path").collect()}  # a row for each part
+    missing = [p for p in ("obs", "var", "x") if (p, "") not in paths]
     if missing:
         raise ValueError(f"not a finished store: {missing}")
+    read = lambda part, key="": spark.read.parquet(f"{root}/{paths[part, key]}")
     obsm = None
-    for _, key in sorted(k for k in keys if k[0] == "obsm"):
-        one = read_part(spark, root, "obsm", key).select(F.lit(key).alias("key"), "cell_id", "coords")
+    for _, key in sorted(k for k in paths if k[0] == "obsm"):
+        one = read("obsm", key).select(F.lit(key).alias("key"), "cell_id", "coords")
         obsm = one if obsm is None else obsm.unionByName(one)
-    named = {part: {key: read_part(spark, root, part, key) for p, key in sorted(keys) if p == part} for part in ("layers", "obsp", "varp")}
-    single = {part: read_part(spark, root, part) for part in ("uns", "categories") if (part, "") in keys}
-    return Store(*(read_part(spark, root, p) for p in ("obs", "var", "x")), obsm, **named, **single)
+    named = {part: {key: read(part, key) for p, key in sorted(paths) if p == part} for part in ("layers", "obsp", "varp")}
+    single = {part: read(part) for part in ("uns", "categories") if (part, "") in paths}
+    return Store(*(read(p) for p in ("obs", "var", "x")), obsm, **named, **single)
 
 
 def layout(spark: SparkSession, root: str, value_bytes: int = 4) -> DataFrame:
