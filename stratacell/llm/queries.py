@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, lm, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
+from . import collocations, decontam, embedding_dedup, lm, merkle, near_dedup, packing, quality_model, quality_rules, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_model.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lm_scoring": lm.query,
     "op9_toxicity": toxicity.query,
     "op10_url_filters": url_filter.query,
+    "op11_embedding_near_dedup": embedding_dedup.query,
+    "op12_collocations": collocations.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,7 @@ ORACLE_SQL = {
     "op6_sharding": sharding.SQL,
     "op7_warc": warc.SQL,
     "op10_url_filters": url_filter.SQL,
+    "op11_embedding_near_dedup": embedding_dedup.SQL,
+    "op12_collocations": collocations.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
