@@ -74,6 +74,9 @@ def find_markers(sums: DataFrame, cells: DataFrame, var: DataFrame, group: str,
     """One group against all other cells, those without a label included."""
     need_cells(cells, [group])
     own = F.coalesce(F.col("group") == group, F.lit(False))
+    rest = cells.where(~own).agg(F.coalesce(F.sum("n_cells"), F.lit(0))).first()[0]
+    if rest < 2:
+        raise ValueError(f"the rest beside {group!r} has {rest} cells; 2 are needed")
     return rank_by_effect(two_sample(_two(sums, cells, var, own, ~own)), n).select("gene_id", "mean_a", "mean_b", "cohens_d", "t", "n_a", "n_b")
 
 
@@ -132,12 +135,12 @@ def _grid(cells: DataFrame, var: DataFrame, genes: Sequence[int]) -> DataFrame:
 
 def panel_above_min(store: Store, labels: DataFrame, genes: Sequence[int], declared: DataFrame | None = None) -> DataFrame:
     """(group, gene_id, mean, fraction, n_cells) over the cells of ``labels`` (cell_id, label): a value counts if it is above
-    the gene's least one among all these cells, zeros that are not stored included."""
+    the gene's least one among the cells that have a label, zeros that are not stored included. Cells without a label are a group that has no part in that least value."""
     cells = labels.toDF("cell_id", "group")
     n = _with_declared(cells.groupBy("group").agg(F.count("*").alias("n_cells")), declared)
-    n_all = n.agg(F.coalesce(F.sum("n_cells"), F.lit(0))).first()[0]
+    n_all = n.where(F.col("group").isNotNull()).agg(F.coalesce(F.sum("n_cells"), F.lit(0))).first()[0]
     x = store.x.where(F.col("gene_id").isin(list(genes))).join(cells, "cell_id").select("group", "gene_id", F.col("value").cast("double").alias("v"))
-    low = x.groupBy("gene_id").agg(F.when(F.count("*") < n_all, F.least(F.min("v"), F.lit(0.0))).otherwise(F.min("v")).alias("floor"))
+    low = x.where(F.col("group").isNotNull()).groupBy("gene_id").agg(F.when(F.count("*") < n_all, F.least(F.min("v"), F.lit(0.0))).otherwise(F.min("v")).alias("floor"))
     s = x.join(low, "gene_id").groupBy("group", "gene_id").agg(F.sum("v").alias("s"), F.count_if(F.col("v") > F.col("floor")).alias("above"), F.count("*").alias("stored"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     zeros = F.when(F.col("floor") < 0, F.col("n_cells") - zero("stored")).otherwise(0)

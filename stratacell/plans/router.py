@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotations, catalog, chat, matrix, stats, strata
 from ..sources.store import Store
-from ..sources.store_io import add_part, manifest, read_part, strata_tables
+from ..sources import store_io
 from ..streaming import usage
 
 OPERATORS: dict[str, Callable] = {}
@@ -77,64 +77,75 @@ def exact(tables: DataFrame, axes: Sequence[str]) -> DataFrame:
     return covering(tables, axes).where(F.size("axes") == len(set(axes)))
 
 
-def build_strata(spark: SparkSession, root: str, store: Store, atomic: Sequence[str], coarse: Sequence[Sequence[str]] = (), snapshot: str = "1", force: bool = False, add_only: bool = False) -> None:
-    """Write the atomic table and the coarse ones. ``add_only`` derives coarse tables from the atomic table that is there."""
-    there = {r["key"]: r["axes"] for r in manifest(spark, root).where("part = 'strata'").select("key", "axes").collect()}
-    if add_only:
-        if "atomic" not in there:
-            raise ValueError("there is no atomic table to derive from")
-        atomic = there["atomic"]
-    elif "atomic" in there and not force:
-        raise ValueError("the atomic table exists; force rebuilds it")
-    unknown = [a for c in coarse for a in c if a not in atomic]
-    if unknown:
-        raise ValueError(f"axes that the atomic table lacks: {unknown}")
-    if not add_only:
-        if strata.surely_too_many(store, atomic) or strata.preflight(store, atomic).where("not ok").count():
-            raise ValueError("preflight failed")
-        add_part(root, "strata", strata.in_order(strata.build_atomic(store, atomic), atomic), "atomic", True, snapshot, list(atomic))
-        add_part(root, "strata_cells", strata.strata_cells(store, atomic), "atomic", True, snapshot, list(atomic))
-    base, cells = (read_part(spark, root, p, "atomic") for p in ("strata", "strata_cells"))
-    for axes in coarse:
-        key = "-".join(axes) or "all"
-        add_part(root, "strata", strata.in_order(strata.derive_coarse(base, axes), axes), key, True, snapshot, list(axes))
-        add_part(root, "strata_cells", cells.groupBy(*axes).agg(F.sum("n_cells").alias("n_cells")), key, True, snapshot, list(axes))
-
-
-def group_sums(spark: SparkSession, root: str | None, store: Store, axis: str, snapshot: str = "1") -> tuple[DataFrame, DataFrame, str]:
-    """The sums of each group of ``axis``, from the smallest fresh table that covers it, or from a scan; and which it was."""
-    if root:
-        found = covering(strata_tables(spark, root, snapshot), [axis]).first()
-        if found:
-            s, c = (read_part(spark, root, p, found["key"]) for p in ("strata", "strata_cells"))
-            return *strata.as_groups(s, c, axis), found["key"]
-    return *stats.group_sums(store, axis), "scan"
-
-
-def compare_groups(spark: SparkSession, root: str | None, store: Store, axis: str, a: str, b: str, n: int = 10, snapshot: str = "1") -> DataFrame:
+def build_strata(spark: SparkSession, root: str, store: Store, atomic: Sequence[str], coarse: Sequence[Sequence[str]] = (), force: bool = False, add_only: bool = False) -> None:
+    """Write the atomic table and the coarse ones, live all at once, and marked with the content of the cells and the matrix that they
+    are summed from. ``force`` rebuilds: coarse tables that it does not name are gone. ``add_only`` derives coarse tables from the
+    atomic table that is there, which must be of ``store``."""
+    source = store.content or f"{store_io.content(store.obs)}/{store_io.content(store.x)}"
+    with store_io.Build(spark, root) as b:
+        there = {key: r for (part, key), r in b.live.items() if part == "strata"}
+        if add_only:
+            if "atomic" not in there:
+                raise ValueError("there is no atomic table to derive from")
+            if there["atomic"]["source"] != source:
+                raise ValueError("the atomic table is of other cells or another matrix; force rebuilds it")
+            atomic = there["atomic"]["axes"]
+        elif "atomic" in there and not force:
+            raise ValueError("the atomic table exists; force rebuilds it")
+        unknown = [a for c in coarse for a in c if a not in atomic]
+        if unknown:
+            raise ValueError(f"axes that the atomic table lacks: {unknown}")
+        if not add_only:
+            if strata.surely_too_many(store, atomic) or strata.preflight(store, atomic).where("not ok").count():
+                raise ValueError("preflight failed")
+            for key in there:
+                b.drop("strata", key)
+                b.drop("strata_cells", key)
+            b.rows = [r for r in b.rows if r[2] != "atomic"]
+            b.put("strata", strata.in_order(strata.build_atomic(store, atomic), atomic), "atomic", True, atomic, source)
+            b.put("strata_cells", strata.strata_cells(store, atomic), "atomic", True, atomic, source)
+        base, cells = (b.read(p, "atomic") for p in ("strata", "strata_cells"))
+        for axes in coarse:
+            key = "-".join(axes) or "all"
+            b.put("strata", strata.in_order(strata.derive_coarse(base, axes), axes), key, True, axes, source)
+            b.put("strata_cells", cells.groupBy(*axes).agg(F.sum("n_cells").alias("n_cells")), key, True, axes, source)
+
+
+def group_sums(spark: SparkSession, root: str | None, store: Store, axis: str) -> tuple[DataFrame, DataFrame, str]:
+    """The sums of each group of ``axis``, from the smallest strata that cover it and were summed from what ``store`` has, or from a
+    scan; and which it was. Of strata, the cells of each group are few, and come as rows that the driver has."""
+    fit = [r for r in (store_io.fresh_strata(spark, root, store) if root else []) if axis in r["axes"]]
+    if not fit:
+        return *stats.group_sums(store, axis), "scan"
+    key = min(fit, key=lambda r: (len(r["axes"]), r["key"]))["key"]
+    sums, cells = strata.as_groups(*store_io.stratum_tables(spark, root, store, key), axis)
+    return sums, spark.createDataFrame(cells.limit(strata.MOST_TUPLES).collect(), cells.schema), key  # strata have MOST_TUPLES at most
+
+
+def compare_groups(spark: SparkSession, root: str | None, store: Store, axis: str, a: str, b: str, n: int = 10) -> DataFrame:
     """:func:`stats.compare_groups` from strata where they are fresh and know both groups, else by a scan."""
-    return stats.compare_groups(*_knowing(spark, root, store, axis, (a, b), snapshot), store.var, a, b, n)
+    return stats.compare_groups(*_knowing(spark, root, store, axis, (a, b)), store.var, a, b, n)
 
 
-def find_markers(spark: SparkSession, root: str | None, store: Store, axis: str, group: str, n: int = 10, snapshot: str = "1") -> DataFrame:
-    return stats.find_markers(*_knowing(spark, root, store, axis, (group,), snapshot), store.var, group, n)
+def find_markers(spark: SparkSession, root: str | None, store: Store, axis: str, group: str, n: int = 10) -> DataFrame:
+    return stats.find_markers(*_knowing(spark, root, store, axis, (group,)), store.var, group, n)
 
 
-def markers_of_all_groups(spark: SparkSession, root: str | None, store: Store, axis: str, n: int = 5, snapshot: str = "1") -> DataFrame:
-    return stats.markers_of_all_groups(*group_sums(spark, root, store, axis, snapshot)[:2], store.var, n)
+def markers_of_all_groups(spark: SparkSession, root: str | None, store: Store, axis: str, n: int = 5) -> DataFrame:
+    return stats.markers_of_all_groups(*group_sums(spark, root, store, axis)[:2], store.var, n)
 
 
-def top_expressed(spark: SparkSession, root: str | None, store: Store, axis: str, group: str, n: int = 10, snapshot: str = "1") -> DataFrame:
-    return stats.top_of_sums(*_knowing(spark, root, store, axis, (group,), snapshot), store.var, group, n)
+def top_expressed(spark: SparkSession, root: str | None, store: Store, axis: str, group: str, n: int = 10) -> DataFrame:
+    return stats.top_of_sums(*_knowing(spark, root, store, axis, (group,)), store.var, group, n)
 
 
-def gene_panel(spark: SparkSession, root: str | None, store: Store, axis: str, genes: Sequence[int], snapshot: str = "1") -> DataFrame:
-    return stats.panel_of_sums(*group_sums(spark, root, store, axis, snapshot)[:2], store.var, genes, store.labels(axis))
+def gene_panel(spark: SparkSession, root: str | None, store: Store, axis: str, genes: Sequence[int]) -> DataFrame:
+    return stats.panel_of_sums(*group_sums(spark, root, store, axis)[:2], store.var, genes, store.labels(axis))
 
 
-def _knowing(spark: SparkSession, root: str | None, store: Store, axis: str, groups: Sequence[str], snapshot: str) -> tuple[DataFrame, DataFrame]:
+def _knowing(spark: SparkSession, root: str | None, store: Store, axis: str, groups: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The sums of :func:`group_sums`; of a scan if the strata lack one of the groups."""
-    sums, cells, route = group_sums(spark, root, store, axis, snapshot)
+    sums, cells, route = group_sums(spark, root, store, axis)
     if route != "scan" and cells.where(F.col("group").isin(list(groups))).count() < len(set(groups)):
         return stats.group_sums(store, axis)
     return sums, cells

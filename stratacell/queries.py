@@ -171,6 +171,76 @@ def gene_panel_routed(spark, d):
     return rounded(router.gene_panel(spark, root, s, "status", [3, 4, 11]).withColumn("gene_id", F.col("gene_id").cast("long")))
 
 
+def _ingested(spark, d, store: st.Store | None = None) -> tuple[str, st.Store]:
+    """A store of its own with strata over the priority, and over the priority and the status: (root, the store that was written)."""
+    root, s = store_io.new_root(spark), store or st.sparse_store(spark, d)
+    store_io.write_store(root, s)
+    router.build_strata(spark, root, store_io.open_store(spark, root), ["priority", "status"], [["priority"]])
+    return root, s
+
+
+_TWICE = SPARSE.replace("sum(l_quantity)", "2 * sum(l_quantity)")
+
+
+@query(_TOP.replace(SPARSE, _TWICE))
+def top_expressed_after_overwrite(spark, d):
+    """The matrix is overwritten under the strata: the answer is that of the new one."""
+    root, s = _ingested(spark, d)
+    store_io.add_part(root, "x", s.x.withColumn("value", F.col("value") * 2), overwrite=True)
+    return rounded(router.top_expressed(spark, root, store_io.open_store(spark, root), "priority", "1-URGENT", 10))
+
+
+@query(_SPARSE_COMPARE.replace(SPARSE, _TWICE))
+def compare_groups_after_rebuild(spark, d):
+    """Overwritten and rebuilt without the coarse table: the atomic one of the new matrix answers, not the old coarse one."""
+    root, s = _ingested(spark, d)
+    store_io.add_part(root, "x", s.x.withColumn("value", F.col("value") * 2), overwrite=True)
+    new = store_io.open_store(spark, root)
+    router.build_strata(spark, root, new, ["priority", "status"], force=True)
+    return rounded(router.compare_groups(spark, root, store_io.open_store(spark, root), "priority", "1-URGENT", "5-LOW", 20))
+
+
+@query("""WITH n AS (SELECT (SELECT count(*) FROM orders) AS obs, (SELECT count(*) FROM part) AS var, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS x,
+(SELECT count(*) FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders)) AS cells, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS groups, (SELECT count(*) FROM (SELECT DISTINCT o_orderpriority, o_orderstatus, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)) AS sums,
+(SELECT count(*) FROM (SELECT DISTINCT o_orderpriority, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)) AS coarse,
+(SELECT count(DISTINCT o_orderstatus) + count(DISTINCT o_orderpriority) + count(DISTINCT c_mktsegment) + count(DISTINCT n_name) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) AS labels)
+SELECT unnest(['obs', 'var', 'x', 'categories', 'strata/atomic', 'strata/priority', 'strata_cells/atomic', 'strata_cells/priority']) AS part, unnest([obs, var, x, labels, sums, coarse, cells, groups]) AS rows FROM n""")
+def store_layout(spark, d):
+    """What a store has on disk, by its log."""
+    root, _ = _ingested(spark, d)
+    return store_io.actual_layout(spark, root).select(F.concat_ws("/", "part", F.nullif("key", F.lit(""))).alias("part"), "rows")
+
+
+@query(f"""WITH {SPARSE} SELECT priority, status, rank() OVER (ORDER BY priority, status) AS place, count(*) AS n_cells FROM so GROUP BY priority, status""")
+def strata_in_order(spark, d):
+    """The strata of a stored table in their order."""
+    root, _ = _ingested(spark, d)
+    cells = store_io.strata_keys(spark, root, "atomic")  # strata.MOST_TUPLES at most
+    rows = strata.in_order(cells.withColumn("gene_id", F.lit(0)), ["priority", "status"]).collect()
+    return spark.createDataFrame([(r["priority"], r["status"], k + 1, r["n_cells"]) for k, r in enumerate(rows)], "priority string, status string, place long, n_cells long")
+
+
+@query("""SELECT vec_id AS cell_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings""")
+def stored_embedding(spark, d):
+    """An embedding that was written and read back, and a failing overwrite of it that leaves it as it was."""
+    root, s = store_io.new_root(spark), st.dense_store(spark, d)
+    store_io.write_store(root, s)
+    try:
+        store_io.add_part(root, "obsm", s.embedding("X_2d"), "X_2d")
+    except store_io.PartExists:
+        return store_io.open_store(spark, root).embedding("X_2d").select("cell_id", F.col("coords")[0].cast("double").alias("x"), F.col("coords")[1].cast("double").alias("y"))
+    raise AssertionError("a part was replaced unasked")
+
+
+@query(f"""WITH {SPARSE} SELECT cell_id, list(gene_id ORDER BY gene_id)::VARCHAR AS indices, {R("sum(v)")} AS total FROM sx GROUP BY 1""")
+def stored_by_cell(spark, d):
+    """A matrix laid out by cell, with 32-bit indices, and read back as compressed rows."""
+    root = store_io.new_root(spark)
+    store_io.write_store(root, st.sparse_store(spark, d), order="cell", int32=True)
+    rows = st.csr_from_coo(store_io.open_store(spark, root).x)
+    return rounded(rows.select(F.col("row").alias("cell_id"), F.concat(F.lit("["), F.array_join("indices", ", "), F.lit("]")).alias("indices"), F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
 @query(f"""WITH {SPARSE} SELECT cell_id, coalesce(v, 0) AS value FROM so LEFT JOIN (SELECT * FROM sx WHERE gene_id = 7) USING (cell_id)""")
 def stored_gene_column(spark, d):
     """One gene of a store that was written and read back, laid out by gene."""
@@ -228,6 +298,18 @@ def gene_panel_above_min(spark, d):
     return rounded(stats.gene_panel(st.dense_store(spark, d), "label", [1, 2, 63], "above_min"))
 
 
+_GAPS = DENSE.replace("CAST(label AS VARCHAR) AS label", "nullif(CAST(label AS VARCHAR), '4') AS label")
+
+
+@query(f"""WITH {_GAPS}, c AS (SELECT nullif(CAST(label AS VARCHAR), '4') AS label, count(*) AS n FROM embeddings GROUP BY 1), f AS (SELECT gene_id, min(v) AS floor FROM dx WHERE label IS NOT NULL GROUP BY 1)
+SELECT dx.label AS "group", CAST(gene_id AS INTEGER) AS gene_id, {R("sum(v) / any_value(n)")} AS mean, {R("count(*) FILTER (WHERE v > floor) / any_value(n)")} AS fraction, any_value(n) AS n_cells FROM dx JOIN c ON c.label IS NOT DISTINCT FROM dx.label JOIN f USING (gene_id) WHERE gene_id IN (1, 2, 63) GROUP BY ALL""")
+def gene_panel_above_min_gaps(spark, d):
+    """The least value is that of the labelled cells; some cells have no label."""
+    s = st.dense_store(spark, d)
+    s = replace(s, obs=s.obs.withColumn("label", F.nullif("label", F.lit("4"))))
+    return rounded(stats.gene_panel(s, "label", [1, 2, 63], "above_min"))
+
+
 @query(f"""WITH {SPARSE}, c AS (SELECT priority, count(*) AS n FROM so GROUP BY 1), a AS (SELECT priority, gene_id, sum(v) AS s, count(*) FILTER (WHERE v > 0) AS z FROM sx JOIN so USING (cell_id) GROUP BY ALL)
 SELECT c.priority AS "group", CAST(g AS BIGINT) AS gene_id, n AS n_cells, {R("coalesce(s, 0) / n")} AS mean, {R("coalesce(z, 0) / n")} AS fraction FROM c CROSS JOIN (VALUES (3), (4), (11)) v(g) LEFT JOIN a ON a.priority = c.priority AND a.gene_id = g""")
 def strata_dotplot(spark, d):

@@ -14,7 +14,8 @@ INT32 = 2**31 - 1
 class Store:
     """``obs(cell_id, ..)``, ``var(gene_id, ..)``, ``x(cell_id, gene_id, value)``, ``obsm(key, cell_id, coords)``; by name ``layers``
     (like ``x``), ``obsp`` and ``varp`` (row_id, col_id, value); ``uns(path, value_json)``; ``categories(column, code, label)``,
-    the declared labels of cell columns in their order."""
+    the declared labels of cell columns in their order. A store that was opened from a disk has its ``root`` and the rows of its
+    log then (``parts``)."""
 
     obs: DataFrame
     var: DataFrame
@@ -25,6 +26,18 @@ class Store:
     varp: dict[str, DataFrame] = field(default_factory=dict)
     uns: DataFrame | None = None
     categories: DataFrame | None = None
+    root: str | None = None
+    parts: tuple = ()
+    seal: tuple | None = None
+
+    def sealed(self, content: str | None) -> Store:
+        """The store with the ``content`` that its cells and its matrix are known by."""
+        return replace(self, seal=(self.obs, self.x, content))
+
+    @property
+    def content(self) -> str | None:
+        """What the cells and the matrix are known by; none once either has been replaced."""
+        return self.seal[2] if self.seal and self.seal[0] is self.obs and self.seal[1] is self.x else None
 
     def labels(self, column: str) -> DataFrame | None:
         """(label, code) of the labels that are declared for a cell column; none where nothing is declared."""

@@ -1,31 +1,39 @@
-"""Stores on disk: a folder of Parquet tables beside a manifest whose rows mark finished parts.
-
-Each write of a part goes to a folder of its own, and the manifest row that
-names the folder comes last. So a part that is being written, or whose write
-failed, is invisible, and what it would replace stays readable. Folders that the
-manifest names no longer are left for readers that still use them.
+"""Stores on disk: folders of Parquet tables beside a log of commits, each of which makes a generation.
+
+Each part is written to a folder of its own. A commit is one file of one write
+and names all folders of a build together; it comes last. So whatever is being
+written, or whose write failed, is invisible as a whole, and what it would
+replace stays readable. Folders that no live row names are left for readers that
+still use them. One writer at a time: a build that finds another commit since it
+began is an error.
+
+A part's content is known by sums of its rows' hashes, taken while it is written.
+Strata name the contents of the cells and the matrix that they were summed from,
+so whether they fit a store is read from the log.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import StructType
 
 from ..operators.matrix import categories
-from .store import Store, by_gene
+from .store import Store, by_cell, by_gene, need_int32
 
 PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells")
 KEYED = ("obsm", "obsp", "varp", "layers", "strata", "strata_cells")
 #: Parts that may have no rows.
 MAYBE_EMPTY = ("x", "obsm", "layers", "strata", "strata_cells", "categories")
-MANIFEST = "part string, key string, snapshot string, axes array<string>, path string"
+#: A row of the commit log: what a part is from this generation on. Without a path the part is gone.
+COMMIT = "generation long, part string, key string, axes array<string>, path string, rows long, content string, source string, schema string"
 
 
 class PartExists(ValueError):
@@ -55,51 +63,135 @@ def new_root(spark: SparkSession) -> str:
     return f"{(sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir()).rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder; a folder that may not be looked at is an error, and not an empty store."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def log(spark: SparkSession, root: str) -> list[Row]:
+    """The live parts: the last row of each in the log of commits. A store has a few parts, a row each."""
+    if not exists(spark, f"{root}/commits"):
+        return []
+    rows = spark.read.schema(COMMIT).parquet(f"{root}/commits")
+    last = rows.groupBy("part", "key").agg(F.max_by(F.struct(*rows.columns), "generation").alias("last"))
+    return sorted(last.select("last.*").where("path is not null").collect(), key=lambda r: (r["part"], r["key"]))
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """The finished parts, the last entry of each."""
-    try:
-        rows = spark.read.schema(MANIFEST + ", at timestamp").parquet(f"{root}/manifest")
-    except AnalysisException:
-        return spark.createDataFrame([], MANIFEST + ", at timestamp")
-    last = rows.groupBy("part", "key").agg(F.max_by(F.struct("snapshot", "axes", "path"), "at").alias("m"), F.max("at").alias("at"))
-    return last.select("part", "key", "m.snapshot", "m.axes", "m.path", "at")
-
-
-def _finish(spark: SparkSession, root: str, part: str, key: str, snapshot: str, axes: list[str] | None, path: str) -> None:
-    row = spark.createDataFrame([(part, key, snapshot, axes, path)], MANIFEST).withColumn("at", F.current_timestamp())
-    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
-
-
-def add_part(root: str, part: str, df: DataFrame, key: str = "", overwrite: bool = False, snapshot: str = "1", axes: list[str] | None = None) -> None:
-    """Write one part; its manifest row comes last, so an unfinished part is invisible and an overwritten one readable until then."""
-    spark = df.sparkSession
-    if part not in PARTS:
-        raise ValueError(f"cannot add {part}")
-    if bool(key) != (part in KEYED):
-        raise ValueError(f"{part} needs a key" if part in KEYED else f"{part} has no keys")
-    if part not in MAYBE_EMPTY and df.isEmpty():
-        raise ValueError(f"{part} is empty")
-    if not overwrite and not manifest(spark, root).where((F.col("part") == part) & (F.col("key") == key)).isEmpty():
-        raise PartExists(f"{part}/{key}")
-    if part == "obsm":
-        df = df.withColumn("coords", F.transform("coords", lambda c: c.cast("float")))
-    path = "/".join([part, *[key] * bool(key), uuid.uuid4().hex])
-    (by_gene(df) if part in ("x", "layers") else df).write.parquet(f"{root}/{path}")
-    _finish(spark, root, part, key, snapshot, axes, path)
+    """The live parts as a table."""
+    return spark.createDataFrame(log(spark, root), COMMIT)
+
+
+def _sums(df: DataFrame) -> list[Column]:
+    """Sums that any order of the rows gives alike."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+    return [F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("xor")]
+
+
+def _content(schema: StructType, sums: dict) -> str:
+    kinds = hashlib.md5(json.dumps(sorted((f.name, f.dataType.simpleString()) for f in schema)).encode()).hexdigest()[:8]
+    return f"{kinds}-{sums['rows']}-{sums['sum'] or 0}-{sums['xor'] or 0}"
+
+
+def content(df: DataFrame) -> str:
+    """A fingerprint of the rows of ``df``, by a scan; that of a stored part is in the log."""
+    return _content(df.schema, df.agg(*_sums(df)).first().asDict())
+
+
+class Build:
+    """Parts that are written together: ``with Build(spark, root) as b: b.put(..)``. They are live from the end on, all at
+    once; after an error none is."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root
+        self.live = {(r["part"], r["key"]): r for r in log(spark, root)}
+        self.generation = self._last() + 1
+        self.rows: list[tuple] = []
+
+    def _last(self) -> int:
+        if not exists(self.spark, f"{self.root}/commits"):
+            return 0
+        return self.spark.read.schema(COMMIT).parquet(f"{self.root}/commits").agg(F.max("generation")).first()[0] or 0
+
+    def put(self, part: str, df: DataFrame, key: str = "", overwrite: bool = False, axes: Sequence[str] | None = None, source: str | None = None, int32: bool = False, order: str = "gene") -> str:
+        """Writes a part and returns its content. ``int32``: its indices must fit 32 bits. ``order``: a matrix is laid out by ``gene`` or by ``cell``."""
+        if part not in PARTS:
+            raise ValueError(f"cannot add {part}")
+        if bool(key) != (part in KEYED):
+            raise ValueError(f"{part} needs a key" if part in KEYED else f"{part} has no keys")
+        if part not in MAYBE_EMPTY and df.isEmpty():
+            raise ValueError(f"{part} is empty")
+        if not overwrite and (part, key) in self.live:
+            raise PartExists(f"{part}/{key}")
+        if part == "obsm":
+            df = df.withColumn("coords", F.transform("coords", lambda c: c.cast("float")))
+        if part in ("x", "layers"):
+            df = {"gene": by_gene, "cell": by_cell}[order](need_int32(df) if int32 else df)
+        path, seen = "/".join([part, *[key] * bool(key), uuid.uuid4().hex]), Observation()
+        df.observe(seen, *_sums(df)).write.parquet(f"{self.root}/{path}")
+        found = _content(df.schema, seen.get)
+        row = (self.generation, part, key, None if axes is None else list(axes), path, seen.get["rows"], found, source, df.schema.json())
+        self.rows = [r for r in self.rows if r[1:3] != (part, key)] + [row]
+        return found
+
+    def drop(self, part: str, key: str = "") -> None:
+        """The part is gone from this generation on."""
+        if (part, key) in self.live:
+            self.rows.append((self.generation, part, key, *[None] * 6))
+
+    def read(self, part: str, key: str = "") -> DataFrame:
+        """A part as this build leaves it."""
+        own = {r[1:3]: r for r in self.rows}
+        if (part, key) in own:
+            r = own[part, key]
+            return self.spark.read.schema(StructType.fromJson(json.loads(r[8]))).parquet(f"{self.root}/{r[4]}")
+        return _read(self.spark, self.root, self.live[part, key])
+
+    def commit(self) -> None:
+        if not self.rows:
+            return
+        if self._last() >= self.generation:
+            raise RuntimeError(f"{self.root} has changed since this build began")
+        self.spark.createDataFrame(self.rows, COMMIT).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+
+    def __enter__(self) -> Build:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.commit()
+
+
+def add_part(root: str, part: str, df: DataFrame, key: str = "", overwrite: bool = False, **how) -> None:
+    """A build of one part; see :meth:`Build.put`."""
+    with Build(df.sparkSession, root) as b:
+        b.put(part, df, key, overwrite, **how)
+
+
+def _read(spark: SparkSession, root: str, row: Row) -> DataFrame:
+    return spark.read.schema(StructType.fromJson(json.loads(row["schema"]))).parquet(f"{root}/{row['path']}")
 
 
 def read_part(spark: SparkSession, root: str, part: str, key: str = "") -> DataFrame:
-    found = manifest(spark, root).where((F.col("part") == part) & (F.col("key") == key)).select("path").first()
+    found = next((r for r in log(spark, root) if (r["part"], r["key"]) == (part, key)), None)
     if found is None:
         raise KeyError(f"no finished part {part}/{key}")
-    return spark.read.parquet(f"{root}/{found['path']}")
+    return _read(spark, root, found)
+
 
+def source_of(parts: Sequence[Row]) -> str | None:
+    """What strata of the live cells and matrix name as their source."""
+    found = {r["part"]: r["content"] for r in parts if r["part"] in ("obs", "x")}
+    return f"{found['obs']}/{found['x']}" if len(found) == 2 else None
 
-def strata_tables(spark: SparkSession, root: str, snapshot: str | None = None) -> DataFrame:
-    """(key, axes, snapshot) of the finished strata whose cells are finished too; of one snapshot if asked for."""
-    m = manifest(spark, root)
-    done = m.where("part = 'strata'").join(m.where("part = 'strata_cells'").select("key", "snapshot"), ["key", "snapshot"], "left_semi")
-    return (done if snapshot is None else done.where(F.col("snapshot") == snapshot)).select("key", "axes", "snapshot")
+
+def strata_tables(spark: SparkSession, root: str, fresh: bool = False) -> DataFrame:
+    """(key, axes, source) of the strata; with ``fresh`` only of those that were summed from the live cells and matrix."""
+    parts = log(spark, root)
+    source = source_of(parts)
+    rows = [(r["key"], r["axes"], r["source"]) for r in parts if r["part"] == "strata" and (not fresh or r["source"] == source)]
+    return spark.createDataFrame(rows, "key string, axes array<string>, source string")
 
 
 def has_strata(spark: SparkSession, root: str, key: str = "atomic") -> bool:
@@ -116,7 +208,10 @@ def strata_summary(spark: SparkSession, root: str) -> DataFrame:
 def read_strata(spark: SparkSession, root: str, key: str, genes: Sequence[int] | None = None, strata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The sums and the cells of a table. ``genes`` keeps the sums of those genes, and of none the strata stay; ``strata``
     (some of the axes) keeps the strata that it names, missing labels included."""
-    sums, cells = read_part(spark, root, "strata", key), read_part(spark, root, "strata_cells", key)
+    parts = {r["part"]: r for r in log(spark, root) if r["key"] == key}
+    if "strata" not in parts:
+        raise KeyError(f"no finished part strata/{key}")
+    sums, cells = (_read(spark, root, parts[p]) for p in ("strata", "strata_cells"))
     if genes is not None:
         sums = sums.where(F.col("gene_id").isin(list(genes))) if genes else sums.where("false")
     if strata is not None:
@@ -139,8 +234,9 @@ def declared(obs: DataFrame) -> DataFrame:
     return categories(obs, text)
 
 
-def write_store(root: str, store: Store, overwrite: bool = False, hook: Callable[[str, str], None] = lambda event, part: None) -> None:
-    """Write all parts. ``hook`` hears (event, part): ``done`` after each part, ``error`` before what went wrong is raised, ``complete``."""
+def write_store(root: str, store: Store, overwrite: bool = False, hook: Callable[[str, str], None] = lambda event, part: None, **how) -> None:
+    """Write all parts, live all at once. ``hook`` hears (event, part): ``done`` after each part, ``error`` before what went wrong is
+    raised, ``complete``. ``how`` is for the matrix and the layers; see :meth:`Build.put`."""
     labels = store.categories if store.categories is not None else declared(store.obs)
     parts = [("obs", "", store.obs), ("var", "", store.var), ("x", "", store.x), ("categories", "", labels)]
     parts += [(part, name, table) for part in ("layers", "obsp", "varp") for name, table in getattr(store, part).items()]
@@ -148,50 +244,66 @@ def write_store(root: str, store: Store, overwrite: bool = False, hook: Callable
         parts.append(("uns", "", store.uns))
     if store.obsm is not None:  # a handful of embedding names
         parts += [("obsm", key, store.embedding(key)) for (key,) in store.obsm.select("key").distinct().collect()]
-    for part, key, df in parts:
-        name = f"{part}/{key}" if key else part
-        try:
-            add_part(root, part, df, key, overwrite)
-        except Exception:
-            hook("error", name)
-            raise
-        hook("done", name)
+    with Build(store.obs.sparkSession, root) as b:
+        for part, key, df in parts:
+            name = f"{part}/{key}" if key else part
+            try:
+                b.put(part, df, key, overwrite, **(how if part in ("x", "layers") else {}))
+            except Exception:
+                hook("error", name)
+                raise
+            hook("done", name)
     hook("complete", "")
 
 
 def open_store(spark: SparkSession, root: str) -> Store:
-    """The finished parts of a store, by one read of the manifest."""
-    paths = {(r["part"], r["key"]): r["path"] for r in manifest(spark, root).select("part", "key", "path").collect()}  # a row for each part
-    missing = [p for p in ("obs", "var", "x") if (p, "") not in paths]
+    """The live parts of a store, by one read of its log; they stay those of this generation whatever is written later."""
+    parts = {(r["part"], r["key"]): r for r in log(spark, root)}
+    missing = [p for p in ("obs", "var", "x") if (p, "") not in parts]
     if missing:
         raise ValueError(f"not a finished store: {missing}")
-    read = lambda part, key="": spark.read.parquet(f"{root}/{paths[part, key]}")
+    read = lambda part, key="": _read(spark, root, parts[part, key])
     obsm = None
-    for _, key in sorted(k for k in paths if k[0] == "obsm"):
+    for _, key in sorted(k for k in parts if k[0] == "obsm"):
         one = read("obsm", key).select(F.lit(key).alias("key"), "cell_id", "coords")
         obsm = one if obsm is None else obsm.unionByName(one)
-    named = {part: {key: read(part, key) for p, key in sorted(paths) if p == part} for part in ("layers", "obsp", "varp")}
-    single = {part: read(part) for part in ("uns", "categories") if (part, "") in paths}
-    return Store(*(read(p) for p in ("obs", "var", "x")), obsm, **named, **single)
+    named = {part: {key: read(part, key) for p, key in sorted(parts) if p == part} for part in ("layers", "obsp", "varp")}
+    single = {part: read(part) for part in ("uns", "categories") if (part, "") in parts}
+    store = Store(*(read(p) for p in ("obs", "var", "x")), obsm, **named, **single, root=root, parts=tuple(parts.values()))
+    return store.sealed(source_of(store.parts))
+
+
+def fresh_strata(spark: SparkSession, root: str, store: Store) -> list[Row]:
+    """The rows of the log for strata that were summed from the cells and the matrix that ``store`` has. A store that was opened
+    from ``root`` is asked for the log of then; one that was not read from a disk has no known content, and so no strata."""
+    if store.content is None:
+        return []
+    parts = store.parts if store.root == root else log(spark, root)
+    return [r for r in parts if r["part"] == "strata" and r["source"] == store.content]
+
+
+def stratum_tables(spark: SparkSession, root: str, store: Store, key: str) -> tuple[DataFrame, DataFrame]:
+    """The sums and the cells of a table of :func:`fresh_strata`."""
+    parts = {r["part"]: r for r in (store.parts if store.root == root else log(spark, root)) if r["key"] == key}
+    return tuple(_read(spark, root, parts[p]) for p in ("strata", "strata_cells"))
 
 
 def layout(spark: SparkSession, root: str, value_bytes: int = 4) -> DataFrame:
     """Files and bytes of each finished part, and for the matrix the ratio of a dense array's bytes to those on disk."""
-    live = manifest(spark, root)
+    parts = log(spark, root)
+    live = spark.createDataFrame(parts, COMMIT)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path", "length")
     folder = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), r"/[^/]*$", "")
     files = files.select(folder.alias("path"), "length").join(live.select("part", "path"), "path")
     out = files.groupBy("part").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.avg("length").alias("mean_bytes"))
-    if live.where("part in ('obs', 'var')").count() < 2:
+    rows = {r["part"]: r["rows"] for r in parts}
+    if not {"obs", "var"} <= set(rows):
         return out.withColumn("ratio", F.lit(None).cast("double"))
-    dense = read_part(spark, root, "obs").count() * read_part(spark, root, "var").count() * value_bytes
+    dense = rows["obs"] * rows["var"] * value_bytes
     return out.withColumn("ratio", F.when(F.col("part") == "x", F.lit(float(dense)) / F.col("bytes")))
 
 
 def actual_layout(spark: SparkSession, root: str) -> DataFrame:
-    """(part, key, columns, rows) of each finished part, as its files have them; ``columns`` is JSON of names and types."""
-    out = spark.createDataFrame([], "part string, key string, columns string, rows long")
-    for part, key in manifest(spark, root).select("part", "key").orderBy("part", "key").collect():  # a row for each part
-        t = read_part(spark, root, part, key)
-        out = out.unionByName(t.agg(F.count("*").alias("rows")).select(F.lit(part).alias("part"), F.lit(key).alias("key"), F.lit(json.dumps(dict(t.dtypes))).alias("columns"), "rows"))
-    return out
+    """(part, key, columns, rows) of each live part, as the log has them from its write; ``columns`` is JSON of names and types."""
+    types = lambda r: json.dumps({f.name: f.dataType.simpleString() for f in StructType.fromJson(json.loads(r["schema"]))})
+    return spark.createDataFrame([(r["part"], r["key"], types(r), r["rows"]) for r in log(spark, root)], "part string, key string, columns string, rows long")

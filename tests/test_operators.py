@@ -5,6 +5,7 @@ import os
 import random
 import statistics
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -83,13 +84,16 @@ def test_routes_agree(spark, tiny, tmp_path):
     with pytest.raises(ValueError):
         router.build_strata(spark, root, back, ["kind"])
     answers = []
-    for axis, where, snapshot in (("kind", root, "1"), ("subject", root, "1"), ("subject", root, "old"), ("subject", None, "1")):
-        s, c, route = router.group_sums(spark, where, back, axis, snapshot)
+    for axis, where, of in (("kind", root, back), ("subject", root, back), ("subject", root, tiny), ("subject", None, back)):
+        s, c, route = router.group_sums(spark, where, store_io.open_store(spark, root) if of is back else of, axis)
         answers.append((route, sorted(map(tuple, s.select("group", "gene_id", "sum_x", "sum_xx", "nnz").collect())), sorted(map(tuple, c.collect()))))
     assert [a[0] for a in answers] == ["kind", "atomic", "scan", "scan"]
     assert answers[1][1:] == answers[2][1:] == answers[3][1:]
     router.build_strata(spark, root, back, [], [["subject"]], add_only=True)
+    assert router.group_sums(spark, root, back, "subject")[2] == "scan"  # the log of when it was opened has no strata
+    back = store_io.open_store(spark, root)
     assert router.group_sums(spark, root, back, "subject")[2] == "subject"
+    assert back.content and replace(back, x=back.x.where("gene_id > 0")).content is None
     for where in (root, None):
         assert router.top_expressed(spark, where, back, "kind", "gut", 4).collect() == stats.top_expressed(tiny, "kind", "gut", 4).collect()
         assert router.find_markers(spark, where, back, "kind", "lung", 4).collect() == stats.find_markers(*stats.group_sums(tiny, "kind"), tiny.var, "lung", 4).collect()
@@ -125,6 +129,95 @@ def test_a_failed_overwrite_leaves_what_was_there(spark, tiny, tmp_path):
     assert old.obs.count() == 7 and store_io.open_store(spark, root).obs.count() == 2
 
 
+def _same_as_scan(spark, root, scan=None):
+    """All routed answers of the store as it is now equal those of a scan; the routes."""
+    back = store_io.open_store(spark, root)
+    plain = scan or Store(back.obs, back.var, back.x)
+    routes = []
+    for axis, group, other in (("kind", "gut", "lung"), ("subject", "p", "q")):
+        rows = lambda d: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect()]
+        for routed in (lambda r, s: router.top_expressed(spark, r, s, axis, group, 4), lambda r, s: router.find_markers(spark, r, s, axis, group, 4), lambda r, s: router.compare_groups(spark, r, s, axis, group, other, 4)):  # noqa: B023
+            assert rows(routed(root, back)) == rows(routed(None, plain))
+        assert sorted(rows(router.gene_panel(spark, root, back, axis, [0, 1, 2]))) == sorted(rows(router.gene_panel(spark, None, plain, axis, [0, 1, 2])))
+        routes.append(router.group_sums(spark, root, back, axis)[2])
+    return routes
+
+
+def test_strata_follow_the_store(spark, tiny, tmp_path):
+    """After each overwrite and rebuild, every route equals the scan, and strata serve again once they are rebuilt or the content is back."""
+    root = str(tmp_path / "store")
+    store_io.write_store(root, tiny)
+    build = lambda *a, **b: router.build_strata(spark, root, store_io.open_store(spark, root), *a, **b)
+    build(["kind", "subject"], [["kind"]])
+    assert _same_as_scan(spark, root) == ["kind", "atomic"]
+    store_io.add_part(root, "x", tiny.x.withColumn("value", F.col("value") + F.col("gene_id")), overwrite=True)
+    assert _same_as_scan(spark, root) == ["scan", "scan"] and store_io.strata_tables(spark, root, fresh=True).count() == 0
+    with pytest.raises(ValueError, match="force"):
+        build([], [["subject"]], add_only=True)
+    build(["kind", "subject"], force=True)  # the coarse table that it does not name is gone
+    assert _same_as_scan(spark, root) == ["atomic", "atomic"] and store_io.strata_summary(spark, root).first()["n_coarse"] == 0
+    store_io.add_part(root, "obs", tiny.obs.withColumn("kind", F.when(F.col("cell_id") < 2, "lung").otherwise(F.col("kind"))), overwrite=True)
+    assert _same_as_scan(spark, root) == ["scan", "scan"]
+    store_io.add_part(root, "obs", tiny.obs.repartition(3), overwrite=True)  # the old rows, in another order
+    assert _same_as_scan(spark, root) == ["atomic", "atomic"]
+    store_io.add_part(root, "obs", tiny.obs.withColumn("more", F.lit(1)), overwrite=True)
+    assert _same_as_scan(spark, root) == ["scan", "scan"]
+
+
+def test_a_crash_between_any_two_writes_shows_the_old_build(spark, tiny, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    store_io.write_store(root, tiny)
+    router.build_strata(spark, root, store_io.open_store(spark, root), ["kind", "subject"], [["kind"]])
+    before = [tuple(r) for r in store_io.log(spark, root)]
+    put, doubled = store_io.Build.put, replace(tiny, x=tiny.x.withColumn("value", F.col("value") * 2))
+    for crash in (1, 3, 6):
+        calls = []
+
+        def failing(self, *a, **b):
+            calls.append(a)  # noqa: B023
+            if len(calls) == crash:  # noqa: B023
+                raise OSError("gone")
+            return put(self, *a, **b)
+
+        monkeypatch.setattr(store_io.Build, "put", failing)
+        for work in (lambda: store_io.write_store(root, doubled, overwrite=True), lambda: router.build_strata(spark, root, doubled, ["kind"], [["kind"], []], force=True)):
+            calls.clear()
+            if crash <= (4 if work.__code__.co_names[0] == "store_io" else 6):
+                with pytest.raises(OSError, match="gone"):
+                    work()
+                assert [tuple(r) for r in store_io.log(spark, root)] == before
+    monkeypatch.undo()
+    assert _same_as_scan(spark, root, tiny) == ["kind", "atomic"]
+    late = store_io.Build(spark, root)
+    store_io.add_part(root, "obs", tiny.obs, overwrite=True)
+    late.put("var", tiny.var, overwrite=True)
+    with pytest.raises(RuntimeError, match="changed"):
+        late.commit()
+
+
+def test_least_value_is_of_labelled_cells(spark):
+    obs = spark.createDataFrame([(0, "a"), (1, "a"), (2, None)], "cell_id long, t string")
+    var = spark.createDataFrame([(0, "g")], "gene_id int, var_name string")
+    x = spark.createDataFrame([(0, 0, 2.0), (1, 0, 3.0), (2, 0, -5.0)], "cell_id long, gene_id int, value double")
+    got = {r["group"]: r["fraction"] for r in stats.gene_panel(Store(obs, var, x), "t", [0], "above_min").collect()}
+    assert got == {"a": 0.5, None: 0.0}
+
+
+def test_a_rest_of_one_cell_is_refused(spark, tiny):
+    two = replace(tiny, obs=tiny.obs.where("cell_id < 4").withColumn("kind", F.when(F.col("cell_id") < 3, "gut").otherwise("lung")))
+    with pytest.raises(ValueError, match="rest"):
+        stats.find_markers(*stats.group_sums(two, "kind"), two.var, "gut")
+
+
+def test_layouts_by_gene_and_by_cell(spark, tiny, tmp_path):
+    for order in ("gene", "cell"):
+        root = str(tmp_path / order)
+        store_io.write_store(root, tiny, order=order, int32=True)
+        assert sorted(map(tuple, store_io.open_store(spark, root).x.collect())) == sorted(map(tuple, tiny.x.collect()))
+    with pytest.raises(ValueError, match="32-bit"):
+        store_io.add_part(root, "x", tiny.x.withColumn("cell_id", F.col("cell_id") + 2**31), overwrite=True, int32=True)
+
+
 def test_all_parts_come_back(spark, tiny, tmp_path):
     root = str(tmp_path / "store")
     coords = spark.createDataFrame([("flat", i, [float(i), 0.5]) for i in range(7)], "key string, cell_id long, coords array<double>")
