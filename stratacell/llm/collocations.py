@@ -51,7 +51,7 @@ SAMPLE, PROPOSED = 8, 2
 #: Two to this power are the bits of the table of phrases.
 BITS = 27
 #: Bytes of text of a slice and of a shard, about; entries that a task gathers before it sends them, about.
-SLICE, SHARD, GATHERED = 4 << 20, 16 << 20, 1 << 21
+SLICE, SHARD, GATHERED = 1 << 20, 8 << 20, 1 << 20
 #: Phrases that a task remembers having sent.
 MEMORY = 1 << 20
 
@@ -191,9 +191,12 @@ def counted(texts: DataFrame, of: Callable[[Words], list[np.ndarray]], shards: i
                 picked.append((w.keys[order], n[order]))
             keys += [k for k, _ in picked]
             counts += [c for _, c in picked]
-            if sum(map(len, keys)) > GATHERED:
-                yield send(keys, counts)
-                keys, counts = [], []
+            if sum(map(len, keys)) > 2 * GATHERED:
+                k, c = _summed(keys, counts)
+                keys, counts = [k], [c]
+                if len(k) > GATHERED:
+                    yield send(keys, counts)
+                    keys, counts = [], []
         if keys:
             yield send(keys, counts)
 
