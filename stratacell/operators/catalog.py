@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..functions.scalars import visible
+from ..sources.store_io import Build, read_part
 
 
 def listing(datasets: DataFrame, sources: DataFrame, collections: DataFrame, metadata: DataFrame, roles: Sequence[str] | None = None, slug: str | None = None) -> DataFrame:
@@ -77,6 +79,42 @@ def log_harvests(attempts: DataFrame, path: str, checkpoint: str):
     return attempts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def harvest_state(state: DataFrame | None, attempts: DataFrame) -> DataFrame:
+    """(dataset_id, ok_at, ok_value, cleared_at, attempted_at, status, error): what has to be kept of all attempts so far. Each is the
+    last of its kind, so attempts may come in any order and more than once."""
+    last = F.max(F.struct("at", "status", "error")).alias("last")
+    new = attempts.groupBy("dataset_id").agg(F.max(F.when(F.col("status") == "ok", F.struct("at", "value"))).alias("ok"), F.max(F.when(F.col("status") == "clear", F.col("at"))).alias("cleared_at"), last)
+    if state is not None:
+        old = state.select("dataset_id", F.when(F.col("ok_at").isNotNull(), F.struct(F.col("ok_at").alias("at"), F.col("ok_value").alias("value"))).alias("ok"), "cleared_at", F.struct(F.col("attempted_at").alias("at"), "status", "error").alias("last"))
+        new = new.unionByName(old).groupBy("dataset_id").agg(F.max("ok").alias("ok"), F.max("cleared_at").alias("cleared_at"), F.max("last").alias("last"))
+    return new.select("dataset_id", F.col("ok.at").alias("ok_at"), F.col("ok.value").alias("ok_value"), "cleared_at", F.col("last.at").alias("attempted_at"), "last.status", "last.error")
+
+
+def harvested(state: DataFrame) -> DataFrame:
+    """The rows of :func:`merge_harvests` from the kept state."""
+    there = F.col("ok_at").isNotNull() & (F.col("cleared_at").isNull() | (F.col("ok_at") > F.col("cleared_at")))
+    return state.select(
+        "dataset_id", F.when(there, F.col("ok_value")).alias("value"), F.when(there, F.col("ok_at")).alias("fetched_at"), "attempted_at", "status", F.when(F.col("status") != "ok", F.col("error")).alias("error")
+    )
+
+
+def harvest_stream(attempts: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """A stream of attempts that is merged into the state in ``root``, batch by batch. Each batch publishes a generation that names the
+    batch, so one that is run again changes nothing, and readers see the state before or after it. :func:`harvests` reads it."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        with Build(batch.sparkSession, root) as b:
+            there = b.live.get(("harvests", ""))
+            if there is None or int(there["source"]) < batch_id:
+                b.put("harvests", harvest_state(b.read("harvests") if there else None, batch), overwrite=True, source=str(batch_id))
+
+    return attempts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def harvests(spark, root: str) -> DataFrame:
+    return harvested(read_part(spark, root, "harvests"))
+
+
 def stale(rows: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return rows.where(F.col("fetched_at").isNull() | (F.col("fetched_at") <= now - F.make_interval(hours=F.lit(hours))))
 

@@ -28,10 +28,10 @@ from pyspark.sql.types import StructType
 from ..operators.matrix import categories
 from .store import Store, by_cell, by_gene, need_int32
 
-PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells")
-KEYED = ("obsm", "obsp", "varp", "layers", "strata", "strata_cells")
+PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells", "harvests", "verdicts", "counters", "waiting")
+KEYED = ("obsm", "obsp", "varp", "layers", "strata", "strata_cells", "verdicts")
 #: Parts that may have no rows.
-MAYBE_EMPTY = ("x", "obsm", "layers", "strata", "strata_cells", "categories")
+MAYBE_EMPTY = ("x", "obsm", "layers", "strata", "strata_cells", "categories", "harvests", "verdicts", "counters", "waiting")
 #: A row of the commit log: what a part is from this generation on. Without a path the part is gone.
 COMMIT = "generation long, part string, key string, axes array<string>, path string, rows long, content string, source string, schema string"
 
@@ -173,11 +173,12 @@ def _read(spark: SparkSession, root: str, row: Row) -> DataFrame:
     return spark.read.schema(StructType.fromJson(json.loads(row["schema"]))).parquet(f"{root}/{row['path']}")
 
 
-def read_part(spark: SparkSession, root: str, part: str, key: str = "") -> DataFrame:
-    found = next((r for r in log(spark, root) if (r["part"], r["key"]) == (part, key)), None)
-    if found is None:
+def read_part(spark: SparkSession, root: str, part: str, key: str | None = "") -> DataFrame:
+    """A live part; without a key (None) the rows of all keys."""
+    found = [r for r in log(spark, root) if r["part"] == part and (key is None or r["key"] == key)]
+    if not found:
         raise KeyError(f"no finished part {part}/{key}")
-    return _read(spark, root, found)
+    return spark.read.schema(StructType.fromJson(json.loads(found[0]["schema"]))).parquet(*[f"{root}/{r['path']}" for r in found])
 
 
 def source_of(parts: Sequence[Row]) -> str | None:
