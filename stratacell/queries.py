@@ -13,7 +13,7 @@ from .operators import catalog, chat, matrix, stats, strata
 from .plans import router
 from .sources import store as st
 from .sources import store_io
-from .streaming import usage
+from .streaming import progress, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -697,6 +697,16 @@ def unmapped_columns(spark, d):
     return catalog.unmapped_columns(*_columns(spark, d))
 
 
+def _as_stream(spark, rows: DataFrame, folder: str, by: str, files: int = 3) -> DataFrame:
+    """A stream of ``rows``: a batch for each third of them by ``by``."""
+    at = F.col(by).cast("double")
+    cuts = rows.select(at.alias("at")).approxQuantile("at", [k / files for k in range(1, files)], 0.001)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 _ATT = """a AS (SELECT user_id AS dataset_id, event_id AS eid, CASE WHEN event_id % 11 = 0 THEN 'clear' WHEN event_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, event_type AS value FROM events)"""
 
 
@@ -705,12 +715,24 @@ def _attempts(spark, d):
     return st.table(spark, d, "events").select(F.col("user_id").alias("dataset_id"), F.col("event_id").alias("at"), status.alias("status"), F.col("event_type").alias("value"), F.lit("e").alias("error"))
 
 
-@query(f"""WITH {_ATT}, c AS (SELECT dataset_id, max(eid) AS c FROM a WHERE status = 'clear' GROUP BY 1), k AS (SELECT a.*, status = 'ok' AND (c IS NULL OR eid > c) AS ok FROM a LEFT JOIN c USING (dataset_id))
-SELECT dataset_id, arg_max(value, eid) FILTER (WHERE ok) AS value, coalesce(max(eid) FILTER (WHERE ok), -1) AS fetched_at, max(eid) AS attempted_at, arg_max(status, eid) AS status FROM k GROUP BY 1""")
+_MERGED = f"""WITH {_ATT}, c AS (SELECT dataset_id, max(eid) AS c FROM a WHERE status = 'clear' GROUP BY 1), k AS (SELECT a.*, status = 'ok' AND (c IS NULL OR eid > c) AS ok FROM a LEFT JOIN c USING (dataset_id))
+SELECT dataset_id, arg_max(value, eid) FILTER (WHERE ok) AS value, coalesce(max(eid) FILTER (WHERE ok), -1) AS fetched_at, max(eid) AS attempted_at, arg_max(status, eid) AS status FROM k GROUP BY 1"""
+
+
+@query(_MERGED)
 def metadata_merge(spark, d):
     return catalog.merge_harvests(_attempts(spark, d)).withColumn("fetched_at", F.coalesce("fetched_at", F.lit(-1))).drop("error")
 
 
+@query(_MERGED)
+def harvest_stream(spark, d):
+    """The same state, merged from a stream in batches."""
+    root = store_io.new_root(spark)
+    stream = _as_stream(spark, _attempts(spark, d), f"{root}-in", "at")
+    catalog.harvest_stream(stream, root, f"{root}-checkpoint").awaitTermination()
+    return catalog.harvests(spark, root).withColumn("fetched_at", F.coalesce("fetched_at", F.lit(-1))).drop("error")
+
+
 @query("""SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING max(ts) <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""")
 def stale_rows(spark, d):
     e = st.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -847,15 +869,55 @@ def admit_coupled(spark, d):
 
 
 def _with_address(spark, d):
-    """Every seventh question comes without an address; the others share forty."""
-    return _questions(spark, d).withColumn("ip", F.expr("if(question_id % 7 = 0, null, concat('10.0.0.', pmod(hash(visitor), 40)))"))
+    """Every seventh question comes without an address; the others share forty, each visitor three."""
+    return _questions(spark, d).withColumn("ip", F.expr("if(question_id % 7 = 0, null, concat('10.0.0.', (visitor + question_id % 3) % 40))"))
 
 
-@query()
+_ADMITTED = """WITH RECURSIVE q AS MATERIALIZED (SELECT event_id AS id, user_id AS v, CASE WHEN event_id % 7 <> 0 THEN '10.0.0.' || ((user_id + event_id % 3) % 40) END AS ip, ts, CAST(ts AS DATE) AS day, date_trunc('hour', ts) AS h,
+  row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT h, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, false AS v_full, false AS ok, CAST([] AS BIGINT[]) AS vs, CAST([] AS VARCHAR[]) AS ips FROM q
+  UNION ALL SELECT h, n, id, v_full, ok, CASE WHEN ok THEN list_append(vs, v) ELSE vs END, CASE WHEN ok AND ip IS NOT NULL THEN list_append(ips, ip) ELSE ips END
+  FROM (SELECT q.h, q.n, q.id, q.v, q.ip, r.vs, r.ips, len(list_filter(r.vs, lambda x: x = q.v)) >= 2 AS v_full, len(list_filter(r.vs, lambda x: x = q.v)) < 2 AND (q.ip IS NULL OR len(list_filter(r.ips, lambda x: x = q.ip)) < 2) AS ok
+    FROM r JOIN q ON q.h = r.h AND q.n = r.n + 1)),
+k AS (SELECT q.id, q.v, ok, v_full, count(*) FILTER (WHERE ok) OVER (PARTITION BY day ORDER BY ts, q.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q JOIN r USING (id))
+SELECT id AS question_id, v AS visitor, CASE WHEN before >= 80 THEN 'day' WHEN ok THEN 'admitted' WHEN v_full THEN 'visitor' ELSE 'ip' END AS verdict FROM k"""
+
+
+@query(_ADMITTED)
 def admit_with_addresses(spark, d):
     return usage.admit_coupled(_with_address(spark, d), 2, 80, 2)
 
 
+@query(_ADMITTED)
+def admit_stream(spark, d):
+    """The same verdicts from a stream in batches."""
+    root = store_io.new_root(spark)
+    usage.admit_stream(_as_stream(spark, _with_address(spark, d), f"{root}-in", "at"), root, f"{root}-checkpoint", 2, 80, 2).awaitTermination()
+    usage.close_stream(spark, root, 2, 80, 2)
+    return usage.verdicts(spark, root)
+
+
+@query("SELECT 'visitor' AS kind, user_id::VARCHAR AS key, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS window_start, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'day', 'all', strftime(date_trunc('day', ts), '%Y-%m-%d %H'), count(*) FROM events GROUP BY ALL")
+def usage_updates(spark, d):
+    """Counters of a stream that delivers every fifth question twice, as they stand after its last batch."""
+    root, q = store_io.new_root(spark), _questions(spark, d)
+    stream = _as_stream(spark, q.union(q.where("question_id % 5 = 0")), f"{root}-in", "at")
+    keep = lambda rows, k: rows.write.mode("overwrite").parquet(f"{root}-out/batch={k}")
+    usage.usage_updates(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return usage.latest(spark.read.parquet(f"{root}-out")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))
+
+
+@query("SELECT 'completed' AS status, CAST(3 AS BIGINT) AS batches, count(*) AS rows FROM events")
+def stream_log(spark, d):
+    """The run log of a stream over all events."""
+    root = store_io.new_root(spark)
+    stream = _as_stream(spark, _questions(spark, d), f"{root}-in", "at")
+    with progress.RunLog(spark, f"{root}-log"):
+        stream.writeStream.format("noop").option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    return progress.stream_summary(progress.read_events(spark, f"{root}-log")).select("status", "batches", "rows")
+
+
 @query("""SELECT 'visitor' AS kind, user_id::VARCHAR AS key, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS window_start, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'ip', sha256('10.0.' || (user_id % 50)), strftime(date_trunc('hour', ts), '%Y-%m-%d %H'), count(*) FROM events WHERE event_id % 7 <> 0 GROUP BY ALL
 UNION ALL SELECT 'day', 'all', strftime(date_trunc('day', ts), '%Y-%m-%d %H'), count(*) FROM events GROUP BY ALL""")
 def usage_windows_addresses(spark, d):
@@ -870,6 +932,18 @@ def trace_summary(spark, d):
     return rounded(usage.trace_summary(e.select(F.when(bad, F.col("event_type")).alias("error"), F.when(~bad, F.col("event_id")).alias("bytes"), F.col("value").alias("elapsed_ms"))))
 
 
+@query(f"SELECT count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, CAST(coalesce(sum(event_id) FILTER (WHERE event_type <> 'error'), 0) AS BIGINT) AS bytes, {R('sum(value)')} AS elapsed_ms FROM events")
+def trace_stream(spark, d):
+    """The trace as lines of JSON, summed up by a stream in batches."""
+    root, bad = store_io.new_root(spark), F.col("event_type") == "error"
+    e = st.table(spark, d, "events").select(F.col("ts").cast("timestamp").cast("double").alias("ts"), F.when(bad, F.col("event_type")).alias("error"), F.when(~bad, F.col("event_id")).alias("bytes"), F.col("value").alias("elapsed_ms"))
+    e.repartitionByRange(3, "ts").write.json(f"{root}-in")
+    keep = lambda rows, k: rows.write.mode("overwrite").parquet(f"{root}-out")
+    summary = usage.trace_summary(usage.read_trace(spark, f"{root}-in", stream=True))
+    summary.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(f"{root}-out"))
+
+
 @query(f"SELECT vec_id AS cell_id, {R('list_sum([x::DOUBLE * x::DOUBLE for x in embedding])')} AS squares FROM embeddings")
 def svd_norms(spark, d):
     """On all singular directions a cell keeps its length."""
