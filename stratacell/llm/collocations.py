@@ -15,9 +15,9 @@ Proposals reach the tasks as a bit table of fixed size (two bits for each phrase
 table fills up, more phrases are counted than need be, and none is missed. A task
 adds up the counts of a few megabytes of text and sends them, sorted and packed,
 to shards by hash; the number of shards follows the corpus, and a hot phrase is one
-entry of each packet. Only what is frequent leaves a shard. A last pass reads the
-frequent phrases' words and parts; a task sends each phrase once, up to a memory of
-fixed size. The rest is joins over the frequent phrases. The counts of two phrases
+entry of each packet. Only what is frequent leaves a shard. The frequent phrases'
+words and parts are read from the sample, and those that it lacks from all texts; a
+task sends each phrase once, up to a memory of fixed size. The rest is joins over the frequent phrases. The counts of two phrases
 would be mixed up if their hashes were equal: with a million frequent phrases among
 1e9 different ones that happens with probability 5e-5.
 
@@ -243,13 +243,17 @@ def spelt(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     return texts.select("text", "lang").mapInArrow(run, "h long, lang string, lang_key long, n int, phrase string, " + ", ".join(f"{p} long" for p in PARTS))
 
 
+def drawn(texts: DataFrame, sample: int) -> DataFrame:
+    """The sample: one row in ``sample``, by a hash."""
+    return texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0)
+
+
 def frequent(texts: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
     """(h, c) of all phrases that occur ``least`` times or more, and of the languages with as many words (their key, the words)."""
     sc = texts.sparkSession.sparkContext
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    drawn = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0)
-    old = bit_table(counted(drawn, everything, max(1, -(-shards // sample)), PROPOSED, "proposed"))
+    old = bit_table(counted(drawn(texts, sample), everything, max(1, -(-shards // sample)), PROPOSED, "proposed"))
     old_bits = sc.broadcast(old)
     found = counted(texts, lambda w: proposed(old_bits.value)(w), shards, least, "counted", totals=True)
     now = bit_table(found)
@@ -264,8 +268,10 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, covers:
     """(lang, rank, phrase, a, l, r, n, score): the ``best`` phrases of each language."""
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).where("text <> ''")
     found = frequent(texts, least, sample)
-    own = spelt(texts, bit_table(found)).dropDuplicates(["h"]).join(found, "h").withColumnRenamed("c", "a")
-    own = stored(own, "phrases")
+    # most are in the sample, so the whole table is only asked for the rest
+    own = stored(spelt(drawn(texts, sample), bit_table(found)).dropDuplicates(["h"]).join(found, "h"), "spelt")
+    rest = stored(found.join(own, "h", "left_anti"), "unspelt")
+    own = own.unionByName(stored(spelt(texts, bit_table(rest)).dropDuplicates(["h"]).join(rest, "h"), "spelt")).withColumnRenamed("c", "a")
     cuts = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"l{k}").alias("lh"), F.col(f"r{k}").alias("rh")) for k in range(1, LONGEST)])
     cut = own.select("h", "a", F.inline(cuts)).where("lh is not null")
     cut = cut.join(found.select(F.col("h").alias("lh"), F.col("c").alias("l")), "lh").join(found.select(F.col("h").alias("rh"), F.col("c").alias("r")), "rh")
