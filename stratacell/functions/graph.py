@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store_io import checkpointed
+from .lineage import checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import checkpointed
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import as_label
 from ..sources.store import Store
@@ -24,19 +25,18 @@ def cell_totals(store: Store, layer: str | None = None) -> DataFrame:
 
 
 def normalize_log1p(store: Store, target: float | None = None, layer: str | None = None) -> DataFrame:
-    """log1p of values scaled so that each cell sums to ``target``: the median of the positive totals by default. A cell's
-    total stands beside its entries after one shuffle by cell."""
+    """log1p of values scaled so that each cell sums to ``target``: the median of the positive totals by default. The totals are
+    summed once, stored, and meet the entries in a join by cell."""
     x = store.matrix(layer)
+    totals = x.groupBy("cell_id").agg(F.sum(F.col("value").cast("double")).alias("total"))
     if target is None:
-        totals = x.groupBy("cell_id").agg(F.sum(F.col("value").cast("double")).alias("total"))
+        totals = checkpointed(totals)
         found = exact_quantiles(totals.where("total > 0").select("total"), [0.5])
         if found is None:
             raise ValueError("all cells are empty")
         target = found[0]
-    total = F.sum(F.col("value").cast("double")).over(Window.partitionBy("cell_id"))
-    rows = x.select("cell_id", "gene_id", F.col("value").cast("double").alias("value"), total.alias("total"))
     scale = F.coalesce(F.try_divide(F.lit(float(target)), F.col("total")), F.lit(0.0))
-    return rows.select("cell_id", "gene_id", F.log1p(F.col("value") * scale).alias("value"))
+    return x.join(totals, "cell_id").select("cell_id", "gene_id", F.log1p(F.col("value").cast("double") * scale).alias("value"))
 
 
 def select_ranked(var: DataFrame, n: int) -> DataFrame:
@@ -183,50 +183,124 @@ def normalized(store: Store, target: float | None = None, layer: str | None = No
     return replace(store, x=normalize_log1p(store, target, layer), uns=uns)
 
 
-#: Genes that a decomposition takes at most: its Gram matrix of so many squared is summed over tasks.
-MOST_GENES = 4_096
+#: Numbers of a thin matrix (genes times directions) that goes to the tasks, at most, and directions beside those asked for.
+MOST_THIN, SPARE = 8_000_000, 8
+#: Blocks of directions that are kept before they are folded into one, and passes at most.
+BLOCKS, PASSES = 8, 100
 
 
-def svd_scores(store: Store, k: int) -> tuple[DataFrame, list[float]]:
-    """Coordinates (cell_id, component, score) of the cells on the first ``k`` singular directions, without centring,
-    and the singular values. Each task sums the Gram matrix of its cells, and the sums are added in a tree."""
-    n = (store.var.agg(F.max("gene_id")).first()[0] or 0) + 1
-    if n > MOST_GENES:
-        raise ValueError(f"{n} genes; select {MOST_GENES} at most")
-
-    def gram(batches):
-        total = np.zeros((n, n))
+def _products(rows: DataFrame, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The sum over all cells of (cell's entries)' (cell's entries) v: each task sums a thin matrix, and the sums are added in a tree."""
+    table = rows.sparkSession.sparkContext.broadcast((ids, v))  # MOST_THIN numbers
+
+    def part(batches):
+        ids, v = table.value
+        total = np.zeros_like(v)
         for b in batches:
             ends = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(b["genes"]), np.int64))]
             genes, values = (np.asarray(pc.list_flatten(b[c])) for c in ("genes", "v"))
-            for at in range(0, b.num_rows, 1024):
-                to = ends[at : at + 1025]
-                z = np.zeros((len(to) - 1, n))
-                z[np.repeat(np.arange(len(to) - 1), np.diff(to)), genes[to[0] : to[-1]]] = values[to[0] : to[-1]]
-                total += z.T @ z
+            at, to = 0, 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 21) // v.shape[1], "right")) - 1)
+                lo, hi = ends[at], ends[to]
+                g, x = np.searchsorted(ids, genes[lo:hi]), values[lo:hi]
+                cell = np.repeat(np.arange(to - at), np.diff(ends[at : to + 1]))
+                z = np.zeros((to - at, v.shape[1]))
+                if len(g):
+                    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                    z[cell[starts]] = np.add.reduceat(x[:, None] * v[g], starts)
+                    order = np.argsort(g, kind="stable")
+                    firsts = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1]])
+                    total[g[order][firsts]] += np.add.reduceat((x[:, None] * z[cell])[order], firsts)
+                at = to
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["g"])
 
     def add(batches):
-        total = np.zeros(n * n)
+        total = None
         for b in batches:
             for g in b["g"]:
-                total += np.frombuffer(g.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["g"])
+                one = np.frombuffer(g.as_py())
+                total = one.copy() if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["g"])
 
-    entries = F.collect_list(F.struct(F.col("gene_id").cast("int").alias("g"), F.col("value").cast("double").alias("v")))  # a cell has MOST_GENES at most
-    rows = store.x.groupBy("cell_id").agg(entries.alias("e")).select(F.col("e.g").alias("genes"), F.col("e.v").alias("v"))
-    sums, parts = rows.mapInArrow(gram, "g binary"), 64
-    while parts > 1:
+    sums, parts = rows.mapInArrow(part, "g binary"), rows.rdd.getNumPartitions()
+    while parts > 4:
         parts = -(-parts // 8)
         sums = sums.repartition(parts).mapInArrow(add, "g binary")
-    found = sums.collect()
-    g = sum((np.frombuffer(r["g"]) for r in found), np.zeros(n * n)).reshape(n, n)
-    values, vectors = np.linalg.eigh(g)
+    return sum((np.frombuffer(r["g"]) for r in sums.collect()), np.zeros(v.size)).reshape(v.shape)  # four thin matrices at most
+
+
+def _orthonormal(block: np.ndarray, basis: np.ndarray | None = None) -> np.ndarray:
+    """Directions of ``block`` beside those of ``basis``; those that it holds already are left out."""
+    for _ in range(2):
+        if basis is not None:
+            block = block - basis @ (basis.T @ block)
+        q, r = np.linalg.qr(block)
+        scale = np.abs(np.diag(r))
+        block = q[:, scale > 1e-10 * max(scale.max(initial=0), 1e-300)]
+    return block
+
+
+def singular(rows: DataFrame, ids: np.ndarray, k: int, seed: int = 1, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest singular values of the cells' entries and their directions over the genes ``ids``, by randomised blocks:
+    each pass over the cells multiplies a thin block, the best directions of all blocks so far are found among them on the driver, and what
+    they still lack is the next block. Ends when that is within ``tolerance`` of the largest."""
+    n = len(ids)
     k = min(k, n)
-    v = vectors[:, ::-1][:, :k]
-    genes = store.x.sparkSession.createDataFrame([(i, j, float(v[i, j])) for i in range(n) for j in range(k)], "gene_id int, component int, weight double")
-    scores = store.x.join(F.broadcast(genes), "gene_id").groupBy("cell_id", "component").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))  # MOST_GENES times k at most
-    return scores, np.sqrt(np.maximum(values[::-1][:k], 0)).tolist()
+    width = min(n, k + SPARE)
+    if n * width > MOST_THIN:
+        raise ValueError(f"{n} genes times {width} directions; {MOST_THIN} at most")
+    block = _orthonormal(np.random.default_rng(seed).normal(size=(n, width)))
+    basis, image = block, _products(rows, ids, block)
+    for _ in range(PASSES):
+        values, turn = np.linalg.eigh((lambda m: (m + m.T) / 2)(basis.T @ image))
+        turn = turn[:, ::-1][:, :width]
+        values = values[::-1][:width]
+        best, best_image = basis @ turn, image @ turn
+        lacks = best_image - best * values
+        if np.linalg.norm(lacks[:, :k], axis=0).max(initial=0) <= tolerance * max(abs(values[0]), 1e-300) or basis.shape[1] >= n:
+            break
+        if basis.shape[1] + width > BLOCKS * width:
+            basis, image = best, best_image
+        block = _orthonormal(lacks, basis)
+        if not block.shape[1]:
+            break
+        basis, image = np.hstack([basis, block]), np.hstack([image, _products(rows, ids, block)])
+    else:
+        raise RuntimeError(f"singular values are not settled after {PASSES} passes")
+    v = best[:, :k]
+    v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)  # the largest weight of a direction is positive
+    return np.sqrt(np.maximum(values[:k], 0)), v
+
+
+def svd_scores(store: Store, k: int) -> tuple[DataFrame, list[float]]:
+    """Coordinates (cell_id, component, score) of the cells that have entries on the first ``k`` singular directions, without
+    centring, and the singular values; see :func:`singular`. Genes are those that have entries, whatever their numbers are; the
+    largest weight of a direction is positive."""
+    value = F.col("value").cast("double")
+    x = store.x.where(value != 0)
+    ids = np.sort(np.array([r[0] for r in x.select(F.col("gene_id").cast("long")).distinct().limit(MOST_THIN + 1).collect()], np.int64))  # MOST_THIN at most
+    if not len(ids):
+        return store.x.sparkSession.createDataFrame([], "cell_id long, component int, score double"), []
+    entries = F.collect_list(F.struct(F.col("gene_id").cast("long").alias("g"), value.alias("v")))  # a cell has as many as there are genes, at most
+    rows = checkpointed(x.groupBy("cell_id").agg(entries.alias("e")).select(F.col("cell_id").cast("long").alias("cell_id"), F.col("e.g").alias("genes"), F.col("e.v").alias("v")))
+    values, v = singular(rows, ids, k)
+    table = rows.sparkSession.sparkContext.broadcast((ids, v))
+
+    def scores(batches):
+        ids, v = table.value
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                length = np.asarray(pc.list_value_length(part["genes"]), np.int64)
+                weights = v[np.searchsorted(ids, np.asarray(pc.list_flatten(part["genes"])))] * np.asarray(pc.list_flatten(part["v"]))[:, None]
+                s = np.add.reduceat(weights, np.r_[0, np.cumsum(length)[:-1]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.asarray(part["cell_id"]), v.shape[1])), pa.array(np.tile(np.arange(v.shape[1], dtype=np.int32), part.num_rows)), pa.array(s.ravel())], ["cell_id", "component", "score"]
+                )
+
+    return rows.mapInArrow(scores, "cell_id long, component int, score double"), values.tolist()
 
 
 def knn_within(vectors: DataFrame, k: int, radius: float, tables: int = 8, width: float | None = None, seed: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotations, catalog, chat, matrix, stats, strata
+from ..operators import annotations, catalog, chat, matrix, neighbours, stats, strata
 from ..sources.store import Store
 from ..sources import store_io
 from ..streaming import usage
@@ -28,7 +28,7 @@ def register(name: str) -> Callable:
     return put
 
 
-for _module in (stats, annotations, matrix, strata, catalog, chat, usage):
+for _module in (stats, annotations, matrix, neighbours, strata, catalog, chat, usage):
     for _name, _f in sorted(vars(_module).items()):
         if inspect.isfunction(_f) and _f.__module__ == _module.__name__ and not _name.startswith("_"):
             register(_name)(_f)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import annotations as an
-from .operators import catalog, chat, matrix, stats, strata
+from .operators import catalog, chat, matrix, neighbours, stats, strata
 from .plans import router
 from .sources import store as st
 from .sources import store_io
@@ -951,6 +951,23 @@ def svd_norms(spark, d):
     return rounded(scores.groupBy("cell_id").agg(F.sum(F.col("score") * F.col("score")).alias("squares")))
 
 
+@query(f"SELECT vec_id AS cell_id, {R('list_sum([x::DOUBLE * x::DOUBLE for x in embedding[1:12]])')} AS squares FROM embeddings")
+def svd_of_selected_genes(spark, d):
+    """A selection of genes whose numbers have gaps and are large: a cell keeps its length on all directions."""
+    s = st.dense_store(spark, d)
+    few = replace(s, x=s.x.where("gene_id < 12").withColumn("gene_id", F.col("gene_id") * 1_000_003))
+    scores = matrix.svd_scores(few, 12)[0]
+    return rounded(scores.groupBy("cell_id").agg(F.sum(F.col("score") * F.col("score")).alias("squares")))
+
+
+@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))) AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id % 10 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM p) SELECT a AS row_id, b AS col_id, (round(dist, 6) + 0.0) AS value FROM r WHERE k <= 10""")
+def knn_all_cells(spark, d):
+    """The neighbours of all cells, among all cells; those of every tenth are compared."""
+    v = st.table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("coords"))
+    return rounded(neighbours.knn_all(v, 10)).where("row_id % 10 = 0")
+
+
 @query()
 def svd_scores(spark, d):
     return matrix.svd_scores(st.dense_store(spark, d), 5)[0]

@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -25,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.lineage import shared
 from ..operators.matrix import categories
 from .store import Store, by_cell, by_gene, need_int32
 
@@ -40,22 +39,6 @@ class PartExists(ValueError):
     """The part is there already; ``overwrite`` replaces it."""
 
 
-def shared(spark: SparkSession) -> None:
-    """Sets the folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set, on one machine."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        found = sc.getConf().get("spark.checkpoint.dir")
-        if not found and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage."""
-    shared(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_root(spark: SparkSession) -> str:
     """A new folder name in the folder that ``spark.checkpoint.dir`` names."""
     shared(spark)

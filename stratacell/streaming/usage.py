@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..functions.graph import components
-from ..sources.store_io import Build, checkpointed, read_part
+from ..functions.lineage import checkpointed
+from ..sources.store_io import Build, read_part
 
 TRACE = "ts double, method string, url string, path string, status int, bytes bigint, elapsed_ms double, error string"
 

@@ -15,7 +15,7 @@ from stratacell import Store
 from stratacell.functions import scalars
 from stratacell.functions.quantiles import exact_quantiles
 from stratacell.functions.scalars import as_label
-from stratacell.operators import annotations, catalog, chat, matrix, stats, strata
+from stratacell.operators import annotations, catalog, chat, matrix, neighbours, stats, strata
 from stratacell.plans import router
 from stratacell.sources import store as st
 from stratacell.sources import store_io
@@ -504,6 +504,59 @@ def test_singular_values(spark, tiny):
     assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-9)
 
 
+@pytest.mark.parametrize("shape", ["gaps", "wide", "rank", "alike"])
+def test_singular_values_of_selections(spark, shape):
+    """Genes with gaps in their numbers, more genes than one block has directions, fewer directions than asked for, values that repeat."""
+    rng = np.random.default_rng(8)
+    n, m = (40, 90) if shape != "wide" else (60, 700)
+    a = rng.normal(size=(n, m)) * (rng.random((n, m)) < 0.3)
+    if shape == "rank":
+        a = rng.normal(size=(n, 3)) @ rng.normal(size=(3, m))
+    if shape == "alike":
+        a = np.kron(np.eye(20), np.ones((2, 4)))
+        n, m = a.shape
+    ids = np.sort(rng.choice(10**9, m, replace=False))
+    i, j = np.nonzero(a)
+    x = spark.createDataFrame([(int(r), int(ids[c]), float(a[r, c])) for r, c in zip(i, j, strict=True)], "cell_id long, gene_id long, value double").repartition(3)
+    scores, values = matrix.svd_scores(Store(None, None, x), 6)
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    assert values == pytest.approx(s[:6].tolist(), rel=1e-6, abs=1e-5)
+    got = np.zeros((n, 6))
+    for r in scores.collect():
+        got[r["cell_id"], r["component"]] = r["score"]
+    assert np.linalg.norm(got, axis=0) == pytest.approx(s[:6], rel=1e-6, abs=1e-5)
+    if shape in ("gaps", "wide"):
+        assert np.abs(got) == pytest.approx(np.abs(u[:, :6] * s[:6]), abs=1e-4)
+    with pytest.raises(ValueError):
+        matrix.singular(None, np.arange(10**6), 50)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "random", "ties", "few"])
+def test_exact_neighbours(spark, kind, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = {"clusters": rng.normal(size=(500, 6)) + 9 * rng.integers(0, 4, (500, 1)), "random": rng.normal(size=(300, 20)), "ties": rng.integers(0, 3, (200, 3)).astype(float), "few": rng.normal(size=(4, 3))}[kind]
+    ids = rng.permutation(len(points))
+    v = spark.createDataFrame([(int(i), p.tolist()) for i, p in zip(ids, points, strict=True)] + [(10**6, None), (10**6 + 1, [float("nan")] * points.shape[1]), (10**6 + 2, [])], "cell_id long, coords array<double>")
+    got = {}
+    for r in neighbours.knn_all(v, 5, pivots=8, block=20).collect():
+        got.setdefault(r["row_id"], []).append((r["value"], r["col_id"]))
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    for k, i in enumerate(ids):
+        want = sorted((d[k, m], int(ids[m])) for m in range(len(ids)) if m != k)[:5]
+        assert sorted(got[i])[: len(want)] == [(pytest.approx(x), j) for x, j in want] and len(got[i]) == len(want)
+    assert len(got) == len(ids) and neighbours.knn_all(v.where("false"), 5).count() == 0
+
+
+def test_neighbours_out_of_reach_are_not_compared(spark):
+    """Comparisons beside the number of all pairs: clusters far apart."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(4000, 4)) + 50 * rng.normal(size=(40, 4))[rng.integers(0, 40, 4000)]
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "cell_id long, coords array<double>")
+    blocks, _ = neighbours._blocks(neighbours._dealt(v, neighbours.draw_pivots(v, 64, 4096)), 64, 64)
+    assert blocks.agg(F.max(F.size("m"))).first()[0] < 200
+    assert neighbours.compared(v, 5, block=64) < 0.15 * 4000**2
+
+
 def test_neighbours_of_all_cells(spark):
     rng = np.random.default_rng(5)
     points = rng.normal(size=(600, 6)) + 9 * rng.integers(0, 4, (600, 1))
