@@ -11,7 +11,9 @@ components of a bucket is left out.
 
 A hub, a bucket or a text with a third of all rows is no hot task: what is known
 of each is counted before its shuffle and stored, and the joins with it are
-between stored tables, which Spark splits where one key is large.
+between stored tables, which Spark splits where one key is large. Classes of two
+components that share a hub and a difference to it are compared one by one; those
+of one component never are.
 
 Defined results: a null, empty or blank text has no shingles and links with
 nothing, and so is its own component. In the report, rows that repeat an id get
@@ -103,19 +105,24 @@ def row_key(docs: DataFrame) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), docs["text"].cast("string"))))
 
 
+def text_key(docs: DataFrame) -> Column:
+    """A hash of a row's text, by which texts are found again; what it takes for equal is told apart by the sets."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def signatures(docs: DataFrame, keyed: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands): ``set_key`` is a 128-bit digest of the shingle set, null if empty; with ``row_key`` if ``keyed``."""
+    """(doc_id, n_shingles, set_key, bands, text_key): ``set_key`` is a 128-bit digest of the shingle set, null if empty; with ``row_key`` if ``keyed``."""
 
     def run(batches):
         none = np.zeros(0, U)
         for batch, sets in _sets(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), _lists([signature(s) if len(s) else none for s in sets]), *([batch["row_key"]] if keyed else [])],
-                ["doc_id", "n_shingles", "set_key", "bands", *["row_key"] * keyed],
+                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), _lists([signature(s) if len(s) else none for s in sets]), batch["text_key"], *([batch["row_key"]] if keyed else [])],
+                ["doc_id", "n_shingles", "set_key", "bands", "text_key", *["row_key"] * keyed],
             )
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[row_key(docs).alias("row_key")] * keyed)
-    return own.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>" + ", row_key binary" * keyed)
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key(docs).alias("text_key"), *[row_key(docs).alias("row_key")] * keyed)
+    return own.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, text_key long" + ", row_key binary" * keyed)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -145,28 +152,35 @@ def prefix_length(n: Column, similar: int) -> Column:
     return F.floor((100 - similar) * n / similar) + 1
 
 
-def residual_pairs(around: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Pairs (u, v) across components that may be similar, of classes around the same hub.
+def prefixes(around: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(hub, x, set_key, n, root, nd, at): by which differences to their hub classes of several components meet.
 
     ``around``: (hub, hub_root, hub_n, set_key, n, root). Two sets differ exactly where their differences to the hub
     differ, so similar ones that the hub does not join share most of those differences: both have one of the rarest
     few (a prefix filter), at places that leave enough to share (a positional filter). What all copies of one text have
-    in common cancels out, so copies that are not similar to each other do not meet.
+    in common cancels out, so copies that are not similar to each other do not meet. A difference that only classes of one
+    component have brings nothing together, however many they are.
     """
     c = _share(similar)
     h, m = sets.select(F.col("set_key").alias("hub"), F.col("shingles").alias("hs")), sets.select("set_key", F.col("shingles").alias("ms"))
     differs = F.concat(F.array_except("ms", "hs"), F.array_except("hs", "ms"))
     d = around.join(m, "set_key").join(h, "hub").select("hub", "set_key", "n", "root", (F.col("root") == F.col("hub_root")).alias("joined"), "hub_n", differs.alias("d"))
     rows = stored(d.where(F.size("d") > 0).select("*", F.size("d").alias("nd"), F.explode("d").alias("x")).drop("d"), "differences")
-    count = stored(rows.groupBy("hub", "x").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    mixed = (F.min("root") != F.max("root")).alias("mixed")
+    count = stored(rows.groupBy("hub", "x").agg(F.count("*").alias("df"), mixed).where("df > 1"), "counts")
     ranked = rows.join(count, ["hub", "x"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", F.row_number().over(Window.partitionBy("hub", "set_key").orderBy("df", "x")))
     most = prefix_length(F.col("n"), similar)
     # a class that the hub joins only looks for classes that the hub does not join
     joined = F.col("nd") - F.ceil((F.col("nd") + c * (F.col("hub_n") - F.col("n"))) / 2 - 1e-6) + 1
-    prefix = stored(
-        ranked.where((F.col("df") > 1) & (F.col("at") <= F.when(F.col("joined"), F.least(most, joined)).otherwise(most)))
+    return stored(
+        ranked.where(F.col("mixed") & (F.col("at") <= F.when(F.col("joined"), F.least(most, joined)).otherwise(most)))
         .select("hub", "x", "set_key", "n", "root", "nd", "at"), "prefix",
-    )
+    )
+
+
+def residual_pairs(around: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Pairs (u, v) across components that may be similar, of classes around the same hub; see :func:`prefixes`."""
+    c, prefix = _share(similar), prefixes(around, sets, similar)
     v = prefix.select("hub", "x", *[F.col(k).alias(f"{k}2") for k in ("set_key", "n", "root", "nd", "at")])
     room = 1 + F.least(F.col("nd") - F.col("at"), F.col("nd2") - F.col("at2"))
     met = (
@@ -179,7 +193,7 @@ def residual_pairs(around: DataFrame, sets: DataFrame, similar: int = SIMILAR) -
 def links(docs: DataFrame, sig: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(node, root) of the classes of equal sets that are linked with others."""
     classes = stored(
-        sig.where("set_key is not null").groupBy("set_key").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")),
+        sig.where("set_key is not null").groupBy("set_key").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("text_key").alias("text_key")),
         "classes",
     )
     in_buckets = classes.select("set_key", "n", F.explode("bands").alias("bucket"))
@@ -187,9 +201,9 @@ def links(docs: DataFrame, sig: DataFrame, similar: int = SIMILAR) -> DataFrame:
     members = stored(in_buckets.join(shared, "bucket"), "members")
     # only classes in a shared bucket need their sets
     degree = stored(members.groupBy("set_key").agg(F.sum("size").alias("degree")), "degree")
-    ids = classes.join(degree, "set_key", "left_semi").select("doc_id")
+    texts = classes.join(degree, "set_key", "left_semi").select("text_key")
     sets = stored(
-        shingle_sets(docs.join(ids, "doc_id", "left_semi")).join(degree, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets"
+        shingle_sets(docs.select("text", text_key(docs).alias("text_key")).join(texts, "text_key", "left_semi")).join(degree, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets"
     )
     # the hub of a bucket is the member that meets most others: in a group of copies, the text that they vary
     hubs = members.join(degree, "set_key").groupBy("bucket").agg(F.max(F.struct("degree", "set_key", "n")).alias("h"))
