@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from stratacell.llm import lm, near_dedup, packing, quality_model, queries, toxicity, warc
+from stratacell.llm import lm, near_dedup, packing, quality_model, queries, toxicity, url_filter, warc
 from tests.conftest import same_as_duckdb
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +53,41 @@ def test_redirects_same_as_sql(spark, tmp_path):
     assert said[True, "block"] and said[True, "allow"]
 
 
+def test_links_as_html_has_them(spark, tmp_path):
+    """How attributes, comments, scripts, character references and refreshes are spelt; each page alone aims at a blocked place."""
+    to = "http://x.com/de/{}"
+    shapes = {  # by whether there is a link
+        True: [
+            'rel = "canonical" href = "{}"', "rel='alternate  Canonical' href='{}'", "data-href='http://y.net/' rel=canonical href={}", 'title="a > b" rel=canonical href="{}"', 'href="{}" href="http://y.net/" rel=canonical', 'rel=canonical href=" {} "',
+            'rel=canonical href="http&#x3A;&#47;/x.com&#x2F;de&#x2f;{n}"', 'rel="can&#111;nical" href="{}"', "\nrel=canonical\n/ href='{}'\n",
+        ],
+        False: ['rel=canonicalish href="{}"', 'rel="canonical-x y" href="{}"', 'rel=canonical data-href="{}"', 'rel=next href="{}"', "title='rel=canonical' href='{}'", 'rel=canonical href="http&colon;//x.com/de/{n}"', 'rel=canonical href=""'],
+    }
+    pages, want = [], {}
+
+    def add(html, linked):
+        pages.append((len(pages), f"http://p{len(pages)}.net/a/b", html))
+        want[pages[-1][0]] = "block" if linked else "allow"
+
+    for linked, forms in shapes.items():
+        for form in forms:
+            n = len(pages)
+            add(f"<head><link {form.replace('{n}', str(n)).replace('{}', to.format(n))}></head>", linked)
+    for content, linked in (("0;{}", True), ("0; url = '{}'", True), ("3 , URL={}", True), ("1.5 {}", True), ("0", False), ("url={}", False), (";{}", False)):
+        add(f'<META content="{content.format(to.format(len(pages)))}" HTTP-EQUIV=" Refresh ">', linked)
+    for around, linked in (("<!-- {} -->", False), ("<!-- {}", False), ("<!-- > --> {}", True), ("<script>'{}'</script>", False), ("<style a=b>{}</style >", False), ("<script></script>{}", True), ("<scripted>{}</scripted>", True), ("<LINK/REL=x><b>{}</b>", True)):
+        add(around.format(f"<link rel=canonical href={to.format(len(pages))}>"), linked)
+    add("<base target=x><base href='//X.com/de/sub/'><base href='http://y.net/'><link rel=canonical href=z>", True)
+    add("<base href='http://y.net/de/'><link rel=canonical href=z>", False)
+    add('<link rel=canonical href="http://x.com/d&#101;/&#0;&#xD800;&#99999999;&amp;lt;">', True)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.verdicts(df).collect()} == want
+    found = {r["v"] for r in url_filter.links(df).where(f"u = 'p{len(pages) - 1}.net/a/b'").collect()}
+    assert found == {"x.com/de/���&lt;"}
+    df.where(f"page_id < {len(pages) - 1}").write.parquet(str(tmp_path / "pages"))
+    same_as_duckdb(queries.QUERIES["op10_url_filters"](spark, _as_files(tmp_path)), queries.ORACLE_SQL["op10_url_filters"], str(tmp_path))
+
+
 def _as_files(path):
     """One Parquet file named like the table, as the given ones are."""
     import pyarrow.parquet as pq
