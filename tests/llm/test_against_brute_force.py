@@ -53,6 +53,32 @@ def test_redirects_same_as_sql(spark, tmp_path):
     assert said[True, "block"] and said[True, "allow"]
 
 
+def test_overlaps_same_as_sql(spark, tmp_path):
+    """Substitutions anywhere in windows of 13, items shorter than a window, items and documents without ids, at either end of a text."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [[word() for _ in range(n)] for n in (13, 13, 20, 40, 2, 5, 9, 12, 1, 13)]
+    bench = [(None if k in (1, 5) else k, " ".join(w)) for k, w in enumerate(items)] + [(3, " ".join(items[0][::-1])), (77, " ".join(items[2]).upper()), (8, None), (9, "")]
+    docs = [(0, None), (1, ""), (2, "  ")]
+    for k in range(220):
+        w = list(items[rng.randrange(len(items))])
+        for at in rng.sample(range(len(w)), min(len(w), rng.choice([0, 1, 2, 2, 3]))):
+            w[at] = f"x{rng.randrange(9)}"
+        docs.append((k + 3 if k % 10 else None, " ".join([word() for _ in range(rng.choice([0, 3, 30]))] + w + [word() for _ in range(rng.choice([0, 3, 30]))])))
+    w = list(items[0])
+    w[3] = w[9] = "other"
+    docs.append((990, " ".join(["a", "b", *w, "c"])))
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame(bench, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "b"))
+    import pyarrow.parquet as pq
+
+    for short, name in (("d", "documents"), ("b", "benchmark")):
+        pq.write_table(pq.read_table(tmp_path / short), tmp_path / f"{name}.parquet")
+    df = queries.QUERIES["op4_benchmark_decontamination"](spark, str(tmp_path))
+    same_as_duckdb(df, queries.ORACLE_SQL["op4_benchmark_decontamination"], str(tmp_path))
+    assert df.where("doc_id = 990 and contaminated").count() == 1 and 100 < df.where("contaminated").count() < 223
+
+
 def test_links_as_html_has_them(spark, tmp_path):
     """How attributes, comments, scripts, character references and refreshes are spelt; each page alone aims at a blocked place."""
     to = "http://x.com/de/{}"
