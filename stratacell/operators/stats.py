@@ -139,7 +139,7 @@ def panel_above_min(store: Store, labels: DataFrame, genes: Sequence[int], decla
     cells = labels.toDF("cell_id", "group")
     n = _with_declared(cells.groupBy("group").agg(F.count("*").alias("n_cells")), declared)
     n_all = n.where(F.col("group").isNotNull()).agg(F.coalesce(F.sum("n_cells"), F.lit(0))).first()[0]
-    x = store.x.where(F.col("gene_id").isin(list(genes))).join(cells, "cell_id").select("group", "gene_id", F.col("value").cast("double").alias("v"))
+    x = store.entries(genes).join(cells, "cell_id").select("group", "gene_id", F.col("value").cast("double").alias("v"))
     low = x.where(F.col("group").isNotNull()).groupBy("gene_id").agg(F.when(F.count("*") < n_all, F.least(F.min("v"), F.lit(0.0))).otherwise(F.min("v")).alias("floor"))
     s = x.join(low, "gene_id").groupBy("group", "gene_id").agg(F.sum("v").alias("s"), F.count_if(F.col("v") > F.col("floor")).alias("above"), F.count("*").alias("stored"))
     zero = lambda c: F.coalesce(c, F.lit(0))

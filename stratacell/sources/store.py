@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INT32 = 2**31 - 1
@@ -29,6 +31,7 @@ class Store:
     root: str | None = None
     parts: tuple = ()
     seal: tuple | None = None
+    ranges: tuple | None = None
 
     def sealed(self, content: str | None) -> Store:
         """The store with the ``content`` that its cells and its matrix are known by."""
@@ -65,9 +68,21 @@ class Store:
             raise KeyError("the store has no embeddings")
         return self.obsm.where(F.col("key") == key).select("cell_id", "coords")
 
+    def ranged(self, x: DataFrame, rows: DataFrame, cuts: list[int]) -> Store:
+        """The store with its matrix ``x`` also as ``rows`` that have the range of their gene (``genes``), as they are laid out."""
+        return replace(self, x=x, ranges=(x, rows, cuts))
+
+    def entries(self, genes: Sequence[int]) -> DataFrame:
+        """The entries of some genes; of a stored matrix only the folders of their ranges are read."""
+        own = F.col("gene_id").isin(list(genes))
+        if not self.ranges or self.ranges[0] is not self.x:
+            return self.x.where(own)
+        _, rows, cuts = self.ranges
+        return rows.where(F.col("genes").isin(sorted({bisect_left(cuts, g) for g in genes})) & own).select(*self.x.columns)
+
     def gene(self, gene_id: int) -> DataFrame:
         """(cell_id, value) of one gene for every cell, zeros included."""
-        one = self.x.where(F.col("gene_id") == gene_id).select("cell_id", "value")
+        one = self.entries([gene_id]).select("cell_id", "value")
         return self.obs.select("cell_id").join(one, "cell_id", "left").select("cell_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -124,10 +139,33 @@ def need_int32(x: DataFrame) -> DataFrame:
     return x
 
 
-def by_gene(x: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The matrix laid out for reads of one gene: ranges of genes, sorted, so that Parquet statistics prune."""
-    split = x.repartitionByRange(partitions, "gene_id") if partitions else x.repartitionByRange("gene_id")
-    return split.sortWithinPartitions("gene_id", "cell_id")
+#: Bytes of a matrix file at most, about; what an entry takes on disk, about; ranges of genes at most.
+FILE_BYTES, ENTRY_BYTES, MOST_RANGES = 128 << 20, 8, 256
+
+
+def gene_cuts(x: DataFrame, file_bytes: int = FILE_BYTES) -> list[int]:
+    """The last genes of all ranges but the highest: ranges of equal entries, each about a file. One pass with a mergeable sketch."""
+    n = x.count()
+    ranges = min(MOST_RANGES, -(-n * ENTRY_BYTES // file_bytes))
+    if ranges < 2:
+        return []
+    places = [F.lit(i / ranges) for i in range(1, ranges)]
+    return sorted(set(x.agg(F.percentile_approx(F.col("gene_id").cast("long"), F.array(*places), 10 * MOST_RANGES)).first()[0]))
+
+
+def range_of(gene: Column, cuts: Sequence[int], low: int = 0) -> Column:
+    """The number of the range that a gene is in, by halves."""
+    if not cuts:
+        return F.lit(low)
+    mid = len(cuts) // 2
+    return F.when(gene <= cuts[mid], range_of(gene, cuts[:mid], low)).otherwise(range_of(gene, cuts[mid + 1 :], low + mid + 1))
+
+
+def by_gene(x: DataFrame, cuts: Sequence[int] = ()) -> DataFrame:
+    """The matrix laid out for reads of one gene, with its range (``genes``): dealt out by gene and then by cell, so that a gene with a
+    large share of all entries is in several tasks; sorted, so that Parquet statistics prune."""
+    dealt = x.withColumn("genes", range_of(F.col("gene_id"), list(cuts))).repartitionByRange("gene_id", "cell_id")
+    return dealt.sortWithinPartitions("genes", "gene_id", "cell_id")
 
 
 def by_cell(x: DataFrame) -> DataFrame:

@@ -21,18 +21,21 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.lineage import shared
 from ..operators.matrix import categories
-from .store import Store, by_cell, by_gene, need_int32
+from .store import ENTRY_BYTES, FILE_BYTES, Store, by_cell, by_gene, gene_cuts, need_int32
 
 PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells", "harvests", "verdicts", "counters", "waiting")
 KEYED = ("obsm", "obsp", "varp", "layers", "strata", "strata_cells", "verdicts")
 #: Parts that may have no rows.
 MAYBE_EMPTY = ("x", "obsm", "layers", "strata", "strata_cells", "categories", "harvests", "verdicts", "counters", "waiting")
 #: A row of the commit log: what a part is from this generation on. Without a path the part is gone.
-COMMIT = "generation long, part string, key string, axes array<string>, path string, rows long, content string, source string, schema string"
+COMMIT = "generation long, part string, key string, axes array<string>, path string, rows long, content string, source string, schema string, cuts array<long>"
+
+
+COLUMNS = [c.split()[0] for c in COMMIT.split(", ")]
 
 
 class PartExists(ValueError):
@@ -97,8 +100,9 @@ class Build:
             return 0
         return self.spark.read.schema(COMMIT).parquet(f"{self.root}/commits").agg(F.max("generation")).first()[0] or 0
 
-    def put(self, part: str, df: DataFrame, key: str = "", overwrite: bool = False, axes: Sequence[str] | None = None, source: str | None = None, int32: bool = False, order: str = "gene") -> str:
-        """Writes a part and returns its content. ``int32``: its indices must fit 32 bits. ``order``: a matrix is laid out by ``gene`` or by ``cell``."""
+    def put(self, part: str, df: DataFrame, key: str = "", overwrite: bool = False, axes: Sequence[str] | None = None, source: str | None = None, int32: bool = False, order: str = "gene", file_bytes: int = FILE_BYTES) -> str:
+        """Writes a part and returns its content. ``int32``: its indices must fit 32 bits. ``order``: a matrix is laid out by ``gene``, in
+        folders of ranges of genes, or by ``cell``; none of its files holds more entries than go into ``file_bytes``, about."""
         if part not in PARTS:
             raise ValueError(f"cannot add {part}")
         if bool(key) != (part in KEYED):
@@ -109,26 +113,30 @@ class Build:
             raise PartExists(f"{part}/{key}")
         if part == "obsm":
             df = df.withColumn("coords", F.transform("coords", lambda c: c.cast("float")))
+        path, seen, rows, cuts = "/".join([part, *[key] * bool(key), uuid.uuid4().hex]), Observation(), df, None
+        if part in ("x", "layers"):
+            df = need_int32(df) if int32 else df
+            cuts = gene_cuts(df, file_bytes) if order == "gene" else None
+            rows = by_cell(df) if cuts is None else by_gene(df, cuts)
+        writer = rows.observe(seen, *_sums(df)).write
         if part in ("x", "layers"):
-            df = {"gene": by_gene, "cell": by_cell}[order](need_int32(df) if int32 else df)
-        path, seen = "/".join([part, *[key] * bool(key), uuid.uuid4().hex]), Observation()
-        df.observe(seen, *_sums(df)).write.parquet(f"{self.root}/{path}")
+            writer = writer.option("maxRecordsPerFile", max(1, file_bytes // ENTRY_BYTES))
+        (writer if cuts is None else writer.partitionBy("genes")).parquet(f"{self.root}/{path}")
         found = _content(df.schema, seen.get)
-        row = (self.generation, part, key, None if axes is None else list(axes), path, seen.get["rows"], found, source, df.schema.json())
+        row = (self.generation, part, key, None if axes is None else list(axes), path, seen.get["rows"], found, source, df.schema.json(), cuts)
         self.rows = [r for r in self.rows if r[1:3] != (part, key)] + [row]
         return found
 
     def drop(self, part: str, key: str = "") -> None:
         """The part is gone from this generation on."""
         if (part, key) in self.live:
-            self.rows.append((self.generation, part, key, *[None] * 6))
+            self.rows.append((self.generation, part, key, *[None] * 7))
 
     def read(self, part: str, key: str = "") -> DataFrame:
         """A part as this build leaves it."""
         own = {r[1:3]: r for r in self.rows}
         if (part, key) in own:
-            r = own[part, key]
-            return self.spark.read.schema(StructType.fromJson(json.loads(r[8]))).parquet(f"{self.root}/{r[4]}")
+            return _read(self.spark, self.root, dict(zip(COLUMNS, own[part, key], strict=True)))
         return _read(self.spark, self.root, self.live[part, key])
 
     def commit(self) -> None:
@@ -152,8 +160,14 @@ def add_part(root: str, part: str, df: DataFrame, key: str = "", overwrite: bool
         b.put(part, df, key, overwrite, **how)
 
 
-def _read(spark: SparkSession, root: str, row: Row) -> DataFrame:
-    return spark.read.schema(StructType.fromJson(json.loads(row["schema"]))).parquet(f"{root}/{row['path']}")
+def _read(spark: SparkSession, root: str, row: Row | dict, ranges: bool = False) -> DataFrame:
+    """A part as its row of the log names it; with ``ranges`` a matrix by gene has the column of its folders (``genes``)."""
+    schema = StructType.fromJson(json.loads(row["schema"]))
+    if row["cuts"] is None:
+        return spark.read.schema(schema).parquet(f"{root}/{row['path']}")
+    whole = StructType(schema.fields + [StructField("genes", IntegerType())])
+    rows = spark.read.schema(whole).parquet(f"{root}/{row['path']}")
+    return rows if ranges else rows.select(*schema.names)
 
 
 def read_part(spark: SparkSession, root: str, part: str, key: str | None = "") -> DataFrame:
@@ -161,6 +175,8 @@ def read_part(spark: SparkSession, root: str, part: str, key: str | None = "") -
     found = [r for r in log(spark, root) if r["part"] == part and (key is None or r["key"] == key)]
     if not found:
         raise KeyError(f"no finished part {part}/{key}")
+    if len(found) == 1:
+        return _read(spark, root, found[0])
     return spark.read.schema(StructType.fromJson(json.loads(found[0]["schema"]))).parquet(*[f"{root}/{r['path']}" for r in found])
 
 
@@ -254,6 +270,9 @@ def open_store(spark: SparkSession, root: str) -> Store:
     named = {part: {key: read(part, key) for p, key in sorted(parts) if p == part} for part in ("layers", "obsp", "varp")}
     single = {part: read(part) for part in ("uns", "categories") if (part, "") in parts}
     store = Store(*(read(p) for p in ("obs", "var", "x")), obsm, **named, **single, root=root, parts=tuple(parts.values()))
+    if parts["x", ""]["cuts"] is not None:
+        rows = _read(spark, root, parts["x", ""], ranges=True)
+        store = store.ranged(rows.drop("genes"), rows, parts["x", ""]["cuts"])
     return store.sealed(source_of(store.parts))
 
 
@@ -277,7 +296,7 @@ def layout(spark: SparkSession, root: str, value_bytes: int = 4) -> DataFrame:
     parts = log(spark, root)
     live = spark.createDataFrame(parts, COMMIT)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path", "length")
-    folder = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), r"/[^/]*$", "")
+    folder = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), r"(/genes=[^/]*)?/[^/]*$", "")
     files = files.select(folder.alias("path"), "length").join(live.select("part", "path"), "path")
     out = files.groupBy("part").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.avg("length").alias("mean_bytes"))
     rows = {r["part"]: r["rows"] for r in parts}

@@ -218,6 +218,29 @@ def test_layouts_by_gene_and_by_cell(spark, tiny, tmp_path):
         store_io.add_part(root, "x", tiny.x.withColumn("cell_id", F.col("cell_id") + 2**31), overwrite=True, int32=True)
 
 
+def test_matrix_files_are_bounded(spark, tmp_path):
+    """A gene with a third of all entries is in several files, none of which is large; a gene's read lists the folders of its range."""
+    rows = [(c, 7, 1.0) for c in range(3000)] + [(c, g, float(g)) for g in range(0, 400, 2) for c in range(30)]
+    x = spark.createDataFrame(rows, "cell_id long, gene_id int, value double")
+    s = Store(x.select("cell_id").distinct(), x.select("gene_id").distinct().withColumn("var_name", F.lit("v")), x)
+    root, most = str(tmp_path / "store"), 500
+    store_io.write_store(root, s, file_bytes=most * st.ENTRY_BYTES)
+    back = store_io.open_store(spark, root)
+    assert sorted(map(tuple, back.x.collect())) == sorted(rows) and back.x.columns == x.columns
+    found = back.ranges[1].withColumn("file", F.input_file_name()).groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("gene_id") == 7).alias("hot"), F.max("genes").alias("genes")).collect()
+    assert max(r["n"] for r in found) <= most and sum(r["hot"] > 0 for r in found) >= 6 and len({r["genes"] for r in found}) >= 10
+    for g in (7, 0, 398, 122, 1, 999):
+        read = back.entries([g])
+        files = read.withColumn("file", F.input_file_name()).select("file").distinct().count()
+        assert read.count() == sum(r[1] == g for r in rows) and files <= (7 if g == 7 else 2)
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "genes" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert back.gene(122).where("value > 0").count() == 30 and back.gene(1).where("value = 0").count() == 3000
+    assert {r["part"]: r["files"] for r in store_io.layout(spark, root).collect()}["x"] == len(found)
+    store_io.add_part(root, "layers", x, "again")
+    assert store_io.open_store(spark, root).from_layer("again").entries([7]).count() == 3000
+
+
 def test_all_parts_come_back(spark, tiny, tmp_path):
     root = str(tmp_path / "store")
     coords = spark.createDataFrame([("flat", i, [float(i), 0.5]) for i in range(7)], "key string, cell_id long, coords array<double>")
