@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import chain
+from itertools import chain, combinations
+from math import ceil, prod
 from operator import and_
 
 from pyspark.sql import DataFrame
@@ -72,6 +73,54 @@ def preflight(store: Store, axes: Sequence[str], most: int = MOST_TUPLES) -> Dat
     return one.select("tuples", F.inline("a")).select("axis", "labels", "null_share", "tuples", ((F.col("tuples") <= most) & (F.coalesce("null_share", F.lit(0.0)) <= MOST_NULL)).alias("ok"))
 
 
+#: Axes of a sketch at most, sketches of a table at most, and the logarithm of a sketch's registers (a relative error of about 0.4 %).
+SKETCHED, MOST_SKETCHES, REGISTERS = 3, 1_000, 16
+
+
+def axis_sketches(obs: DataFrame, axes: Sequence[str], most: int = SKETCHED) -> DataFrame:
+    """(axes, rows, nulls, sketch) for each choice of up to ``most`` of the axes: a sketch of its distinct tuples, all in one pass; ``nulls``
+    counts the rows where one is missing. Sketches of parts of the cells add up: :func:`merge_sketches`."""
+    choices = [c for k in range(1, most + 1) for c in combinations(sorted(axes), k)]
+    if len(choices) > MOST_SKETCHES:
+        raise ValueError(f"{len(choices)} sketches; {MOST_SKETCHES} at most")
+    tuple_of = lambda c: F.xxhash64(*[x for a in c for x in (F.col(f"`{a}`"), F.col(f"`{a}`").isNull())])
+    missing = lambda c: reduce(lambda x, y: x | y, [F.col(f"`{a}`").isNull() for a in c])
+    one = lambda c: F.struct(F.array(*map(F.lit, c)).alias("axes"), F.count(F.lit(1)).alias("rows"), F.count_if(missing(c)).alias("nulls"), F.hll_sketch_agg(tuple_of(c), REGISTERS).alias("sketch"))
+    return obs.agg(F.array(*map(one, choices)).alias("s")).select(F.inline("s"))
+
+
+def merge_sketches(parts: Sequence[DataFrame]) -> DataFrame:
+    """The sketches of all parts of the cells together."""
+    return reduce(DataFrame.unionByName, parts).groupBy("axes").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_tuples(sketches: DataFrame, axes: Sequence[str]) -> tuple[int, int]:
+    """At least and at most how many tuples of ``axes`` there are, by their sketch; of more axes than a sketch has, by those of some."""
+    named = F.array(*map(F.lit, axes))
+    found = {tuple(r["axes"]): (r["n"], r["rows"]) for r in sketches.where(F.size(F.array_except("axes", named)) == 0).select("axes", "rows", F.hll_sketch_estimate("sketch").alias("n")).collect()}
+    unknown = [a for a in axes if (a,) not in found]
+    if unknown:
+        raise ValueError(f"no sketches of {unknown}")
+    whole = tuple(sorted(set(axes)))
+    if whole in found:
+        return found[whole][0], found[whole][0]
+    width, rows = max(map(len, found)), found[whole[:1]][1]
+    split = [whole[i : i + width] for i in range(0, len(whole), width)]
+    return max(n for n, _ in found.values()), min(rows, prod(found[c][0] for c in split))
+
+
+def sketched_preflight(sketches: DataFrame, axes: Sequence[str], most: int = MOST_TUPLES, error: float = 0.02) -> DataFrame:
+    """:func:`preflight` without a scan of the cells: (axis, labels, null_share, at_least, at_most, ok); ``ok`` is null where the sketches
+    cannot tell, and the cells have to be counted."""
+    low, high = sketched_tuples(sketches, axes)
+    low, high = ceil(low / (1 + error)), ceil(high * (1 + error))
+    fits = F.when(F.lit(low > most), False).when(F.lit(high <= most), True)
+    share = F.coalesce(F.try_divide("nulls", "rows"), F.lit(0.0))
+    one = sketches.where((F.size("axes") == 1) & F.col("axes")[0].isin(list(axes))).select(F.col("axes")[0].alias("axis"), F.hll_sketch_estimate("sketch").alias("n"), "nulls", share.alias("null_share"))
+    labels = (F.col("n") - (F.col("nulls") > 0).cast("int")).alias("labels")
+    return one.select("axis", labels, "null_share", F.lit(low).alias("at_least"), F.lit(high).alias("at_most"), F.when(F.col("null_share") > MOST_NULL, False).otherwise(fits).alias("ok"))
+
+
 def statistics(strata: DataFrame, cells: DataFrame, axes: Sequence[str], gene: str = "gene_id") -> DataFrame:
     """Mean, fraction expressing and sample variance of each stratum and gene; a missing category is one of its own."""
     n = F.col("n_cells")

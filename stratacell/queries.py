@@ -359,6 +359,18 @@ def strata_preflight(spark, d):
     return rounded(strata.preflight(st.sparse_store(spark, d), ["priority", "segment", "nation"]))
 
 
+@query(f"""WITH {SPARSE}, t AS (SELECT count(*) AS tuples FROM (SELECT DISTINCT priority, segment, nation FROM so))
+SELECT axis, labels, CAST(0 AS DOUBLE) AS null_share, true AS near, tuples <= 50000 AS ok FROM t, (SELECT 'priority' AS axis, count(DISTINCT priority) AS labels FROM so UNION ALL SELECT 'segment', count(DISTINCT segment) FROM so UNION ALL SELECT 'nation', count(DISTINCT nation) FROM so)""")
+def strata_preflight_sketched(spark, d):
+    """The same from sketches of two parts of the cells, stored, added up and read back; ``near``: the count of tuples is within 2 %."""
+    s, axes, root = st.sparse_store(spark, d), ["priority", "segment", "nation"], store_io.new_root(spark)
+    parts = [strata.axis_sketches(s.obs.where(f"cell_id % 3 {sign} 0"), axes) for sign in ("=", "<>")]
+    store_io.add_part(root, "sketches", strata.merge_sketches(parts))
+    tuples = s.obs.select(*axes).distinct().count()
+    found = strata.sketched_preflight(store_io.read_part(spark, root, "sketches"), axes)
+    return found.select("axis", "labels", "null_share", F.lit(tuples).between(F.col("at_least"), F.col("at_most")).alias("near"), "ok")
+
+
 @query("""WITH c AS (SELECT p_name AS label, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1), t AS (SELECT sum(n) AS total FROM c), k AS (SELECT * FROM c ORDER BY n DESC, f LIMIT 50)
 SELECT label, n, CAST(total AS BIGINT) AS total, CAST(total - sum(n) OVER () AS BIGINT) AS other FROM k, t""")
 def describe_categorical(spark, d):

@@ -27,7 +27,7 @@ from ..functions.lineage import shared
 from ..operators.matrix import categories
 from .store import ENTRY_BYTES, FILE_BYTES, Store, by_cell, by_gene, gene_cuts, need_int32
 
-PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells", "harvests", "verdicts", "counters", "waiting")
+PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells", "sketches", "harvests", "verdicts", "counters", "waiting")
 KEYED = ("obsm", "obsp", "varp", "layers", "strata", "strata_cells", "verdicts")
 #: Parts that may have no rows.
 MAYBE_EMPTY = ("x", "obsm", "layers", "strata", "strata_cells", "categories", "harvests", "verdicts", "counters", "waiting")

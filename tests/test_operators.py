@@ -218,6 +218,24 @@ def test_layouts_by_gene_and_by_cell(spark, tiny, tmp_path):
         store_io.add_part(root, "x", tiny.x.withColumn("cell_id", F.col("cell_id") + 2**31), overwrite=True, int32=True)
 
 
+def test_sketches_of_axes(spark):
+    """Sketches of parts add up to that of all; nulls are a label of their own; more axes than a sketch has are bounded."""
+    obs = spark.range(40_000).select(F.col("id").alias("cell_id"), (F.col("id") % 97).cast("string").alias("a"), F.when(F.col("id") % 50 > 0, (F.col("id") % 89).cast("string")).alias("b"), F.expr("string(id div 400)").alias("c"), F.lit("x").alias("d"))
+    axes = ["a", "b", "c", "d"]
+    merged = strata.merge_sketches([strata.axis_sketches(obs.where(f"cell_id % 4 = {k}"), axes) for k in range(4)])
+    for some in (["a"], ["b"], ["a", "b"], ["c", "a"], ["a", "b", "c"], ["d", "b"]):
+        n = obs.select(*some).distinct().count()
+        assert strata.sketched_tuples(merged, some) == (pytest.approx(n, rel=0.02),) * 2
+    low, high = strata.sketched_tuples(merged, axes)
+    assert low <= 1.02 * obs.select(*axes).distinct().count() and high * 1.02 >= obs.select(*axes).distinct().count()
+    got = {r["axis"]: r for r in strata.sketched_preflight(merged, ["a", "b"], most=20_000).collect()}
+    assert (got["a"]["labels"], got["b"]["labels"], got["b"]["null_share"], got["a"]["ok"]) == (97, 89, 0.02, True)
+    assert not any(r["ok"] for r in strata.sketched_preflight(merged, ["a", "b", "c"], most=1_000).collect())
+    assert [r["ok"] for r in strata.sketched_preflight(merged, axes, most=int(1.5 * low)).collect()] in ([True] * 4, [None] * 4)
+    with pytest.raises(ValueError):
+        strata.sketched_tuples(merged, ["e"])
+
+
 def test_matrix_files_are_bounded(spark, tmp_path):
     """A gene with a third of all entries is in several files, none of which is large; a gene's read lists the folders of its range."""
     rows = [(c, 7, 1.0) for c in range(3000)] + [(c, g, float(g)) for g in range(0, 400, 2) for c in range(30)]
