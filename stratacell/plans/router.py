@@ -28,9 +28,10 @@ def register(name: str) -> Callable:
     return put
 
 
+# what gives a table, or tables, is an operator; helpers and expressions are not
 for _module in (stats, annotations, matrix, neighbours, strata, catalog, chat, usage):
     for _name, _f in sorted(vars(_module).items()):
-        if inspect.isfunction(_f) and _f.__module__ == _module.__name__ and not _name.startswith("_"):
+        if inspect.isfunction(_f) and _f.__module__ == _module.__name__ and not _name.startswith("_") and "DataFrame" in str(_f.__annotations__.get("return")):
             register(_name)(_f)
 
 #: JSON types of the arguments that a caller writes down; tables and stores are objects that the caller has.
