@@ -78,7 +78,7 @@ def exact(tables: DataFrame, axes: Sequence[str]) -> DataFrame:
     return covering(tables, axes).where(F.size("axes") == len(set(axes)))
 
 
-def build_strata(spark: SparkSession, root: str, store: Store, atomic: Sequence[str], coarse: Sequence[Sequence[str]] = (), force: bool = False, add_only: bool = False) -> None:
+def build_strata(spark: SparkSession, root: str, store: Store, atomic: Sequence[str], coarse: Sequence[Sequence[str]] = (), force: bool = False, add_only: bool = False, file_bytes: int = store_io.FILE_BYTES) -> None:
     """Write the atomic table and the coarse ones, live all at once, and marked with the content of the cells and the matrix that they
     are summed from. ``force`` rebuilds: coarse tables that it does not name are gone. ``add_only`` derives coarse tables from the
     atomic table that is there, which must be of ``store``."""
@@ -103,13 +103,11 @@ def build_strata(spark: SparkSession, root: str, store: Store, atomic: Sequence[
                 b.drop("strata", key)
                 b.drop("strata_cells", key)
             b.rows = [r for r in b.rows if r[2] != "atomic"]
-            b.put("strata", strata.in_order(strata.build_atomic(store, atomic), atomic), "atomic", True, atomic, source)
-            b.put("strata_cells", strata.strata_cells(store, atomic), "atomic", True, atomic, source)
+            b.put_strata("atomic", atomic, strata.build_atomic(store, atomic), strata.strata_cells(store, atomic), store.var, source, file_bytes)
         base, cells = (b.read(p, "atomic") for p in ("strata", "strata_cells"))
         for axes in coarse:
             key = "-".join(axes) or "all"
-            b.put("strata", strata.in_order(strata.derive_coarse(base, axes), axes), key, True, axes, source)
-            b.put("strata_cells", cells.groupBy(*axes).agg(F.sum("n_cells").alias("n_cells")), key, True, axes, source)
+            b.put_strata(key, axes, strata.derive_coarse(base, axes), cells.groupBy(*axes).agg(F.sum("n_cells").alias("n_cells")), store.var, source, file_bytes)
 
 
 def group_sums(spark: SparkSession, root: str | None, store: Store, axis: str) -> tuple[DataFrame, DataFrame, str]:

@@ -143,10 +143,10 @@ def need_int32(x: DataFrame) -> DataFrame:
 FILE_BYTES, ENTRY_BYTES, MOST_RANGES = 128 << 20, 8, 256
 
 
-def gene_cuts(x: DataFrame, file_bytes: int = FILE_BYTES) -> list[int]:
-    """The last genes of all ranges but the highest: ranges of equal entries, each about a file. One pass with a mergeable sketch."""
-    n = x.count()
-    ranges = min(MOST_RANGES, -(-n * ENTRY_BYTES // file_bytes))
+def gene_cuts(x: DataFrame, file_bytes: int = FILE_BYTES, ranges: int | None = None) -> list[int]:
+    """The last genes of all ranges but the highest: ranges of equal entries, each about a file, or so many. One pass with a mergeable sketch."""
+    if ranges is None:
+        ranges = min(MOST_RANGES, -(-x.count() * ENTRY_BYTES // file_bytes))
     if ranges < 2:
         return []
     places = [F.lit(i / ranges) for i in range(1, ranges)]

@@ -17,15 +17,20 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
+from functools import reduce
+from math import ceil, sqrt
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
-from ..functions.lineage import shared
+from ..functions.lineage import checkpointed, shared
 from ..operators.matrix import categories
-from .store import ENTRY_BYTES, FILE_BYTES, Store, by_cell, by_gene, gene_cuts, need_int32
+from .store import ENTRY_BYTES, FILE_BYTES, Store, by_cell, by_gene, gene_cuts, need_int32, range_of
 
 PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells", "sketches", "harvests", "verdicts", "counters", "waiting")
 KEYED = ("obsm", "obsp", "varp", "layers", "strata", "strata_cells", "verdicts")
@@ -38,6 +43,10 @@ COMMIT = "generation long, part string, key string, axes array<string>, path str
 COLUMNS = [c.split()[0] for c in COMMIT.split(", ")]
 
 
+#: Ranges of strata, and of genes, that strata are laid out by at most; bytes of a row of sums, about; share of the strata beyond which all are read.
+MOST_SIDES, SUMS_BYTES, MOST_SHARE = 16, 32, 0.5
+
+
 class PartExists(ValueError):
     """The part is there already; ``overwrite`` replaces it."""
 
@@ -113,20 +122,41 @@ class Build:
             raise PartExists(f"{part}/{key}")
         if part == "obsm":
             df = df.withColumn("coords", F.transform("coords", lambda c: c.cast("float")))
-        path, seen, rows, cuts = "/".join([part, *[key] * bool(key), uuid.uuid4().hex]), Observation(), df, None
+        rows, cuts = df, None
         if part in ("x", "layers"):
             df = need_int32(df) if int32 else df
             cuts = gene_cuts(df, file_bytes) if order == "gene" else None
             rows = by_cell(df) if cuts is None else by_gene(df, cuts)
+        return self._write(part, key, df, rows, axes, source, cuts, () if cuts is None else ("genes",), file_bytes if part in ("x", "layers") else None)
+
+    def _write(self, part: str, key: str, df: DataFrame, rows: DataFrame, axes: Sequence[str] | None, source: str | None, cuts: list[int] | None, folders: tuple, file_bytes: int | None = None) -> str:
+        """Writes ``rows``, which are those of ``df`` with the columns of their folders."""
+        path, seen = "/".join([part, *[key] * bool(key), uuid.uuid4().hex]), Observation()
         writer = rows.observe(seen, *_sums(df)).write
-        if part in ("x", "layers"):
+        if file_bytes:
             writer = writer.option("maxRecordsPerFile", max(1, file_bytes // ENTRY_BYTES))
-        (writer if cuts is None else writer.partitionBy("genes")).parquet(f"{self.root}/{path}")
+        (writer.partitionBy(*folders) if folders else writer).parquet(f"{self.root}/{path}")
         found = _content(df.schema, seen.get)
         row = (self.generation, part, key, None if axes is None else list(axes), path, seen.get["rows"], found, source, df.schema.json(), cuts)
         self.rows = [r for r in self.rows if r[1:3] != (part, key)] + [row]
         return found
 
+    def put_strata(self, key: str, axes: Sequence[str], sums: DataFrame, cells: DataFrame, genes: DataFrame, source: str, file_bytes: int = FILE_BYTES) -> None:
+        """Writes the sums of strata and their cells, in folders for ranges of strata and of ``genes`` (gene_id), so that the read of a gene
+        and that of a stratum both list a few of them. The strata are few (a build's preflight bounds them), and so are the ranges."""
+        cells = checkpointed(cells)
+        n = cells.count()
+        sides = min(MOST_SIDES, max(1, ceil(sqrt(n * genes.count() * SUMS_BYTES / file_bytes))))
+        cuts = gene_cuts(genes, ranges=sides)
+        number = F.row_number().over(Window.orderBy(*[F.col(a).asc_nulls_first() for a in axes])) - 1
+        cells = cells.withColumn("strata_range", F.floor(number * F.lit(sides) / F.lit(max(n, 1))).cast("int"))
+        own = cells.select("strata_range", *[F.col(a).alias(f"own_{a}") for a in axes])
+        same = reduce(and_, [F.col(a).eqNullSafe(F.col(f"own_{a}")) for a in axes], F.lit(True))
+        rows = sums.join(own, same).select(*sums.columns, "strata_range", range_of(F.col("gene_id"), cuts).alias("genes"))
+        order = ("strata_range", "genes", *axes, "gene_id")
+        self._write("strata", key, sums, rows.repartitionByRange(*order).sortWithinPartitions(*order), axes, source, cuts, ("strata_range", "genes"))
+        self._write("strata_cells", key, cells, cells, axes, source, None, ())
+
     def drop(self, part: str, key: str = "") -> None:
         """The part is gone from this generation on."""
         if (part, key) in self.live:
@@ -165,7 +195,8 @@ def _read(spark: SparkSession, root: str, row: Row | dict, ranges: bool = False)
     schema = StructType.fromJson(json.loads(row["schema"]))
     if row["cuts"] is None:
         return spark.read.schema(schema).parquet(f"{root}/{row['path']}")
-    whole = StructType(schema.fields + [StructField("genes", IntegerType())])
+    folders = ["strata_range"] * (row["part"] == "strata") + ["genes"]
+    whole = StructType(schema.fields + [StructField(f, IntegerType()) for f in folders])
     rows = spark.read.schema(whole).parquet(f"{root}/{row['path']}")
     return rows if ranges else rows.select(*schema.names)
 
@@ -205,25 +236,33 @@ def strata_summary(spark: SparkSession, root: str) -> DataFrame:
     return t.agg(F.coalesce(F.bool_or(~coarse), F.lit(False)).alias("has_atomic"), F.count_if(coarse).alias("n_coarse"), F.sort_array(F.collect_list(F.when(coarse, F.col("key")))).alias("coarse"))
 
 
-def read_strata(spark: SparkSession, root: str, key: str, genes: Sequence[int] | None = None, strata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def read_strata(spark: SparkSession, root: str, key: str, genes: Sequence[int] | None = None, strata: DataFrame | None = None, mode: str = "auto") -> tuple[DataFrame, DataFrame]:
     """The sums and the cells of a table. ``genes`` keeps the sums of those genes, and of none the strata stay; ``strata``
-    (some of the axes) keeps the strata that it names, missing labels included."""
+    (some of the axes) keeps the strata that it names, missing labels included. ``mode``: ``rows`` reads the folders of these strata only,
+    ``full`` all of them, ``auto`` the former unless they are more than MOST_SHARE of all strata."""
+    if mode not in ("auto", "rows", "full"):
+        raise ValueError(f"no mode {mode}")
     parts = {r["part"]: r for r in log(spark, root) if r["key"] == key}
     if "strata" not in parts:
         raise KeyError(f"no finished part strata/{key}")
-    sums, cells = (_read(spark, root, parts[p]) for p in ("strata", "strata_cells"))
+    sums, cells, columns = _read(spark, root, parts["strata"], ranges=True), _read(spark, root, parts["strata_cells"]), StructType.fromJson(json.loads(parts["strata"]["schema"])).names
     if genes is not None:
-        sums = sums.where(F.col("gene_id").isin(list(genes))) if genes else sums.where("false")
+        cuts = parts["strata"]["cuts"]
+        sums = sums.where(F.col("gene_id").isin(list(genes)) & F.col("genes").isin(sorted({bisect_left(cuts, g) for g in genes}))) if genes else sums.where("false")
     if strata is not None:
         named = strata.distinct()
         some = lambda t: t.join(named, [t[c].eqNullSafe(named[c]) for c in strata.columns], "left_semi")
-        sums, cells = some(sums), some(cells)
-    return sums, cells
+        cells = some(cells)
+        found = cells.groupBy("strata_range").count().collect() if mode != "full" else []  # MOST_SIDES at most
+        if mode == "rows" or mode == "auto" and sum(r["count"] for r in found) <= MOST_SHARE * (parts["strata_cells"]["rows"] or 0):
+            sums = sums.where(F.col("strata_range").isin([r["strata_range"] for r in found])) if found else sums.where("false")
+        sums = some(sums)
+    return sums.select(*columns), cells.drop("strata_range")
 
 
 def strata_keys(spark: SparkSession, root: str, key: str) -> DataFrame:
     """The strata of a table and their cells; the sums are not read."""
-    return read_part(spark, root, "strata_cells", key)
+    return read_part(spark, root, "strata_cells", key).drop("strata_range")
 
 
 def declared(obs: DataFrame) -> DataFrame:
@@ -288,7 +327,7 @@ def fresh_strata(spark: SparkSession, root: str, store: Store) -> list[Row]:
 def stratum_tables(spark: SparkSession, root: str, store: Store, key: str) -> tuple[DataFrame, DataFrame]:
     """The sums and the cells of a table of :func:`fresh_strata`."""
     parts = {r["part"]: r for r in (store.parts if store.root == root else log(spark, root)) if r["key"] == key}
-    return tuple(_read(spark, root, parts[p]) for p in ("strata", "strata_cells"))
+    return _read(spark, root, parts["strata"]), _read(spark, root, parts["strata_cells"]).drop("strata_range")
 
 
 def layout(spark: SparkSession, root: str, value_bytes: int = 4) -> DataFrame:
@@ -296,7 +335,7 @@ def layout(spark: SparkSession, root: str, value_bytes: int = 4) -> DataFrame:
     parts = log(spark, root)
     live = spark.createDataFrame(parts, COMMIT)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path", "length")
-    folder = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), r"(/genes=[^/]*)?/[^/]*$", "")
+    folder = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), r"(/(strata_range|genes)=[^/]*)*/[^/]*$", "")
     files = files.select(folder.alias("path"), "length").join(live.select("part", "path"), "path")
     out = files.groupBy("part").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.avg("length").alias("mean_bytes"))
     rows = {r["part"]: r["rows"] for r in parts}

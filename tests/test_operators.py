@@ -169,7 +169,7 @@ def test_a_crash_between_any_two_writes_shows_the_old_build(spark, tiny, tmp_pat
     store_io.write_store(root, tiny)
     router.build_strata(spark, root, store_io.open_store(spark, root), ["kind", "subject"], [["kind"]])
     before = [tuple(r) for r in store_io.log(spark, root)]
-    put, doubled = store_io.Build.put, replace(tiny, x=tiny.x.withColumn("value", F.col("value") * 2))
+    put, doubled = store_io.Build._write, replace(tiny, x=tiny.x.withColumn("value", F.col("value") * 2))
     for crash in (1, 3, 6):
         calls = []
 
@@ -179,7 +179,7 @@ def test_a_crash_between_any_two_writes_shows_the_old_build(spark, tiny, tmp_pat
                 raise OSError("gone")
             return put(self, *a, **b)
 
-        monkeypatch.setattr(store_io.Build, "put", failing)
+        monkeypatch.setattr(store_io.Build, "_write", failing)
         for work in (lambda: store_io.write_store(root, doubled, overwrite=True), lambda: router.build_strata(spark, root, doubled, ["kind"], [["kind"], []], force=True)):
             calls.clear()
             if crash <= (4 if work.__code__.co_names[0] == "store_io" else 6):
@@ -218,6 +218,33 @@ def test_layouts_by_gene_and_by_cell(spark, tiny, tmp_path):
         store_io.add_part(root, "x", tiny.x.withColumn("cell_id", F.col("cell_id") + 2**31), overwrite=True, int32=True)
 
 
+def test_strata_are_laid_out_for_genes_and_for_strata(spark, tmp_path):
+    """The read of a gene and that of a stratum take a small part of the files each; both modes give the same rows."""
+    obs = spark.range(600).select(F.col("id").alias("cell_id"), F.when(F.col("id") % 31 > 0, (F.col("id") % 30).cast("string")).alias("a"), (F.col("id") % 2).cast("string").alias("b"))
+    var = spark.range(300).select(F.col("id").cast("int").alias("gene_id"), F.lit("v").alias("var_name"))
+    x = spark.range(600 * 40).select((F.col("id") % 600).alias("cell_id"), ((F.col("id") * 7) % 300).cast("int").alias("gene_id"), F.lit(1.0).alias("value"))
+    root = str(tmp_path / "store")
+    store_io.write_store(root, Store(obs, var, x))
+    router.build_strata(spark, root, store_io.open_store(spark, root), ["a", "b"], [["a"]], file_bytes=8_000)
+    files = lambda d: d.withColumn("file", F.input_file_name()).select("file").distinct().count()
+    whole = store_io.read_strata(spark, root, "atomic")[0]
+    every = files(store_io._read(spark, root, next(r for r in store_io.log(spark, root) if (r["part"], r["key"]) == ("strata", "atomic"))))
+    assert every >= 40
+    assert files(store_io.read_strata(spark, root, "atomic", [17])[0]) <= every / 4
+    rows = lambda d: sorted(map(str, d.collect()))
+    for names in ([("7", "1")], [(None, "0"), ("3", "1")], [("none", "0")]):
+        some = spark.createDataFrame(names, "a string, b string")
+        got = {mode: store_io.read_strata(spark, root, "atomic", None, some, mode) for mode in ("auto", "rows", "full")}
+        assert rows(got["auto"][0]) == rows(got["rows"][0]) == rows(got["full"][0]) and rows(got["rows"][1]) == rows(got["full"][1])
+        assert got["rows"][0].count() == whole.where(" or ".join(f"(a <=> {'null' if a is None else repr(a)} and b = '{b}')" for a, b in names)).count()
+        plan = lambda mode: got[mode][0]._jdf.queryExecution().executedPlan().toString()  # noqa: B023, E731
+        assert got["rows"][1].isEmpty() or "strata_range" in plan("auto") and "strata_range" in plan("rows")
+    assert files(store_io.read_strata(spark, root, "atomic", None, spark.createDataFrame([("7", "1")], "a string, b string"))[0]) <= every / 4
+    most = obs.select("b").distinct()  # all strata: the whole table is read
+    assert "strata_range#" not in store_io.read_strata(spark, root, "atomic", None, most)[0]._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert rows(store_io.read_strata(spark, root, "atomic", [], None)[1]) == rows(obs.groupBy("a", "b").agg(F.count("*").alias("n_cells")))
+
+
 def test_sketches_of_axes(spark):
     """Sketches of parts add up to that of all; nulls are a label of their own; more axes than a sketch has are bounded."""
     obs = spark.range(40_000).select(F.col("id").alias("cell_id"), (F.col("id") % 97).cast("string").alias("a"), F.when(F.col("id") % 50 > 0, (F.col("id") % 89).cast("string")).alias("b"), F.expr("string(id div 400)").alias("c"), F.lit("x").alias("d"))
