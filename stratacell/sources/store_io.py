@@ -148,6 +148,12 @@ class Build:
         n = cells.count()
         sides = min(MOST_SIDES, max(1, ceil(sqrt(n * genes.count() * SUMS_BYTES / file_bytes))))
         cuts = gene_cuts(genes, ranges=sides)
+        if sides == 1:  # all is one folder
+            cells = cells.withColumn("strata_range", F.lit(0))
+            rows = sums.withColumn("strata_range", F.lit(0)).withColumn("genes", F.lit(0)).orderBy(*axes, "gene_id")
+            self._write("strata", key, sums, rows, axes, source, cuts, ("strata_range", "genes"))
+            self._write("strata_cells", key, cells, cells, axes, source, None, ())
+            return
         number = F.row_number().over(Window.orderBy(*[F.col(a).asc_nulls_first() for a in axes])) - 1
         cells = cells.withColumn("strata_range", F.floor(number * F.lit(sides) / F.lit(max(n, 1))).cast("int"))
         own = cells.select("strata_range", *[F.col(a).alias(f"own_{a}") for a in axes])
