@@ -154,7 +154,7 @@ class Build:
             self._write("strata", key, sums, rows, axes, source, cuts, ("strata_range", "genes"))
             self._write("strata_cells", key, cells, cells, axes, source, None, ())
             return
-        number = F.row_number().over(Window.orderBy(*[F.col(a).asc_nulls_first() for a in axes])) - 1
+        number = F.row_number().over(Window.orderBy(*[F.col(a).asc_nulls_first() for a in axes])) - 1 if axes else F.lit(0)  # without axes there is one stratum
         cells = cells.withColumn("strata_range", F.floor(number * F.lit(sides) / F.lit(max(n, 1))).cast("int"))
         own = cells.select("strata_range", *[F.col(a).alias(f"own_{a}") for a in axes])
         same = reduce(and_, [F.col(a).eqNullSafe(F.col(f"own_{a}")) for a in axes], F.lit(True))
