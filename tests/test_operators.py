@@ -699,3 +699,9 @@ def test_registry(spark, tiny):
             router.call("search_genes", **wrong)
     with pytest.raises(KeyError):
         router.call("nothing")
+
+
+def test_rows_by_more_ids_than_a_hundred_thousand(spark):
+    ids = spark.range(150_001).select((F.col("id") * 2).alias("k")).union(spark.createDataFrame([(None,), (4,)], "k long"))
+    got = annotations.filter_by_ids(spark.range(1_000).select(F.col("id").alias("cell_id"), F.lit("a").alias("kind")), "cell_id", ids)
+    assert sorted(r["cell_id"] for r in got.collect()) == list(range(0, 1_000, 2)) and got.columns == ["cell_id", "kind"]
