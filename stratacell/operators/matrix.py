@@ -151,17 +151,22 @@ def prepare(store: Store, dataset: str, layer: str = "counts") -> Store:
     return Store(obs.drop("cell_id").withColumnRenamed("cell_key", "cell_id"), prepare_var(store.var), x)
 
 
-#: Cells of a gene that one call of a user's function sees, at most about.
-GENE_BLOCK = 100_000
+#: Cells of a gene that one call of a user's function sees, at most about; rows of a call, about.
+GENE_BLOCK, CALL_ROWS = 100_000, 50_000
 
 
 def reduce_genes(x: DataFrame, part: Callable, merge: Callable, schema: str, block: int = GENE_BLOCK) -> DataFrame:
     """A user's reduction of each gene, in two steps so that no call sees all cells of a gene: ``part`` takes the entries
-    (cell_id, gene_id, value) of one gene in ``block`` consecutive cell ids, ``merge`` the rows that ``part`` returned for a
-    gene. Both are pandas functions that return rows of ``schema``, which has gene_id."""
-    blocks = x.withColumn("block", F.floor(F.col("cell_id") / block))
-    own = lambda f: lambda rows: f(rows.drop(columns="block"))
-    return blocks.groupBy("gene_id", "block").applyInPandas(own(part), schema).groupBy("gene_id").applyInPandas(merge, schema)
+    (cell_id, gene_id, value) of some genes in ``block`` consecutive cell ids, ``merge`` the rows that ``part`` returned for some
+    genes. Both are pandas functions that group by gene_id and return rows of ``schema``, which has gene_id. A call has as many
+    genes as make CALL_ROWS entries, about, so that calls are as many as the entries ask for, and not as the genes."""
+    at = F.floor(F.col("cell_id") / block)
+    n, blocks = x.agg(F.count("*"), F.count_distinct(at)).first()
+    slots = lambda rows: F.pmod(F.xxhash64("gene_id"), F.lit(max(1, -(-rows // CALL_ROWS))))
+    own = lambda f, *names: lambda rows: f(rows.drop(columns=list(names)))
+    dealt = x.withColumn("block", at).withColumn("slot", slots(-(-n // max(1, blocks))))
+    parts = dealt.groupBy("slot", "block").applyInPandas(own(part, "slot", "block"), schema)
+    return parts.withColumn("slot", slots(n)).groupBy("slot").applyInPandas(own(merge, "slot"), schema)
 
 
 def concatenate(parts: Sequence[DataFrame]) -> DataFrame:

@@ -543,7 +543,7 @@ def coo_from_triple(spark, d):
 
 @query(f"""WITH {SPARSE} SELECT gene_id, sum(v * v * v)::BIGINT AS cubes FROM sx GROUP BY 1""")
 def reduce_genes(spark, d):
-    part = lambda rows: rows.groupby("gene_id", as_index=False)["value"].agg(lambda v: int((v**3).sum())).rename(columns={"value": "cubes"})
+    part = lambda rows: rows.assign(cubes=rows["value"] ** 3).groupby("gene_id", as_index=False)["cubes"].sum().astype({"cubes": "int64"})
     return matrix.reduce_genes(st.sparse_store(spark, d).x, part, lambda rows: rows.groupby("gene_id", as_index=False)["cubes"].sum(), "gene_id long, cubes long")
 
 

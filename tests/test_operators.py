@@ -705,3 +705,18 @@ def test_rows_by_more_ids_than_a_hundred_thousand(spark):
     ids = spark.range(150_001).select((F.col("id") * 2).alias("k")).union(spark.createDataFrame([(None,), (4,)], "k long"))
     got = annotations.filter_by_ids(spark.range(1_000).select(F.col("id").alias("cell_id"), F.lit("a").alias("kind")), "cell_id", ids)
     assert sorted(r["cell_id"] for r in got.collect()) == list(range(0, 1_000, 2)) and got.columns == ["cell_id", "kind"]
+
+
+def test_reduction_makes_few_calls_for_many_genes(spark):
+    """A call for every gene and block of cells would be 20,000 of them."""
+    calls = spark.sparkContext.accumulator(0)
+    x = spark.range(40_000).select((F.col("id") % 7).alias("cell_id"), (F.col("id") % 10_000).alias("gene_id"), F.lit(2.0).alias("value"))
+
+    def total(rows):
+        calls.add(1)
+        assert "slot" not in rows.columns and "block" not in rows.columns
+        return rows.groupby("gene_id", as_index=False)["value"].sum()
+
+    got = matrix.reduce_genes(x, total, total, "gene_id long, value double", block=4).collect()
+    assert sorted(map(tuple, got)) == [(g, 8.0) for g in range(10_000)] and 0 < calls.value < 50
+    assert matrix.reduce_genes(x.where("false"), total, total, "gene_id long, value double").count() == 0
