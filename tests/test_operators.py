@@ -720,3 +720,37 @@ def test_reduction_makes_few_calls_for_many_genes(spark):
     got = matrix.reduce_genes(x, total, total, "gene_id long, value double", block=4).collect()
     assert sorted(map(tuple, got)) == [(g, 8.0) for g in range(10_000)] and 0 < calls.value < 50
     assert matrix.reduce_genes(x.where("false"), total, total, "gene_id long, value double").count() == 0
+
+
+def test_neighbours_are_sent_by_section(spark):
+    """Among random points all blocks meet; a cell goes to the tasks of all sections, and not to each block that looks at it."""
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(rng.normal(size=(3000, 24)))], "cell_id long, coords array<double>")
+    blocks, reach, _ = neighbours._meetings(v, 5, pivots=8, block=20)
+    assert blocks.count() > 150 and blocks.select("section").distinct().count() <= 2 * neighbours.SECTIONS
+    assert reach.agg(F.max(F.size("sections"))).first()[0] <= 2 * neighbours.SECTIONS
+
+
+@pytest.mark.parametrize("kind", ["far", "copies", "huge"])
+def test_nearest_beyond_the_precision_of_products(spark, kind):
+    rng = np.random.default_rng(9)
+    x = {"far": rng.normal(size=(400, 5)) + 1e9, "copies": np.repeat(rng.normal(size=(4, 5)), 100, axis=0), "huge": rng.normal(size=(400, 5)) * 1e-3 + 1e160 * rng.integers(0, 2, (400, 1))}[kind]
+    ids = rng.permutation(400)
+    near = neighbours.Nearest(ids, x, 7, np.full(400, np.inf))
+    for i in range(0, 400, 150):
+        near.meet(np.arange(400), ids[i : i + 150], x[i : i + 150])
+    got = near.edges().to_pandas().groupby("row_id")["col_id"].apply(list).to_dict()
+    with np.errstate(over="ignore"):
+        d = neighbours.distances(x, x)
+    for r in range(400):
+        want = sorted((d[r, c], ids[c]) for c in range(400) if c != r and np.isfinite(d[r, c]))[:7]
+        assert got[ids[r]] == [c for _, c in want]
+
+
+def test_neighbours_of_queries(spark):
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 4, (300, 3)).astype(float)
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)] + [(900, None)], "cell_id long, coords array<double>")
+    got = sorted((r["cell_id"], r["rank"], r["neighbour"], r["distance"]) for r in matrix.knn(v.where("cell_id % 50 = 0"), v, 4).collect())
+    d = np.square(x[:, None] - x[None]).sum(axis=2)
+    assert got == [(q, k + 1, c, far) for q in range(0, 300, 50) for k, (far, c) in enumerate(sorted((d[q, c], c) for c in range(300) if c != q)[:4])]
