@@ -16,6 +16,7 @@ from ..functions.lineage import checkpointed
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import as_label
 from ..sources.store import Store
+from .neighbours import knn_of
 
 
 def cell_totals(store: Store, layer: str | None = None) -> DataFrame:
@@ -334,14 +335,8 @@ MOST_QUERIES = 1_000_000
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(cell_id, neighbour, distance, rank): the ``k`` nearest of all ``vectors`` (cell_id, coords) to each query, by squared
-    Euclidean distance. The query set is given and met with all rows in blocks; at most ``k`` candidates of each block go on."""
+    Euclidean distance. The query set is given and met with all rows in blocks; at most ``k`` candidates of each block go on.
+    Vectors with no place (:mod:`neighbours`) have no neighbours and are none."""
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries")
-    blocks = vectors.withColumn("block", F.pmod(F.xxhash64("cell_id"), F.lit(64)))
-    q = queries.select(F.col("cell_id").alias("q"), F.col("coords").alias("qc"))
-    pair = q.crossJoin(blocks).where("q <> cell_id")
-    d = F.aggregate(F.zip_with("qc", "coords", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda a, x: a + x)
-    near = pair.select("q", "block", "cell_id", d.alias("distance"))
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("distance", "cell_id"))
-    local = near.withColumn("r", best("q", "block")).where(F.col("r") <= k)
-    return local.withColumn("rank", best("q")).where(F.col("rank") <= k).select(F.col("q").alias("cell_id"), F.col("cell_id").alias("neighbour"), "distance", "rank")
+    return knn_of(queries, vectors, k).select(F.col("row_id").alias("cell_id"), F.col("col_id").alias("neighbour"), F.col("value").alias("distance"), "rank")
