@@ -145,12 +145,11 @@ FILE_BYTES, ENTRY_BYTES, MOST_RANGES = 128 << 20, 8, 256
 
 def gene_cuts(x: DataFrame, file_bytes: int = FILE_BYTES, ranges: int | None = None) -> list[int]:
     """The last genes of all ranges but the highest: ranges of equal entries, each about a file, or so many. One pass with a mergeable sketch."""
+    steps = 10 * MOST_RANGES
+    n, places = x.agg(F.count("*"), F.percentile_approx(F.col("gene_id").cast("long"), F.array(*[F.lit(i / steps) for i in range(1, steps)]), steps)).first()
     if ranges is None:
-        ranges = min(MOST_RANGES, -(-x.count() * ENTRY_BYTES // file_bytes))
-    if ranges < 2:
-        return []
-    places = [F.lit(i / ranges) for i in range(1, ranges)]
-    return sorted(set(x.agg(F.percentile_approx(F.col("gene_id").cast("long"), F.array(*places), 10 * MOST_RANGES)).first()[0]))
+        ranges = min(MOST_RANGES, -(-n * ENTRY_BYTES // file_bytes))
+    return sorted({places[i * steps // ranges - 1] for i in range(1, ranges)}) if places else []
 
 
 def range_of(gene: Column, cuts: Sequence[int], low: int = 0) -> Column:

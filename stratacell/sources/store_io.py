@@ -81,12 +81,13 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
 def _sums(df: DataFrame) -> list[Column]:
     """Sums that any order of the rows gives alike."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    return [F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("sum"), F.bit_xor(h).alias("xor")]
+    # the sum in two halves, which long numbers hold for 2^31 rows
+    return [F.count(F.lit(1)).alias("rows"), F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(F.lit(2**32 - 1))).alias("low"), F.bit_xor(h).alias("xor")]
 
 
 def _content(schema: StructType, sums: dict) -> str:
     kinds = hashlib.md5(json.dumps(sorted((f.name, f.dataType.simpleString()) for f in schema)).encode()).hexdigest()[:8]
-    return f"{kinds}-{sums['rows']}-{sums['sum'] or 0}-{sums['xor'] or 0}"
+    return f"{kinds}-{sums['rows']}-{((sums['high'] or 0) << 32) + (sums['low'] or 0)}-{sums['xor'] or 0}"
 
 
 def content(df: DataFrame) -> str:
@@ -116,14 +117,13 @@ class Build:
             raise ValueError(f"cannot add {part}")
         if bool(key) != (part in KEYED):
             raise ValueError(f"{part} needs a key" if part in KEYED else f"{part} has no keys")
-        if part not in MAYBE_EMPTY and df.isEmpty():
-            raise ValueError(f"{part} is empty")
         if not overwrite and (part, key) in self.live:
             raise PartExists(f"{part}/{key}")
         if part == "obsm":
             df = df.withColumn("coords", F.transform("coords", lambda c: c.cast("float")))
         rows, cuts = df, None
         if part in ("x", "layers"):
+            df = self._staged(df)  # it is gone through for bounds, for cuts, for a sample and to be written
             df = need_int32(df) if int32 else df
             cuts = gene_cuts(df, file_bytes) if order == "gene" else None
             rows = by_cell(df) if cuts is None else by_gene(df, cuts)
@@ -137,10 +137,18 @@ class Build:
             writer = writer.option("maxRecordsPerFile", max(1, file_bytes // ENTRY_BYTES))
         (writer.partitionBy(*folders) if folders else writer).parquet(f"{self.root}/{path}")
         found = _content(df.schema, seen.get)
+        if part not in MAYBE_EMPTY and not seen.get["rows"]:
+            raise ValueError(f"{part} is empty")
         row = (self.generation, part, key, None if axes is None else list(axes), path, seen.get["rows"], found, source, df.schema.json(), cuts)
         self.rows = [r for r in self.rows if r[1:3] != (part, key)] + [row]
         return found
 
+    def _staged(self, df: DataFrame) -> DataFrame:
+        """``df`` as it is worked out once, in a folder that no commit names."""
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def put_strata(self, key: str, axes: Sequence[str], sums: DataFrame, cells: DataFrame, genes: DataFrame, source: str, file_bytes: int = FILE_BYTES) -> None:
         """Writes the sums of strata and their cells, in folders for ranges of strata and of ``genes`` (gene_id), so that the read of a gene
         and that of a stratum both list a few of them. The strata are few (a build's preflight bounds them), and so are the ranges."""
