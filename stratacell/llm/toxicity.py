@@ -6,12 +6,13 @@ trigram model picks the likeliest reading, and the restored text is scored by
 words whose presence speaks for the label. The character model, the words'
 weights (a ridge logistic regression) are learnt from labelled documents.
 
-Fitting uses a bounded sample of the labelled rows, ``TRAIN_ROWS``, drawn by a
-hash of the id; every text is scored whole. The character model is over the
-``ALPHABET`` most frequent letters of that sample and one sign for all others, so
-its table is bounded without leaving trigrams out, and the probabilities of what
-may follow a context add up to one. A text with disguised stretches is scored as
-restored: what was not restored stays as it is.
+Fitting uses all labelled rows that may be learnt from; every text is scored
+whole. The character model is over their ``ALPHABET`` most frequent letters and
+one sign for all others, so its table is bounded without leaving trigrams out, and
+the probabilities of what may follow a context add up to one. The words' weights
+are fitted by Spark's logistic regression, of which the driver has the weights
+alone. A text with disguised stretches is scored as restored: what was not
+restored stays as it is.
 
 Defined results: a null or empty text has no words and gets the score of a text
 without evidence; without labelled rows, or without toxic ones, every score is
@@ -31,14 +32,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import Matrices
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text_crc, stored
 from .textnum import NOT_LETTER, U, _flags, hashes, mix, slices, spans, utf8
 
-#: Labelled rows that the model is fitted on, at most.
-TRAIN_ROWS = 20_000
+#: Labels up to which they are broadcast to the documents; beyond, both sides are shuffled.
+BROADCAST_LABELS = 1_000_000
+#: Characters that trigrams are counted over at a time, about.
+AT_ONCE = 1 << 20
 #: Letters that the character model tells apart, and what is added to each count.
 ALPHABET, SMOOTH = 96, 0.01
 OTHER = "\ufffd"
@@ -220,53 +226,62 @@ def _letters(text: str) -> str:
     return "  " + re.sub(r"[\W\d_]+", "  ", text.lower()) + "  "
 
 
-def _trigrams(text: str) -> dict[str, int]:
-    c = np.frombuffer(_letters(text).encode("utf-32-le"), np.uint32).astype(np.int64)
+def _trigrams(*texts: str) -> dict[str, int]:
+    c = np.frombuffer("".join(map(_letters, texts)).encode("utf-32-le"), np.uint32).astype(np.int64)
     code, n = np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
     m = (1 << 21) - 1
-    return {chr(k >> 42) + chr((k >> 21) & m) + chr(k & m): int(v) for k, v in zip(code.tolist(), n.tolist(), strict=True)}
+    out = {chr(k >> 42) + chr((k >> 21) & m) + chr(k & m): int(v) for k, v in zip(code.tolist(), n.tolist(), strict=True)}
+    if len(texts) > 1:  # two windows of three blanks lie across where two texts meet
+        out["   "] -= 2 * (len(texts) - 1)
+    return {g: v for g, v in out.items() if v}
 
 
-def train_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled documents."""
+def train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of all labelled documents that may be learnt from."""
     own = labels.where("toxic is not null and doc_id is not null").where(id_text_crc("doc_id") % 5 != 0)
-    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(stored(own, "sample")), "doc_id").select("text", "toxic")
+    own = stored(own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "learnt")
+    few = own.count() <= BROADCAST_LABELS
+    return docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(own) if few else own, "doc_id").select("text", "toxic")
 
 
 def _tally(train: DataFrame, of) -> DataFrame:
-    """(g, n): the sums of the counts that ``of`` gives for each text."""
+    """(g, n): the sums of the counts that ``of`` gives for texts."""
 
     def run(batches):
+        total: dict[str, int] = {}
         for b in slices(batches, "text"):
-            total: dict[str, int] = {}
-            for t in b["text"].to_pylist():
-                for k, v in of(t or "").items():
-                    total[k] = total.get(k, 0) + v
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
+            texts, size = [], 0
+            for k, t in enumerate(b["text"].to_pylist(), 1):
+                texts.append(t or "")
+                size += len(texts[-1])
+                if size >= AT_ONCE or k == b.num_rows:
+                    for g, v in of(*texts).items():
+                        total[g] = total.get(g, 0) + v
+                    texts, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["g", "n"])
 
     return train.mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def char_model(train: DataFrame) -> Chars:
     """The character model of ``train``'s texts."""
-    letters = _tally(train, lambda t: Counter(_letters(t))).where("g <> ' '").orderBy(F.desc("n"), "g").limit(ALPHABET)
+    letters = _tally(train, lambda *texts: Counter("".join(map(_letters, texts)))).where("g <> ' '").orderBy(F.desc("n"), "g").limit(ALPHABET)
     alphabet = "".join(r["g"] for r in letters.collect()) + " " + OTHER
     known = frozenset(alphabet)
 
-    def folded(t: str) -> dict[str, int]:
+    def folded(*texts: str) -> dict[str, int]:
         out: dict[str, int] = {}
-        for g, n in _trigrams(t).items():
+        for g, n in _trigrams(*texts).items():
             g = "".join(c if c in known else OTHER for c in g)
             out[g] = out.get(g, 0) + n
         return out
 
-    # at most the alphabet's size to the power of three, whatever the sample
+    # at most the alphabet's size to the power of three, whatever the texts
     return Chars({r["g"]: r["n"] for r in _tally(train, folded).collect()}, alphabet)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    train = stored(train_rows(docs, labels, rows), "train")
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    train = stored(train_rows(docs, labels), "train")
     n = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     model = Model((n[1] + 1) / (n[0] + 2) if n[0] else 0.05)
     if not n[1] or n[1] == n[0]:
@@ -285,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("every") - F.col("bad") + 0.5) / (n[0] - n[1] + 1))
     table = train.mapInArrow(words, "h long, bad long, every long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("every").alias("every"))
-    found = table.select("h", "bad", odds.alias("w")).where((F.col("bad") >= LEAST_DOCS) & (F.col("w") >= LEAST_ODDS)).orderBy("h").collect()  # words of the sample
+    found = table.select("h", "bad", odds.alias("w")).where((F.col("bad") >= LEAST_DOCS) & (F.col("w") >= LEAST_ODDS)).orderBy("h").collect()  # the lexicon, which every task has
     if not found:
         return model
     key = np.array([r["h"] for r in found], np.int64).view(U)
@@ -297,26 +312,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for b in slices(batches, "text"):
             doc, word = _hits(b, model, reader)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut), pa.array(word.astype(np.int32))), pa.array(b["toxic"])], ["words", "y"])
+            names = pa.array(word.astype(np.int64)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut), names), pa.array(b["toxic"])], ["words", "y"])
 
-    # at most TRAIN_ROWS short lists; copies count once
-    rows = train.mapInArrow(present, "words array<int>, y int").distinct().collect()
-    model.weights, model.shift = _logistic([r["words"] for r in rows], np.array([float(r["y"]) for r in rows]), len(key))
+    rows = stored(train.mapInArrow(present, "words array<string>, y int").distinct(), "present")  # copies count once
+    model.weights, model.shift = _logistic(rows, len(key))
     return model
 
 
-def _logistic(rows: list[list[int]], y: np.ndarray, n: int, ridge: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on the words present, by gradient steps with momentum; weights are not negative."""
-    at, word = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([w for r in rows for w in r], np.int64)
-    beta, shift, speed, speed0 = np.ones(n), -2.0, np.zeros(n), 0.0
-    size = 1 + np.bincount(word, minlength=n)
-    for _ in range(steps):
-        z = np.bincount(at, beta[word], len(rows)) + shift
-        miss = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        speed = 0.8 * speed + (np.bincount(word, miss[at], n) - ridge * beta) / size
-        speed0 = 0.8 * speed0 + miss.sum() / len(rows)
-        beta, shift = np.maximum(beta + speed, 0.0), shift + speed0
-    return beta, float(shift)
+def _logistic(rows: DataFrame, n: int, ridge: float = 0.02, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression of ``y`` on the ``words`` present, numbers from 0 to ``n`` - 1 as text; weights are not negative."""
+    known = CountVectorizerModel.from_vocabulary([str(k) for k in range(n)], "words", "features", binary=True)
+    found = LogisticRegression(
+        labelCol="y", maxIter=steps, tol=1e-7, regParam=ridge / max(1, rows.count()), standardization=False, family="binomial",
+        lowerBoundsOnCoefficients=Matrices.dense(1, n, [0.0] * n),
+    ).fit(known.transform(rows))
+    # sums of floats differ with their order; what is kept does not
+    return np.round(found.coefficients.toArray(), 4), round(found.intercept, 4)
 
 
 def _hits(batch: pa.RecordBatch, model: Model, reader: Reader) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 
 import pyarrow as pa
@@ -257,6 +258,21 @@ def test_toxicity(spark, docs, empty, labels):
     assert min(got[1], got[3], got[4]) > got[2] and got[2] < 0.5
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    d = spark.range(26_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of number "), "id").alias("text"))
+    labels = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert toxicity.train_rows(d, labels).count() == labels.where("crc32(cast(doc_id as string)) % 5 <> 0").count() > 20_000
+    texts = ["", "Abc abc", " 1, 2", "é", "x y"]
+    apart = [toxicity._trigrams(t) for t in texts]
+    assert toxicity._trigrams(*texts) == {g: sum(c.get(g, 0) for c in apart) for c in apart for g in c}
+    rows = [(["0"], 1), (["0", "1"], 1), (["1"], 0), (["1"], 0), (["1"], 0), ([], 1), (["0"], 0)]
+    w, shift = toxicity._logistic(spark.createDataFrame(rows, "words array<string>, y int"), 2, ridge=0.5)
+    z = [1 / (1 + math.exp(-(shift + sum(w[int(k)] for k in ks)))) for ks, _ in rows]
+    miss = [y - p for (_, y), p in zip(rows, z, strict=True)]
+    # no slope at the optimum; the second weight is at its bound
+    assert abs(sum(miss)) < 1e-2 and abs(sum(m for (ks, _), m in zip(rows, miss, strict=True) if "0" in ks) - 0.5 * w[0]) < 1e-2 and w[1] == 0
+
+
 def test_no_disguise_is_passed_over():
     """Every text that restore() would change is a suspect, wherever it stands in a batch."""
     rng = random.Random(4)
