@@ -10,6 +10,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import sample_variance
 from ..sources.store import Store
@@ -34,6 +35,28 @@ def build_atomic(store: Store, axes: Sequence[str], genes: DataFrame | None = No
     return rows.groupBy(*axes, gene).agg(F.sum(v).alias("sum_x"), F.sum(v * v).alias("sum_xx"), F.count_if(v > 0).alias("nnz"))
 
 
+def numbered(cells: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """``cells``, a row for each stratum, with its number in their order (``stratum``); a table of strata has MOST_TUPLES at most."""
+    order = [F.col(a).asc_nulls_first() for a in axes]
+    number = F.row_number().over(Window.orderBy(*order)) - 1 if axes else F.lit(0)  # without axes there is one stratum
+    return cells.withColumn("stratum", number.cast("int"))
+
+
+def numbers_of(rows: DataFrame, strata: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """``rows`` with the ``stratum`` that their labels have in ``strata``, the output of :func:`numbered`, instead of these."""
+    own = strata.select("stratum", *[F.col(a).alias(f"own_{a}") for a in axes])
+    same = reduce(and_, [F.col(a).eqNullSafe(F.col(f"own_{a}")) for a in axes], F.lit(True))
+    return rows.join(F.broadcast(own), same).select("stratum", *[c for c in rows.columns if c not in axes])  # MOST_TUPLES at most
+
+
+def numbered_sums(store: Store, axes: Sequence[str], strata: DataFrame, tasks: int) -> DataFrame:
+    """:func:`build_atomic` by the numbers of ``strata``: (stratum, gene_id, sums). Entries meet the numbers of their cells, so no labels are shuffled."""
+    v = F.col("value").cast("double")
+    cells = numbers_of(store.obs.select("cell_id", *axes), strata, axes)
+    rows = store.x.repartition(tasks, "cell_id").join(cells.repartition(tasks, "cell_id"), "cell_id")
+    return rows.groupBy("stratum", "gene_id").agg(F.sum(v).alias("sum_x"), F.sum(v * v).alias("sum_xx"), F.count_if(v > 0).alias("nnz"))
+
+
 def derive_coarse(atomic: DataFrame, axes: Sequence[str], gene: str = "gene_id") -> DataFrame:
     """The same sums over fewer axes; the matrix is not read again."""
     return atomic.groupBy(*axes, gene).agg(*[F.sum(c).alias(c) for c in SUMS])

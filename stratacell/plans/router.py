@@ -8,8 +8,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
 from ..operators import annotations, catalog, chat, matrix, neighbours, stats, strata
-from ..sources.store import Store
+from ..sources.store import Store, task_count
 from ..sources import store_io
 from ..streaming import usage
 
@@ -103,11 +104,21 @@ def build_strata(spark: SparkSession, root: str, store: Store, atomic: Sequence[
                 b.drop("strata", key)
                 b.drop("strata_cells", key)
             b.rows = [r for r in b.rows if r[2] != "atomic"]
-            b.put_strata("atomic", atomic, strata.build_atomic(store, atomic), strata.strata_cells(store, atomic), store.var, source, file_bytes)
-        base, cells = (b.read(p, "atomic") for p in ("strata", "strata_cells"))
+            rows = next((r["rows"] for r in store.parts if r["part"] == "x" and store.content), None)
+            tasks = task_count(store.x.count() if rows is None else rows)
+            cells = checkpointed(strata.numbered(strata.strata_cells(store, atomic), atomic))
+            base = store_io.staged_in(root, strata.numbered_sums(store, atomic, cells, tasks))
+            b.put_strata("atomic", atomic, base, cells, store.var, source, file_bytes)
+        else:
+            cells = checkpointed(strata.numbered(b.read("strata_cells", "atomic").drop("strata_range"), atomic))
+            base = strata.numbers_of(b.read("strata", "atomic"), cells, atomic)
         for axes in coarse:
             key = "-".join(axes) or "all"
-            b.put_strata(key, axes, strata.derive_coarse(base, axes), cells.groupBy(*axes).agg(F.sum("n_cells").alias("n_cells")), store.var, source, file_bytes)
+            few = checkpointed(strata.numbered(cells.groupBy(*axes).agg(F.sum("n_cells").alias("n_cells")), axes))
+            # the coarse stratum of each atomic one
+            into = strata.numbers_of(cells.select(F.col("stratum").alias("atomic"), *axes), few, axes)
+            sums = base.withColumnRenamed("stratum", "atomic").join(F.broadcast(into), "atomic").drop("atomic")
+            b.put_strata(key, axes, store_io.staged_in(root, strata.derive_coarse(sums, ["stratum"])), few, store.var, source, file_bytes)
 
 
 def group_sums(spark: SparkSession, root: str | None, store: Store, axis: str) -> tuple[DataFrame, DataFrame, str]:

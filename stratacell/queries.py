@@ -128,8 +128,9 @@ def _stored(spark, d) -> tuple[str, st.Store]:
     if key not in _ROOTS:
         root = store_io.new_root(spark)
         s = st.sparse_store(spark, d)
+        s = replace(s, x=store_io.staged_in(root, s.x))  # the layer and the pairs are derived from it
         s = replace(s, layers={"doubled": s.x.withColumn("value", F.col("value") * 2)}, obsp={"same_gene": s.x.select(F.col("cell_id").alias("row_id"), F.col("gene_id").alias("col_id"), "value")})
-        store_io.write_store(root, s)
+        store_io.write_store(root, s, staged=True)
         router.build_strata(spark, root, store_io.open_store(spark, root), ["priority", "status", "segment"], [["priority"], ["status", "segment"]])
         _ROOTS[key] = root
     return _ROOTS[key], store_io.open_store(spark, _ROOTS[key])
@@ -174,7 +175,8 @@ def gene_panel_routed(spark, d):
 def _ingested(spark, d, store: st.Store | None = None) -> tuple[str, st.Store]:
     """A store of its own with strata over the priority, and over the priority and the status: (root, the store that was written)."""
     root, s = store_io.new_root(spark), store or st.sparse_store(spark, d)
-    store_io.write_store(root, s)
+    s = replace(s, x=store_io.staged_in(root, s.x))  # what overwrites it is derived from it
+    store_io.write_store(root, s, staged=True)
     router.build_strata(spark, root, store_io.open_store(spark, root), ["priority", "status"], [["priority"]])
     return root, s
 
@@ -186,7 +188,7 @@ _TWICE = SPARSE.replace("sum(l_quantity)", "2 * sum(l_quantity)")
 def top_expressed_after_overwrite(spark, d):
     """The matrix is overwritten under the strata: the answer is that of the new one."""
     root, s = _ingested(spark, d)
-    store_io.add_part(root, "x", s.x.withColumn("value", F.col("value") * 2), overwrite=True)
+    store_io.add_part(root, "x", s.x.withColumn("value", F.col("value") * 2), overwrite=True, staged=True)
     return rounded(router.top_expressed(spark, root, store_io.open_store(spark, root), "priority", "1-URGENT", 10))
 
 
@@ -194,7 +196,7 @@ def top_expressed_after_overwrite(spark, d):
 def compare_groups_after_rebuild(spark, d):
     """Overwritten and rebuilt without the coarse table: the atomic one of the new matrix answers, not the old coarse one."""
     root, s = _ingested(spark, d)
-    store_io.add_part(root, "x", s.x.withColumn("value", F.col("value") * 2), overwrite=True)
+    store_io.add_part(root, "x", s.x.withColumn("value", F.col("value") * 2), overwrite=True, staged=True)
     new = store_io.open_store(spark, root)
     router.build_strata(spark, root, new, ["priority", "status"], force=True)
     return rounded(router.compare_groups(spark, root, store_io.open_store(spark, root), "priority", "1-URGENT", "5-LOW", 20))

@@ -141,12 +141,15 @@ def need_int32(x: DataFrame) -> DataFrame:
 
 #: Bytes of a matrix file at most, about; what an entry takes on disk, about; ranges of genes at most.
 FILE_BYTES, ENTRY_BYTES, MOST_RANGES = 128 << 20, 8, 256
+#: Rows that a task of a shuffle sorts or groups, about.
+TASK_ROWS = 500_000
 
 
 def gene_cuts(x: DataFrame, file_bytes: int = FILE_BYTES, ranges: int | None = None) -> list[int]:
     """The last genes of all ranges but the highest: ranges of equal entries, each about a file, or so many. One pass with a mergeable sketch."""
     steps = 10 * MOST_RANGES
-    n, places = x.agg(F.count("*"), F.percentile_approx(F.col("gene_id").cast("long"), F.array(*[F.lit(i / steps) for i in range(1, steps)]), steps)).first()
+    shares = F.expr(f"array({', '.join(f'{i / steps!r}D' for i in range(1, steps))})")
+    n, places = x.agg(F.count("*"), F.percentile_approx(F.col("gene_id").cast("long"), shares, steps)).first()
     if ranges is None:
         ranges = min(MOST_RANGES, -(-n * ENTRY_BYTES // file_bytes))
     return sorted({places[i * steps // ranges - 1] for i in range(1, ranges)}) if places else []
@@ -160,15 +163,20 @@ def range_of(gene: Column, cuts: Sequence[int], low: int = 0) -> Column:
     return F.when(gene <= cuts[mid], range_of(gene, cuts[:mid], low)).otherwise(range_of(gene, cuts[mid + 1 :], low + mid + 1))
 
 
-def by_gene(x: DataFrame, cuts: Sequence[int] = ()) -> DataFrame:
+def task_count(rows: int) -> int:
+    """Tasks for a shuffle of ``rows``, so that what one sorts or groups does not grow with the table."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def by_gene(x: DataFrame, cuts: Sequence[int] = (), tasks: int | None = None) -> DataFrame:
     """The matrix laid out for reads of one gene, with its range (``genes``): dealt out by gene and then by cell, so that a gene with a
     large share of all entries is in several tasks; sorted, so that Parquet statistics prune."""
-    dealt = x.withColumn("genes", range_of(F.col("gene_id"), list(cuts))).repartitionByRange("gene_id", "cell_id")
+    dealt = x.withColumn("genes", range_of(F.col("gene_id"), list(cuts))).repartitionByRange(*[tasks] * bool(tasks), "gene_id", "cell_id")
     return dealt.sortWithinPartitions("genes", "gene_id", "cell_id")
 
 
-def by_cell(x: DataFrame) -> DataFrame:
-    return x.repartitionByRange("cell_id").sortWithinPartitions("cell_id", "gene_id")
+def by_cell(x: DataFrame, tasks: int | None = None) -> DataFrame:
+    return x.repartitionByRange(*[tasks] * bool(tasks), "cell_id").sortWithinPartitions("cell_id", "gene_id")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

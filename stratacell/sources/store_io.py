@@ -19,18 +19,15 @@ import json
 import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Sequence
-from functools import reduce
 from math import ceil, sqrt
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
-from pyspark.sql.window import Window
 
-from ..functions.lineage import checkpointed, shared
+from ..functions.lineage import shared
 from ..operators.matrix import categories
-from .store import ENTRY_BYTES, FILE_BYTES, Store, by_cell, by_gene, gene_cuts, need_int32, range_of
+from .store import ENTRY_BYTES, FILE_BYTES, MOST_RANGES, Store, by_cell, by_gene, gene_cuts, need_int32, range_of, task_count
 
 PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells", "sketches", "harvests", "verdicts", "counters", "waiting")
 KEYED = ("obsm", "obsp", "varp", "layers", "strata", "strata_cells", "verdicts")
@@ -95,6 +92,13 @@ def content(df: DataFrame) -> str:
     return _content(df.schema, df.agg(*_sums(df)).first().asDict())
 
 
+def staged_in(root: str, df: DataFrame) -> DataFrame:
+    """``df`` as it is worked out once, in a folder of the store that no commit names."""
+    path = f"{root}/staged/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Build:
     """Parts that are written together: ``with Build(spark, root) as b: b.put(..)``. They are live from the end on, all at
     once; after an error none is."""
@@ -110,9 +114,10 @@ class Build:
             return 0
         return self.spark.read.schema(COMMIT).parquet(f"{self.root}/commits").agg(F.max("generation")).first()[0] or 0
 
-    def put(self, part: str, df: DataFrame, key: str = "", overwrite: bool = False, axes: Sequence[str] | None = None, source: str | None = None, int32: bool = False, order: str = "gene", file_bytes: int = FILE_BYTES) -> str:
+    def put(self, part: str, df: DataFrame, key: str = "", overwrite: bool = False, axes: Sequence[str] | None = None, source: str | None = None, int32: bool = False, order: str = "gene", file_bytes: int = FILE_BYTES, staged: bool = False) -> str:
         """Writes a part and returns its content. ``int32``: its indices must fit 32 bits. ``order``: a matrix is laid out by ``gene``, in
-        folders of ranges of genes, or by ``cell``; none of its files holds more entries than go into ``file_bytes``, about."""
+        folders of ranges of genes, or by ``cell``; none of its files holds more entries than go into ``file_bytes``, about. ``staged``: it is
+        cheap to read, as what :func:`staged_in` gives, and is not written out first."""
         if part not in PARTS:
             raise ValueError(f"cannot add {part}")
         if bool(key) != (part in KEYED):
@@ -123,10 +128,11 @@ class Build:
             df = df.withColumn("coords", F.transform("coords", lambda c: c.cast("float")))
         rows, cuts = df, None
         if part in ("x", "layers"):
-            df = self._staged(df)  # it is gone through for bounds, for cuts, for a sample and to be written
+            df = df if staged else staged_in(self.root, df)  # it is gone through for bounds, for cuts, for a sample and to be written
             df = need_int32(df) if int32 else df
             cuts = gene_cuts(df, file_bytes) if order == "gene" else None
-            rows = by_cell(df) if cuts is None else by_gene(df, cuts)
+            tasks = task_count(df.count())
+            rows = by_cell(df, tasks) if cuts is None else by_gene(df, cuts, tasks)
         return self._write(part, key, df, rows, axes, source, cuts, () if cuts is None else ("genes",), file_bytes if part in ("x", "layers") else None)
 
     def _write(self, part: str, key: str, df: DataFrame, rows: DataFrame, axes: Sequence[str] | None, source: str | None, cuts: list[int] | None, folders: tuple, file_bytes: int | None = None) -> str:
@@ -143,32 +149,25 @@ class Build:
         self.rows = [r for r in self.rows if r[1:3] != (part, key)] + [row]
         return found
 
-    def _staged(self, df: DataFrame) -> DataFrame:
-        """``df`` as it is worked out once, in a folder that no commit names."""
-        path = f"{self.root}/staged/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     def put_strata(self, key: str, axes: Sequence[str], sums: DataFrame, cells: DataFrame, genes: DataFrame, source: str, file_bytes: int = FILE_BYTES) -> None:
-        """Writes the sums of strata and their cells, in folders for ranges of strata and of ``genes`` (gene_id), so that the read of a gene
-        and that of a stratum both list a few of them. The strata are few (a build's preflight bounds them), and so are the ranges."""
-        cells = checkpointed(cells)
-        n = cells.count()
+        """Writes the sums of strata (stratum, gene_id, ..) and their cells, the output of :func:`strata.numbered`, in folders for ranges of strata and
+        of ``genes`` (gene_id), so that the read of a gene and that of a stratum both list a few of them. The strata are few (a build's preflight
+        bounds them), and so are the ranges. ``sums`` are gone through twice. Rows are dealt out by pieces of these folders and by number, and get
+        their labels where they are written."""
+        n, rows = cells.count(), sums.count()
         sides = min(MOST_SIDES, max(1, ceil(sqrt(n * genes.count() * SUMS_BYTES / file_bytes))))
+        tasks = task_count(rows)
+        each = max(1, ceil(4 * tasks / sides**2))  # pieces of a folder
         cuts = gene_cuts(genes, ranges=sides)
-        if sides == 1:  # all is one folder
-            cells = cells.withColumn("strata_range", F.lit(0))
-            rows = sums.withColumn("strata_range", F.lit(0)).withColumn("genes", F.lit(0)).orderBy(*axes, "gene_id")
-            self._write("strata", key, sums, rows, axes, source, cuts, ("strata_range", "genes"))
-            self._write("strata_cells", key, cells, cells, axes, source, None, ())
-            return
-        number = F.row_number().over(Window.orderBy(*[F.col(a).asc_nulls_first() for a in axes])) - 1 if axes else F.lit(0)  # without axes there is one stratum
-        cells = cells.withColumn("strata_range", F.floor(number * F.lit(sides) / F.lit(max(n, 1))).cast("int"))
-        own = cells.select("strata_range", *[F.col(a).alias(f"own_{a}") for a in axes])
-        same = reduce(and_, [F.col(a).eqNullSafe(F.col(f"own_{a}")) for a in axes], F.lit(True))
-        rows = sums.join(own, same).select(*sums.columns, "strata_range", range_of(F.col("gene_id"), cuts).alias("genes"))
-        order = ("strata_range", "genes", *axes, "gene_id")
-        self._write("strata", key, sums, rows.repartitionByRange(*order).sortWithinPartitions(*order), axes, source, cuts, ("strata_range", "genes"))
+        fine = cuts if each == 1 else sorted({*cuts, *gene_cuts(genes, ranges=min(sides * each, 10 * MOST_RANGES))})
+        cells = cells.withColumn("strata_range", F.floor(F.col("stratum") * F.lit(sides) / F.lit(max(n, 1))).cast("int"))
+        gene, labels = F.col("gene_id"), F.broadcast(cells.select("stratum", *axes))
+        ranged = sums.withColumn("genes", range_of(gene, cuts)).withColumn("strata_range", F.floor(F.col("stratum") * F.lit(sides) / F.lit(max(n, 1))).cast("int"))
+        dealt = ranged.repartition(tasks, "strata_range", range_of(gene, fine)).join(labels, "stratum").sortWithinPartitions("strata_range", "genes", "stratum", "gene_id")
+        columns = [*axes, *[c for c in sums.columns if c != "stratum"]]
+        named = dealt.select(*columns, "strata_range", "genes")
+        self._write("strata", key, named.select(*columns), named, axes, source, cuts, ("strata_range", "genes"))
+        cells = cells.drop("stratum")
         self._write("strata_cells", key, cells, cells, axes, source, None, ())
 
     def drop(self, part: str, key: str = "") -> None:

@@ -754,3 +754,21 @@ def test_neighbours_of_queries(spark):
     got = sorted((r["cell_id"], r["rank"], r["neighbour"], r["distance"]) for r in matrix.knn(v.where("cell_id % 50 = 0"), v, 4).collect())
     d = np.square(x[:, None] - x[None]).sum(axis=2)
     assert got == [(q, k + 1, c, far) for q in range(0, 300, 50) for k, (far, c) in enumerate(sorted((d[q, c], c) for c in range(300) if c != q)[:4])]
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """What a task sorts or groups is bounded, whatever spark.sql.shuffle.partitions is; strata are the same for any number of tasks."""
+    obs = spark.range(60).select(F.col("id").alias("cell_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("kind"), F.concat(F.lit("s"), F.col("id") % 2).alias("sex"))
+    var = spark.range(40).select(F.col("id").alias("gene_id"), F.concat(F.lit("g"), "id").alias("var_name"))
+    x = obs.select("cell_id").crossJoin(var.select("gene_id")).where("(cell_id * 7 + gene_id) % 3 > 0").select("cell_id", "gene_id", F.col("gene_id").cast("double").alias("value"))
+    monkeypatch.setattr("stratacell.operators.strata.MOST_NULL", 1.0)
+    monkeypatch.setattr("stratacell.sources.store.TASK_ROWS", 100)
+    s, root = Store(obs, var, x), store_io.new_root(spark)
+    assert st.by_gene(x, [10, 20], st.task_count(x.count())).rdd.getNumPartitions() == st.task_count(x.count()) == 16
+    store_io.write_store(root, s)
+    router.build_strata(spark, root, store_io.open_store(spark, root), ["kind", "sex"], [["kind"]], file_bytes=1_000)
+    for key, axes in (("atomic", ["kind", "sex"]), ("kind", ["kind"])):
+        want = strata.build_atomic(s, axes)
+        assert sorted(map(str, store_io.read_part(spark, root, "strata", key).collect())) == sorted(map(str, want.collect()))
+        folders = store_io._read(spark, root, next(r for r in store_io.log(spark, root) if (r["part"], r["key"]) == ("strata", key)), ranges=True)
+        assert folders.select("strata_range", "genes").distinct().count() > 1
