@@ -50,10 +50,11 @@ def numbers_of(rows: DataFrame, strata: DataFrame, axes: Sequence[str]) -> DataF
 
 
 def numbered_sums(store: Store, axes: Sequence[str], strata: DataFrame, tasks: int) -> DataFrame:
-    """:func:`build_atomic` by the numbers of ``strata``: (stratum, gene_id, sums). Entries meet the numbers of their cells, so no labels are shuffled."""
+    """:func:`build_atomic` by the numbers of ``strata``: (stratum, gene_id, sums). Entries meet the numbers of their cells, so no labels are
+    shuffled; a task has a table of its cells, and ``tasks`` are as many as keep that small."""
     v = F.col("value").cast("double")
     cells = numbers_of(store.obs.select("cell_id", *axes), strata, axes)
-    rows = store.x.repartition(tasks, "cell_id").join(cells.repartition(tasks, "cell_id"), "cell_id")
+    rows = store.x.repartition(tasks, "cell_id").join(cells.repartition(tasks, "cell_id").hint("shuffle_hash"), "cell_id")
     return rows.groupBy("stratum", "gene_id").agg(F.sum(v).alias("sum_x"), F.sum(v * v).alias("sum_xx"), F.count_if(v > 0).alias("nnz"))
 
 

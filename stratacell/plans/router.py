@@ -104,9 +104,9 @@ def build_strata(spark: SparkSession, root: str, store: Store, atomic: Sequence[
                 b.drop("strata", key)
                 b.drop("strata_cells", key)
             b.rows = [r for r in b.rows if r[2] != "atomic"]
-            rows = next((r["rows"] for r in store.parts if r["part"] == "x" and store.content), None)
-            tasks = task_count(store.x.count() if rows is None else rows)
             cells = checkpointed(strata.numbered(strata.strata_cells(store, atomic), atomic))
+            known = {r["part"]: r["rows"] for r in store.parts if store.content}
+            tasks = max(task_count(known[part] if part in known else table.count()) for part, table in (("x", store.x), ("obs", store.obs)))
             base = store_io.staged_in(root, strata.numbered_sums(store, atomic, cells, tasks))
             b.put_strata("atomic", atomic, base, cells, store.var, source, file_bytes)
         else:

@@ -168,15 +168,19 @@ def task_count(rows: int) -> int:
     return max(1, -(-rows // TASK_ROWS))
 
 
+#: The order of a task's rows in a layout by gene and by cell, so that Parquet statistics prune.
+GENE_ORDER, CELL_ORDER = ("genes", "gene_id", "cell_id"), ("cell_id", "gene_id")
+
+
 def by_gene(x: DataFrame, cuts: Sequence[int] = (), tasks: int | None = None) -> DataFrame:
-    """The matrix laid out for reads of one gene, with its range (``genes``): dealt out by gene and then by cell, so that a gene with a
-    large share of all entries is in several tasks; sorted, so that Parquet statistics prune."""
-    dealt = x.withColumn("genes", range_of(F.col("gene_id"), list(cuts))).repartitionByRange(*[tasks] * bool(tasks), "gene_id", "cell_id")
-    return dealt.sortWithinPartitions("genes", "gene_id", "cell_id")
+    """The matrix dealt out for reads of one gene, with its range (``genes``): by gene and then by cell, so that a gene with a large share of
+    all entries is in several tasks. A task's rows are yet to be sorted, by GENE_ORDER."""
+    return x.withColumn("genes", range_of(F.col("gene_id"), list(cuts))).repartitionByRange(*[tasks] * bool(tasks), "gene_id", "cell_id")
 
 
 def by_cell(x: DataFrame, tasks: int | None = None) -> DataFrame:
-    return x.repartitionByRange(*[tasks] * bool(tasks), "cell_id").sortWithinPartitions("cell_id", "gene_id")
+    """The matrix dealt out for reads of one cell; a task's rows are yet to be sorted, by CELL_ORDER."""
+    return x.repartitionByRange(*[tasks] * bool(tasks), "cell_id")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

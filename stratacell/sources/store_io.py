@@ -27,7 +27,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.lineage import shared
 from ..operators.matrix import categories
-from .store import ENTRY_BYTES, FILE_BYTES, MOST_RANGES, Store, by_cell, by_gene, gene_cuts, need_int32, range_of, task_count
+from .store import CELL_ORDER, ENTRY_BYTES, FILE_BYTES, GENE_ORDER, MOST_RANGES, Store, by_cell, by_gene, gene_cuts, need_int32, range_of, task_count
 
 PARTS = ("obs", "var", "x", "obsm", "obsp", "varp", "uns", "layers", "categories", "strata", "strata_cells", "sketches", "harvests", "verdicts", "counters", "waiting")
 KEYED = ("obsm", "obsp", "varp", "layers", "strata", "strata_cells", "verdicts")
@@ -126,19 +126,23 @@ class Build:
             raise PartExists(f"{part}/{key}")
         if part == "obsm":
             df = df.withColumn("coords", F.transform("coords", lambda c: c.cast("float")))
-        rows, cuts = df, None
+        rows, cuts, order_of = df, None, ()
         if part in ("x", "layers"):
             df = df if staged else staged_in(self.root, df)  # it is gone through for bounds, for cuts, for a sample and to be written
             df = need_int32(df) if int32 else df
             cuts = gene_cuts(df, file_bytes) if order == "gene" else None
             tasks = task_count(df.count())
-            rows = by_cell(df, tasks) if cuts is None else by_gene(df, cuts, tasks)
-        return self._write(part, key, df, rows, axes, source, cuts, () if cuts is None else ("genes",), file_bytes if part in ("x", "layers") else None)
+            rows, order_of = (by_cell(df, tasks), CELL_ORDER) if cuts is None else (by_gene(df, cuts, tasks), GENE_ORDER)
+        return self._write(part, key, df, rows, axes, source, cuts, () if cuts is None else ("genes",), file_bytes if part in ("x", "layers") else None, order_of)
 
-    def _write(self, part: str, key: str, df: DataFrame, rows: DataFrame, axes: Sequence[str] | None, source: str | None, cuts: list[int] | None, folders: tuple, file_bytes: int | None = None) -> str:
-        """Writes ``rows``, which are those of ``df`` with the columns of their folders."""
+    def _write(self, part: str, key: str, df: DataFrame, rows: DataFrame, axes: Sequence[str] | None, source: str | None, cuts: list[int] | None, folders: tuple, file_bytes: int | None = None, order: tuple = ()) -> str:
+        """Writes ``rows``, which are those of ``df`` with the columns of their folders and of their ``order`` in a task, which begins with the folders."""
         path, seen = "/".join([part, *[key] * bool(key), uuid.uuid4().hex]), Observation()
-        writer = rows.observe(seen, *_sums(df)).write
+        rows = rows.observe(seen, *_sums(df))
+        # sorted last: after an observation Spark takes rows for unsorted, and a write to folders sorts them once more
+        if order:
+            rows = rows.sortWithinPartitions(*order).select(*[f"`{c}`" for c in df.columns], *folders)
+        writer = rows.write
         if file_bytes:
             writer = writer.option("maxRecordsPerFile", max(1, file_bytes // ENTRY_BYTES))
         (writer.partitionBy(*folders) if folders else writer).parquet(f"{self.root}/{path}")
@@ -163,10 +167,9 @@ class Build:
         cells = cells.withColumn("strata_range", F.floor(F.col("stratum") * F.lit(sides) / F.lit(max(n, 1))).cast("int"))
         gene, labels = F.col("gene_id"), F.broadcast(cells.select("stratum", *axes))
         ranged = sums.withColumn("genes", range_of(gene, cuts)).withColumn("strata_range", F.floor(F.col("stratum") * F.lit(sides) / F.lit(max(n, 1))).cast("int"))
-        dealt = ranged.repartition(tasks, "strata_range", range_of(gene, fine)).join(labels, "stratum").sortWithinPartitions("strata_range", "genes", "stratum", "gene_id")
-        columns = [*axes, *[c for c in sums.columns if c != "stratum"]]
-        named = dealt.select(*columns, "strata_range", "genes")
-        self._write("strata", key, named.select(*columns), named, axes, source, cuts, ("strata_range", "genes"))
+        dealt = ranged.repartition(tasks, "strata_range", range_of(gene, fine)).join(labels, "stratum")
+        columns, folders = [*axes, *[c for c in sums.columns if c != "stratum"]], ("strata_range", "genes")
+        self._write("strata", key, dealt.select(*columns), dealt, axes, source, cuts, folders, order=(*folders, "stratum", "gene_id"))
         cells = cells.drop("stratum")
         self._write("strata_cells", key, cells, cells, axes, source, None, ())
 

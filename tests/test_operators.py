@@ -3,6 +3,7 @@ import json
 import math
 import os
 import random
+import re
 import statistics
 from collections import Counter
 from dataclasses import replace
@@ -772,3 +773,29 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
         assert sorted(map(str, store_io.read_part(spark, root, "strata", key).collect())) == sorted(map(str, want.collect()))
         folders = store_io._read(spark, root, next(r for r in store_io.log(spark, root) if (r["part"], r["key"]) == ("strata", key)), ranges=True)
         assert folders.select("strata_range", "genes").distinct().count() > 1
+
+
+def _sorts_of_last_write(spark):
+    """Sorts in the plan of the last write to folders, as Spark ran it."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [found.apply(k).physicalPlanDescription() for k in range(found.size())]
+    last = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and "genes" in p][-1]
+    return len(re.findall(r"Sort \(\d+\)", last.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0].split("\n\n\n")[0]))
+
+
+def test_a_write_to_folders_sorts_once(spark, tiny, tmp_path):
+    """Rows are observed before they are sorted, so Spark knows their order; those of a file are in order, and the log has their content."""
+    root = str(tmp_path / "store")
+    store_io.write_store(root, replace(tiny, layers={}))
+    with store_io.Build(spark, root) as b:
+        b.put("x", tiny.x, overwrite=True)
+    assert _sorts_of_last_write(spark) == 1
+    x = next(r for r in store_io.log(spark, root) if r["part"] == "x")
+    assert x["content"] == store_io.content(tiny.x)
+    obs = tiny.obs.select("cell_id", F.concat(F.lit("k"), F.col("cell_id") % 2).alias("k"))
+    router.build_strata(spark, root, Store(obs, tiny.var, tiny.x), ["k"])
+    assert _sorts_of_last_write(spark) == 1
+    files = store_io._read(spark, root, x).withColumn("file", F.input_file_name()).withColumn("place", F.monotonically_increasing_id()).orderBy("place").collect()
+    for a, b in zip(files, files[1:]):
+        assert a["file"] != b["file"] or (a["gene_id"], a["cell_id"]) <= (b["gene_id"], b["cell_id"])
