@@ -122,30 +122,36 @@ def find_markers_all_groups_sparse(spark, d):
 _ROOTS: dict[tuple[str, str], str] = {}
 
 
-def _stored(spark, d) -> tuple[str, st.Store]:
-    """The sparse store on disk with its strata, written once for a session and input: (root, the store read back)."""
+def _stored(spark, d, *parts: str) -> tuple[str, st.Store]:
+    """The sparse store on disk, written once for a session and input, with those of the further ``parts`` (layers, obsp, strata) that have
+    been asked for, each written once when it first is: (root, the store read back)."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _ROOTS:
         root = store_io.new_root(spark)
-        s = st.sparse_store(spark, d)
-        s = replace(s, x=store_io.staged_in(root, s.x))  # the layer and the pairs are derived from it
-        s = replace(s, layers={"doubled": s.x.withColumn("value", F.col("value") * 2)}, obsp={"same_gene": s.x.select(F.col("cell_id").alias("row_id"), F.col("gene_id").alias("col_id"), "value")})
-        store_io.write_store(root, s, staged=True)
-        router.build_strata(spark, root, store_io.open_store(spark, root), ["priority", "status", "segment"], [["priority"], ["status", "segment"]])
+        store_io.write_store(root, st.sparse_store(spark, d))
         _ROOTS[key] = root
-    return _ROOTS[key], store_io.open_store(spark, _ROOTS[key])
+    root = _ROOTS[key]
+    s = store_io.open_store(spark, root)
+    missing = [p for p in parts if p not in {r["part"] for r in s.parts}]
+    if "layers" in missing:
+        store_io.add_part(root, "layers", s.x.withColumn("value", F.col("value") * 2), "doubled", staged=True)
+    if "obsp" in missing:
+        store_io.add_part(root, "obsp", s.x.select(F.col("cell_id").alias("row_id"), F.col("gene_id").alias("col_id"), "value"), "same_gene")
+    if "strata" in missing:
+        router.build_strata(spark, root, s, ["priority", "status", "segment"], [["priority"], ["status", "segment"]])
+    return root, store_io.open_store(spark, root) if missing else s
 
 
 @query(_SPARSE_COMPARE)
 def compare_groups_routed(spark, d):
     """The same comparison, from the smallest stored strata that cover it."""
-    root, s = _stored(spark, d)
+    root, s = _stored(spark, d, "strata")
     return rounded(router.compare_groups(spark, root, s, "priority", "1-URGENT", "5-LOW", 20))
 
 
 @query(_SPARSE_MARKERS)
 def find_markers_routed(spark, d):
-    root, s = _stored(spark, d)
+    root, s = _stored(spark, d, "strata")
     return rounded(router.markers_of_all_groups(spark, root, s, "priority", 20))
 
 
@@ -160,7 +166,7 @@ def top_expressed_genes(spark, d):
 
 @query(_TOP)
 def top_expressed_routed(spark, d):
-    root, s = _stored(spark, d)
+    root, s = _stored(spark, d, "strata")
     return rounded(router.top_expressed(spark, root, s, "priority", "1-URGENT", 10))
 
 
@@ -168,7 +174,7 @@ def top_expressed_routed(spark, d):
 SELECT c.status AS "group", CAST(g AS BIGINT) AS gene_id, n AS n_cells, {R("coalesce(s, 0) / n")} AS mean, {R("coalesce(z, 0) / n")} AS fraction FROM c CROSS JOIN (VALUES (3), (4), (11)) v(g) LEFT JOIN a ON a.status = c.status AND a.gene_id = g""")
 def gene_panel_routed(spark, d):
     """A panel by an axis that only a coarse table of two axes covers."""
-    root, s = _stored(spark, d)
+    root, s = _stored(spark, d, "strata")
     return rounded(router.gene_panel(spark, root, s, "status", [3, 4, 11]).withColumn("gene_id", F.col("gene_id").cast("long")))
 
 
@@ -251,12 +257,12 @@ def stored_gene_column(spark, d):
 
 @query(f"""WITH {SPARSE} SELECT cell_id, {R("2 * coalesce(sum(v), 0)")} AS total FROM so LEFT JOIN sx USING (cell_id) GROUP BY 1""")
 def stored_layer_totals(spark, d):
-    return rounded(matrix.cell_totals(_stored(spark, d)[1].from_layer("doubled")))
+    return rounded(matrix.cell_totals(_stored(spark, d, "layers")[1].from_layer("doubled")))
 
 
 @query(f"""WITH {SPARSE} SELECT cell_id AS row_id, gene_id AS col_id, {R("v")} AS value FROM sx""")
 def stored_pairs(spark, d):
-    return rounded(_stored(spark, d)[1].obsp["same_gene"])
+    return rounded(_stored(spark, d, "obsp")[1].obsp["same_gene"])
 
 
 @query(f"""WITH {SPARSE}, l AS (SELECT 'status' AS "column", status AS label FROM so UNION SELECT 'priority', priority FROM so UNION SELECT 'segment', segment FROM so UNION SELECT 'nation', nation FROM so)
@@ -269,17 +275,17 @@ def stored_categories(spark, d):
 def strata_of_genes_and_rows(spark, d):
     """A few genes of a few strata from a stored table."""
     rows = spark.createDataFrame([("1-URGENT",), ("5-LOW",)], "priority string")
-    return rounded(store_io.read_strata(spark, _stored(spark, d)[0], "priority", [3, 4, 11], rows)[0])
+    return rounded(store_io.read_strata(spark, _stored(spark, d, "strata")[0], "priority", [3, 4, 11], rows)[0])
 
 
 @query(f"""WITH {SPARSE} SELECT status, segment, count(*) AS n_cells FROM so GROUP BY ALL""")
 def strata_keys(spark, d):
-    return store_io.strata_keys(spark, _stored(spark, d)[0], "status-segment")
+    return store_io.strata_keys(spark, _stored(spark, d, "strata")[0], "status-segment")
 
 
 @query("SELECT true AS has_atomic, CAST(2 AS BIGINT) AS n_coarse, 'priority,status-segment' AS coarse FROM (SELECT count(*) FROM orders)")
 def strata_summary(spark, d):
-    return store_io.strata_summary(spark, _stored(spark, d)[0]).withColumn("coarse", F.array_join("coarse", ","))
+    return store_io.strata_summary(spark, _stored(spark, d, "strata")[0]).withColumn("coarse", F.array_join("coarse", ","))
 
 
 @query(f"""WITH {DENSE}, x AS (SELECT * FROM dx WHERE label = '4'), n AS (SELECT count(*) AS n FROM embeddings WHERE label = 4), f AS (SELECT gene_id, min(v) AS floor FROM x GROUP BY 1)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratacell import Store
+from stratacell import Store, queries
 from stratacell.functions import scalars
 from stratacell.functions.quantiles import exact_quantiles
 from stratacell.functions.scalars import as_label
@@ -799,3 +799,16 @@ def test_a_write_to_folders_sorts_once(spark, tiny, tmp_path):
     files = store_io._read(spark, root, x).withColumn("file", F.input_file_name()).withColumn("place", F.monotonically_increasing_id()).orderBy("place").collect()
     for a, b in zip(files, files[1:]):
         assert a["file"] != b["file"] or (a["gene_id"], a["cell_id"]) <= (b["gene_id"], b["cell_id"])
+
+
+def test_stored_parts_are_written_when_they_are_asked_for(spark, tmp_path):
+    """A query that reads pairs has no strata built; all parts of a root are of one store, and strata asked for later are fresh."""
+    d = str(tmp_path / "sf")
+    os.symlink("/root/testdata/sf0.001", d)
+    parts = lambda: {r["part"] for r in store_io.log(spark, root)}
+    root, s = queries._stored(spark, d, "obsp")
+    assert parts() == {"obs", "var", "x", "categories", "obsp"} and set(s.obsp) == {"same_gene"}
+    again, s = queries._stored(spark, d, "strata", "layers")
+    assert again == root and parts() == {"obs", "var", "x", "categories", "obsp", "layers", "strata", "strata_cells"}
+    assert {r["key"] for r in store_io.fresh_strata(spark, root, s)} == {"atomic", "priority", "status-segment"}
+    assert len(store_io.log(spark, queries._stored(spark, d, "obsp", "layers", "strata")[0])) == 12
