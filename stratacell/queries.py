@@ -718,13 +718,17 @@ def unmapped_columns(spark, d):
 
 
 def _as_stream(spark, rows: DataFrame, folder: str, by: str, files: int = 3) -> DataFrame:
-    """A stream of ``rows``: a batch for each third of them by ``by``."""
+    """A stream of ``rows``: a batch for each third of them by ``by``, in as many files for each as keep a task's rows bounded."""
     at = F.col(by).cast("double")
     cuts = rows.select(at.alias("at")).approxQuantile("at", [k / files for k in range(1, files)], 0.001)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    thirds = [(F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high) for low, high in zip([None, *cuts], [*cuts, None], strict=True)]
+    sizes = rows.agg(*[F.count_if(third).alias(f"n{k}") for k, third in enumerate(thirds)]).first()
+    # every third has the same number of files, none of them empty: that takes many rows for each of them
+    each = max(1, min(st.task_count(max(sizes)), min(sizes) // 1_000))
+    for third in thirds:
+        part = rows.where(third)
+        (part.coalesce(1) if each == 1 else part.repartition(each)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(folder)
 
 
 _ATT = """a AS (SELECT user_id AS dataset_id, event_id AS eid, CASE WHEN event_id % 11 = 0 THEN 'clear' WHEN event_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, event_type AS value FROM events)"""

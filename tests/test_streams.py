@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stratacell import queries
 from stratacell.operators import catalog
 from stratacell.sources import store_io
 from stratacell.streaming import progress, usage
@@ -117,3 +118,18 @@ def test_log_of_streams(spark, tmp_path):
     got = {r["name"]: r for r in progress.stream_summary(progress.read_events(spark, str(tmp_path / "log"))).collect()}
     assert (got["good"]["status"], got["good"]["batches"], got["good"]["rows"]) == ("completed", 2, 3)
     assert got["bad"]["status"] == "failed" and "no luck" in got["bad"]["error"]
+
+
+def test_a_batch_is_written_by_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """Each third of the rows is a batch of its own, in several files of about equal rows; few rows are in one."""
+    for k, (n, task_rows, want) in enumerate(((15_000, 1_500, 4), (900, 100, 1))):
+        monkeypatch.setattr("stratacell.sources.store.TASK_ROWS", task_rows)
+        rows = spark.range(n, numPartitions=3).select("id", (F.col("id") * 10 + 5).alias("at"))
+        stream = queries._as_stream(spark, rows, str(tmp_path / f"in{k}"), "at")
+        batches = {}
+        keep = lambda batch, i: batches.update({i: batch.withColumn("file", F.input_file_name()).groupBy("file").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).collect()})  # noqa: B023, E731
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True).start().awaitTermination(120)
+        assert [len(batches[i]) for i in sorted(batches)] == [want] * 3
+        assert sum(r["n"] for b in batches.values() for r in b) == n
+        assert all(r["n"] <= 2 * max(task_rows, n // 3 // want) for b in batches.values() for r in b)
+        assert all(max(r["high"] for r in batches[i]) < min(r["low"] for r in batches[i + 1]) for i in (0, 1))
