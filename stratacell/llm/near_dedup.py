@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import components, stored
-from .textnum import GOLD, U, hashes, mix, slices, spans, table, utf8, windows
+from .textnum import GOLD, SMALL_SLICE_BYTES, U, hashes, mix, slices, spans, table, utf8, windows
 
 SHINGLE = 5
 SIMILAR = 85
@@ -83,7 +83,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SMALL_SLICE_BYTES):
         data, offsets = utf8(batch["text"])
         start, end, doc = spans(data, offsets)
         h = hashes(data, start, end)

@@ -33,6 +33,8 @@ LIMIT = 2048
 END = 0
 #: Pieces, and tokens, that are packed at once on the first level; bins at once on later ones.
 PER_LOT, LOT_TOKENS = 20_000, 16 << 20
+#: Tokens of the pieces that leave a task in one batch, at least.
+BATCH_TOKENS = 1 << 18
 SLACK = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, bin long, place long, fill long"
 TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
@@ -67,15 +69,23 @@ def token_ids(text: str, tokenizer: str) -> np.ndarray:
         return np.array(slow_encoder(tokenizer).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+def lot_batches(rows: list[tuple], base: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of a lot, packed together; they leave in batches of bounded size."""
+    length = np.array([r[3] for r in rows], np.int64)
+    bins, place, fill = best_fit(length, limit)
+    ends = np.cumsum(length)
+    at = 0
+    while at < len(rows):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_TOKENS)) + 1
+        cols = [*zip(*rows[at:to], strict=True), base + bins[at:to], place[at:to], fill[bins[at:to]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+        at = to
+
+
 def local_bins(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, per_lot: int = PER_LOT, with_ids: bool = False) -> DataFrame:
     """The pieces of ``docs``, each with its bin of the first level, its place there and the bin's fill. ``ids`` holds
     little-endian unsigned 32-bit numbers, null unless ``with_ids``."""
 
-    def lot_rows(rows: list[tuple], base: int) -> pa.RecordBatch:
-        bins, place, fill = best_fit(np.array([r[3] for r in rows], np.int64), limit)
-        cols = [*zip(*rows, strict=True), base + bins, place, fill[bins]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -90,10 +100,10 @@ def local_bins(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = E
                     rows.append((doc, piece, start, to - start, zlib.crc32(part), part if with_ids else None))
                     tokens += to - start
                     if len(rows) >= per_lot or tokens >= LOT_TOKENS:
-                        yield lot_rows(rows, base)
+                        yield from lot_batches(rows, base, limit)
                         base, rows, tokens = base + len(rows), [], 0
         if rows:
-            yield lot_rows(rows, base)
+            yield from lot_batches(rows, base, limit)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 

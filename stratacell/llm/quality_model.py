@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text_crc, stored
-from .textnum import NEWLINE, U, _flags, hashes, mix, slices, spans, utf8, windows
+from .textnum import NEWLINE, SMALL_SLICE_BYTES, U, _flags, hashes, mix, slices, spans, utf8, windows
 
 COSINES = 256
 RIDGE = 1e-3
+#: Rows whose cosines are held at once.
+ROWS_AT_ONCE = 1024
 #: Steps of the raw score on which calibration counts labels.
 GRID = 400
 ACCEPT = 0.7
@@ -75,7 +77,7 @@ def features(docs: DataFrame) -> DataFrame:
     """(doc_id, x) with the statistics of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE_BYTES):
             x = statistics(batch["text"])
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], rows], ["doc_id", "x"])
@@ -110,7 +112,8 @@ class Model:
         return np.column_stack([np.cos(z @ self.w + self.phase) * np.sqrt(2 / len(self.phase)), np.ones(len(x))])
 
     def raw_score(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.cosines(x) @ self.beta, -0.5, 1.5)
+        parts = [self.cosines(x[k : k + ROWS_AT_ONCE]) @ self.beta for k in range(0, len(x), ROWS_AT_ONCE)]
+        return np.clip(np.concatenate([*parts, np.zeros(0)]), -0.5, 1.5)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.beta is None:
@@ -141,8 +144,8 @@ def fit(x: DataFrame, labels: DataFrame, cosines: int = COSINES, seed: int = 7)
     def gram(batches):
         total = np.zeros((cosines + 1, cosines + 2))
         for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                part = b.slice(k, 4096)
+            for k in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(k, ROWS_AT_ONCE)
                 z = model.cosines(_matrix(part["x"]))
                 total[:, :-1] += z.T @ z
                 total[:, -1] += z.T @ np.asarray(part["y"])
@@ -205,7 +208,7 @@ def keep(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFram
         return docs
 
     def run(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SMALL_SLICE_BYTES):
             yield b.filter(pa.array(model.score(statistics(b["text"])) >= accept))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,6 +16,10 @@ import pyarrow.compute as pc
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 SLICE_BYTES = 2 << 20
+#: Of work that adds nothing up over a slice: numpy takes some 50 bytes for a byte of it.
+SMALL_SLICE_BYTES = 1 << 18
+#: Powers are kept up to those of a slice. What a long text takes goes with it.
+KEPT_POWERS = 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,12 +50,14 @@ FOLDED = BYTES[LOWER]
 BASE = 0x9FB21C651E98DF25
 
 
-@lru_cache(2)
 def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
     n, inverse = 1 << log2, pow(BASE, -1, 1 << 64)
     return tuple(np.multiply.accumulate(np.r_[U(1), np.full(n - 1, U(b))]) for b in (BASE, inverse))
 
 
+_kept_powers = lru_cache(2)(_powers)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each piece has about ``limit`` bytes of text."""
     for batch in batches:
@@ -92,7 +98,8 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = Tr
     """64-bit hashes of spans; ``fold`` lower-cases A-Z first."""
     if not len(start):
         return np.zeros(0, U)
-    up, down = _powers(max(16, int(len(data)).bit_length()))
+    log2 = max(16, int(len(data)).bit_length())
+    up, down = _kept_powers(log2) if log2 <= KEPT_POWERS else _powers(log2)
     total = np.zeros(len(data) + 1, U)
     np.cumsum((FOLDED if fold else BYTES)[data] * up[: len(data)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * GOLD)
