@@ -92,20 +92,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=ALL_MASKS, window: int
     item_seeds = seed_rows(items, "item", masks).select("item", "mask", F.col("at").alias("item_at"), "seed").join(items.select("item", "item_n"), "item")
     item_seeds = stored(item_seeds.where(fits).drop("mask"), "item-seeds")
     shift = (F.col("at") - F.col("item_at")).alias("shift")
+    # the document's tokens that the item lies on: cut out in the join's own stage, so that no hit takes all of ``h`` along
+    laid_on = F.slice("h", F.greatest("shift", F.lit(0)) + 1, F.col("item_n") + F.least("shift", F.lit(0))).alias("d")
     if item_seeds.count() <= BROADCAST_SEEDS:
-        # the hit takes along the document's tokens that the item would lie on, so texts are read once and not shuffled
-        laid_on = F.expr("transform(sequence(0, item_n - 1), j -> get(h, j + shift))").alias("d")
+        # texts are read once and not shuffled; hits are grouped as they are found, by columns alone, and never lined up before a sort
         hits = seed_rows(texts, "md5", masks).join(F.broadcast(item_seeds), "seed")
-        hits = hits.select("md5", "item", "item_n", shift, "h").select("md5", "item", "shift", laid_on).dropDuplicates(["md5", "item", "shift"])
+        hits = hits.select("md5", "item", "item_n", shift, "h").select("md5", "item", "shift", laid_on).distinct()
     else:
         hits = stored(seed_rows(texts, "md5", masks).drop("h", "mask").join(item_seeds, "seed").select("md5", "item", "item_n", shift).distinct(), "hits")
         found = texts.join(hits.select("md5").distinct(), "md5", "left_semi").dropDuplicates(["md5"])
-        hits = hits.join(found.select("md5", token_hashes(F.col("text")).alias("h")), "md5").select(
-            "md5", "item", "shift", F.expr("transform(sequence(0, item_n - 1), j -> get(h, j + shift))").alias("d")
-        )
+        hits = hits.join(found.select("md5", token_hashes(F.col("text")).alias("h")), "md5").select("md5", "item", "shift", laid_on)
+    # of an item that begins before the text, the first tokens lie on none
+    d = F.concat(F.array_repeat(F.lit(None).cast("long"), F.greatest(-F.col("shift"), F.lit(0))), "d")
     laid = (
         hits.join(items.select("item", "item_id", token_hashes(F.col("text")).alias("b")), "item")
-        .select("md5", "item", "item_id", "shift", F.zip_with("b", "d", lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int")).alias("m"))
+        .select("md5", "item", "item_id", "shift", F.zip_with("b", d, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int")).alias("m"))
         .select("*", F.least(F.lit(window), F.size("m")).alias("w"))
     )
     best = F.expr("array_max(transform(sequence(0, size(m) - w), s -> aggregate(slice(m, s + 1, w), 0, (a, x) -> a + x)))")

@@ -1,5 +1,8 @@
 """What a task's arrays take follows a small slice, and not the batch that Spark sends or the lot that is packed together."""
 
+import os
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
@@ -70,3 +73,26 @@ def test_a_lot_leaves_in_batches():
     assert [*zip(*(whole[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")))] == rows
     bins, place, fill = packing.best_fit(np.array([r[3] for r in rows]), 2048)
     assert whole["bin"] == ((7 << 36) + bins).tolist() and whole["place"] == place.tolist() and whole["fill"] == fill[bins].tolist()
+
+
+#: A session of its own, with a heap of 512 MB: a text of 12,000 words is one item again and again, so each token begins hits.
+LONG = """
+import sys
+from pyspark.sql import SparkSession
+from stratacell.llm import decontam
+spark = (
+    SparkSession.builder.master("local[1]").config("spark.driver.memory", "512m").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
+    .config("spark.local.dir", sys.argv[1]).config("spark.sql.warehouse.dir", sys.argv[1]).config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+)
+item = " ".join(f"w{i}" for i in range(40))
+docs = spark.createDataFrame([(0, " ".join([item] * 300)), (1, "word " * 12_000), (2, "nothing of it")], "doc_id long, text string")
+benchmark = spark.createDataFrame([(5, item), (6, "word " * 20)], "item_id long, text string")
+decontam.BROADCAST_SEEDS = int(sys.argv[2])
+print(sorted(tuple(r)[1:] for r in decontam.flagged(docs, benchmark).collect()))
+"""
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_hits_do_not_carry_their_text(tmp_path, most):
+    run = subprocess.run([sys.executable, "-c", LONG, str(tmp_path), str(most)], env=os.environ | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=600)
+    assert run.stdout.strip().endswith("[(1, 5, 40), (1, 6, 20)]"), run.stderr[-2000:]
