@@ -16,7 +16,7 @@ from ..functions.lineage import checkpointed
 from ..functions.quantiles import exact_quantiles
 from ..functions.scalars import as_label
 from ..sources.store import Store
-from .neighbours import knn_of
+from .neighbours import knn_of, knn_ranked
 
 
 def cell_totals(store: Store, layer: str | None = None) -> DataFrame:
@@ -329,7 +329,7 @@ def knn_recall(edges: DataFrame, vectors: DataFrame, queries: DataFrame, k: int)
     return hit.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] or 0.0
 
 
-#: Queries that are met with all vectors; for more, or for all cells, there is :func:`knn_within`.
+#: Queries that are met with all vectors; for all cells there is :func:`knn_graph`.
 MOST_QUERIES = 1_000_000
 
 
@@ -339,4 +339,13 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     Vectors with no place (:mod:`neighbours`) have no neighbours and are none."""
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries")
-    return knn_of(queries, vectors, k).select(F.col("row_id").alias("cell_id"), F.col("col_id").alias("neighbour"), F.col("value").alias("distance"), "rank")
+    return _named(knn_of(queries, vectors, k))
+
+
+def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
+    """(cell_id, neighbour, distance, rank): as :func:`knn`, of every cell of ``vectors``, however many there are."""
+    return _named(knn_ranked(vectors, k, squared=True))
+
+
+def _named(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("row_id").alias("cell_id"), F.col("col_id").alias("neighbour"), F.col("value").alias("distance"), "rank")

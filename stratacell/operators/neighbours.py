@@ -207,6 +207,11 @@ def compared(vectors: DataFrame, k: int, **options) -> int:
 
 def knn_all(vectors: DataFrame, k: int, **options) -> DataFrame:
     """(row_id, col_id, value): edges from every cell of ``vectors`` (cell_id, coords) to its ``k`` nearest others, exactly."""
+    return knn_ranked(vectors, k, **options).select("row_id", "col_id", "value")
+
+
+def knn_ranked(vectors: DataFrame, k: int, squared: bool = False, **options) -> DataFrame:
+    """(row_id, col_id, value, rank): the edges of :func:`knn_all` and their places, by squared distance if asked."""
     blocks, reach, shown = _meetings(vectors, k, **options)
     looking = reach.join(blocks, "block").select("section", F.explode("sections").alias("other"), "radius", "m")
     pairs = looking.select("section", "other").distinct()
@@ -219,7 +224,7 @@ def knn_all(vectors: DataFrame, k: int, **options) -> DataFrame:
         p, place, rings, _ = shown.value
         (own, x, _), radius = _cells(left), np.array(left["radius"].combine_chunks().flatten(), float)
         ids, y, ends = _cells(right)
-        near, to = Nearest(own, x, k, radius), np.concatenate([distances(x[i : i + ROWS], p) for i in range(0, len(x), ROWS)])
+        near, to = Nearest(own, x, k, radius, squared), np.concatenate([distances(x[i : i + ROWS], p) for i in range(0, len(x), ROWS)])
         slack = 1e-9 * (1 + np.abs(x).max(initial=0))
         of = rings[[place[key] for key in zip(right["pivot"].to_pylist(), right["ring"].to_pylist(), strict=True)]]
         heads = to.mean(axis=0)
@@ -240,7 +245,7 @@ def knn_all(vectors: DataFrame, k: int, **options) -> DataFrame:
 
     found = looking.groupBy("section", "other").cogroup(seen.groupBy("section", "other")).applyInArrow(meet, EDGES)
     best = F.row_number().over(Window.partitionBy("row_id").orderBy("value", "col_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("row_id", "col_id", "value")
+    return found.withColumn("rank", best).where(F.col("rank") <= k).select("row_id", "col_id", "value", "rank")
 
 
 #: Queries and vectors that meet in one task at most, about.

@@ -997,8 +997,8 @@ def svd_scores(spark, d):
     return matrix.svd_scores(st.dense_store(spark, d), 5)[0]
 
 
-@query("""WITH q AS (SELECT vec_id AS a, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT a, vec_id AS b, list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE) for x in list_zip(e, embedding)]) AS dist FROM q, embeddings WHERE a <> vec_id),
+@query("""WITH q AS (SELECT vec_id AS a, embedding AS e FROM embeddings), p AS (SELECT a, vec_id AS b, list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE) for x in list_zip(e, embedding)]) AS dist FROM q, embeddings WHERE a <> vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM p) SELECT a AS cell_id, b AS neighbour, (round(dist, 6) + 0.0) AS distance, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 10""")
 def knn_graph(spark, d):
     v = st.table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("coords"))
-    return rounded(matrix.knn(v.where("cell_id % 100 = 0"), v, 10))
+    return rounded(matrix.knn_graph(v, 10))

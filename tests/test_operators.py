@@ -757,6 +757,17 @@ def test_neighbours_of_queries(spark):
     assert got == [(q, k + 1, c, far) for q in range(0, 300, 50) for k, (far, c) in enumerate(sorted((d[q, c], c) for c in range(300) if c != q)[:4])]
 
 
+def test_graph_of_all_cells(spark, tmp_path):
+    """Every cell has its neighbours, whatever its id; squared distances, ties to the smaller id."""
+    rng = np.random.default_rng(11)
+    x, ids = rng.integers(0, 5, (150, 3)).astype(float), rng.permutation(150)
+    rows = [(int(i), p.tolist()) for i, p in zip(ids, x, strict=True)]
+    spark.createDataFrame([*rows, (900, None)], "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted((r["cell_id"], r["rank"], r["neighbour"], r["distance"]) for r in queries.QUERIES["knn_graph"](spark, str(tmp_path)).collect())
+    want = [(i, k + 1, c, d) for i, p in sorted(rows) for k, (d, c) in enumerate(sorted((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), c) for c, q in rows if c != i)[:10])]
+    assert got == want and len(got) == 1500
+
+
 def test_tasks_grow_with_the_rows(spark, monkeypatch):
     """What a task sorts or groups is bounded, whatever spark.sql.shuffle.partitions is; strata are the same for any number of tasks."""
     obs = spark.range(60).select(F.col("id").alias("cell_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("kind"), F.concat(F.lit("s"), F.col("id") % 2).alias("sex"))
